@@ -58,9 +58,11 @@ def hits(docs: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
     found = None
     for block in range(blocks):
         some = distinct if blocks == 1 else distinct.where(F.pmod("h", F.lit(blocks)) == block)
-        scanned = tokens.select(*key, "w", F.posexplode("hs").alias("at", "h"))
+        # outer: else the planner tests for empty arrays before the words are made, and makes them for every window
+        scanned = tokens.select(*key, "w", F.posexplode_outer("hs").alias("at", "h"))
         same = scanned.join(F.broadcast(some), "h").select(*key, at.alias("start"), length.alias("length"), "win", "w")
-        same = same.where(F.slice("w", F.col("start"), F.col("length")) == F.col("win")).drop("w")
+        # between, not equal: an equality would become a join key, and every window's words be built to probe with
+        same = same.where(F.slice("w", F.col("start"), F.col("length")).between(F.col("win"), F.col("win"))).drop("w")
         found = same if found is None else found.unionByName(same)
     return found
 
