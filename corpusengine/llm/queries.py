@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, simhash, toxicity, urlfilter, vectors
+from . import decontam, mixing, simhash, toxicity, urlfilter, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload")
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -38,8 +42,8 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op6_embeddings": op6_embeddings, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
+    return {"op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.oracle(), "op3_mixing": mixing.oracle()}
+    return {"op2_decontamination": decontam.oracle(), "op3_mixing": mixing.oracle(), "op5_warc": warc.oracle(), "op10_urls": urlfilter.oracle()}

@@ -120,3 +120,17 @@ def publish(spark: SparkSession, data: bytes) -> str:
         out.write(data)
     spark.sparkContext.addFile(uri)
     return name
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``filtered`` with the contract's rules."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    return f"""
+WITH r(verdict, rhost, rpath) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  substr(regexp_extract(rest, '^[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path FROM u),
+m AS (SELECT rid, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS k
+  FROM s JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, '{DEFAULT}') AS verdict FROM s LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (rid)
+"""
