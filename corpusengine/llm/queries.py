@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, simhash, toxicity, urlfilter, vectors, warc
+from . import decontam, mixing, pagetext, simhash, toxicity, urlfilter, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -42,7 +46,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
+    return {"op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op7_page_text": op7_page_text, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
