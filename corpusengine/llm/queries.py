@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pagetext, simhash, toxicity, urlfilter, vectors, warc
+from . import decontam, mixing, pagetext, passages, simhash, toxicity, urlfilter, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_table(spark, sf_dir, "documents")).drop("dk")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload")
 
@@ -46,7 +50,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op7_page_text": op7_page_text, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
+    return {"op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op4_passages": op4_passages, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op7_page_text": op7_page_text, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
