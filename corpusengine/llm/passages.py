@@ -246,7 +246,7 @@ def _similar(cands: DataFrame, words: DataFrame, jaccard: float, buckets: int) -
     sent = sent.select("key", "node", "dk", "start", "n", F.least("tile", "other").alias("tile_l"), F.greatest("tile", "other").alias("tile_r"))
     data = F.substring("words", F.col("start") * 4 + 1, F.col("n") * 4)
     sent = sent.join(words, "dk").select("key", "node", "tile_l", "tile_r", data.alias("data"))
-    sent = sent.withColumn("bucket", F.pmod(F.xxhash64("key", "tile_l", "tile_r"), F.lit(4 * buckets)))
+    sent = sent.withColumn("bucket", F.pmod(F.xxhash64("key", "tile_l", "tile_r"), F.lit(4 * buckets))).repartition(buckets, "bucket")
     return cut(sent.groupBy("bucket").applyInPandas(lambda pdf: _linked(pdf, jaccard), "a long, b long"))
 
 

@@ -1,14 +1,15 @@
 """SimHash fingerprints and their near-duplicates by exact comparison of tiles.
 
 Equal fingerprints are one row with a smallest doc_id before anything is compared. Two fingerprints that differ in at most
-``radius`` bits agree wholly on one of radius + 1 equal parts of their bits, so rows meet in groups that share a part; this is exact, and
-spreads the comparison over as many tasks as there are values. A group is cut into tiles in the order of its population counts. Tiles
+``radius`` bits agree wholly on one of radius + 1 equal parts of their bits, so rows meet in groups that share the last bits of a part; this
+loses no link, and spreads the comparison over as many tasks as there are values. A group is cut into tiles in the order of its population counts. Tiles
 are compared with each other by exclusive-or and bit counts, a pair whose population counts are further apart than the
 radius is skipped, and of the links found in a pair of tiles only a spanning forest leaves the task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,8 +87,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     A link joins fingerprints that differ in ``radius`` bits or fewer. Ids must be distinct.
     """
     parts = radius + 1
-    width = -(-64 // parts)
-    keys = [F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << min(width, 64 - i * width)) - 1).alias("value")) for i in range(parts)]
+    width = 64 // parts
+    # as many bits of a part as make groups of about a tile; fewer bits only compare more
+    bits = min(width, max(0, math.ceil(math.log2(max(1, distinct.count()) / tile))))
+    keys = [F.struct(F.lit(i).alias("part"), F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << bits) - 1).alias("value")) for i in range(parts)]
     rows = distinct.select("id", "fp", F.bit_count("fp").alias("ones"), F.explode(F.array(*keys)).alias("key")).select("id", "fp", "ones", "key.*")
     sizes = cut(rows.groupBy("part", "value", "ones").agg(F.count("*").alias("n")))
     # tiles are runs of population counts; a count with more rows than a tile is dealt over several by a hash
@@ -103,7 +106,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     near = (F.col("tile_l") <= F.col("tile_r")) & (F.col("least_r") <= F.col("most_l") + radius) & (F.col("least_l") <= F.col("most_r") + radius)
     pairs = cut(left.join(right, ["part", "value"]).where(near).select("part", "value", "tile_l", "tile_r"))
     both = pairs.select("part", "value", "tile_l", "tile_r", F.explode(F.array_distinct(F.array("tile_l", "tile_r"))).alias("tile"))
-    sent = both.join(dealt, ["part", "value", "tile"])
+    # a number of partitions of its own: the rows are few bytes and much work, which adaptive execution would put into a few tasks
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = both.join(dealt, ["part", "value", "tile"]).repartition(tasks, "part", "value", "tile_l", "tile_r")
     return sent.groupBy("part", "value", "tile_l", "tile_r").applyInPandas(lambda pdf: _compare(pdf, radius), "a long, b long")
 
 

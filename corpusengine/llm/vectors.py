@@ -114,7 +114,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     dealt = places.join(sizes, ["table", "dim", "key"]).select("table", "dim", "key", "id", tile.alias("tile"))
     sent = cut(dealt).join(pairs.drop("tiles"), ["table", "dim", "key", "tile"])
-    sent = sent.join(hashed.drop("key", "dim"), "id")
+    # a number of partitions of its own: adaptive execution would go by bytes and put much work into few tasks
+    tasks = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = sent.join(hashed.drop("key", "dim"), "id").repartition(tasks, "table", "dim", "key", "tile_l", "tile_r")
     found = cut(sent.groupBy("table", "dim", "key", "tile_l", "tile_r").applyInPandas(lambda pdf: _compare(pdf, cosine), "a long, b long, n long"))
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
