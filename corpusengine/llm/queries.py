@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pagetext, passages, simhash, toxicity, urlfilter, vectors, warc
+from . import decontam, hpylm, mixing, pagetext, passages, simhash, toxicity, urlfilter, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.scored(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tk")
 
@@ -50,7 +54,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op4_passages": op4_passages, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op7_page_text": op7_page_text, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
+    return {"op1_language_model": op1_language_model, "op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op4_passages": op4_passages, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op7_page_text": op7_page_text, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
