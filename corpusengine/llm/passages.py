@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 from .shared import cut, stored
@@ -267,7 +268,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             texts = [without(t, [(s["start"], s["n"]) for s in json.loads(x)]) for t, x in zip(frame.iloc[:, at], frame["_spans"], strict=True)]
             yield frame.assign(_text=texts)
 
-    out = hit.mapInPandas(run, hit.schema.add("_text", "string")).where("_text <> ''")
+    out = hit.mapInPandas(run, T.StructType([*hit.schema, T.StructField("_text", T.StringType())])).where("_text <> ''")
     length = {"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {}
     new = {"text": F.col("_text")} | length
     return whole.unionByName(out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns)))

@@ -53,8 +53,14 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filtered(_table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_model": op1_language_model, "op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op4_passages": op4_passages, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op7_page_text": op7_page_text, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
+    return {"op1_language_model": op1_language_model, "op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op4_passages": op4_passages, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op7_page_text": op7_page_text, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
