@@ -1,0 +1 @@
+"""A PySpark engine for querying and maintaining text corpora."""
