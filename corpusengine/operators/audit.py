@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 
-def span_depths(spans: DataFrame, most: int = 64) -> DataFrame:
-    """``span_id, root_id, depth``: distance from the root that parents lead to; a span whose parent isn't there is a root."""
+
+def span_depths(spans: DataFrame) -> DataFrame:
+    """``span_id, root_id, depth``: distance from the root that parents lead to; a span whose parent isn't there is a root.
+
+    Pointers double in every round, so the joins are as many as the logarithm of the deepest nesting.
+    """
     known = spans.select(F.col("span_id").alias("k"))
-    placed = spans.join(known, spans["parent_id"] == known["k"], "left").select("span_id", F.when(F.col("k").isNotNull(), F.col("parent_id")).alias("up"))
-    out = placed.where("up is null").select("span_id", F.col("span_id").alias("root_id"), F.lit(0).alias("depth"))
-    level, rest = out, placed.where("up is not null")
-    for d in range(1, most + 1):  # one join a level of nesting
-        level = rest.join(level.select(F.col("span_id").alias("up"), "root_id"), "up").select("span_id", "root_id", F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    there = F.col("k").isNotNull()
+    at = spans.join(known, spans["parent_id"] == known["k"], "left").select("span_id", F.when(there, F.col("parent_id")).otherwise(F.col("span_id")).alias("root_id"), there.cast("int").alias("depth"))
+    at = cut(at)
+    while True:
+        up = at.select(F.col("span_id").alias("root_id"), F.col("root_id").alias("far"), F.col("depth").alias("more"))
+        further = cut(at.join(up, "root_id").select("span_id", F.col("far").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        at = further.drop("moved")
+        if further.where("moved").isEmpty():
+            return at
 
 
 def unfinished(events: DataFrame) -> DataFrame:

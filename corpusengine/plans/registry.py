@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import memory, retrieval, rules
 
-QUERIES = {**retrieval.QUERIES}
-SQL = {**retrieval.SQL}
+QUERIES = {**retrieval.QUERIES, **rules.QUERIES, **memory.QUERIES}
+SQL = {**retrieval.SQL, **rules.SQL, **memory.SQL}
