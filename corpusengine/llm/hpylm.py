@@ -33,7 +33,7 @@ DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.75, 2.0, 0.5, 10.0
 ROUNDS, BURN, SAMPLES, SEED = 2, 2, 3, 1
 #: Customers of a dish that are seated one by one; the rest come in companies of a twelfth of those seated.
 SINGLY = 24
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 5_000_000
 _END = mix(np.array([0x656E64], np.uint64))[0]
 _DOCS = np.dtype([("id", "<i8"), ("null", "?"), ("held", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
 
@@ -321,7 +321,7 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     their own. Without training rows every word is unknown; no rows give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     home = new_folder(spark, "hpylm")
     blocks = stored(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_blocks, "block string, vocab binary, places binary, docs binary"), "blocks")
     asked = blocks.mapInPandas(_asked(buckets), "bucket int, block string, hashes binary, counts binary")

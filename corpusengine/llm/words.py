@@ -82,8 +82,11 @@ def tokenise(texts: Iterable[str | None]) -> Words:
     word[1:-1] = ~_SPACE[buf]
     turn = np.flatnonzero(np.diff(word))
     start, end = turn[0::2], turn[1::2]
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf + np.uint64(1)) * power("base", len(buf))[: len(buf)], out=sums[1:])
+    sums = np.ones(len(buf) + 1, np.uint64)
+    sums[0] = 0
+    sums[1:] += buf
+    sums[1:] *= power("base", len(buf))[: len(buf)]
+    np.cumsum(sums, out=sums)
     first = np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
     out = Words(buf, sums, start, end, first, np.zeros(0, np.uint64))
     out.hash = out.run_hash(start, end)
