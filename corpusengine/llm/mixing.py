@@ -89,14 +89,14 @@ def _null_safe(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every column of ``docs`` and ``copy`` (from 1), a row for each copy that ``mixed`` emits.
+    """The mix itself: every column of ``docs`` (but one named ``copy``) and ``copy`` (from 1), a row for each copy that ``mixed`` emits.
 
     Rows that share a doc_id get the copies of one of them each, as ids are joined after being counted once.
     """
     taken = mixed(docs).where("copies > 0").select(F.col("doc_id").alias("mix_id"), "copies")
-    per_id = taken.groupBy("mix_id").agg(F.max("copies").alias("copies"))
-    joined = docs.join(per_id, docs["doc_id"] == per_id["mix_id"]).drop("mix_id")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    per_id = taken.groupBy("mix_id").agg(F.max("copies").alias("mix_copies"))
+    joined = docs.join(per_id, docs["doc_id"] == per_id["mix_id"])
+    return joined.select(*(docs[c] for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1), per_id["mix_copies"].cast("int"))).alias("copy"))
 
 
 def oracle(documents: str = "documents") -> str:

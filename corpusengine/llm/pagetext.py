@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import layouts
 from .blocks import leaves
@@ -216,4 +217,6 @@ def extracted(pages: DataFrame) -> DataFrame:
                 found = texts(model.value, rows["html"].tolist())
                 yield pd.DataFrame({"page_id": rows["page_id"].to_numpy(), "url": rows["url"].to_numpy(), "text": found, "n_chars": [len(t) for t in found]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    # ids as text: pandas would turn longs with nulls among them into floats
+    out = pages.select(F.col("page_id").cast("string"), "url", "html").mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))

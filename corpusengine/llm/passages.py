@@ -19,7 +19,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import connected_components
 from .shared import cut, stored
@@ -260,18 +259,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     both = keyed.join(spans, "dk", "left")
     cleaned = both.select("row", F.col("row.text").alias("text"), F.to_json("spans").alias("spans"), F.col("spans").isNotNull().alias("hit"))
     whole = cleaned.where("not hit").select("row.*")
-    hit = cleaned.where("hit").select(*(F.col(f"row.`{c}`") for c in columns), F.col("spans").alias("_spans"))
+    hit = cleaned.where("hit")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = columns.index("text")
-        for frame in frames:
-            texts = [without(t, [(s["start"], s["n"]) for s in json.loads(x)]) for t, x in zip(frame.iloc[:, at], frame["_spans"], strict=True)]
-            yield frame.assign(_text=texts)
-
-    out = hit.mapInPandas(run, T.StructType([*hit.schema, T.StructField("_text", T.StringType())])).where("_text <> ''")
-    length = {"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {}
-    new = {"text": F.col("_text")} | length
-    return whole.unionByName(out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns)))
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without(t, [(s["start"], s["n"]) for s in json.loads(x)]) for t, x in zip(texts, spans, strict=True)], dtype=object)
+
+    out = hit.select("row", left("text", "spans").alias("left")).where("left <> ''")
+    new = {"text": F.col("left")} | ({"n_chars": F.length("left").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    return whole.unionByName(out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in columns)))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -78,7 +78,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for frame in batches(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fingerprint_batch(frame["text"]).view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    # ids as text: pandas would turn longs with nulls among them into floats
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, fp long")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:

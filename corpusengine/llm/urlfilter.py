@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import shared_dir
 from .store import filesystem
@@ -108,7 +109,9 @@ def filtered(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, de
         for frame in frames:
             yield pd.concat([frame["page_id"].reset_index(drop=True), judge(frame["url"].tolist(), index, default)], axis=1)
 
-    return pages.select("page_id", "url").mapInPandas(run, "page_id long, host string, path string, rule string, verdict string")
+    # ids as text: pandas would turn longs with nulls among them into floats
+    out = pages.select(F.col("page_id").cast("string"), "url").mapInPandas(run, "page_id string, host string, path string, rule string, verdict string")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def publish(spark: SparkSession, data: bytes) -> str:
