@@ -87,7 +87,7 @@ def _nodes(w: Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _mapped(buckets: int):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames, size=4_000_000):
+        for frame in batches(frames, size=3_000_000):
             w = tokenise(frame["text"])
             doc, first, n = paragraphs(w)
             long = n >= LEAST
@@ -187,7 +187,7 @@ def _widened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches(frames, size=4_000_000):
+    for frame in batches(frames, size=3_000_000):
         w = tokenise(frame["text"])
         short = (w.hash >> np.uint64(32)).astype(np.uint32)
         yield pd.DataFrame({"dk": frame["dk"].to_numpy(), "words": [short[a:b].tobytes() for a, b in zip(w.first, w.first[1:], strict=False)]})
