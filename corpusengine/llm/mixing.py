@@ -15,13 +15,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size`` and the place in the sampling order: ``bin`` (of size, eight to a doubling) and ``salt``."""
+    """``doc_id, source, size`` and ``salt``, by which documents of a source and size are dealt to cells."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select("doc_id", "source", size.alias("size"))
-    return rows.withColumns({
-        "bin": F.when(F.col("size") == 0, F.lit(-1)).otherwise(F.floor(8 * F.log2(F.col("size").cast("double")) + 1e-9)).cast("int"),
-        "salt": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2),
-    })
+    return rows.withColumn("salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -29,7 +26,8 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
 
     Sources take the weights in turn by code point, null last. Filling by weight until each source
     stops at ``most`` times its size is one level that all open sources reach: sources close in the order
-    of cap over weight, and the level follows from sums over those already closed.
+    of cap over weight, and the level follows from sums over those already closed: it is that of the first that stays
+    open, the greatest of all that lie below their caps.
     """
     everyone = Window.partitionBy()
     turn = Window.orderBy(F.col("source").isNull(), F.col("source"))
@@ -41,7 +39,7 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     before = closing.rowsBetween(Window.unboundedPreceding, -1)
     after = closing.rowsBetween(0, Window.unboundedFollowing)
     rows = rows.withColumn("level", (F.col("whole") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    rows = rows.withColumn("open_level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everyone))
+    rows = rows.withColumn("open_level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everyone))
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("open_level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
@@ -49,30 +47,30 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs(doc_id, source, text)``.
 
     Within a source every document expects target / source_size copies. Documents stand in a
-    fixed order (size bin, salt, size, id); the prefix sum of expected copies is the rate times the
+    fixed order (size, salt, id); the prefix sum of expected copies is the rate times the
     place, and a document is emitted once for each integer that the sum, begun at one offset drawn from
-    the source's name, crosses at it. As sizes ascend, the words taken stay near the target. Places come from counts
-    of small cells, so no task ever holds a whole source.
+    the source's name, crosses at it. As sizes ascend, the words taken are within twice the largest document of the target. Places
+    come from counts of cells (source, size, salt), and those from counts of sizes, so no task ever holds a source's documents.
 
     A null text or one without words has size 0; a source of such documents takes 0 words. Null is a source of its
     own. Rows that repeat a doc_id are documents of their own, ties broken arbitrarily among equals. No rows give
     no rows. Other columns are ignored.
     """
     rows = cut(sizes(docs))
-    cells = rows.groupBy("source", "bin", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    cells = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     cells = cut(cells)
-    bins = cells.groupBy("source", "bin").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    levels = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     by_source = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("bin_at", F.coalesce(F.sum("n").over(earlier("source").orderBy("bin")), F.lit(0))).select("source", "bin", "bin_at")
-    cells = cells.withColumn("cell_at", F.coalesce(F.sum("n").over(earlier("source", "bin").orderBy("salt")), F.lit(0))).drop("n", "words")
-    cells = _null_safe(cells, bins, "source", "bin").withColumn("at", F.col("bin_at") + F.col("cell_at")).drop("bin_at", "cell_at")
+    levels = levels.withColumn("level_at", F.coalesce(F.sum("n").over(earlier("source").orderBy("size")), F.lit(0))).select("source", "size", "level_at")
+    cells = cells.withColumn("cell_at", F.coalesce(F.sum("n").over(earlier("source", "size").orderBy("salt")), F.lit(0))).drop("n", "words")
+    cells = _null_safe(cells, levels, "source", "size").withColumn("at", F.col("level_at") + F.col("cell_at")).drop("level_at", "cell_at")
     cells = _null_safe(cells, by_source, "source")
     offset = F.conv(F.substring(F.md5(F.coalesce("source", F.lit("\u0000")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     cells = cells.withColumn("rate", rate).withColumn("offset", offset)
-    place = F.row_number().over(Window.partitionBy("source", "bin", "salt").orderBy("size", "doc_id"))
-    rows = _null_safe(rows.withColumn("place", place), cells, "source", "bin", "salt")
+    place = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id"))
+    rows = _null_safe(rows.withColumn("place", place), cells, "source", "size", "salt")
     place = (F.col("at") + F.col("place")).cast("double")
     copies = F.floor(F.col("rate") * place + F.col("offset")) - F.floor(F.col("rate") * (place - 1.0) + F.col("offset"))
     rows = rows.withColumn("copies", copies.cast("long"))
@@ -103,16 +101,15 @@ def oracle(documents: str = "documents") -> str:
     """DuckDB SQL for ``mixed`` less ``copies``, over a relation with doc_id, source and text."""
     return rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM {documents}),
-d2 AS (SELECT *, CASE WHEN size = 0 THEN -1 ELSE CAST(floor(8 * log2(CAST(size AS DOUBLE)) + 1e-9) AS INTEGER) END AS bin,
-  substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2) AS salt FROM d),
+d2 AS (SELECT *, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2) AS salt FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS DOUBLE) AS weight,
   2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT) AS whole FROM s),
 l AS (SELECT *, (whole - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT min(level) FROM l WHERE level * weight <= cap) * weight, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM l WHERE level * weight <= cap) * weight, cap)) AS target FROM l),
 p AS (SELECT d2.doc_id, d2.size, t.source_size, t.target,
-  CAST(row_number() OVER (PARTITION BY d2.source ORDER BY bin, salt, size, doc_id) AS DOUBLE) AS place,
+  CAST(row_number() OVER (PARTITION BY d2.source ORDER BY size, salt, doc_id) AS DOUBLE) AS place,
   CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
   CAST(('0x' || substr(md5(coalesce(d2.source, chr(0))), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS off
   FROM d2 JOIN t ON d2.source IS NOT DISTINCT FROM t.source)
