@@ -45,17 +45,20 @@ def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return (np.zeros(0, np.int64),) * 3
     doc = w.doc
+    opens = np.diff(doc, prepend=-1) != 0
     # pairs of words, as single words are too common to be told apart
-    h = mix(w.hash * np.uint64(3) + np.concatenate([[np.uint64(0)], w.hash[:-1]]))
-    padded = np.full(n + 2 * REACH, np.iinfo(np.uint64).max)
-    padded[REACH:-REACH] = h
-    low = padded[:n].copy()
+    h = mix(w.hash * np.uint64(3) + np.where(opens, np.uint64(0), np.concatenate([[np.uint64(0)], w.hash[:-1]])))
+    at = np.arange(n) + (doc + 1) * REACH  # texts stand apart, so that none is cut by what another says
+    padded = np.full(n + (len(w.first) + 1) * REACH, np.iinfo(np.uint64).max)
+    padded[at] = h
+    low = padded[: len(padded) - 2 * REACH].copy()
     for j in range(1, 2 * REACH + 1):
         if j != REACH:
-            np.minimum(low, padded[j : j + n], out=low)
+            np.minimum(low, padded[j : j + len(low)], out=low)
+    low = low[at - REACH]
     lines = np.concatenate([[0], np.cumsum(w.buf == 10)])
     line = lines[w.start]
-    is_cut = (h < low) | (np.diff(line, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)
+    is_cut = (h < low) | (np.diff(line, prepend=-1) != 0) | opens
     first = np.flatnonzero(is_cut)
     return doc[first], first, np.diff(first, append=n)
 
@@ -217,9 +220,13 @@ def repeated(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     near = cands.select("node", "dk", "start", "n").distinct().join(rows.select("dk", F.col("id").alias("doc")).distinct(), "dk").select("node", "dk", "doc", "start", "n")
     every = cut(places.unionByName(near.join(roots, near["node"] == roots["node"], "left_semi").unionByName(near.join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_semi").select(*near.columns))).distinct())
     named = cut(every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    keepers = named.groupBy("root").agg(F.min(F.struct("doc", "dk", "start")).alias("k"), F.min("dk").alias("lo"), F.max("dk").alias("hi"))
-    keepers = cut(keepers.where("lo <> hi").select("root", F.col("k.dk").alias("kdk"), F.col("k.doc").alias("kdoc"), F.col("k.start").alias("kstart")))
-    copies = named.join(keepers, "root").where("dk <> kdk").select("dk", "doc", "start", "n", "kdk", "kdoc", "kstart")
+    # the least document that has just the same words keeps them; of such keepers in a component the least
+    least = F.min(F.struct("doc", "dk", "start"))
+    exact = cut(named.groupBy("node").agg(least.alias("e")))
+    similar = cut(named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(least.alias("s")))
+    copies = named.join(exact, "node").join(similar, "root", "left")
+    copies = copies.withColumn("k", F.when(F.col("dk") != F.col("e.dk"), F.col("e")).otherwise(F.coalesce("s", "e")))
+    copies = copies.where("dk <> k.dk").select("dk", "doc", "start", "n", F.col("k.dk").alias("kdk"), F.col("k.doc").alias("kdoc"), F.col("k.start").alias("kstart"))
     runs = copies.repartition("dk").sortWithinPartitions("dk", "start", "kdk", "kstart")
     runs = cut(runs.mapInPandas(_runs, "dk long, doc long, kdk long, kdoc long, start int, kstart int, end int, kend int"))
 
