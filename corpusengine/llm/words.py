@@ -19,8 +19,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
 
-#: Bytes of text that are held as one buffer; a longer text is a buffer of its own.
-BATCH_BYTES = 2_000_000
+#: Bytes of text that are held as one buffer; a longer text is a buffer of its own. Two workers share an executor with its JVM.
+BATCH_BYTES = 250_000
 
 
 @dataclass
