@@ -33,6 +33,8 @@ BANDS = 3
 PASSAGE, GAP, CONTEXT = 50, 16, 64
 #: Paragraphs of a group of candidates that meet in one task with as many others; buckets of packed rows for each shuffle partition.
 TILE, BUCKETS = 2048, 2
+#: Paragraphs that a task holds before it packs them; about 4 MB of text.
+HELD = 50_000
 _NO_ID = np.iinfo(np.int64).max
 _SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 _PLACE = np.dtype([("node", "<u8"), ("dk", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
@@ -88,28 +90,40 @@ def _nodes(w: Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix((sums[first + n] - sums[first]) * power("inverse", len(w.hash))[first])
 
 
+def _described(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the paragraphs of some texts that are compared, and their minima."""
+    w = tokenise(frame["text"])
+    doc, first, n = paragraphs(w)
+    long = n >= LEAST
+    doc, first, n = doc[long], first[long], n[long]
+    places = np.zeros(len(doc), _PLACE)
+    dk, ids = frame["dk"].to_numpy(np.int64)[doc], frame["id"].to_numpy(np.int64)[doc]
+    for name, value in (("node", _nodes(w, first, n)), ("dk", dk), ("doc", ids), ("start", first - w.first[doc]), ("n", n)):
+        places[name] = value
+    return places, _minima(w, first, n) if len(doc) else np.zeros((0, BANDS), np.uint64)
+
+
 def _mapped(buckets: int):  # noqa: ANN202
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        places, minima = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        yield _pack("place", places, "node", buckets)
+        _, one = np.unique(places["node"], return_index=True)
+        bands = np.zeros((len(one), BANDS), _BAND)
+        for k in range(BANDS):
+            bands["key"][:, k] = mix(minima[one, k] + _SALTS[k])
+        for name in ("node", "dk", "start", "n"):
+            bands[name] = places[name][one][:, None]
+        yield _pack("band", bands.ravel(), "key", buckets)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames, size=3_000_000):
-            w = tokenise(frame["text"])
-            doc, first, n = paragraphs(w)
-            long = n >= LEAST
-            doc, first, n = doc[long], first[long], n[long]
-            if not len(doc):
-                continue
-            node, minima = _nodes(w, first, n), _minima(w, first, n)
-            dk, ids, start = frame["dk"].to_numpy(np.int64)[doc], frame["id"].to_numpy(np.int64)[doc], (first - w.first[doc]).astype(np.int32)
-            places = np.zeros(len(doc), _PLACE)
-            for name, value in (("node", node), ("dk", dk), ("doc", ids), ("start", start), ("n", n)):
-                places[name] = value
-            yield _pack("place", places, "node", buckets)
-            _, one = np.unique(node, return_index=True)
-            bands = np.zeros((len(one), BANDS), _BAND)
-            for k in range(BANDS):
-                bands["key"][:, k] = mix(minima[one, k] + _SALTS[k])
-            for name, value in (("node", node), ("dk", dk), ("start", start), ("n", n)):
-                bands[name] = value[one][:, None]
-            yield _pack("band", bands.ravel(), "key", buckets)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for frame in batches(frames):
+            held.append(_described(frame))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield from packed(held)
+                held = []
+        if any(len(x[0]) for x in held):
+            yield from packed(held)
 
     return run
 
@@ -190,7 +204,7 @@ def _widened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches(frames, size=3_000_000):
+    for frame in batches(frames):
         w = tokenise(frame["text"])
         short = (w.hash >> np.uint64(32)).astype(np.uint32)
         yield pd.DataFrame({"dk": frame["dk"].to_numpy(), "words": [short[a:b].tobytes() for a, b in zip(w.first, w.first[1:], strict=False)]})
