@@ -55,16 +55,26 @@ def held_out(doc_id: int | None) -> bool:
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a block: its distinct word hashes, the places of its words among them by document, and its documents."""
-    for frame in batches(frames, size=BLOCK_BYTES):
+
+    def block(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        vocab, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        docs = np.concatenate([d for _, d in held])
+        return pd.DataFrame({"block": [uuid.uuid4().hex], "vocab": [vocab.tobytes()], "places": [pack(at.astype(np.uint32))], "docs": [pack(docs)]})
+
+    held, size = [], 0
+    for frame in batches(frames):
         w = tokenise(frame["text"])
-        n = np.diff(w.first)
-        h = np.insert(w.hash, w.first[1:], _END)  # an end after the words of each document
-        vocab, at = np.unique(h, return_inverse=True)
         docs = np.zeros(len(frame), _DOCS)
         ids = [None if pd.isna(x) else int(x) for x in frame["doc_id"]]
         docs["id"], docs["null"] = [x or 0 for x in ids], [x is None for x in ids]
-        docs["held"], docs["tokens"] = [held_out(x) for x in ids], n + 1
-        yield pd.DataFrame({"block": [uuid.uuid4().hex], "vocab": [vocab.tobytes()], "places": [pack(at.astype(np.uint32))], "docs": [pack(docs)]})
+        docs["held"], docs["tokens"] = [held_out(x) for x in ids], np.diff(w.first) + 1
+        held.append((np.insert(w.hash, w.first[1:], _END), docs))  # an end after the words of each document
+        size += len(w.buf)
+        if size >= BLOCK_BYTES:
+            yield block(held)
+            held, size = [], 0
+    if held:
+        yield block(held)
 
 
 def _asked(buckets: int):  # noqa: ANN202
