@@ -228,37 +228,37 @@ def _rng(*key: int) -> np.random.Generator:
     return np.random.default_rng([SEED, *key])
 
 
-def _parent_shares(folder: str | None, bucket: int, r: Restaurants, buckets: int, scalars: tuple[float, float, int]) -> np.ndarray:
+def _parent_shares(folder: str | None, bucket: int, r: Restaurants, parents: int, scalars: tuple[float, float, int]) -> np.ndarray:
     """The parent's probability of each of the bucket's words, from the file that the last round published for this bucket."""
     tables, customers, words = scalars
     fs, path = filesystem(f"{folder}/{bucket}")
     with fs.open_input_stream(path, compression=None) as f:
         answers = dict(pickle.loads(f.read()))
     share = np.zeros(len(r.words))
-    of = (r.words % np.uint64(buckets)).astype(np.int64)
+    of = (r.words % np.uint64(parents)).astype(np.int64)
     for b in np.unique(of).tolist():
         share[of == b] = unpack(answers[b], "<f4")
     return (share + (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (words + 1)) / (PARENT_STRENGTH + customers)
 
 
-def _upward(buckets: int, turn: int, folder: str | None, scalars: tuple[float, float, int]):  # noqa: ANN202
+def _upward(parents: int, turn: int, folder: str | None, scalars: tuple[float, float, int]):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Tables of each word in a bucket's restaurants, to the parent's buckets; before the first round each dish has one table."""
         for row in (row for frame in frames for row in frame.itertuples(index=False)):
             bucket, r = int(row.bucket), Restaurants(row)
             if folder is not None:
-                parent, rng = _parent_shares(folder, bucket, r, buckets, scalars), _rng(turn, bucket)
+                parent, rng = _parent_shares(folder, bucket, r, parents, scalars), _rng(turn, bucket)
                 for _ in range(BURN):
                     r.reseat(parent, rng)
             t = np.bincount(r.word, r.t, len(r.words)).astype(np.uint64)
-            of = (r.words % np.uint64(buckets)).astype(np.int64)
+            of = (r.words % np.uint64(parents)).astype(np.int64)
             parts = [(b, np.flatnonzero(of == b)) for b in np.unique(of).tolist()]
             yield pd.DataFrame([(b, bucket, pack(r.words[p]), pack(t[p])) for b, p in parts], columns=["bucket", "asked_by", "words", "tables"])
 
     return run
 
 
-def _parent(turn: int, buckets: int, known_words: int):  # noqa: ANN202
+def _parent(turn: int, parents: int, known_words: int):  # noqa: ANN202
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Seat the parent's customers of a bucket of words; each context bucket gets back what they hold beyond discounts."""
         bucket, rng = int(pdf["bucket"].iat[0]), _rng(1000 + turn, int(pdf["bucket"].iat[0]))
@@ -268,7 +268,7 @@ def _parent(turn: int, buckets: int, known_words: int):  # noqa: ANN202
         np.add.at(c, at, np.concatenate([unpack(x, "<u8") for x in pdf["tables"]]).astype(np.int64))
         t, mean = np.minimum(c, 1), np.zeros(len(words))
         for k in range(BURN + SAMPLES):  # buckets are alike, so that the tables of all are those of this one times their number
-            t = seated(c, (PARENT_STRENGTH + PARENT_DISCOUNT * np.maximum(t.sum() * buckets - t, 0)) / (known_words + 1), PARENT_DISCOUNT, rng)
+            t = seated(c, (PARENT_STRENGTH + PARENT_DISCOUNT * np.maximum(t.sum() * parents - t, 0)) / (known_words + 1), PARENT_DISCOUNT, rng)
             mean += t / SAMPLES if k >= BURN else 0
         share = (c - PARENT_DISCOUNT * mean).astype(np.float32)
         cuts = np.cumsum([len(x) for x in sent])[:-1]
@@ -291,12 +291,12 @@ def _published(folder: str, key: str):  # noqa: ANN202
     return run
 
 
-def _scored(buckets: int, folder: str, scalars: tuple[float, float, int]):  # noqa: ANN202
+def _scored(parents: int, folder: str, scalars: tuple[float, float, int]):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums of log10 probabilities of a bucket's pairs, by block and document."""
         for row in (row for frame in frames for row in frame.itertuples(index=False)):
             bucket, r = int(row.bucket), Restaurants(row)
-            parent, rng = _parent_shares(folder, bucket, r, buckets, scalars), _rng(2000, bucket)
+            parent, rng = _parent_shares(folder, bucket, r, parents, scalars), _rng(2000, bucket)
             mean = np.zeros(len(r.c))
             for k in range(BURN + SAMPLES):
                 r.reseat(parent, rng)
@@ -331,7 +331,9 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     their own. Without training rows every word is unknown; no rows give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # words go to a quarter as many buckets as contexts do, as each pair of them exchanges a row in every round
+    parents = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    buckets = 4 * parents
     home = new_folder(spark, "hpylm")
     blocks = stored(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_blocks, "block string, vocab binary, places binary, docs binary"), "blocks")
     asked = blocks.mapInPandas(_asked(buckets), "bucket int, block string, hashes binary, counts binary")
@@ -343,12 +345,12 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     opened = stored(pairs.groupBy("bucket").applyInPandas(_opened, "bucket int, u binary, w binary, c binary, blocks binary"), "restaurants")
     restaurants, published, scalars = opened.where("bucket >= 0"), None, (0.0, 0.0, known_words)
     for turn in range(rounds):
-        up = restaurants.drop("blocks").mapInPandas(_upward(buckets, turn, published, scalars), "bucket int, asked_by int, words binary, tables binary")
-        shares = stored(up.groupBy("bucket").applyInPandas(_parent(turn, buckets, known_words), "to int, bucket int, share binary, tables double, customers double"), "shares")
+        up = restaurants.drop("blocks").mapInPandas(_upward(parents, turn, published, scalars), "bucket int, asked_by int, words binary, tables binary")
+        shares = stored(up.groupBy("bucket").applyInPandas(_parent(turn, parents, known_words), "to int, bucket int, share binary, tables double, customers double"), "shares")
         tables, customers = (float(x or 0) for x in shares.agg(F.sum("tables"), F.sum("customers")).first())
         published, scalars = f"{home}/round-{turn}", (tables, customers, known_words)
         shares.where("to >= 0").select("to", "bucket", "share").groupBy("to").applyInPandas(_published(published, "to"), "name string").write.format("noop").mode("overwrite").save()
-    sums = restaurants.mapInPandas(_scored(buckets, published, scalars), "block string, doc binary, sums binary")
+    sums = restaurants.mapInPandas(_scored(parents, published, scalars), "block string, doc binary, sums binary")
     of = opened.where("bucket < 0").select("blocks").mapInPandas(_documents, "block string, docs binary")
     every = sums.withColumn("docs", F.lit(None).cast("binary")).unionByName(of, allowMissingColumns=True)
     out = every.groupBy("block").applyInPandas(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
