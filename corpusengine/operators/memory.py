@@ -80,6 +80,18 @@ def replayed(messages: DataFrame, agents: DataFrame) -> DataFrame:
     return picked.unionByName(rest.withColumn("pos", place.cast("int")))
 
 
+def after_cursor(messages: DataFrame, by: str, seq: str, cursor: int) -> DataFrame:
+    """The messages of each group beyond its first ``cursor``."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(seq))
+    return messages.withColumn("_place", place).where(F.col("_place") > cursor).drop("_place")
+
+
+def with_previous(messages: DataFrame, by: str, seq: str, names: dict[str, str]) -> DataFrame:
+    """``messages`` with what each named column held one message earlier in the group, under its new name."""
+    order = Window.partitionBy(by).orderBy(seq)
+    return messages.withColumns({new: F.lag(old).over(order) for old, new in names.items()})
+
+
 def archived(archives: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """``archive_id, key, ...``: the passages that an archive lists, once for each time."""
     return archives.select("archive_id", F.explode("passage_ids").alias(key)).join(rows, key)

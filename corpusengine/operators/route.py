@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import clipped, entities, is_followup, merged_entities
+
 ALPHA, TOP_K = 0.6, 5
 SEARCH, POINTS, TRIALS = 0.8, 100, 500
 
@@ -38,6 +40,21 @@ def near_misses(scores: DataFrame, query: str, k: int = 3, route: str = "route")
     return scores.withColumn("rank", place).where(F.col("rank") <= k).select(query, route, "score", "rank")
 
 
+def cascade(turns: DataFrame, choices: DataFrame, query: str, general: str = "general", route: str = "route") -> DataFrame:
+    """``query, intent, source, confidence, entities`` of every row of ``turns(query, text, prev_intent, prev_text)``.
+
+    A follow-up keeps the previous intent, and the previous text's entities where its own have none; else the chosen route counts
+    unless it is the general one; what is left is marked ``llm``, to be decided elsewhere, as general with no confidence.
+    """
+    picks = choices.where(F.col(route) != general).select(query, F.col(route).alias("_route"), "score")
+    rows = turns.join(picks, query, "left").withColumn("_follows", is_followup("text", "prev_intent"))
+    source = F.when(F.col("_follows"), "followup").when(F.col("_route").isNotNull(), "router").otherwise("llm")
+    intent = F.when(F.col("_follows"), F.col("prev_intent")).otherwise(F.coalesce("_route", F.lit(general)))
+    confidence = F.when(F.col("_follows"), F.lit(1.0)).when(F.col("_route").isNotNull(), clipped("score")).otherwise(F.lit(0.0))
+    found = F.when(F.col("_follows"), merged_entities(entities("prev_text"), entities("text"))).otherwise(entities("text"))
+    return rows.select(query, intent.alias("intent"), source.alias("source"), confidence.alias("confidence"), found.alias("entities"))
+
+
 def accuracy(predicted: DataFrame, truth: str = "truth", prediction: str = "route") -> DataFrame:
     """``n, correct, accuracy`` in one row; no prediction is a wrong one."""
     right = F.coalesce(F.col(truth) == F.col(prediction), F.lit(False)).cast("long")

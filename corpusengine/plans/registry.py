@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import memory, retrieval, rules
+from . import edits, memory, retrieval, rules
 
-QUERIES = {**retrieval.QUERIES, **rules.QUERIES, **memory.QUERIES}
-SQL = {**retrieval.SQL, **rules.SQL, **memory.SQL}
+QUERIES = {**retrieval.QUERIES, **rules.QUERIES, **memory.QUERIES, **edits.QUERIES}
+SQL = {**retrieval.SQL, **rules.SQL, **memory.SQL, **edits.SQL}
