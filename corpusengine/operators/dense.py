@@ -77,6 +77,17 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key:
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def scores(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, query_vector: str, vector: str) -> DataFrame:
+    """``query_key, key, score``: the cosine of every query with every row, for sums that need all of them; queries are broadcast in blocks."""
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == block).select(query_key, query_vector)
+        part = corpus.select(key, vector).crossJoin(F.broadcast(some)).select(query_key, key, cosine(query_vector, vector).alias("score"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def fake_vector(dim: int = 64) -> Callable[[Column], Column]:
     """An encoder for tests: unit vectors from a generator seeded by the text's md5."""
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks, rules
 from ..functions import text as t
-from ..operators import audit, memory, route, sparse
+from ..operators import audit, dense, memory, route, sparse
 from .memory import _at
-from .retrieval import _HITS, EVERY, _hits, _nearest, _queries, _thresholds, table
+from .retrieval import _COS, _HITS, _STATS, EVERY, _hits, _queries, _thresholds, table
 
 ROOTS = ["/vault/papers", "/vault"]
 #: A list of lines made from a turn of a conversation.
@@ -76,13 +76,15 @@ def message_cursor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_index_top5(spark: SparkSession, sf: str) -> DataFrame:
-    """Cosine and weighted sparse product of the vector and the document of one number, for benchmark items of one number."""
+    """Cosine and weighted sparse product of the vectors and documents of one number, for every twentieth benchmark item."""
     items = _queries(spark, sf).where(f"query_id % {EVERY} = 0")
     docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    near = _nearest(spark, sf, 30).select("query_id", F.col("vec_id").alias("doc_id"), "score").join(items.select("query_id"), "query_id", "left_semi")
+    asked = vectors.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q")).join(items.select("query_id"), "query_id", "left_semi")
+    near = dense.scores(asked, vectors, "query_id", "doc_id", "q", "embedding")
     weights = sparse.query_weights(items, docs, "query_id", "doc_id")
     own = sparse.document_weights(docs, "doc_id").join(vectors.select("doc_id"), "doc_id", "left_semi")
-    rows = route.hybrid_scores(near, sparse.sparse_dot(weights, own, "query_id", "doc_id"), "query_id", "doc_id")
+    hits = sparse.sparse_dot(weights, own, "query_id", "doc_id").join(asked.select("query_id"), "query_id", "left_semi")
+    rows = route.hybrid_scores(near, hits, "query_id", "doc_id")
     return sparse.ranked(rows, ["query_id"], "score", "doc_id", 5).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -136,6 +138,10 @@ SQL = {
     "clarified_queries": "SELECT conv_id, turn, md5(text || '（用户澄清：' || role || '）') AS digest FROM conversations",
     "call_status": "SELECT event_id, ['success', 'policy_blocked', 'security_blocked', 'user_denied', 'error'][event_id % 5 + 1] AS status FROM events",
     "message_cursor": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k > 2",
+    "hybrid_index_top5": f"""WITH {_STATS}, sp AS (SELECT query_id, doc_id, sum(qw.weight * dw.weight) AS s FROM qw JOIN dw USING (token) GROUP BY ALL),
+c AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_COS.format(a="q.embedding", b="v.embedding")} AS c FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % {EVERY} = 0)),
+h AS (SELECT query_id, doc_id, c + (1 - {route.ALPHA}::DOUBLE) * (1 - {route.ALPHA}::DOUBLE) * coalesce(s, 0) AS score FROM c LEFT JOIN sp USING (query_id, doc_id))
+SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h) WHERE rank <= 5""",
     "intent_cascade": f"""WITH {_HITS}, t AS (SELECT vec_id AS query_id, vec_id % 60 = 0 AS f, vec_id % 120 = 0 AS kept FROM embeddings WHERE vec_id % {EVERY} = 0)
 SELECT query_id, CASE WHEN kept THEN 'r3' ELSE coalesce(route, 'r0') END AS intent, CASE WHEN kept THEN 'followup' WHEN coalesce(route, 'r0') <> 'r0' THEN 'router' ELSE 'llm' END AS source,
   CASE WHEN kept THEN 1.0 WHEN coalesce(route, 'r0') <> 'r0' THEN round(greatest(0.0, least(1.0, score)), 6) ELSE 0.0 END AS confidence, CASE WHEN f THEN '3' END AS figure,
