@@ -46,6 +46,28 @@ def test_route_choice(spark):
     assert collected(route.chosen(route.route_scores(hits, "q"), limits, "q", default=0.7), "q", "route") == [(0, "r2")]
 
 
+def test_cascade(spark):
+    turns = spark.createDataFrame([(1, "这篇 Figure 3 呢？", "ask", "10.1/x Figure 1"), (2, "那 Figure 3 呢？", "ask", "see 10.1000/x Figure 1"), (3, "x", None, None), (4, None, "ask", None)], "q int, text string, prev_intent string, prev_text string")
+    picks = spark.createDataFrame([(1, "find", 1.5), (3, "general", 0.9)], "q int, route string, score double")
+    rows = {r["q"]: (r["intent"], r["source"], r["confidence"], r["entities"]) for r in route.cascade(turns, picks, "q").collect()}
+    assert rows == {1: ("find", "router", 1.0, {"figure": "3"}), 2: ("ask", "followup", 1.0, {"doi": "10.1000/x", "figure": "3"}), 3: ("general", "llm", 0.0, {}), 4: ("general", "llm", 0.0, {})}
+
+
+def test_cursor_and_previous(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "c"), (2, 1, "d")], "k int, seq int, text string")
+    assert collected(memory.after_cursor(rows, "k", "seq", 1), "k", "seq") == [(1, 2), (1, 3)]
+    got = {(r["k"], r["seq"]): r["before"] for r in memory.with_previous(rows, "k", "seq", {"text": "before"}).collect()}
+    assert got == {(1, 1): None, (1, 2): "a", (1, 3): None, (2, 1): None}
+
+
+def test_scores_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "k int, v array<double>")
+    asked = rows.select(F.col("k").alias("q"), F.col("v").alias("w"))
+    whole = collected(dense.scores(asked, rows, "q", "k", "w", "v"), "q", "k", "score")
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 2)
+    assert collected(dense.scores(asked, rows, "q", "k", "w", "v"), "q", "k", "score") == whole and len(whole) == 36
+
+
 def test_sections_and_references(spark):
     docs = spark.createDataFrame([(1, "pre\n# A\nx\n\n## References\ny"), (2, ""), (3, None)], "path int, text string")
     sections = chunk.markdown_sections(docs, "path")
