@@ -1,11 +1,14 @@
-"""Substring dedup: MinHash banding over paragraphs, exact Jaccard, components, removal of all but one copy.
+"""Substring dedup: exact windows of 51 words, MinHash banding over paragraphs, exact Jaccard, components, removal of all but one copy.
 
-A paragraph is what lies between two cuts. Lines are cut, and within lines every word whose hash is the least of its
-neighbourhood, so that a passage is cut alike wherever it stands and one of over 50 words holds whole paragraphs even in the
-middle of a line. Equal paragraphs are one node. Nodes that share the least hash of their five-word shingles under one of several
-permutations are compared by exact Jaccard, and links make components. In a component the paragraph of the
-least document stays. Copies that follow each other are joined to passages, widened word by word as long as both texts agree, and
-removed if they are long enough.
+Exact copies are found by windows of 51 words, wherever they stand and whatever the lines. Every window names the rightmost least of its
+26-word grams, so equal windows name equal grams. Windows whose gram several documents name are hashed whole, and the least
+document that has a window keeps it; no stretch of over 50 words is missed.
+
+Near copies are found by paragraphs. A paragraph is a line, or a stretch of lines of fewer than LEAST words each. Equal paragraphs are
+one node. Nodes that share the least hash of their five-word shingles under one of several permutations are compared by exact
+Jaccard, and links make components. In a component the paragraph of the least document stays. Fragments between words whose hash is the least of
+their neighbourhood find exact copies with small gaps in the middle of lines. Copies that follow each other are joined to
+passages, widened word by word as long as both texts agree, and removed if they are long enough.
 
 Paragraphs travel as packed arrays, a row for each bucket of hashes and batch of texts, and are sorted in numpy.
 """
@@ -13,11 +16,12 @@ Paragraphs travel as packed arrays, a row for each bucket of hashes and batch of
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -35,14 +39,35 @@ PASSAGE, GAP, CONTEXT = 50, 16, 64
 TILE, BUCKETS = 2048, 2
 #: Paragraphs that a task holds before it packs them; about 4 MB of text.
 HELD = 50_000
+#: Words of the grams that windows of PASSAGE + 1 words are sampled by; windows that a task holds before it packs them.
+GRAM, WINDOWS = 26, 200_000
 _NO_ID = np.iinfo(np.int64).max
 _SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-_PLACE = np.dtype([("node", "<u8"), ("dk", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
+_PLACE = np.dtype([("node", "<u8"), ("dk", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("line", "?")])
 _BAND = np.dtype([("key", "<u8"), ("node", "<u8"), ("dk", "<i8"), ("start", "<i4"), ("n", "<i4")])
+_ANCHOR = np.dtype([("key", "<u8"), ("dk", "<i8"), ("start", "<i4"), ("n", "<i4")])
+_WINDOW = np.dtype([("key", "<u8"), ("dk", "<i8"), ("doc", "<i8"), ("start", "<i4")])
+
+
+def _lines(w: Words) -> np.ndarray:
+    """The line that each word stands in."""
+    return np.concatenate([[0], np.cumsum(w.buf == 10)])[w.start]
 
 
 def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word (in all of ``w``) and number of words of every paragraph."""
+    """Text, first word (in all of ``w``) and number of words of every paragraph: a line, or lines of fewer than LEAST words that follow each other."""
+    n = len(w.hash)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    doc, first = w.doc, np.flatnonzero(np.diff(_lines(w), prepend=-1))
+    short = np.diff(first, append=n) < LEAST
+    joined = np.concatenate([[False], short[1:] & short[:-1] & (doc[first[1:]] == doc[first[:-1]])])
+    first = first[~joined]
+    return doc[first], first, np.diff(first, append=n)
+
+
+def fragments(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word (in all of ``w``) and number of words of every stretch between cuts by lines and by content."""
     n = len(w.hash)
     if not n:
         return (np.zeros(0, np.int64),) * 3
@@ -58,9 +83,7 @@ def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if j != REACH:
             np.minimum(low, padded[j : j + len(low)], out=low)
     low = low[at - REACH]
-    lines = np.concatenate([[0], np.cumsum(w.buf == 10)])
-    line = lines[w.start]
-    is_cut = (h < low) | (np.diff(line, prepend=-1) != 0) | opens
+    is_cut = (h < low) | (np.diff(_lines(w), prepend=-1) != 0) | opens
     first = np.flatnonzero(is_cut)
     return doc[first], first, np.diff(first, append=n)
 
@@ -90,57 +113,208 @@ def _nodes(w: Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix((sums[first + n] - sums[first]) * power("inverse", len(w.hash))[first])
 
 
-def _described(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the paragraphs of some texts that are compared, and their minima."""
+def sampled(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first window, number of windows and gram of every run of windows of PASSAGE + 1 words that name the same gram."""
+    low = shingles(w.hash, GRAM)
+    at, width, size = np.arange(len(low)), PASSAGE + 2 - GRAM, 1
+    if len(w.hash) <= PASSAGE:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    while size < width:  # the rightmost least of ever more grams
+        step = min(size, width - size)
+        right = low[step:] <= low[:-step]
+        low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
+        size += step
+    doc = w.doc
+    start = np.flatnonzero(doc[: len(low)] == doc[PASSAGE:])
+    first = np.flatnonzero(np.diff(at[start], prepend=-1))
+    s = start[first]
+    return doc[s], s - w.first[doc[s]], np.diff(first, append=len(start)), low[s]
+
+
+def _described(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the paragraphs and fragments of some texts that are compared, the minima of the paragraphs, which come first, and the sampled grams."""
     w = tokenise(frame["text"])
-    doc, first, n = paragraphs(w)
-    long = n >= LEAST
-    doc, first, n = doc[long], first[long], n[long]
-    places = np.zeros(len(doc), _PLACE)
-    dk, ids = frame["dk"].to_numpy(np.int64)[doc], frame["id"].to_numpy(np.int64)[doc]
-    for name, value in (("node", _nodes(w, first, n)), ("dk", dk), ("doc", ids), ("start", first - w.first[doc]), ("n", n)):
-        places[name] = value
-    return places, _minima(w, first, n) if len(doc) else np.zeros((0, BANDS), np.uint64)
+    dk, ids = frame["dk"].to_numpy(np.int64), frame["id"].to_numpy(np.int64)
+    units, minima = [], np.zeros((0, BANDS), np.uint64)
+    for line, (doc, first, n) in ((True, paragraphs(w)), (False, fragments(w))):
+        long = n >= LEAST
+        doc, first, n = doc[long], first[long], n[long]
+        places = np.zeros(len(doc), _PLACE)
+        for name, value in (("node", _nodes(w, first, n)), ("dk", dk[doc]), ("doc", ids[doc]), ("start", first - w.first[doc]), ("n", n), ("line", line)):
+            places[name] = value
+        units.append(places)
+        if line and len(doc):
+            minima = _minima(w, first, n)
+    doc, start, n, key = sampled(w)
+    anchors = np.zeros(len(doc), _ANCHOR)
+    for name, value in (("key", key), ("dk", dk[doc]), ("start", start), ("n", n)):
+        anchors[name] = value
+    return np.concatenate(units), minima, anchors
+
+
+def _grouped(rows: np.ndarray, by: str, *then: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in the order of the columns, and the number of each one's group by the first."""
+    rows = rows[np.lexsort([rows[c] for c in (*then[::-1], by)])]
+    return rows, np.cumsum(np.diff(rows[by], prepend=~rows[by][:1]) != 0) - 1
+
+
+def _several(rows: np.ndarray, group: np.ndarray, other: str) -> np.ndarray:
+    """For rows in the order of group and ``other``, whether their group has more than one of these."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    return (rows[other][starts] != rows[other][np.append(starts[1:], len(rows)) - 1])[group]
 
 
 def _mapped(buckets: int):  # noqa: ANN202
-    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        places, minima = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        places, minima, anchors = (np.concatenate([x[i] for x in held]) for i in range(3))
         yield _pack("place", places, "node", buckets)
-        _, one = np.unique(places["node"], return_index=True)
+        lines = np.concatenate([x[0][: len(x[1])] for x in held])
+        _, one = np.unique(lines["node"], return_index=True)
         bands = np.zeros((len(one), BANDS), _BAND)
         for k in range(BANDS):
             bands["key"][:, k] = mix(minima[one, k] + _SALTS[k])
         for name in ("node", "dk", "start", "n"):
-            bands[name] = places[name][one][:, None]
+            bands[name] = lines[name][one][:, None]
         yield _pack("band", bands.ravel(), "key", buckets)
+        # a gram that several documents name here goes on once, so a common one is no more than a row of each pack
+        anchors, group = _grouped(anchors, "key", "dk")
+        if len(anchors):
+            several = _several(anchors, group, "dk")
+            yield _pack("anchor", anchors[~several | (np.diff(group, prepend=-1) != 0)], "key", buckets)
+            hot = anchors[several]
+            if len(hot):
+                yield pd.DataFrame({"kind": "hot", "bucket": [int(hot["key"][0] % np.uint64(buckets))], "data": [hot.tobytes()]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for frame in batches(frames):
             held.append(_described(frame))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield from packed(held)
                 held = []
-        if any(len(x[0]) for x in held):
+        if any(len(x[0]) or len(x[2]) for x in held):
             yield from packed(held)
 
     return run
 
 
 def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket the places whose node is in several documents, or the rows whose key has several nodes."""
-    place = pdf["kind"].iat[0] == "place"
-    rows = np.frombuffer(b"".join(pdf["data"]), _PLACE if place else _BAND)
-    by, other = ("node", "dk") if place else ("key", "node")
-    rows = rows[np.lexsort((rows[other], rows[by]))]
-    group = np.cumsum(np.diff(rows[by], prepend=~rows[by][:1]) != 0) - 1
-    starts = np.flatnonzero(np.diff(group, prepend=-1))
-    several = rows[other][starts] != rows[other][np.append(starts[1:], len(rows)) - 1]
-    rows = rows[several[group]]
-    key = np.zeros(len(rows), np.int64) if place else rows["key"].view(np.int64)
-    doc = rows["doc"] if place else np.zeros(len(rows), np.int64)
-    return pd.DataFrame({"kind": pdf["kind"].iat[0], "key": key, "node": rows["node"].astype(np.uint64).view(np.int64), "dk": rows["dk"], "doc": doc, "start": rows["start"], "n": rows["n"]})
+    """Of a bucket the places or sampled grams whose node or gram is in several documents, or the rows whose key has several nodes."""
+    kind = pdf["kind"].iat[0]
+    rows = np.frombuffer(b"".join(pdf["data"]), {"place": _PLACE, "band": _BAND}.get(kind, _ANCHOR))
+    if kind != "hot":
+        by, other = ("node", "dk") if kind == "place" else ("key", "node" if kind == "band" else "dk")
+        rows, group = _grouped(rows, by, other)
+        rows = rows[_several(rows, group, other)]
+    none = np.zeros(len(rows), np.int64)
+    key = rows["key"].view(np.int64) if kind == "band" else none
+    node = none if kind in ("anchor", "hot") else rows["node"].astype(np.uint64).view(np.int64)
+    doc, line = (rows["doc"], rows["line"]) if kind == "place" else (none, none == 0)
+    return pd.DataFrame({"kind": kind, "key": key, "node": node, "dk": rows["dk"], "doc": doc, "start": rows["start"], "n": rows["n"], "line": line})
+
+
+def _thin(rows: np.ndarray) -> bytes:
+    """Windows column by column and their starts as differences, which compress to little more than the keys."""
+    return b"".join([*(rows[c].tobytes() for c in ("key", "dk", "doc")), np.diff(rows["start"], prepend=np.int32(0)).tobytes()])
+
+
+def _thick(parts: list[bytes]) -> np.ndarray:
+    out = [np.zeros(len(data) // _WINDOW.itemsize, _WINDOW) for data in parts]
+    for data, rows in zip(parts, out, strict=True):
+        n = len(rows)
+        for i, c in enumerate(("key", "dk", "doc")):
+            rows[c] = np.frombuffer(data, _WINDOW[c], n, 8 * n * i)
+        rows["start"] = np.cumsum(np.frombuffer(data, "<i4", n, 24 * n))
+    return np.concatenate([np.zeros(0, _WINDOW), *out])
+
+
+def _split(rows: np.ndarray, by: np.ndarray) -> list[tuple[int, bytes]]:
+    order = np.lexsort((rows["start"], rows["dk"], by))
+    cuts = np.flatnonzero(np.diff(by[order], prepend=-1))
+    return [(int(by[part[0]]), _thin(rows[part])) for part in np.split(order, cuts[1:]) if len(part)]
+
+
+def _windows(buckets: int):  # noqa: ANN202
+    """Packs of hashed windows: all of them as ``place``, and the least of each hash as ``least`` by bucket."""
+
+    def described(frame: pd.DataFrame) -> np.ndarray:
+        w = tokenise(frame["text"])
+        spans = np.concatenate([np.asarray(x, np.int64) for x in frame["spans"]])
+        doc = np.repeat(np.arange(len(frame)), frame["spans"].str.len())
+        first, n = (spans >> 32) + w.first[doc], spans & 0xFFFFFFFF
+        at = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
+        out, doc = np.zeros(len(at), _WINDOW), w.doc[at]
+        columns = ("key", shingles(w.hash, PASSAGE + 1)[at]), ("dk", frame["dk"].to_numpy(np.int64)[doc]), ("doc", frame["id"].to_numpy(np.int64)[doc]), ("start", at - w.first[doc])
+        for name, value in columns:
+            out[name] = value
+        return out
+
+    def packed(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+        pack = uuid.uuid4().int >> 65
+        yield pd.DataFrame({"kind": "place", "bucket": [0], "data": [_thin(rows)], "pack": pack})
+        ordered, group = _grouped(rows, "key", "doc", "dk", "start")
+        least = ordered[np.diff(group, prepend=-1) != 0]
+        bucket = (least["key"] >> np.uint64(33)).astype(np.int64) % buckets
+        yield pd.DataFrame([("least", b, data, pack) for b, data in _split(least, bucket)], columns=["kind", "bucket", "data", "pack"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        for frame in batches(frames):
+            held.append(described(frame))
+            if sum(map(len, held)) >= WINDOWS:
+                yield from packed(np.concatenate(held))
+                held = []
+        if any(map(len, held)):
+            yield from packed(np.concatenate(held))
+
+    return run
+
+
+def _kept(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each pack the least places of windows that another pack has in a lesser one."""
+    rows, pack = _thick(pdf["data"].tolist()), np.repeat(pdf["pack"].to_numpy(np.int64), pdf["data"].str.len() // _WINDOW.itemsize)
+    order = np.lexsort((rows["start"], rows["dk"], rows["doc"], rows["key"]))
+    rows, pack = rows[order], pack[order]
+    first = np.diff(rows["key"], prepend=~rows["key"][:1]) != 0
+    least = rows[np.flatnonzero(first)[np.cumsum(first) - 1]][~first]
+    return pd.DataFrame(_split(least, pack[~first]), columns=["pack", "data"])
+
+
+def _exact(places: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+    """Windows of a pack that another document keeps, joined where they follow each other in both texts; stretches that their neighbours cover go."""
+    rows, group = _grouped(_thick(places["data"].tolist()), "key", "doc", "dk", "start")
+    least = rows[np.diff(group, prepend=-1) != 0]
+    other = _thick(kept["data"].tolist())
+    least[np.searchsorted(least["key"], other["key"])] = other
+    k = least[group]
+    copied = rows["dk"] != k["dk"]
+    rows, k = rows[copied], k[copied]
+    _, one = np.unique(rows[["dk", "start"]], return_index=True)
+    rows, k = rows[one], k[one]
+    along = (rows["dk"][1:] == rows["dk"][:-1]) & (k["dk"][1:] == k["dk"][:-1]) & (rows["start"][1:] == rows["start"][:-1] + 1) & (k["start"][1:] == k["start"][:-1] + 1)
+    first = np.flatnonzero(np.concatenate([[True], ~along])[: len(rows)])
+    n = np.diff(first, append=len(rows)) + PASSAGE
+    rows, k = rows[first], k[first]
+    # both ends ascend, so the last stretch that begins before this one's end is the next that is needed
+    at = (np.cumsum(np.diff(rows["dk"], prepend=~rows["dk"][:1]) != 0) << 32) + rows["start"]
+    ahead = np.maximum(np.searchsorted(at, at + n, "right") - 1, np.arange(1, len(at) + 1)).tolist()
+    need, i = [], 0
+    while i < len(at):
+        need.append(i)
+        i = ahead[i]
+    rows, k, n = rows[need], k[need], n[need]
+    return pd.DataFrame({"dk": rows["dk"], "doc": rows["doc"], "kdoc": k["doc"], "start": rows["start"], "n": n, "kstart": k["start"]})
+
+
+def _exact_repeats(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
+    """``dk, doc, kdoc, start, n, kstart`` of stretches over PASSAGE words whose windows the least document that has them keeps."""
+    span = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    spans = anchors.select("dk", span.alias("span")).groupBy("dk").agg(F.collect_set("span").alias("spans"))
+    packs = rows.join(stored(spans, "spans"), "dk").mapInPandas(_windows(buckets), "kind string, bucket int, data binary, pack long")
+    packs = stored(packs, "windows")
+    kept = packs.where("kind = 'least'").groupBy("bucket").applyInPandas(_kept, "pack long, data binary")
+    places = packs.where("kind = 'place'").select("pack", "data")
+    return places.groupBy("pack").cogroup(kept.groupBy("pack")).applyInPandas(_exact, "dk long, doc long, kdoc long, start int, n int, kstart int")
 
 
 def _linked(pdf: pd.DataFrame, jaccard: float) -> pd.DataFrame:
@@ -170,8 +344,9 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def joined(f: pd.DataFrame) -> pd.DataFrame:
         dk, kdk, start, kstart, n = (f[c].to_numpy() for c in ("dk", "kdk", "start", "kstart", "n"))
+        line = f["line"].to_numpy()
         ahead, kahead = start[1:] - (start + n)[:-1], kstart[1:] - (kstart + n)[:-1]
-        along = (dk[1:] == dk[:-1]) & (kdk[1:] == kdk[:-1]) & (ahead >= 0) & (ahead <= GAP) & (kahead >= 0) & (kahead <= GAP)
+        along = (dk[1:] == dk[:-1]) & (line[1:] == line[:-1]) & (kdk[1:] == kdk[:-1]) & (ahead >= 0) & (ahead <= GAP) & (kahead >= 0) & (kahead <= GAP)
         first = np.flatnonzero(np.concatenate([[True], ~along]))
         last = np.append(first[1:], len(f)) - 1
         out = f.iloc[first][["dk", "doc", "kdk", "kdoc", "start", "kstart"]].reset_index(drop=True)
@@ -210,28 +385,36 @@ def _words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"dk": frame["dk"].to_numpy(), "words": [short[a:b].tobytes() for a, b in zip(w.first, w.first[1:], strict=False)]})
 
 
+def _release(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of what is stored by now, which it does when it collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def repeated(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """``doc_id, dk, start, n, kept_doc_id, kept_start``: every stretch of over PASSAGE words that another document keeps.
 
     ``start`` is the position of the first word (from 0) and ``n`` the number of words in ``docs(doc_id, text)``; the same words, or
     similar paragraphs among them, stand at ``kept_start`` in the least doc_id that has them. ``dk`` is a hash of
     doc_id and text, so rows that repeat a doc_id are told apart; rows equal in both are one document and copy nothing from each other.
-    A null doc_id comes after all others. Null, empty and short texts have no paragraphs to compare. A passage that a
+    A null doc_id comes after all others. Null, empty and short texts have nothing to compare. A passage that a
     document repeats within itself stays. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64("doc_id", "text").alias("dk"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.mapInPandas(_mapped(buckets), "kind string, bucket int, data binary")
-    schema = "kind string, key long, node long, dk long, doc long, start int, n int"
+    schema = "kind string, key long, node long, dk long, doc long, start int, n int, line boolean"
     found = stored(packed.groupBy("kind", "bucket").applyInPandas(_gathered, schema), "paragraphs")
+    _release(spark)
     places, bands = found.where("kind = 'place'").drop("kind", "key"), found.where("kind = 'band'")
+    whole = stored(_exact_repeats(rows, found.where("kind in ('anchor', 'hot')"), buckets), "exact")
+    _release(spark)
     cands = cut(bands.groupBy("key", "node").agg(F.min(F.struct("dk", "start", "n")).alias("at")).select("key", "node", "at.*"))
     affected = places.select("dk").unionByName(cands.select("dk")).distinct()
     words = stored(rows.select("dk", "text").join(affected, "dk", "left_semi").mapInPandas(_words_of, "dk long, words binary"), "words")
     words = words.dropDuplicates(["dk"])
     roots = connected_components(_similar(cands, words, jaccard, buckets))
-    near = cands.select("node", "dk", "start", "n").distinct().join(rows.select("dk", F.col("id").alias("doc")).distinct(), "dk").select("node", "dk", "doc", "start", "n")
+    near = cands.select("node", "dk", "start", "n").distinct().join(rows.select("dk", F.col("id").alias("doc")).distinct(), "dk").select("node", "dk", "doc", "start", "n", F.lit(True).alias("line"))
     every = cut(places.unionByName(near.join(roots, near["node"] == roots["node"], "left_semi").unionByName(near.join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_semi").select(*near.columns))).distinct())
     named = cut(every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     # the least document that has just the same words keeps them; of such keepers in a component the least
@@ -240,8 +423,8 @@ def repeated(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     similar = cut(named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(least.alias("s")))
     copies = named.join(exact, "node").join(similar, "root", "left")
     copies = copies.withColumn("k", F.when(F.col("dk") != F.col("e.dk"), F.col("e")).otherwise(F.coalesce("s", "e")))
-    copies = copies.where("dk <> k.dk").select("dk", "doc", "start", "n", F.col("k.dk").alias("kdk"), F.col("k.doc").alias("kdoc"), F.col("k.start").alias("kstart"))
-    runs = copies.repartition("dk").sortWithinPartitions("dk", "start", "kdk", "kstart")
+    copies = copies.where("dk <> k.dk").select("dk", "doc", "start", "n", "line", F.col("k.dk").alias("kdk"), F.col("k.doc").alias("kdoc"), F.col("k.start").alias("kstart"))
+    runs = copies.repartition("dk").sortWithinPartitions("dk", "line", "start", "kdk", "kstart")
     runs = cut(runs.mapInPandas(_runs, "dk long, doc long, kdk long, kdoc long, start int, kstart int, end int, kend int"))
 
     def around(at: str, end: str, prefix: str) -> list:
@@ -252,7 +435,7 @@ def repeated(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     sides = runs.join(words, "dk").select(*runs.columns, *around("start", "end", ""))
     keeping = words.select(F.col("dk").alias("kdk"), "words")
     sides = sides.join(keeping, "kdk").select(*runs.columns, "before", "after", *around("kstart", "kend", "k"))
-    out = sides.mapInPandas(_widened, "dk long, doc long, kdoc long, start int, n int, kstart int").distinct()
+    out = sides.mapInPandas(_widened, "dk long, doc long, kdoc long, start int, n int, kstart int").unionByName(whole).distinct()
     named_id = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return out.select(named_id("doc").alias("doc_id"), "dk", "start", "n", named_id("kdoc").alias("kept_doc_id"), F.col("kstart").alias("kept_start"))
 

@@ -231,6 +231,31 @@ def test_similar_paragraphs_are_linked(spark):
     assert rows.where("doc_id = 2").agg(F.sum("n")).first()[0] >= 90
 
 
+def _covered(spark, docs):
+    covered = {}
+    for r in passages.repeated(frame(spark, [(i, t, "s") for i, t in docs.items()])).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n"]))
+    return covered
+
+
+def _missed(docs, covered):
+    return [(i, j) for i, starts in brute.repeated_windows(docs, 51).items() for j in starts if not set(range(j, j + 51)) <= covered.get(i, set())]
+
+
+def _say(rng, k):
+    return ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(k)]
+
+
+def test_passages_of_short_lines(spark):
+    rng = np.random.default_rng(11)
+    verse = "\n".join(" ".join(_say(rng, 5)) for _ in range(12))
+    docs = {i: f"{' '.join(_say(rng, 30))}\n{verse}\n{' '.join(_say(rng, 30))}" for i in range(4)}
+    covered = _covered(spark, docs)
+    assert not _missed(docs, covered) and covered == {i: set(range(30, 90)) for i in (1, 2, 3)}
+    w = passages.tokenise([verse])
+    assert passages.paragraphs(w)[2].tolist() == [60]
+
+
 def test_passages_hard(spark, hard, none):
     rows = passages.repeated(hard)
     assert got(rows.select("doc_id", "kept_doc_id").distinct(), "doc_id", "kept_doc_id") == [(6, 5)]
