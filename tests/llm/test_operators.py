@@ -256,6 +256,22 @@ def test_passages_of_short_lines(spark):
     assert passages.paragraphs(w)[2].tolist() == [60]
 
 
+def test_near_paragraphs_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    docs, near = {}, {}
+    for i in range(60):
+        line = _say(rng, int(rng.integers(60, 120)))
+        other = list(line)
+        for at in rng.integers(0, len(line), int(rng.integers(1, 4))):
+            other[at : at + 1] = (["changed"], [], [other[at], "added"])[int(rng.integers(3))]
+        docs[2 * i], docs[2 * i + 1] = ("\n".join([" ".join(_say(rng, 30)), " ".join(x), " ".join(_say(rng, 30))]) for x in (line, other))
+        a, b = ({tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (line, other))
+        near[2 * i + 1] = len(a & b) >= 0.8 * len(a | b), set(range(30, 30 + len(other)))
+    covered = _covered(spark, docs)
+    assert sum(hit for hit, _ in near.values()) > 30 and not _missed(docs, covered)
+    assert not [i for i, (hit, words) in near.items() if hit and not words <= covered.get(i, set())]
+
+
 def test_passages_hard(spark, hard, none):
     rows = passages.repeated(hard)
     assert got(rows.select("doc_id", "kept_doc_id").distinct(), "doc_id", "kept_doc_id") == [(6, 5)]
