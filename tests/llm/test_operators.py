@@ -272,6 +272,17 @@ def test_near_paragraphs_against_brute_force(spark):
     assert not [i for i, (hit, words) in near.items() if hit and not words <= covered.get(i, set())]
 
 
+def test_passages_whose_parts_stand_in_lesser_documents(spark):
+    rng = np.random.default_rng(13)
+    own = lambda *parts: " ".join([*_say(rng, 20), *(w for p in parts for w in p), *_say(rng, 20)])
+    shared_, sentences, long = _say(rng, 60), [_say(rng, 20) for _ in range(3)], _say(rng, 500)
+    docs = {1: own(shared_[:40]), 2: own(shared_[20:]), 50: own(shared_), 90: own(shared_)}
+    docs |= {3 + k: own(x) for k, x in enumerate(sentences)} | {51: own(*sentences), 91: own(*sentences)}
+    docs |= {10 + k: own(long[40 * k : 40 * k + 45]) for k in range(12)} | {i: own(long, _say(rng, 200)) for i in (52, 92)}
+    covered = _covered(spark, docs)
+    assert covered == {90: set(range(20, 80)), 91: set(range(20, 80)), 92: set(range(20, 520))}
+
+
 def test_passages_hard(spark, hard, none):
     rows = passages.repeated(hard)
     assert got(rows.select("doc_id", "kept_doc_id").distinct(), "doc_id", "kept_doc_id") == [(6, 5)]
