@@ -283,6 +283,16 @@ def test_passages_whose_parts_stand_in_lesser_documents(spark):
     assert covered == {90: set(range(20, 80)), 91: set(range(20, 80)), 92: set(range(20, 520))}
 
 
+def test_no_passage_falls_through(spark):
+    rng = np.random.default_rng(14)
+    docs = {}
+    for i in range(150):
+        passage = _say(rng, 51 + i % 5) if i % 10 else _say(rng, 1 + i % 7) * 60
+        docs[i], docs[1000 + i] = (" ".join([*_say(rng, int(rng.integers(5, 40))), *passage, *_say(rng, 20)]) for _ in range(2))
+    covered = _covered(spark, docs)
+    assert not _missed(docs, covered) and set(covered) == {1000 + i for i in range(150)}
+
+
 def test_passages_hard(spark, hard, none):
     rows = passages.repeated(hard)
     assert got(rows.select("doc_id", "kept_doc_id").distinct(), "doc_id", "kept_doc_id") == [(6, 5)]
