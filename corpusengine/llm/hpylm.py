@@ -4,15 +4,22 @@ Every word is a context with a restaurant of its own; all of these share one par
 uniform over the known words and one unknown. A customer is an occurrence of a word after its context; each table of a
 context's restaurant is a customer of the parent.
 
-Texts become blocks of word numbers, counted and numbered by buckets of words. Restaurants are dealt to buckets by context and their
-rows stored there with the documents that each pair occurs in. A round reseats all customers of each dish in turn given the rest of
-its restaurant and the parent, sends the numbers of tables up to the parent's buckets by word, which seat them in the same way and
-publish the parent's share of every word for the contexts' next round. The last round keeps several samples, averages the
-probabilities they give each pair, and adds up logarithms by document. All that moves is packed arrays, a row for each block and bucket.
+A restaurant with T tables lays weight (strength + discount * T) times the parent's probability on a new table, its own tables counted as
+they open. As this weight is a moment of a gamma variable, a sweep draws x from a gamma distribution of shape strength / discount + T for each
+restaurant, and given x its dishes are independent: a dish with c customers has t tables with weight S(c, t) * (discount * x * parent)**t, S
+the generalised Stirling number. At a discount of one half S has a closed form, so that t is drawn from its exact distribution whatever
+c is. The parent's probabilities are those of the sweep before. All random numbers follow from the word, the context and the sweep,
+so scores do not depend on how the work is dealt out.
+
+Texts become blocks of word numbers, counted and numbered by buckets of words. Pairs (context, word) are dealt to buckets by context, and
+frequent contexts to several, by word. A sweep sends the tables of words and of contexts to the word's buckets, which add
+them up, seat the parent's customers and publish the answers for the next sweep. The last sweeps are samples: the probability of a pair is their mean.
+All that moves is packed arrays, a row for each block and bucket, never more than a row for each pair.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import uuid
 import zlib
@@ -28,14 +35,15 @@ from .shared import new_folder, stored
 from .store import filesystem
 from .words import batches, mix, tokenise
 
-#: Discounts and strengths of contexts and of the parent; rounds that send tables up; samples that are dropped and kept in a round.
-DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.75, 2.0, 0.5, 10.0
-ROUNDS, BURN, SAMPLES, SEED = 2, 2, 3, 1
-#: Customers of a dish that are seated one by one; the rest come in companies of a twelfth of those seated.
-SINGLY = 24
-BLOCK_BYTES = 5_000_000
+#: The discount of all restaurants, at which tables have a closed form; the strengths of contexts and of the parent.
+DISCOUNT, STRENGTH, PARENT_STRENGTH = 0.5, 2.0, 10.0
+#: Sweeps that only warm up, and sweeps whose probabilities are averaged.
+BURN, SAMPLES, SEED = 4, 3, 1
+#: Bytes of text in a block; tokens that a bucket of pairs is meant to have: a context with over half as many is dealt to several.
+BLOCK_BYTES, BUCKET_TOKENS = 5_000_000, 1_000_000
 _END = mix(np.array([0x656E64], np.uint64))[0]
 _DOCS = np.dtype([("id", "<i8"), ("null", "?"), ("held", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -53,13 +61,96 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
+# ---- seating
+
+
+def uniforms(key: np.ndarray, turn: int, draw: int) -> np.ndarray:
+    """Numbers between 0 and 1 that follow from the key, the sweep and the number of the draw."""
+    salt = mix(np.array([(SEED << 48) + (turn << 24) + draw], np.uint64))[0]
+    return ((mix(key ^ salt) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def gammas(shape: np.ndarray, key: np.ndarray, turn: int) -> np.ndarray:
+    """Gamma variables of shapes of 1 or more, by Marsaglia and Tsang's rejection."""
+    d = shape - 1 / 3
+    c, out, todo, draw = 1 / np.sqrt(9 * d), np.zeros(len(shape)), np.arange(len(shape)), 1
+    while len(todo):
+        a, b, u = (uniforms(key[todo], turn, draw + i) for i in range(3))
+        x = np.sqrt(-2 * np.log(a)) * np.cos(2 * np.pi * b)
+        v = (1 + c[todo] * x) ** 3
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ok = (v > 0) & (np.log(u) < x * x / 2 + d[todo] * (1 - v + np.log(v)))
+        out[todo[ok]] = (d[todo] * v)[ok]
+        todo, draw = todo[~ok], draw + 3
+    return out
+
+
+def tables(c: np.ndarray, a: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """For each dish with c customers a number t of tables, of weight S(c, t) * a**t at a discount of one half, by one uniform number u.
+
+    S(c, t) = (2c - t - 1)! / ((c - t)! (t - 1)! 4**(c - t)), so weights follow from each other by a ratio that falls as t
+    rises. They are summed from the greatest outwards as far as they change a double.
+    """
+    t = np.minimum(c, 1)
+    many = np.flatnonzero(c > 1)
+    n, a, u = c[many].astype(np.float64), a[many], u[many]
+    b = 2 * n - 1 + 4 * a
+    mode = np.clip(np.ceil(8 * a * n / (b + np.sqrt(np.maximum(b * b - 16 * a * n, 0)))), 1, n)
+    spread = 1 / np.sqrt(1 / mode + 1 / np.maximum(n - mode, 0.5) - 1 / (2 * n - mode))
+    reach = np.ceil(10 * spread) + 15
+    low, high = np.maximum(1, mode - reach), np.minimum(n, mode + reach)
+    size = (high - low).astype(np.int64) + 1
+    first = np.cumsum(size) - size
+    own = np.repeat(np.arange(len(many)), size)
+    at = np.arange(len(own)) - first[own] + low[own] - 1  # the ratio of the weight of at + 1 to that of at
+    with np.errstate(divide="ignore", invalid="ignore"):
+        step = np.log(4 * a[own] * (n[own] - at) / (at * (2 * n[own] - at - 1)))
+    step[first] = 0
+    logs = np.cumsum(step)
+    weight = np.exp(logs - logs[first + (mode - low).astype(np.int64)][own])
+    upto = np.cumsum(weight)
+    before = (upto - weight)[first]
+    last = first + size - 1
+    got = np.clip(np.searchsorted(upto, before + u * (upto[last] - before)), first, last)
+    t[many] = (low + got - first).astype(t.dtype)
+    return t
+
+
+class Restaurants:
+    """A bucket's cells (context, word) that are trained on or asked for, in order, with c customers each."""
+
+    def __init__(self, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> None:
+        self.c = c
+        new = np.concatenate([[True], u[1:] != u[:-1]])[: len(u)]
+        self.contexts, self.context = u[new], np.cumsum(new) - 1
+        self.words, self.word = np.unique(w, return_inverse=True)
+        self.key = mix(u * _ODD + w)
+
+    @classmethod
+    def of(cls, row) -> Restaurants:  # noqa: ANN001
+        return cls(np.cumsum(unpack(row.u, "<u8")), unpack(row.w, "<u8"), unpack(row.c, "<u8").astype(np.int64))
+
+    def seated(self, turn: int, before: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Tables of each cell after a sweep, given all tables of each context before it and the parent's probability of each word."""
+        x = gammas(STRENGTH / DISCOUNT + before, mix(self.contexts), turn)
+        return tables(self.c, DISCOUNT * x[self.context] * parent[self.word], uniforms(self.key, turn, 0))
+
+    def probabilities(self, t: np.ndarray, all_tables: np.ndarray, customers: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Of each cell's word after its context."""
+        over = (STRENGTH + DISCOUNT * all_tables)[self.context] * parent[self.word]
+        return (self.c - DISCOUNT * t + over) / (STRENGTH + customers)[self.context]
+
+
+# ---- blocks and their words
+
+
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a block: its distinct word hashes, the places of its words among them by document, and its documents."""
 
     def block(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
         vocab, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
         docs = np.concatenate([d for _, d in held])
-        return pd.DataFrame({"block": [uuid.uuid4().hex], "vocab": [vocab.tobytes()], "places": [pack(at.astype(np.uint32))], "docs": [pack(docs)]})
+        return pd.DataFrame({"block": [uuid.uuid4().hex], "n": [int(docs["tokens"].sum())], "vocab": [vocab.tobytes()], "places": [pack(at.astype(np.uint32))], "docs": [pack(docs)]})
 
     held, size = [], 0
     for frame in batches(frames):
@@ -113,217 +204,184 @@ def _numbered(buckets: int):  # noqa: ANN202
     return run
 
 
-def _paired(buckets: int, known_words: int, known_tokens: int, folder: str):  # noqa: ANN202
+_PAIRS = ["of_docs", "bucket", "block", "u", "w", "c", "at", "docs"]
+
+
+def _paired(parents: int, buckets: int, per_bucket: int, known_words: int, known_tokens: int, folder: str):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A block's pairs by bucket of context, each with its documents; and the documents with what single words say."""
+        """A block's distinct pairs by bucket, and its documents with what single words say and the pair that each of their tokens is."""
         fs, path = filesystem(f"{folder}/x")
         base = path.rpartition("/")[0]
         for frame in frames:
             for row in frame.itertuples(index=False):
                 vocab, docs = np.frombuffer(row.vocab, np.uint64), unpack(row.docs, _DOCS).copy()
                 numbers, counts = np.zeros(len(vocab), np.uint64), np.zeros(len(vocab), np.uint64)
-                bucket = (vocab >> np.uint64(32)).astype(np.int64) % buckets
+                bucket = (vocab >> np.uint64(32)).astype(np.int64) % parents
                 with fs.open_input_stream(f"{base}/{row.block}", compression=None) as f:
                     answers = pickle.loads(f.read())
                 for b, got, count in answers:
                     own = np.flatnonzero(bucket == b)
                     numbers[own], counts[own] = unpack(got, "<u8"), unpack(count, "<u8")
-                at = unpack(row.places, "<u4")
+                places = unpack(row.places, "<u4")
                 first = np.concatenate([[0], np.cumsum(docs["tokens"])])[:-1]
-                c = counts[at].astype(np.float64)
+                c = counts[places].astype(np.float64)
                 docs["known"] = np.add.reduceat((c > 0).astype(np.int64), first)
                 docs["base"] = np.add.reduceat(np.log10((c + 0.5) / (known_tokens + 0.5 * (known_words + 1))), first)
-                doc = np.repeat(np.arange(len(docs), dtype=np.uint32), docs["tokens"])
-                w = numbers[at]
-                u = np.empty_like(w)
-                u[1:] = w[:-1]
-                u[first] = numbers[np.searchsorted(vocab, _END)]  # a text begins after an end
-                order = np.lexsort((w, u))
-                u, w, doc = u[order], w[order], doc[order]
-                place = (mix(u) >> np.uint64(32)).astype(np.int64) % buckets
-                rows, held = [], pack(docs["held"])
-                for b in np.unique(place).tolist():
-                    own = np.flatnonzero(place == b)
-                    uu, ww = u[own], w[own]
-                    new = np.flatnonzero(np.concatenate([[True], (uu[1:] != uu[:-1]) | (ww[1:] != ww[:-1])]))
-                    rows.append((b, row.block, pack(np.diff(uu[new], prepend=np.uint64(0))), pack(ww[new]), pack(np.diff(new, append=len(own)).astype(np.uint32)), pack(doc[own]), held))
-                yield pd.DataFrame([*rows, (-1, row.block, b"", b"", b"", b"", pack(docs))], columns=_PAIRS)
+                before = np.empty_like(places)
+                before[1:] = places[:-1]
+                before[first] = np.searchsorted(vocab, _END)  # a text begins after an end
+                pairs, at = np.unique(before.astype(np.uint64) << np.uint64(32) | places, return_inverse=True)
+                u, w = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                learned = np.bincount(at[np.repeat(~docs["held"], docs["tokens"])], minlength=len(pairs))
+                # a frequent context is dealt to several buckets, by its words
+                shard = mix(numbers[w]) % (np.uint64(1) + counts[u] // np.uint64(max(1, per_bucket // 2)))
+                u, w = numbers[u], numbers[w]
+                place = (mix(u * _ODD + shard) >> np.uint64(32)).astype(np.int64) % buckets
+                order = np.lexsort((w, u, place))
+                u, w, place, learned = u[order], w[order], place[order], learned[order]
+                turned = np.empty(len(order), np.uint32)
+                turned[order] = np.arange(len(order), dtype=np.uint32)
+                rows, cuts = [], np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    rows.append((False, int(place[a]), row.block, pack(np.diff(u[a:b], prepend=np.uint64(0))), pack(w[a:b]), pack(learned[a:b].astype(np.uint32)), None, None))
+                yield pd.DataFrame([*rows, (True, -1, row.block, None, None, None, pack(turned[at]), pack(docs))], columns=_PAIRS)
 
     return run
 
 
-_PAIRS = ["bucket", "block", "u", "w", "times", "doc", "docs"]
-_SCHEMA = "bucket int, block string, u binary, w binary, times binary, doc binary, docs binary"
-
-
 def _opened(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's pairs of all blocks as one row: its cells (context, word, customers), and of each block the cells and documents."""
-    if (bucket := int(pdf["bucket"].iat[0])) < 0:
-        return pd.DataFrame({"bucket": -1, "u": b"", "w": b"", "c": b"", "blocks": [pickle.dumps((row.block, row.docs)) for row in pdf.itertuples()]})
-    sent = [(row.block, np.cumsum(unpack(row.u, "<u8")), unpack(row.w, "<u8"), unpack(row.times, "<u4"), unpack(row.doc, "<u4"), unpack(row.docs, "?")) for row in pdf.itertuples()]
-    u, w = np.concatenate([x[1] for x in sent]), np.concatenate([x[2] for x in sent])
+    """A bucket's pairs of all blocks as one row: its cells (context, word, customers), and of each block the cells it has."""
+    sent = [(row.block, np.cumsum(unpack(row.u, "<u8")), unpack(row.w, "<u8"), unpack(row.c, "<u4")) for row in pdf.itertuples()]
+    u, w, c = (np.concatenate([x[i] for x in sent]) for i in (1, 2, 3))
     order = np.lexsort((w, u))
     u, w = u[order], w[order]
     new = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
     cell = np.empty(len(u), np.int64)
     cell[order] = np.cumsum(new) - 1
-    learned, blocks, begin = np.zeros(int(new.sum()), np.int64), [], 0
-    for block, uu, _, times, doc, held in sent:
+    learned, blocks, begin = np.bincount(cell, c).astype(np.uint64), [], 0
+    for block, uu, _, _ in sent:
         own = cell[begin : begin + len(uu)]
         begin += len(uu)
-        learned[own] += np.bincount(np.repeat(np.arange(len(uu)), times)[~held[doc]], minlength=len(uu))
-        blocks.append((block, pack(np.diff(own, prepend=0).astype(np.uint64)), pack(times), pack(doc)))
-    u = u[new]
-    return pd.DataFrame({"bucket": [bucket], "u": [pack(np.diff(u, prepend=np.uint64(0)))], "w": [pack(w[new])], "c": [pack(learned.astype(np.uint64))], "blocks": [pickle.dumps(blocks)]})
+        blocks.append((block, pack(np.diff(own, prepend=0).astype(np.uint32))))
+    return pd.DataFrame({"bucket": [int(pdf["bucket"].iat[0])], "u": [pack(np.diff(u[new], prepend=np.uint64(0)))], "w": [pack(w[new])], "c": [pack(learned)], "blocks": [pickle.dumps(blocks)]})
 
 
-class Restaurants:
-    """The restaurants of a bucket of contexts: cells (context, word) that are trained on or asked for, sorted."""
+# ---- sweeps
 
-    def __init__(self, row) -> None:  # noqa: ANN001
-        u, self.c = np.cumsum(unpack(row.u, "<u8")), unpack(row.c, "<u8").astype(np.int64)
-        self.context = np.cumsum(np.concatenate([[True], u[1:] != u[:-1]])) - 1
-        self.customers = np.bincount(self.context, self.c)
-        self.t = np.minimum(self.c, 1)
-        self.words, self.word = np.unique(unpack(row.w, "<u8"), return_inverse=True)
 
-    def tables(self) -> np.ndarray:
-        return np.bincount(self.context, self.t)
+def _published(folder: str, key: str):  # noqa: ANN202
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Write the answers for one block or bucket as a file; a task that runs again replaces it by the same."""
+        name = str(pdf[key].iat[0])
+        fs, path = filesystem(f"{folder}/{name}")
+        with fs.open_output_stream(attempt := f"{path}.{uuid.uuid4().hex}", compression=None) as out:
+            out.write(pickle.dumps(list(pdf.drop(columns=key).itertuples(index=False, name=None))))
+        fs.move(attempt, path)
+        return pd.DataFrame({"name": [name]})
 
-    def reseat(self, parent: np.ndarray, rng: np.random.Generator) -> None:
-        """A sweep: the customers of every cell leave and are seated anew, given the tables of the rest of the restaurant."""
-        rate = (STRENGTH + DISCOUNT * (self.tables()[self.context] - self.t)) * parent[self.word]
-        self.t = seated(self.c, rate, DISCOUNT, rng)
+    return run
 
-    def probabilities(self, parent: np.ndarray) -> np.ndarray:
-        """Of each cell's word after its context."""
-        over = STRENGTH + DISCOUNT * self.tables()[self.context]
-        return (self.c - DISCOUNT * self.t + over * parent[self.word]) / (STRENGTH + self.customers[self.context])
 
+class Sweeps:
+    """What the word's buckets published after each sweep: the parent's shares of words, and all tables and customers of contexts."""
 
-def seated(c: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after c customers of a dish came one after another, who open one with odds rate (and a discount for each table
-    that the dish has) to the customers already at the dish's tables."""
-    t = np.minimum(c, 1)
-    open_ = np.flatnonzero(c > 1)
-    extra = rate + 0.0
-    for i in range(1, SINGLY):
-        if not len(open_):
-            return t
-        new = extra[open_]
-        t[open_] += rng.random(len(open_)) * (new + i - discount * t[open_]) < new
-        open_ = open_[c[open_] > i + 1]
-    i = SINGLY
-    while len(open_):  # a company finds the tables that those before it left
-        step = max(1, i // 12)
-        size = np.minimum(step, c[open_] - i)
-        chance = extra[open_] / (extra[open_] + i + (size - 1) / 2 - discount * t[open_])
-        t[open_] += rng.binomial(size, np.clip(chance, 0, 1))
-        i += step
-        open_ = open_[c[open_] > i]
-    return t
+    def __init__(self, home: str, parents: int, words: int) -> None:
+        self.home, self.parents, self.known_words, self.scalars = home, parents, words, []
 
+    def folder(self, turn: int) -> str:
+        return f"{self.home}/sweep-{turn}"
 
-def _rng(*key: int) -> np.random.Generator:
-    return np.random.default_rng([SEED, *key])
+    def read(self, turn: int, bucket: int, r: Restaurants) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The parent's probability of the bucket's words; tables and customers of its contexts."""
+        all_tables, all_customers = self.scalars[turn]
+        fs, path = filesystem(f"{self.folder(turn)}/{bucket}")
+        share, seats, customers = np.zeros(len(r.words)), np.zeros(len(r.contexts)), np.zeros(len(r.contexts))
+        of_word, of_context = self.parts(r)
+        with fs.open_input_stream(path, compression=None) as f:
+            for b, shares, t, c in pickle.loads(f.read()):
+                share[of_word == b], own = unpack(shares, "<f8"), of_context == b
+                seats[own], customers[own] = unpack(t, "<u8"), unpack(c, "<u8")
+        return (share + (PARENT_STRENGTH + DISCOUNT * all_tables) / (self.known_words + 1)) / (PARENT_STRENGTH + all_customers), seats, customers
 
+    def parts(self, r: Restaurants) -> tuple[np.ndarray, np.ndarray]:
+        return tuple((x % np.uint64(self.parents)).astype(np.int64) for x in (r.words, r.contexts))
 
-def _parent_shares(folder: str | None, bucket: int, r: Restaurants, parents: int, scalars: tuple[float, float, int]) -> np.ndarray:
-    """The parent's probability of each of the bucket's words, from the file that the last round published for this bucket."""
-    tables, customers, words = scalars
-    fs, path = filesystem(f"{folder}/{bucket}")
-    with fs.open_input_stream(path, compression=None) as f:
-        answers = dict(pickle.loads(f.read()))
-    share = np.zeros(len(r.words))
-    of = (r.words % np.uint64(parents)).astype(np.int64)
-    for b in np.unique(of).tolist():
-        share[of == b] = unpack(answers[b], "<f4")
-    return (share + (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (words + 1)) / (PARENT_STRENGTH + customers)
+    def seated(self, turn: int, bucket: int, r: Restaurants) -> np.ndarray:
+        """Tables of a bucket's cells after a sweep; at first each dish has one."""
+        if not turn:
+            return np.minimum(r.c, 1)
+        parent, before, _ = self.read(turn - 1, bucket, r)
+        return r.seated(turn, before, parent)
 
 
-def _upward(parents: int, turn: int, folder: str | None, scalars: tuple[float, float, int]):  # noqa: ANN202
+def _upward(sweeps: Sweeps, turn: int):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Tables of each word in a bucket's restaurants, to the parent's buckets; before the first round each dish has one table."""
+        """Tables of each word and context in a bucket's restaurants after a sweep, to the buckets of words."""
         for row in (row for frame in frames for row in frame.itertuples(index=False)):
-            bucket, r = int(row.bucket), Restaurants(row)
-            if folder is not None:
-                parent, rng = _parent_shares(folder, bucket, r, parents, scalars), _rng(turn, bucket)
-                for _ in range(BURN):
-                    r.reseat(parent, rng)
-            t = np.bincount(r.word, r.t, len(r.words)).astype(np.uint64)
-            of = (r.words % np.uint64(parents)).astype(np.int64)
-            parts = [(b, np.flatnonzero(of == b)) for b in np.unique(of).tolist()]
-            yield pd.DataFrame([(b, bucket, pack(r.words[p]), pack(t[p])) for b, p in parts], columns=["bucket", "asked_by", "words", "tables"])
+            r = Restaurants.of(row)
+            t = sweeps.seated(turn, int(row.bucket), r)
+            sums = [np.bincount(at, x, n).astype(np.uint64) for at, x, n in ((r.word, t, len(r.words)), (r.context, t, len(r.contexts)), (r.context, r.c, len(r.contexts)))]
+            of_word, of_context = sweeps.parts(r)
+            rows = []
+            for b in np.union1d(of_word, of_context).tolist():
+                p, q = np.flatnonzero(of_word == b), np.flatnonzero(of_context == b)
+                rows.append((b, int(row.bucket), *map(pack, (r.words[p], sums[0][p], r.contexts[q], sums[1][q], sums[2][q]))))
+            yield pd.DataFrame(rows, columns=["bucket", "asked_by", "words", "seats", "contexts", "tables", "customers"])
 
     return run
 
 
-def _parent(turn: int, parents: int, known_words: int):  # noqa: ANN202
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Seat the parent's customers of a bucket of words; each context bucket gets back what they hold beyond discounts."""
-        bucket, rng = int(pdf["bucket"].iat[0]), _rng(1000 + turn, int(pdf["bucket"].iat[0]))
-        sent = [unpack(x, "<u8") for x in pdf["words"]]
-        words, at = np.unique(np.concatenate(sent), return_inverse=True)
-        c = np.zeros(len(words), np.int64)
-        np.add.at(c, at, np.concatenate([unpack(x, "<u8") for x in pdf["tables"]]).astype(np.int64))
-        t, mean = np.minimum(c, 1), np.zeros(len(words))
-        for k in range(BURN + SAMPLES):  # buckets are alike, so that the tables of all are those of this one times their number
-            t = seated(c, (PARENT_STRENGTH + PARENT_DISCOUNT * np.maximum(t.sum() * parents - t, 0)) / (known_words + 1), PARENT_DISCOUNT, rng)
-            mean += t / SAMPLES if k >= BURN else 0
-        share = (c - PARENT_DISCOUNT * mean).astype(np.float32)
-        cuts = np.cumsum([len(x) for x in sent])[:-1]
-        rows = [(int(by), bucket, pack(share[p]), 0.0, 0.0) for by, p in zip(pdf["asked_by"], np.split(at, cuts), strict=True)]
-        return pd.DataFrame([*rows, (-1, bucket, b"", float(mean.sum()), float(c.sum()))], columns=["to", "bucket", "share", "tables", "customers"])
-
-    return run
+def _summed(numbers: pd.Series, *values: pd.Series) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct numbers, where each sender's stand among them, and the sums of values."""
+    sent = [unpack(x, "<u8") for x in numbers]
+    distinct, at = np.unique(np.concatenate(sent), return_inverse=True)
+    sums = [np.zeros(len(distinct), np.uint64) for _ in values]
+    for total, value in zip(sums, values, strict=True):
+        np.add.at(total, at, np.concatenate([unpack(x, "<u8") for x in value]))
+    return distinct, np.split(at, np.cumsum([len(x) for x in sent])[:-1]), sums
 
 
-def _published(folder: str, key: str):  # noqa: ANN202
+def _parent(turn: int, x: float | None, known_words: int):  # noqa: ANN202
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Write the answers for one block or bucket as a file; a task that runs again replaces it by the same."""
-        name = str(pdf[key].iat[0])
-        fs, path = filesystem(f"{folder}/{name}")
-        with fs.open_output_stream(attempt := f"{path}.{uuid.uuid4().hex}", compression=None) as out:
-            out.write(pickle.dumps(list(pdf.drop(columns=key).itertuples(index=False, name=None))))
-        fs.move(attempt, path)
-        return pd.DataFrame({"name": [name]})
+        """Seat the parent's customers of a bucket of words; each bucket of contexts gets back what they hold beyond discounts, and its contexts' totals."""
+        words, at, (c,) = _summed(pdf["words"], pdf["seats"])
+        _, own, (seats, customers) = _summed(pdf["contexts"], pdf["tables"], pdf["customers"])
+        c = c.astype(np.int64)
+        t = np.minimum(c, 1) if x is None else tables(c, np.full(len(c), DISCOUNT * x / (known_words + 1)), uniforms(mix(words ^ _ODD), turn, 0))
+        share, bucket = c - DISCOUNT * t, int(pdf["bucket"].iat[0])
+        rows = [(int(by), bucket, pack(share[p]), pack(seats[q]), pack(customers[q]), 0, 0) for by, p, q in zip(pdf["asked_by"], at, own, strict=True)]
+        return pd.DataFrame([*rows, (-1, bucket, None, None, None, int(t.sum()), int(c.sum()))], columns=["to", "bucket", "share", "tables", "customers", "all_tables", "all_customers"])
 
     return run
 
 
-def _scored(parents: int, folder: str, scalars: tuple[float, float, int]):  # noqa: ANN202
+def _scored(sweeps: Sweeps, kept: range):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sums of log10 probabilities of a bucket's pairs, by block and document."""
+        """log10 of the mean probability of a bucket's pairs, for each block that has them."""
         for row in (row for frame in frames for row in frame.itertuples(index=False)):
-            bucket, r = int(row.bucket), Restaurants(row)
-            parent, rng = _parent_shares(folder, bucket, r, parents, scalars), _rng(2000, bucket)
+            bucket, r = int(row.bucket), Restaurants.of(row)
             mean = np.zeros(len(r.c))
-            for k in range(BURN + SAMPLES):
-                r.reseat(parent, rng)
-                if k >= BURN:
-                    mean += r.probabilities(parent) / SAMPLES
+            for turn in kept:
+                parent, seats, customers = sweeps.read(turn, bucket, r)
+                mean += r.probabilities(sweeps.seated(turn, bucket, r), seats, customers, parent) / len(kept)
             logs = np.log10(mean)
-            for block, cells, times, doc in pickle.loads(row.blocks):
-                cell = np.cumsum(unpack(cells, "<u8").astype(np.int64))
-                total = np.bincount(unpack(doc, "<u4"), np.repeat(logs[cell], unpack(times, "<u4")))
-                some = np.flatnonzero(total)
-                yield pd.DataFrame({"block": [block], "doc": [pack(some.astype(np.uint32))], "sums": [pack(total[some].astype(np.float32))]})
+            for block, cells in pickle.loads(row.blocks):
+                yield pd.DataFrame({"block": [block], "bucket": [bucket], "logs": [pack(logs[np.cumsum(unpack(cells, "<u4").astype(np.int64))])]})
 
     return run
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block's documents with the sums that the buckets sent."""
-    docs = unpack(pdf.loc[pdf["docs"].notna(), "docs"].iat[0], _DOCS)
-    score = np.zeros(len(docs))
-    for row in pdf[pdf["docs"].isna()].itertuples():
-        score[unpack(row.doc, "<u4")] += unpack(row.sums, "<f4")
+def _added(own: pd.DataFrame, logs: pd.DataFrame) -> pd.DataFrame:
+    """A block's documents with the sums over their tokens; buckets stand in the order of the block's pairs."""
+    docs, at = unpack(own["docs"].iat[0], _DOCS), unpack(own["at"].iat[0], "<u4")
+    every = np.concatenate([unpack(x, "<f8") for x in logs.sort_values("bucket")["logs"]])
+    score = np.add.reduceat(every[at], np.concatenate([[0], np.cumsum(docs["tokens"])])[:-1])
     ids = pd.array(docs["id"], "Int64")
     ids[docs["null"]] = pd.NA
     return pd.DataFrame({"doc_id": ids, "held_out": docs["held"], "n_tokens": docs["tokens"], "n_known": docs["known"], "base_score": docs["base"], "score": score})
 
 
-def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs(doc_id, text)``.
 
     The model learns from all rows that are not held out (crc32 of the id modulo 5 is 1; a null id is never held out). A null or empty
@@ -331,37 +389,36 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     their own. Without training rows every word is unknown; no rows give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    # words go to a quarter as many buckets as contexts do, as each pair of them exchanges a row in every round
-    parents = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    buckets = 4 * parents
     home = new_folder(spark, "hpylm")
-    blocks = stored(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_blocks, "block string, vocab binary, places binary, docs binary"), "blocks")
-    asked = blocks.mapInPandas(_asked(buckets), "bucket int, block string, hashes binary, counts binary")
-    numbered = stored(asked.groupBy("bucket").applyInPandas(_numbered(buckets), "bucket int, block string, numbers binary, counts binary, v long, n long"), "numbers")
+    blocks = stored(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_blocks, "block string, n long, vocab binary, places binary, docs binary"), "blocks")
+    # buckets follow the tokens, so that numbers of words, and with them the random numbers, are those of the corpus alone
+    tokens = int(blocks.agg(F.sum("n")).first()[0] or 0)
+    buckets, parents = 1 + tokens // bucket_tokens, 1 << math.ceil(math.log2(max(1.0, math.sqrt(tokens) / 150)))
+    tasks = max(1, min(buckets, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asked = blocks.mapInPandas(_asked(parents), "bucket int, block string, hashes binary, counts binary")
+    numbered = stored(asked.groupBy("bucket").applyInPandas(_numbered(parents), "bucket int, block string, numbers binary, counts binary, v long, n long"), "numbers")
     known_words, known_tokens = (int(x or 0) for x in numbered.where("block is null").agg(F.sum("v"), F.sum("n")).first())
     answers = numbered.where("block is not null").select("block", "bucket", "numbers", "counts")
     answers.groupBy("block").applyInPandas(_published(f"{home}/numbers", "block"), "name string").write.format("noop").mode("overwrite").save()
-    pairs = blocks.mapInPandas(_paired(buckets, known_words, known_tokens, f"{home}/numbers"), _SCHEMA)
-    opened = stored(pairs.groupBy("bucket").applyInPandas(_opened, "bucket int, u binary, w binary, c binary, blocks binary"), "restaurants")
-    restaurants, published, scalars = opened.where("bucket >= 0"), None, (0.0, 0.0, known_words)
-    for turn in range(rounds):
-        up = restaurants.drop("blocks").mapInPandas(_upward(parents, turn, published, scalars), "bucket int, asked_by int, words binary, tables binary")
-        shares = stored(up.groupBy("bucket").applyInPandas(_parent(turn, parents, known_words), "to int, bucket int, share binary, tables double, customers double"), "shares")
-        tables, customers = (float(x or 0) for x in shares.agg(F.sum("tables"), F.sum("customers")).first())
-        published, scalars = f"{home}/round-{turn}", (tables, customers, known_words)
-        shares.where("to >= 0").select("to", "bucket", "share").groupBy("to").applyInPandas(_published(published, "to"), "name string").write.format("noop").mode("overwrite").save()
-    sums = restaurants.mapInPandas(_scored(parents, published, scalars), "block string, doc binary, sums binary")
-    of = opened.where("bucket < 0").select("blocks").mapInPandas(_documents, "block string, docs binary")
-    every = sums.withColumn("docs", F.lit(None).cast("binary")).unionByName(of, allowMissingColumns=True)
-    out = every.groupBy("block").applyInPandas(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    pairs = blocks.drop("n").mapInPandas(_paired(parents, buckets, bucket_tokens, known_words, known_tokens, f"{home}/numbers"), "of_docs boolean, bucket int, block string, u binary, w binary, c binary, at binary, docs binary")
+    pairs = stored(pairs, "pairs", "of_docs")
+    # a number of partitions of its own: packed rows are few bytes and much work
+    opened = pairs.where("not of_docs").select("bucket", "block", "u", "w", "c").repartition(tasks, "bucket").groupBy("bucket")
+    restaurants = stored(opened.applyInPandas(_opened, "bucket int, u binary, w binary, c binary, blocks binary"), "restaurants")
+    sweeps, x = Sweeps(home, parents, known_words), None
+    for turn in range(burn + samples):
+        up = restaurants.drop("blocks").mapInPandas(_upward(sweeps, turn), "bucket int, asked_by int, words binary, seats binary, contexts binary, tables binary, customers binary")
+        shares = stored(up.groupBy("bucket").applyInPandas(_parent(turn, x, known_words), "to int, bucket int, share binary, tables binary, customers binary, all_tables long, all_customers long"), "shares")
+        sums = tuple(int(v or 0) for v in shares.agg(F.sum("all_tables"), F.sum("all_customers")).first())
+        x = float(gammas(np.array([PARENT_STRENGTH / DISCOUNT + sums[0]]), np.array([SEED], np.uint64), turn)[0])
+        shares.where("to >= 0").select("to", "bucket", "share", "tables", "customers").groupBy("to").applyInPandas(_published(sweeps.folder(turn), "to"), "name string").write.format("noop").mode("overwrite").save()
+        sweeps.scalars.append(sums)
+    logs = restaurants.mapInPandas(_scored(sweeps, range(burn, burn + samples)), "block string, bucket int, logs binary")
+    of_docs = pairs.where("of_docs").select("block", "at", "docs")
+    out = of_docs.groupBy("block").cogroup(logs.groupBy("block")).applyInPandas(_added, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield pd.DataFrame([pickle.loads(x) for x in frame["blocks"]], columns=["block", "docs"])
-
-
 def perplexity(scores: DataFrame, score: str = "score") -> DataFrame:
     """``held_out, n_tokens, perplexity`` over the documents of ``scored``."""
     sums = scores.groupBy("held_out").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(score).alias("s"))

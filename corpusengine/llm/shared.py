@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset and Spark runs in this one process."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -30,8 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows through a Parquet table in the shared folder, for what is too wide for ``cut``."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The rows through a Parquet table in the shared folder, in folders by the columns named, for what is too wide for ``cut``."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Plain versions of the operators' rules, for small inputs."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -52,6 +53,53 @@ def unigrams(rows):
     return [(i, h, len(ws), sum(c[w] > 0 for w in ws), score(ws)) for (i, _), ws, h in zip(rows, tokens, held, strict=True)], n
 
 
+def interpolated(rows):
+    """The log10 probability of all held-out texts by 0.7 of the bigram's share and 0.3 of the smoothed word's."""
+    pairs, words_, score = Counter(), Counter(), 0.0
+    texts = [(i is not None and zlib.crc32(str(i).encode()) % 5 == 1, [*words(t), "\0"]) for i, t in rows]
+    for held, w in texts:
+        if not held:
+            words_.update(w)
+            pairs.update(zip(["\0", *w], w, strict=False))
+    n, v = sum(words_.values()), len(words_)
+    for held, w in texts:
+        if held:
+            for a, b in zip(["\0", *w], w, strict=False):
+                p = (words_[b] + 0.5) / (n + 0.5 * (v + 1))
+                score += math.log10(0.7 * pairs[a, b] / words_[a] + 0.3 * p if words_[a] else p)
+    return score
+
+
+def tables(c, a, discount):
+    """Chances of 1 to c tables, of weight S(c, t) * a**t, by the recurrence of S."""
+    weights = [1.0]
+    for n in range(1, c):
+        weights = [((n - discount * (t + 1)) * weights[t] if t < n else 0) + (a * weights[t - 1] if t else 0) for t in range(n + 1)]
+        weights = [w / max(weights) for w in weights]
+    return [w / sum(weights) for w in weights]
+
+
+def seated(customers, parent, strength, discount, sweeps):
+    """Mean tables of each dish of one restaurant, whose customers leave their tables and choose anew one after another."""
+    rng = random.Random(3)
+    dishes, means = [[1] * c for c in customers], [0.0] * len(customers)
+    for sweep in range(sweeps):
+        for d, tables_ in enumerate(dishes):
+            for _ in range(customers[d]):
+                left = rng.choices(range(len(tables_)), tables_)[0]
+                tables_[left] -= 1
+                if not tables_[left]:
+                    tables_.pop(left)
+                new = (strength + discount * sum(map(len, dishes))) * parent[d]
+                to = rng.choices(range(len(tables_) + 1), [*(n - discount for n in tables_), new])[0]
+                if to == len(tables_):
+                    tables_.append(0)
+                tables_[to] += 1
+        if sweep >= 100:
+            means = [m + len(t) / (sweeps - 100) for m, t in zip(means, dishes, strict=True)]
+    return means
+
+
 def repeated_windows(docs, n):
     """Of each document the starts of n-word windows that a lesser document has too."""
     seen, out = {}, {}

@@ -77,43 +77,64 @@ def test_checkpoint_folder_is_the_session_s(spark):
 # ---- 1
 
 
+def _chat(n, seed=0):
+    rng = np.random.default_rng(seed)
+    return [(i, " ".join(f"{'abcdefgh'[j % 8]}{(j * 7 + int(rng.integers(2))) % 20}" for j in range(int(rng.integers(5, 60)))), "s") for i in range(n)]
+
+
 def test_language_model_counts_and_gain(spark):
-    rng = np.random.default_rng(0)
-    rows = [(i, " ".join(f"{'abcdefgh'[j % 8]}{(j * 7 + int(rng.integers(2))) % 20}" for j in range(int(rng.integers(5, 60)))), "s") for i in range(300)]
+    rows = _chat(300)
     df = hpylm.scored(frame(spark, rows)).toPandas().sort_values("doc_id")
     want, n = brute.unigrams([(i, t) for i, t, _ in rows])
     assert [tuple(r) for r in df[["doc_id", "held_out", "n_tokens", "n_known"]].itertuples(index=False)] == [w[:4] for w in want]
     assert np.allclose(df["base_score"], [w[4] for w in want]) and set(df["train_tokens"]) == {n}
     held = df[df["held_out"]]
     assert held["score"].sum() > held["base_score"].sum()
+    assert held["score"].sum() > brute.interpolated([(i, t) for i, t, _ in rows])
     assert got(hpylm.perplexity(spark.createDataFrame(df)), "held_out", "perplexity")
-    again = hpylm.scored(frame(spark, rows)).toPandas().sort_values("doc_id")
-    assert np.allclose(df["score"], again["score"], atol=2)
+
+
+def test_language_model_does_not_depend_on_how_it_is_dealt_out(spark):
+    docs, scores = frame(spark, _chat(200, 1)), []
+    for partitions, tokens in (("4", hpylm.BUCKET_TOKENS), ("4", hpylm.BUCKET_TOKENS), ("16", hpylm.BUCKET_TOKENS), ("4", 300)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        scores.append(hpylm.scored(docs.repartition(int(partitions) - 1), bucket_tokens=tokens).toPandas().sort_values("doc_id")["score"].to_numpy())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(np.allclose(scores[0], s, rtol=0, atol=1e-9) for s in scores[1:])
 
 
 def test_language_model_probabilities_sum_to_one():
     parent = np.array([0.5, 0.3, 0.15])  # the rest is the unknown word's
-    c = np.array([5, 3, 0])
-    row = pd.Series({"u": hpylm.pack(np.zeros(3, np.uint64)), "w": hpylm.pack(np.arange(3, dtype=np.uint64)), "c": hpylm.pack(c.astype(np.uint64))})
-    r = hpylm.Restaurants(row)
-    r.reseat(parent, np.random.default_rng(1))
-    assert ((r.t >= (c > 0)) & (r.t <= c)).all()
-    rest = (hpylm.STRENGTH + hpylm.DISCOUNT * r.t.sum()) * (1 - parent.sum()) / (hpylm.STRENGTH + c.sum())
-    assert r.probabilities(parent).sum() + rest == pytest.approx(1)
+    r = hpylm.Restaurants(np.zeros(3, np.uint64), np.arange(3, dtype=np.uint64), np.array([5, 3, 0]))
+    t = r.seated(1, np.array([2]), parent)
+    assert ((t >= (r.c > 0)) & (t <= r.c)).all()
+    rest = (hpylm.STRENGTH + hpylm.DISCOUNT * t.sum()) * (1 - parent.sum()) / (hpylm.STRENGTH + 8)
+    assert r.probabilities(t, np.array([t.sum()]), np.array([8]), parent).sum() + rest == pytest.approx(1)
+
+
+def test_seating_against_customers_who_move_one_by_one():
+    c, parent, sweeps = np.array([20, 6, 1]), np.array([0.3, 0.05, 0.02]), 6000
+    r, before, means = hpylm.Restaurants(np.zeros(3, np.uint64), np.arange(3, dtype=np.uint64), c), 3, np.zeros(3)
+    for turn in range(1, sweeps):
+        t = r.seated(turn, np.array([before]), parent)
+        before, means = t.sum(), means + t / (sweeps - 1)
+    assert means == pytest.approx(brute.seated(c.tolist(), parent.tolist(), hpylm.STRENGTH, hpylm.DISCOUNT, 6000), rel=0.04)
 
 
-def test_seating_of_many_customers():
-    t = hpylm.seated(np.full(2000, 3000), np.full(2000, 5.0), 0.5, np.random.default_rng(0))
-    # the expected tables of a two-parameter process with the discount taken from joining alone
-    mean, expected = t.mean(), 1.0
-    for i in range(1, 3000):
-        expected += 5.0 / (5.0 + i - 0.5 * expected)
-    assert mean == pytest.approx(expected, rel=0.05)
+def test_tables_of_many_customers():
+    u = hpylm.uniforms(np.arange(4000, dtype=np.uint64), 1, 0)
+    for c, a in ((40, 0.2), (300, 5.0), (900, 400.0)):
+        weights = brute.tables(c, a, hpylm.DISCOUNT)
+        assert hpylm.tables(np.full(4000, c), np.full(4000, a), u).mean() == pytest.approx(sum(t * w for t, w in enumerate(weights, 1)), rel=0.03)
+    few, all_ = hpylm.tables(np.array([10**10, 10**6]), np.array([1e-9, 1e15]), np.array([0.5, 0.5]))
+    assert few == 1 and all_ == 10**6
 
 
 def test_language_model_hard(spark, hard, none):
     assert sorted(x[0] for x in got(hpylm.scored(hard), "n_tokens")) == [1, 1, 1, 1, 3, 5, 6, 6, 6, 80001, 80001]
     assert hpylm.scored(none).count() == 0
+    untrained = frame(spark, [(i, "a b", "s") for i in range(200)]).where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")
+    assert set(got(hpylm.scored(untrained), "n_known", "train_tokens", "score")) == {(0, 0, 0.0)}
 
 
 # ---- 2
