@@ -31,14 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, stored
+from .shared import discarded, new_folder, release, stored
 from .store import filesystem
 from .words import batches, mix, tokenise
 
 #: The discount of all restaurants, at which tables have a closed form; the strengths of contexts and of the parent.
 DISCOUNT, STRENGTH, PARENT_STRENGTH = 0.5, 2.0, 10.0
 #: Sweeps that only warm up, and sweeps whose probabilities are averaged.
-BURN, SAMPLES, SEED = 4, 3, 1
+BURN, SAMPLES, SEED = 3, 3, 1
 #: Bytes of text in a block; tokens that a bucket of pairs is meant to have: a context with over half as many is dealt to several.
 BLOCK_BYTES, BUCKET_TOKENS = 5_000_000, 1_000_000
 _END = mix(np.array([0x656E64], np.uint64))[0]
@@ -117,23 +117,40 @@ def tables(c: np.ndarray, a: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 class Restaurants:
-    """A bucket's cells (context, word) that are trained on or asked for, in order, with c customers each."""
+    """A bucket's cells (context, word) that are trained on or asked for, in order, with c customers each.
 
-    def __init__(self, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> None:
-        self.c = c
-        new = np.concatenate([[True], u[1:] != u[:-1]])[: len(u)]
-        self.contexts, self.context = u[new], np.cumsum(new) - 1
-        self.words, self.word = np.unique(w, return_inverse=True)
-        self.key = mix(u * _ODD + w)
+    ``contexts`` has ``sizes`` cells each; ``word`` is the place of a cell's word in ``words``, which are in the order of the buckets they come from.
+    """
+
+    def __init__(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, word: np.ndarray, c: np.ndarray) -> None:
+        self.contexts, self.sizes, self.words, self.word, self.c = contexts, sizes, words, word, c
+        self.context = np.repeat(np.arange(len(contexts)), sizes)
+        self.many = np.flatnonzero(c > 1)
+        self.key = mix(contexts[self.context[self.many]] * _ODD + words[word[self.many]])
+
+    @classmethod
+    def made(cls, u: np.ndarray, w: np.ndarray, c: np.ndarray, parents: int = 1) -> Restaurants:
+        """From cells in the order of context and word."""
+        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])[: len(u)])
+        words, word = np.unique(w, return_inverse=True)
+        order = np.argsort(words % np.uint64(parents), kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        return cls(u[first], np.diff(first, append=len(u)), words[order], place[word], c)
 
     @classmethod
     def of(cls, row) -> Restaurants:  # noqa: ANN001
-        return cls(np.cumsum(unpack(row.u, "<u8")), unpack(row.w, "<u8"), unpack(row.c, "<u8").astype(np.int64))
+        return cls(np.cumsum(unpack(row.contexts, "<u8")), unpack(row.sizes, "<u4"), unpack(row.words, "<u8"), unpack(row.word, "<u4"), unpack(row.c, "<u8").astype(np.int64))
+
+    def row(self) -> dict[str, bytes]:
+        return {"contexts": pack(np.diff(self.contexts, prepend=np.uint64(0))), "sizes": pack(self.sizes.astype(np.uint32)), "words": pack(self.words), "word": pack(self.word.astype(np.uint32)), "c": pack(self.c.astype(np.uint64))}
 
     def seated(self, turn: int, before: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """Tables of each cell after a sweep, given all tables of each context before it and the parent's probability of each word."""
         x = gammas(STRENGTH / DISCOUNT + before, mix(self.contexts), turn)
-        return tables(self.c, DISCOUNT * x[self.context] * parent[self.word], uniforms(self.key, turn, 0))
+        t = np.minimum(self.c, 1)
+        t[self.many] = tables(self.c[self.many], DISCOUNT * x[self.context[self.many]] * parent[self.word[self.many]], uniforms(self.key, turn, 0))
+        return t
 
     def probabilities(self, t: np.ndarray, all_tables: np.ndarray, customers: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """Of each cell's word after its context."""
@@ -249,21 +266,24 @@ def _paired(parents: int, buckets: int, per_bucket: int, known_words: int, known
     return run
 
 
-def _opened(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's pairs of all blocks as one row: its cells (context, word, customers), and of each block the cells it has."""
-    sent = [(row.block, np.cumsum(unpack(row.u, "<u8")), unpack(row.w, "<u8"), unpack(row.c, "<u4")) for row in pdf.itertuples()]
-    u, w, c = (np.concatenate([x[i] for x in sent]) for i in (1, 2, 3))
-    order = np.lexsort((w, u))
-    u, w = u[order], w[order]
-    new = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-    cell = np.empty(len(u), np.int64)
-    cell[order] = np.cumsum(new) - 1
-    learned, blocks, begin = np.bincount(cell, c).astype(np.uint64), [], 0
-    for block, uu, _, _ in sent:
-        own = cell[begin : begin + len(uu)]
-        begin += len(uu)
-        blocks.append((block, pack(np.diff(own, prepend=0).astype(np.uint32))))
-    return pd.DataFrame({"bucket": [int(pdf["bucket"].iat[0])], "u": [pack(np.diff(u[new], prepend=np.uint64(0)))], "w": [pack(w[new])], "c": [pack(learned)], "blocks": [pickle.dumps(blocks)]})
+def _opened(parents: int):  # noqa: ANN202
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's pairs of all blocks as one row: its restaurants, and of each block the cells it has."""
+        sent = [(row.block, np.cumsum(unpack(row.u, "<u8")), unpack(row.w, "<u8"), unpack(row.c, "<u4")) for row in pdf.itertuples()]
+        u, w, c = (np.concatenate([x[i] for x in sent]) for i in (1, 2, 3))
+        order = np.lexsort((w, u))
+        u, w = u[order], w[order]
+        new = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+        cell = np.empty(len(u), np.int64)
+        cell[order] = np.cumsum(new) - 1
+        r, blocks, begin = Restaurants.made(u[new], w[new], np.bincount(cell, c), parents), [], 0
+        for block, uu, _, _ in sent:
+            own = cell[begin : begin + len(uu)]
+            begin += len(uu)
+            blocks.append((block, pack(np.diff(own, prepend=0).astype(np.uint32))))
+        return pd.DataFrame([{"bucket": int(pdf["bucket"].iat[0]), **r.row(), "blocks": pickle.dumps(blocks)}])
+
+    return run
 
 
 # ---- sweeps
@@ -296,36 +316,33 @@ class Sweeps:
         all_tables, all_customers = self.scalars[turn]
         fs, path = filesystem(f"{self.folder(turn)}/{bucket}")
         share, seats, customers = np.zeros(len(r.words)), np.zeros(len(r.contexts)), np.zeros(len(r.contexts))
-        of_word, of_context = self.parts(r)
         with fs.open_input_stream(path, compression=None) as f:
-            for b, shares, t, c in pickle.loads(f.read()):
-                share[of_word == b], own = unpack(shares, "<f8"), of_context == b
-                seats[own], customers[own] = unpack(t, "<u8"), unpack(c, "<u8")
+            answers = {b: rest for b, *rest in pickle.loads(f.read())}
+        for b, p, q in self.parts(r):
+            share[p], seats[q], customers[q] = (unpack(x, kind) for x, kind in zip(answers[b], ("<f8", "<u8", "<u8"), strict=True))
         return (share + (PARENT_STRENGTH + DISCOUNT * all_tables) / (self.known_words + 1)) / (PARENT_STRENGTH + all_customers), seats, customers
 
-    def parts(self, r: Restaurants) -> tuple[np.ndarray, np.ndarray]:
-        return tuple((x % np.uint64(self.parents)).astype(np.int64) for x in (r.words, r.contexts))
-
-    def seated(self, turn: int, bucket: int, r: Restaurants) -> np.ndarray:
-        """Tables of a bucket's cells after a sweep; at first each dish has one."""
-        if not turn:
-            return np.minimum(r.c, 1)
-        parent, before, _ = self.read(turn - 1, bucket, r)
-        return r.seated(turn, before, parent)
+    def parts(self, r: Restaurants) -> Iterator[tuple[int, slice, np.ndarray]]:
+        """Buckets of words, and which words and contexts each has."""
+        of_word, of_context = ((x % np.uint64(self.parents)).astype(np.int64) for x in (r.words, r.contexts))
+        order = np.argsort(of_context, kind="stable")
+        ends = [np.searchsorted(x, np.arange(self.parents + 1)).tolist() for x in (of_word, of_context[order])]
+        for b in range(self.parents):
+            p, q = slice(*ends[0][b : b + 2]), order[ends[1][b] : ends[1][b + 1]]
+            if p.start < p.stop or len(q):
+                yield b, p, q
 
 
 def _upward(sweeps: Sweeps, turn: int):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Tables of each word and context in a bucket's restaurants after a sweep, to the buckets of words."""
+        """Tables of each word and context in a bucket's restaurants after a sweep, to the buckets of words; at first each dish has one."""
         for row in (row for frame in frames for row in frame.itertuples(index=False)):
-            r = Restaurants.of(row)
-            t = sweeps.seated(turn, int(row.bucket), r)
-            sums = [np.bincount(at, x, n).astype(np.uint64) for at, x, n in ((r.word, t, len(r.words)), (r.context, t, len(r.contexts)), (r.context, r.c, len(r.contexts)))]
-            of_word, of_context = sweeps.parts(r)
-            rows = []
-            for b in np.union1d(of_word, of_context).tolist():
-                p, q = np.flatnonzero(of_word == b), np.flatnonzero(of_context == b)
-                rows.append((b, int(row.bucket), *map(pack, (r.words[p], sums[0][p], r.contexts[q], sums[1][q], sums[2][q]))))
+            bucket, r = int(row.bucket), Restaurants.of(row)
+            if turn:
+                parent, before, _ = sweeps.read(turn - 1, bucket, r)
+            t = r.seated(turn, before, parent) if turn else np.minimum(r.c, 1)
+            seats, tables_, customers = (np.bincount(at, x, n).astype(np.uint64) for at, x, n in ((r.word, t, len(r.words)), (r.context, t, len(r.contexts)), (r.context, r.c, len(r.contexts))))
+            rows = [(b, bucket, *map(pack, (r.words[p], seats[p], r.contexts[q], tables_[q], customers[q]))) for b, p, q in sweeps.parts(r)]
             yield pd.DataFrame(rows, columns=["bucket", "asked_by", "words", "seats", "contexts", "tables", "customers"])
 
     return run
@@ -360,10 +377,11 @@ def _scored(sweeps: Sweeps, kept: range):  # noqa: ANN202
         """log10 of the mean probability of a bucket's pairs, for each block that has them."""
         for row in (row for frame in frames for row in frame.itertuples(index=False)):
             bucket, r = int(row.bucket), Restaurants.of(row)
-            mean = np.zeros(len(r.c))
+            mean, (parent, before, _) = np.zeros(len(r.c)), sweeps.read(kept[0] - 1, bucket, r)
             for turn in kept:
-                parent, seats, customers = sweeps.read(turn, bucket, r)
-                mean += r.probabilities(sweeps.seated(turn, bucket, r), seats, customers, parent) / len(kept)
+                t = r.seated(turn, before, parent)  # the sweep's numbers once more
+                parent, before, customers = sweeps.read(turn, bucket, r)
+                mean += r.probabilities(t, before, customers, parent) / len(kept)
             logs = np.log10(mean)
             for block, cells in pickle.loads(row.blocks):
                 yield pd.DataFrame({"block": [block], "bucket": [bucket], "logs": [pack(logs[np.cumsum(unpack(cells, "<u4").astype(np.int64))])]})
@@ -404,7 +422,9 @@ def scored(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, bucket_tok
     pairs = stored(pairs, "pairs", "of_docs")
     # a number of partitions of its own: packed rows are few bytes and much work
     opened = pairs.where("not of_docs").select("bucket", "block", "u", "w", "c").repartition(tasks, "bucket").groupBy("bucket")
-    restaurants = stored(opened.applyInPandas(_opened, "bucket int, u binary, w binary, c binary, blocks binary"), "restaurants")
+    restaurants = stored(opened.applyInPandas(_opened(parents), "bucket int, contexts binary, sizes binary, words binary, word binary, c binary, blocks binary"), "restaurants")
+    discarded(blocks, numbered, f"{home}/numbers")
+    release(spark)
     sweeps, x = Sweeps(home, parents, known_words), None
     for turn in range(burn + samples):
         up = restaurants.drop("blocks").mapInPandas(_upward(sweeps, turn), "bucket int, asked_by int, words binary, seats binary, contexts binary, tables binary, customers binary")
@@ -413,6 +433,8 @@ def scored(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, bucket_tok
         x = float(gammas(np.array([PARENT_STRENGTH / DISCOUNT + sums[0]]), np.array([SEED], np.uint64), turn)[0])
         shares.where("to >= 0").select("to", "bucket", "share", "tables", "customers").groupBy("to").applyInPandas(_published(sweeps.folder(turn), "to"), "name string").write.format("noop").mode("overwrite").save()
         sweeps.scalars.append(sums)
+        discarded(shares, *([sweeps.folder(turn - 1)] if 0 < turn < burn else []))
+        release(spark)
     logs = restaurants.mapInPandas(_scored(sweeps, range(burn, burn + samples)), "block string, bucket int, logs binary")
     of_docs = pairs.where("of_docs").select("block", "at", "docs")
     out = of_docs.groupBy("block").cogroup(logs.groupBy("block")).applyInPandas(_added, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import filesystem
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset and Spark runs in this one process."""
@@ -37,3 +39,16 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(*tables: DataFrame | str) -> None:
+    """Removes stored tables and folders that nothing reads any more, as all that follows from them is stored."""
+    for table in tables:
+        for path in [table] if isinstance(table, str) else {f.rpartition("/")[0] for f in table.inputFiles()}:
+            fs, at = filesystem(f"{path}/x")
+            fs.delete_dir(at.rpartition("/")[0])
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of what is stored by now, which it does when it collects garbage."""
+    spark.sparkContext._jvm.System.gc()

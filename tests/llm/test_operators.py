@@ -105,7 +105,7 @@ def test_language_model_does_not_depend_on_how_it_is_dealt_out(spark):
 
 def test_language_model_probabilities_sum_to_one():
     parent = np.array([0.5, 0.3, 0.15])  # the rest is the unknown word's
-    r = hpylm.Restaurants(np.zeros(3, np.uint64), np.arange(3, dtype=np.uint64), np.array([5, 3, 0]))
+    r = hpylm.Restaurants.made(np.zeros(3, np.uint64), np.arange(3, dtype=np.uint64), np.array([5, 3, 0]))
     t = r.seated(1, np.array([2]), parent)
     assert ((t >= (r.c > 0)) & (t <= r.c)).all()
     rest = (hpylm.STRENGTH + hpylm.DISCOUNT * t.sum()) * (1 - parent.sum()) / (hpylm.STRENGTH + 8)
@@ -114,7 +114,7 @@ def test_language_model_probabilities_sum_to_one():
 
 def test_seating_against_customers_who_move_one_by_one():
     c, parent, sweeps = np.array([20, 6, 1]), np.array([0.3, 0.05, 0.02]), 6000
-    r, before, means = hpylm.Restaurants(np.zeros(3, np.uint64), np.arange(3, dtype=np.uint64), c), 3, np.zeros(3)
+    r, before, means = hpylm.Restaurants.made(np.zeros(3, np.uint64), np.arange(3, dtype=np.uint64), c), 3, np.zeros(3)
     for turn in range(1, sweeps):
         t = r.seated(turn, np.array([before]), parent)
         before, means = t.sum(), means + t / (sweeps - 1)
