@@ -41,6 +41,8 @@ DISCOUNT, STRENGTH, PARENT_STRENGTH = 0.5, 2.0, 10.0
 BURN, SAMPLES, SEED = 3, 3, 1
 #: Bytes of text in a block; tokens that a bucket of pairs is meant to have: a context with over half as many is dealt to several.
 BLOCK_BYTES, BUCKET_TOKENS = 5_000_000, 1_000_000
+#: Logarithms of pairs travel as multiples of 2 ** -36 (7e-12 at most from the double), which have five bytes and add up the same in any order.
+FIXED = float(1 << 36)
 _END = mix(np.array([0x656E64], np.uint64))[0]
 _DOCS = np.dtype([("id", "<i8"), ("null", "?"), ("held", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -374,7 +376,7 @@ def _parent(turn: int, x: float | None, known_words: int):  # noqa: ANN202
 
 def _scored(sweeps: Sweeps, kept: range):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """log10 of the mean probability of a bucket's pairs, for each block that has them."""
+        """-log10 of the mean probability of a bucket's pairs in fixed point, for each block that has them."""
         for row in (row for frame in frames for row in frame.itertuples(index=False)):
             bucket, r = int(row.bucket), Restaurants.of(row)
             mean, (parent, before, _) = np.zeros(len(r.c)), sweeps.read(kept[0] - 1, bucket, r)
@@ -382,7 +384,7 @@ def _scored(sweeps: Sweeps, kept: range):  # noqa: ANN202
                 t = r.seated(turn, before, parent)  # the sweep's numbers once more
                 parent, before, customers = sweeps.read(turn, bucket, r)
                 mean += r.probabilities(t, before, customers, parent) / len(kept)
-            logs = np.log10(mean)
+            logs = np.round(np.log10(mean) * -FIXED).astype(np.uint64)
             for block, cells in pickle.loads(row.blocks):
                 yield pd.DataFrame({"block": [block], "bucket": [bucket], "logs": [pack(logs[np.cumsum(unpack(cells, "<u4").astype(np.int64))])]})
 
@@ -392,8 +394,8 @@ def _scored(sweeps: Sweeps, kept: range):  # noqa: ANN202
 def _added(own: pd.DataFrame, logs: pd.DataFrame) -> pd.DataFrame:
     """A block's documents with the sums over their tokens; buckets stand in the order of the block's pairs."""
     docs, at = unpack(own["docs"].iat[0], _DOCS), unpack(own["at"].iat[0], "<u4")
-    every = np.concatenate([unpack(x, "<f8") for x in logs.sort_values("bucket")["logs"]])
-    score = np.add.reduceat(every[at], np.concatenate([[0], np.cumsum(docs["tokens"])])[:-1])
+    every = np.concatenate([unpack(x, "<u8") for x in logs.sort_values("bucket")["logs"]]).astype(np.int64)
+    score = np.add.reduceat(every[at], np.concatenate([[0], np.cumsum(docs["tokens"])])[:-1]) / -FIXED
     ids = pd.array(docs["id"], "Int64")
     ids[docs["null"]] = pd.NA
     return pd.DataFrame({"doc_id": ids, "held_out": docs["held"], "n_tokens": docs["tokens"], "n_known": docs["known"], "base_score": docs["base"], "score": score})
