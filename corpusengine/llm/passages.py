@@ -2,108 +2,89 @@
 
 Exact copies are found by windows of 51 words, wherever they stand and whatever the lines. Every window names the rightmost least of its
 26-word grams, so equal windows name equal grams. Windows whose gram several documents name are hashed whole, and the least
-document that has a window keeps it; no stretch of over 50 words is missed.
+document that has a window keeps it; no stretch of over 50 words is missed. Both texts of a stretch are compared before it is reported.
 
-Near copies are found by paragraphs. A paragraph is a line, or a stretch of lines of fewer than LEAST words each. Equal paragraphs are
-one node. Nodes that share the least hash of their five-word shingles under one of several permutations are compared by exact
-Jaccard, and links make components. In a component the paragraph of the least document stays. Fragments between words whose hash is the least of
-their neighbourhood find exact copies with small gaps in the middle of lines. Copies that follow each other are joined to
-passages, widened word by word as long as both texts agree, and removed if they are long enough.
-
-Paragraphs travel as packed arrays, a row for each bucket of hashes and batch of texts, and are sorted in numpy.
+Near copies are found by paragraphs. A paragraph is a line, or a stretch of lines of fewer than SHORT words each. Equal paragraphs are
+one node. Nodes that agree on one of several bands of least hashes of their five-word shingles are compared by the exact
+Jaccard of their words, and links make components, in which the paragraph of the least document stays. Copied paragraphs that follow
+each other without a word between, here and where they are kept, are one passage, and removed if they are long enough. So no word is
+removed that was not compared.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, stored
-from .words import Words, batches, mix, power, shingles, tokenise
+from .shared import cut, discarded, release, stored
+from .words import Words, batches, mix, power, shingles, spaced, tokenise
 
 SHINGLE, JACCARD = 5, 0.8
-#: Words to either side among which a cut is the least; words that a paragraph needs to be compared.
-REACH, LEAST = 7, 8
-#: Bands of one row each: a pair at just JACCARD is met with a chance of 1 - 0.2 ** BANDS.
-BANDS = 3
-#: Words of a repeated passage that is removed; words between two copied stretches that are taken with them; words that are compared on either side.
-PASSAGE, GAP, CONTEXT = 50, 16, 64
+#: The chance that two paragraphs of just the wanted Jaccard agree on some band; the least hashes in a band.
+RECALL, ROWS = 0.99, 3
+#: Lines of fewer words are one paragraph with such lines that follow.
+SHORT = 8
+#: A repeated passage is removed if it has more words.
+PASSAGE = 50
 #: Paragraphs of a group of candidates that meet in one task with as many others; buckets of packed rows for each shuffle partition.
 TILE, BUCKETS = 2048, 2
-#: Paragraphs that a task holds before it packs them; about 4 MB of text.
-HELD = 50_000
+#: Words of text that a task holds before it packs what it found.
+HELD = 600_000
 #: Words of the grams that windows of PASSAGE + 1 words are sampled by; windows that a task holds before it packs them.
 GRAM, WINDOWS = 26, 200_000
 _NO_ID = np.iinfo(np.int64).max
-_SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-_PLACE = np.dtype([("node", "<u8"), ("dk", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("line", "?")])
-_BAND = np.dtype([("key", "<u8"), ("node", "<u8"), ("dk", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _ANCHOR = np.dtype([("key", "<u8"), ("dk", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _WINDOW = np.dtype([("key", "<u8"), ("dk", "<i8"), ("doc", "<i8"), ("start", "<i4")])
 
 
+def bands(jaccard: float = JACCARD, recall: float = RECALL, rows: int = ROWS) -> int:
+    """Bands of so many least hashes each that paragraphs of the Jaccard given agree on one with the chance given."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - jaccard**rows))
+
+
 def _lines(w: Words) -> np.ndarray:
     """The line that each word stands in."""
     return np.concatenate([[0], np.cumsum(w.buf == 10)])[w.start]
 
 
 def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word (in all of ``w``) and number of words of every paragraph: a line, or lines of fewer than LEAST words that follow each other."""
+    """Text, first word (in all of ``w``) and number of words of every paragraph: a line, or lines of fewer than SHORT words that follow each other."""
     n = len(w.hash)
     if not n:
         return (np.zeros(0, np.int64),) * 3
     doc, first = w.doc, np.flatnonzero(np.diff(_lines(w), prepend=-1))
-    short = np.diff(first, append=n) < LEAST
+    short = np.diff(first, append=n) < SHORT
     joined = np.concatenate([[False], short[1:] & short[:-1] & (doc[first[1:]] == doc[first[:-1]])])
     first = first[~joined]
     return doc[first], first, np.diff(first, append=n)
 
 
-def fragments(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word (in all of ``w``) and number of words of every stretch between cuts by lines and by content."""
-    n = len(w.hash)
-    if not n:
-        return (np.zeros(0, np.int64),) * 3
-    doc = w.doc
-    opens = np.diff(doc, prepend=-1) != 0
-    # pairs of words, as single words are too common to be told apart
-    h = mix(w.hash * np.uint64(3) + np.where(opens, np.uint64(0), np.concatenate([[np.uint64(0)], w.hash[:-1]])))
-    at = np.arange(n) + (doc + 1) * REACH  # texts stand apart, so that none is cut by what another says
-    padded = np.full(n + (len(w.first) + 1) * REACH, np.iinfo(np.uint64).max)
-    padded[at] = h
-    low = padded[: len(padded) - 2 * REACH].copy()
-    for j in range(1, 2 * REACH + 1):
-        if j != REACH:
-            np.minimum(low, padded[j : j + len(low)], out=low)
-    low = low[at - REACH]
-    is_cut = (h < low) | (np.diff(_lines(w), prepend=-1) != 0) | opens
-    first = np.flatnonzero(is_cut)
-    return doc[first], first, np.diff(first, append=n)
-
-
-def _minima(w: Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Per paragraph of LEAST words or more its least shingle hash under each permutation."""
+def _keys(w: Words, first: np.ndarray, n: np.ndarray, count: int) -> np.ndarray:
+    """Keys (paragraphs, count) of the bands of paragraphs of SHINGLE words or more."""
     sh = shingles(w.hash, SHINGLE)
     ends = np.stack([first, first + n - SHINGLE + 1], 1).ravel()
     ends = ends[:-1] if len(ends) and ends[-1] >= len(sh) else ends
-    out = []
-    for salt in _SALTS:
-        out.append(np.minimum.reduceat(mix(sh ^ salt), ends)[::2] if len(ends) else np.zeros(0, np.uint64))
-    return np.stack(out, 1)
+    keys = np.zeros((len(first), count), np.uint64)
+    if len(ends):
+        for k, odd in enumerate(mix(np.arange(1, count * ROWS + 1, dtype=np.uint64)) | np.uint64(1)):
+            keys[:, k // ROWS] = mix(keys[:, k // ROWS] ^ np.minimum.reduceat(sh * odd, ends)[::2])
+    return mix(keys ^ np.arange(count, dtype=np.uint64)[None, :])
 
 
-def _pack(kind: str, records: np.ndarray, column: str, buckets: int) -> pd.DataFrame:
-    bucket = (records[column] >> np.uint64(33)).astype(np.int64) % buckets
+def _pack(records: np.ndarray, buckets: int) -> pd.DataFrame:
+    bucket = (records["key"] >> np.uint64(33)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    rows = [(kind, int(bucket[part[0]]), records[part].tobytes()) for part in np.split(order, cuts[1:]) if len(part)]
+    rows = [("anchor", int(bucket[part[0]]), records[part].tobytes()) for part in np.split(order, cuts[1:]) if len(part)]
     return pd.DataFrame(rows, columns=["kind", "bucket", "data"])
 
 
@@ -131,27 +112,6 @@ def sampled(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return doc[s], s - w.first[doc[s]], np.diff(first, append=len(start)), low[s]
 
 
-def _described(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places of the paragraphs and fragments of some texts that are compared, the minima of the paragraphs, which come first, and the sampled grams."""
-    w = tokenise(frame["text"])
-    dk, ids = frame["dk"].to_numpy(np.int64), frame["id"].to_numpy(np.int64)
-    units, minima = [], np.zeros((0, BANDS), np.uint64)
-    for line, (doc, first, n) in ((True, paragraphs(w)), (False, fragments(w))):
-        long = n >= LEAST
-        doc, first, n = doc[long], first[long], n[long]
-        places = np.zeros(len(doc), _PLACE)
-        for name, value in (("node", _nodes(w, first, n)), ("dk", dk[doc]), ("doc", ids[doc]), ("start", first - w.first[doc]), ("n", n), ("line", line)):
-            places[name] = value
-        units.append(places)
-        if line and len(doc):
-            minima = _minima(w, first, n)
-    doc, start, n, key = sampled(w)
-    anchors = np.zeros(len(doc), _ANCHOR)
-    for name, value in (("key", key), ("dk", dk[doc]), ("start", start), ("n", n)):
-        anchors[name] = value
-    return np.concatenate(units), minima, anchors
-
-
 def _grouped(rows: np.ndarray, by: str, *then: str) -> tuple[np.ndarray, np.ndarray]:
     """The rows in the order of the columns, and the number of each one's group by the first."""
     rows = rows[np.lexsort([rows[c] for c in (*then[::-1], by)])]
@@ -164,53 +124,86 @@ def _several(rows: np.ndarray, group: np.ndarray, other: str) -> np.ndarray:
     return (rows[other][starts] != rows[other][np.append(starts[1:], len(rows)) - 1])[group]
 
 
-def _mapped(buckets: int):  # noqa: ANN202
-    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        places, minima, anchors = (np.concatenate([x[i] for x in held]) for i in range(3))
-        yield _pack("place", places, "node", buckets)
-        lines = np.concatenate([x[0][: len(x[1])] for x in held])
-        _, one = np.unique(lines["node"], return_index=True)
-        bands = np.zeros((len(one), BANDS), _BAND)
-        for k in range(BANDS):
-            bands["key"][:, k] = mix(minima[one, k] + _SALTS[k])
-        for name in ("node", "dk", "start", "n"):
-            bands[name] = lines[name][one][:, None]
-        yield _pack("band", bands.ravel(), "key", buckets)
+_FOUND = "kind string, bucket int, data binary, dk long, doc long, start int, n int, node long, bands array<long>"
+
+
+def _mapped(buckets: int, count: int):  # noqa: ANN202
+    """The paragraphs of some texts, each node's bands once, and packs of sampled grams."""
+
+    def described(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
+        w = tokenise(frame["text"])
+        dk, ids = frame["dk"].to_numpy(np.int64), frame["id"].to_numpy(np.int64)
+        doc, first, n = paragraphs(w)
+        out = pd.DataFrame({"kind": "paragraph", "dk": dk[doc], "doc": ids[doc], "start": first - w.first[doc], "n": n, "node": _nodes(w, first, n).view(np.int64)})
+        long = np.flatnonzero(n >= SHINGLE)
+        keys = _keys(w, first[long], n[long], count).view(np.int64)
+        given = np.full(len(out), None, object)
+        given[long] = list(keys)
+        out["bands"] = given
+        doc, start, n, key = sampled(w)
+        anchors = np.zeros(len(doc), _ANCHOR)
+        for name, value in (("key", key), ("dk", dk[doc]), ("start", start), ("n", n)):
+            anchors[name] = value
+        return out, anchors, len(w.hash)
+
+    def packed(held: list[tuple[pd.DataFrame, np.ndarray, int]]) -> Iterator[pd.DataFrame]:
+        places = pd.concat([x[0] for x in held], ignore_index=True)
+        places.loc[places["node"].duplicated(), "bands"] = None
+        yield places
         # a gram that several documents name here goes on once, so a common one is no more than a row of each pack
-        anchors, group = _grouped(anchors, "key", "dk")
+        anchors, group = _grouped(np.concatenate([x[1] for x in held]), "key", "dk")
         if len(anchors):
             several = _several(anchors, group, "dk")
-            yield _pack("anchor", anchors[~several | (np.diff(group, prepend=-1) != 0)], "key", buckets)
+            yield _pack(anchors[~several | (np.diff(group, prepend=-1) != 0)], buckets)
             hot = anchors[several]
             if len(hot):
                 yield pd.DataFrame({"kind": "hot", "bucket": [int(hot["key"][0] % np.uint64(buckets))], "data": [hot.tobytes()]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[pd.DataFrame, np.ndarray, int]] = []
         for frame in batches(frames):
-            held.append(_described(frame))
-            if sum(len(x[0]) for x in held) >= HELD:
-                yield from packed(held)
+            held.append(described(frame))
+            if sum(x[2] for x in held) >= HELD:
+                yield from map(whole, packed(held))
                 held = []
-        if any(len(x[0]) or len(x[2]) for x in held):
-            yield from packed(held)
+        if any(x[2] for x in held):
+            yield from map(whole, packed(held))
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        return pd.DataFrame({c: frame[c] if c in frame else np.full(len(frame), None, object) for c in names})
 
     return run
 
 
 def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket the places or sampled grams whose node or gram is in several documents, or the rows whose key has several nodes."""
-    kind = pdf["kind"].iat[0]
-    rows = np.frombuffer(b"".join(pdf["data"]), {"place": _PLACE, "band": _BAND}.get(kind, _ANCHOR))
-    if kind != "hot":
-        by, other = ("node", "dk") if kind == "place" else ("key", "node" if kind == "band" else "dk")
-        rows, group = _grouped(rows, by, other)
-        rows = rows[_several(rows, group, other)]
-    none = np.zeros(len(rows), np.int64)
-    key = rows["key"].view(np.int64) if kind == "band" else none
-    node = none if kind in ("anchor", "hot") else rows["node"].astype(np.uint64).view(np.int64)
-    doc, line = (rows["doc"], rows["line"]) if kind == "place" else (none, none == 0)
-    return pd.DataFrame({"kind": kind, "key": key, "node": node, "dk": rows["dk"], "doc": doc, "start": rows["start"], "n": rows["n"], "line": line})
+    """Of a bucket the sampled grams that are in several documents."""
+    rows = np.frombuffer(b"".join(pdf["data"]), _ANCHOR)
+    if pdf["kind"].iat[0] != "hot":
+        rows, group = _grouped(rows, "key", "dk")
+        rows = rows[_several(rows, group, "dk")]
+    return pd.DataFrame({"dk": rows["dk"], "start": rows["start"], "n": rows["n"]})
+
+
+def _quoted(rows: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
+    """``dk, start, n, words`` of the spans (dk, start, n): their words with one blank between, or 128 bits of BLAKE2 of these."""
+    span = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    wanted = spans.select("dk", span.alias("span")).groupBy("dk").agg(F.collect_set("span").alias("spans"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches(frames):
+            w = tokenise(frame["text"])
+            data, at = spaced(w)
+            spans = np.concatenate([np.asarray(x, np.int64) for x in frame["spans"]])
+            doc = np.repeat(np.arange(len(frame)), frame["spans"].str.len())
+            start, n = spans >> 32, spans & 0xFFFFFFFF
+            first = w.first[doc] + start
+            quotes = (data[a:b] for a, b in zip(at[first].tolist(), (at[first + n] - 1).tolist(), strict=True))
+            words = [hashlib.blake2b(q, digest_size=16).digest() if digest else bytes(q) for q in quotes]
+            yield pd.DataFrame({"dk": frame["dk"].to_numpy(np.int64)[doc], "start": start, "n": n, "words": words})
+
+    found = rows.select("dk", "text").join(wanted, "dk").mapInPandas(run, "dk long, start int, n int, words binary")
+    return found.dropDuplicates(["dk", "start", "n"])  # rows that repeat a document give the same
 
 
 def _thin(rows: np.ndarray) -> bytes:
@@ -303,18 +296,25 @@ def _exact(places: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         need.append(i)
         i = ahead[i]
     rows, k, n = rows[need], k[need], n[need]
-    return pd.DataFrame({"dk": rows["dk"], "doc": rows["doc"], "kdoc": k["doc"], "start": rows["start"], "n": n, "kstart": k["start"]})
+    return pd.DataFrame({"dk": rows["dk"], "doc": rows["doc"], "kdk": k["dk"], "kdoc": k["doc"], "start": rows["start"], "n": n, "kstart": k["start"]})
 
 
 def _exact_repeats(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
     """``dk, doc, kdoc, start, n, kstart`` of stretches over PASSAGE words whose windows the least document that has them keeps."""
     span = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    spans = anchors.select("dk", span.alias("span")).groupBy("dk").agg(F.collect_set("span").alias("spans"))
-    packs = rows.join(stored(spans, "spans"), "dk").mapInPandas(_windows(buckets), "kind string, bucket int, data binary, pack long")
-    packs = stored(packs, "windows")
+    spans = stored(anchors.select("dk", span.alias("span")).groupBy("dk").agg(F.collect_set("span").alias("spans")), "spans")
+    packs = stored(rows.join(spans, "dk").mapInPandas(_windows(buckets), "kind string, bucket int, data binary, pack long"), "windows", "kind")
     kept = packs.where("kind = 'least'").groupBy("bucket").applyInPandas(_kept, "pack long, data binary")
     places = packs.where("kind = 'place'").select("pack", "data")
-    return places.groupBy("pack").cogroup(kept.groupBy("pack")).applyInPandas(_exact, "dk long, doc long, kdoc long, start int, n int, kstart int")
+    found = places.groupBy("pack").cogroup(kept.groupBy("pack")).applyInPandas(_exact, "dk long, doc long, kdk long, kdoc long, start int, n int, kstart int")
+    found = stored(found.distinct(), "stretches")
+    discarded(spans, packs)
+    release(rows.sparkSession)
+    # hashes have found them; the words decide
+    keeping = found.select(F.col("kdk").alias("dk"), F.col("kstart").alias("start"), "n")
+    quoted = stored(_quoted(rows, found.select("dk", "start", "n").unionByName(keeping).distinct(), True), "quoted")
+    own, kept = quoted.withColumnRenamed("words", "own"), quoted.select(F.col("dk").alias("kdk"), F.col("start").alias("kstart"), "n", F.col("words").alias("kept"))
+    return found.join(own, ["dk", "start", "n"]).join(kept, ["kdk", "kstart", "n"]).where("own = kept").select("dk", "doc", "kdoc", "start", "n", "kstart")
 
 
 def _linked(pdf: pd.DataFrame, jaccard: float) -> pd.DataFrame:
@@ -322,15 +322,19 @@ def _linked(pdf: pd.DataFrame, jaccard: float) -> pd.DataFrame:
     edges: list[tuple[int, int]] = []
     for _, group in pdf.groupby(["key", "tile_l", "tile_r"], sort=False):
         group = group.drop_duplicates("node")
-        waiting = [(node, set(shingles(mix(np.frombuffer(data, np.uint32).astype(np.uint64)), SHINGLE).tolist())) for node, data in zip(group["node"].tolist(), group["data"], strict=True)]
+        waiting = []
+        for node, data in zip(group["node"].tolist(), group["words"], strict=True):
+            w = bytes(data).split(b" ")
+            waiting.append((node, set(zip(*(w[i:] for i in range(SHINGLE)), strict=False))))
         while waiting:  # search from one node on; whatever is reached needs no comparing with what was reached before
             front = [waiting.pop()]
             while front and waiting:
                 node, own = front.pop()
                 rest = []
                 for item in waiting:
-                    common = len(own & item[1])
-                    if common >= jaccard * (len(own) + len(item[1]) - common):
+                    low, high = sorted((len(own), len(item[1])))
+                    common = len(own & item[1]) if low >= jaccard * high else 0
+                    if common >= jaccard * (low + high - common):
                         edges.append((node, item[0]))
                         front.append(item)
                     else:
@@ -339,18 +343,38 @@ def _linked(pdf: pd.DataFrame, jaccard: float) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
 
+def _similar(rows: DataFrame, paras: DataFrame, jaccard: float, buckets: int) -> DataFrame:
+    """``a, b``: edges between nodes; large groups of candidates are cut into tiles that meet pair by pair."""
+    nodes = paras.where("bands is not null").groupBy("node").agg(F.min(F.struct("dk", "start", "n", "bands")).alias("at"))
+    nodes = stored(nodes.select("node", "at.*"), "nodes")
+    cands = nodes.select("node", F.explode("bands").alias("key"))
+    # bands mostly repeat each other's groups; of those with the same nodes one is enough
+    same = ["size", "least", "most", "both"]
+    groups = cands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("both")).where("least < most")
+    groups = cut(groups.groupBy(*same).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
+    dealt = cut(cands.join(groups, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")))
+    wanted = nodes.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "dk", "start", "n")
+    texts = stored(wanted.join(_quoted(rows, wanted, False), ["dk", "start", "n"]).select("node", "words"), "texts")
+    discarded(nodes)
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    sent = dealt.select("key", "node", "tile", other.alias("other"))
+    sent = sent.select("key", "node", F.least("tile", "other").alias("tile_l"), F.greatest("tile", "other").alias("tile_r")).join(texts, "node")
+    sent = sent.withColumn("bucket", F.pmod(F.xxhash64("key", "tile_l", "tile_r"), F.lit(4 * buckets))).repartition(buckets, "bucket")
+    edges = stored(sent.groupBy("bucket").applyInPandas(lambda pdf: _linked(pdf, jaccard), "a long, b long"), "edges")
+    discarded(texts)
+    return edges
+
+
 def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Copied paragraphs, in the order of documents and words, joined where they follow each other in both texts."""
+    """Copied paragraphs, in the order of documents and words, joined where they follow each other in both texts; the long ones."""
 
     def joined(f: pd.DataFrame) -> pd.DataFrame:
-        dk, kdk, start, kstart, n = (f[c].to_numpy() for c in ("dk", "kdk", "start", "kstart", "n"))
-        line = f["line"].to_numpy()
-        ahead, kahead = start[1:] - (start + n)[:-1], kstart[1:] - (kstart + n)[:-1]
-        along = (dk[1:] == dk[:-1]) & (line[1:] == line[:-1]) & (kdk[1:] == kdk[:-1]) & (ahead >= 0) & (ahead <= GAP) & (kahead >= 0) & (kahead <= GAP)
+        dk, kdk, start, kstart, n, kn = (f[c].to_numpy() for c in ("dk", "kdk", "start", "kstart", "n", "kn"))
+        along = (dk[1:] == dk[:-1]) & (kdk[1:] == kdk[:-1]) & (start[1:] == (start + n)[:-1]) & (kstart[1:] == (kstart + kn)[:-1])
         first = np.flatnonzero(np.concatenate([[True], ~along]))
         last = np.append(first[1:], len(f)) - 1
-        out = f.iloc[first][["dk", "doc", "kdk", "kdoc", "start", "kstart"]].reset_index(drop=True)
-        return out.assign(end=(start + n)[last], kend=(kstart + n)[last])
+        out = f.iloc[first][["dk", "doc", "kdoc", "start", "kstart"]].reset_index(drop=True).assign(n=(start + n)[last] - start[first])
+        return out[out["n"] > PASSAGE]
 
     held = None
     for frame in frames:
@@ -363,38 +387,27 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield joined(held)
 
 
-def _widened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def same(a: bytes, b: bytes, back: bool) -> int:
-        x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        n = min(len(x), len(y))
-        x, y = (x[len(x) - n :][::-1], y[len(y) - n :][::-1]) if back else (x[:n], y[:n])
-        differ = np.flatnonzero(x != y)
-        return int(differ[0]) if len(differ) else n
-
-    for f in frames:
-        left = np.array([same(a, b, True) for a, b in zip(f["before"], f["kbefore"], strict=True)], np.int64)
-        right = np.array([same(a, b, False) for a, b in zip(f["after"], f["kafter"], strict=True)], np.int64)
-        out = pd.DataFrame({"dk": f["dk"], "doc": f["doc"], "kdoc": f["kdoc"], "start": f["start"] - left, "n": f["end"] - f["start"] + left + right, "kstart": f["kstart"] - left})
-        yield out[out["n"] > PASSAGE]
-
-
-def _words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches(frames):
-        w = tokenise(frame["text"])
-        short = (w.hash >> np.uint64(32)).astype(np.uint32)
-        yield pd.DataFrame({"dk": frame["dk"].to_numpy(), "words": [short[a:b].tobytes() for a, b in zip(w.first, w.first[1:], strict=False)]})
-
-
-def _release(spark: SparkSession) -> None:
-    """Lets the driver drop the shuffle files of what is stored by now, which it does when it collects garbage."""
-    spark.sparkContext._jvm.System.gc()
+def _near_repeats(rows: DataFrame, paras: DataFrame, jaccard: float, buckets: int) -> DataFrame:
+    """``dk, doc, kdoc, start, n, kstart`` of paragraphs, or several in a row, over PASSAGE words that are similar to those of a lesser document."""
+    roots = connected_components(_similar(rows, paras, jaccard, buckets))
+    place = F.struct("doc", "dk", "start", "n")
+    nodes = paras.groupBy("node").agg(F.min(place).alias("e"), (F.min("dk") < F.max("dk")).alias("several"))
+    nodes = cut(nodes.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node", "left").where("several or root is not null"))
+    # the least document that has just the same words keeps them; of such keepers in a component the least
+    similar = cut(nodes.where("root is not null").groupBy("root").agg(F.min("e").alias("s")))
+    keepers = cut(nodes.join(similar, "root", "left").select("node", "e", "s"))
+    copies = paras.select("dk", "doc", "start", "n", "node").join(keepers, "node")
+    copies = copies.withColumn("k", F.when(F.col("dk") != F.col("e.dk"), F.col("e")).otherwise(F.coalesce("s", "e"))).where("dk <> k.dk")
+    copies = copies.select("dk", "doc", "start", "n", F.col("k.dk").alias("kdk"), F.col("k.doc").alias("kdoc"), F.col("k.start").alias("kstart"), F.col("k.n").alias("kn"))
+    runs = copies.distinct().repartition("dk").sortWithinPartitions("dk", "start", "kdk", "kstart")
+    return runs.mapInPandas(_runs, "dk long, doc long, kdoc long, start int, kstart int, n int").select("dk", "doc", "kdoc", "start", "n", "kstart")
 
 
 def repeated(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """``doc_id, dk, start, n, kept_doc_id, kept_start``: every stretch of over PASSAGE words that another document keeps.
 
     ``start`` is the position of the first word (from 0) and ``n`` the number of words in ``docs(doc_id, text)``; the same words, or
-    similar paragraphs among them, stand at ``kept_start`` in the least doc_id that has them. ``dk`` is a hash of
+    similar paragraphs, stand at ``kept_start`` in the least doc_id that has them. ``dk`` is a hash of
     doc_id and text, so rows that repeat a doc_id are told apart; rows equal in both are one document and copy nothing from each other.
     A null doc_id comes after all others. Null, empty and short texts have nothing to compare. A passage that a
     document repeats within itself stays. Other columns are ignored.
@@ -402,58 +415,16 @@ def repeated(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64("doc_id", "text").alias("dk"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInPandas(_mapped(buckets), "kind string, bucket int, data binary")
-    schema = "kind string, key long, node long, dk long, doc long, start int, n int, line boolean"
-    found = stored(packed.groupBy("kind", "bucket").applyInPandas(_gathered, schema), "paragraphs")
-    _release(spark)
-    places, bands = found.where("kind = 'place'").drop("kind", "key"), found.where("kind = 'band'")
-    whole = stored(_exact_repeats(rows, found.where("kind in ('anchor', 'hot')"), buckets), "exact")
-    _release(spark)
-    cands = cut(bands.groupBy("key", "node").agg(F.min(F.struct("dk", "start", "n")).alias("at")).select("key", "node", "at.*"))
-    affected = places.select("dk").unionByName(cands.select("dk")).distinct()
-    words = stored(rows.select("dk", "text").join(affected, "dk", "left_semi").mapInPandas(_words_of, "dk long, words binary"), "words")
-    words = words.dropDuplicates(["dk"])
-    roots = connected_components(_similar(cands, words, jaccard, buckets))
-    near = cands.select("node", "dk", "start", "n").distinct().join(rows.select("dk", F.col("id").alias("doc")).distinct(), "dk").select("node", "dk", "doc", "start", "n", F.lit(True).alias("line"))
-    every = cut(places.unionByName(near.join(roots, near["node"] == roots["node"], "left_semi").unionByName(near.join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_semi").select(*near.columns))).distinct())
-    named = cut(every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    # the least document that has just the same words keeps them; of such keepers in a component the least
-    least = F.min(F.struct("doc", "dk", "start"))
-    exact = cut(named.groupBy("node").agg(least.alias("e")))
-    similar = cut(named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(least.alias("s")))
-    copies = named.join(exact, "node").join(similar, "root", "left")
-    copies = copies.withColumn("k", F.when(F.col("dk") != F.col("e.dk"), F.col("e")).otherwise(F.coalesce("s", "e")))
-    copies = copies.where("dk <> k.dk").select("dk", "doc", "start", "n", "line", F.col("k.dk").alias("kdk"), F.col("k.doc").alias("kdoc"), F.col("k.start").alias("kstart"))
-    runs = copies.repartition("dk").sortWithinPartitions("dk", "line", "start", "kdk", "kstart")
-    runs = cut(runs.mapInPandas(_runs, "dk long, doc long, kdk long, kdoc long, start int, kstart int, end int, kend int"))
-
-    def around(at: str, end: str, prefix: str) -> list:
-        low = F.greatest(F.lit(0), F.col(at) - CONTEXT)
-        before = F.substring("words", low * 4 + 1, (F.col(at) - low) * 4)
-        return [before.alias(f"{prefix}before"), F.substring("words", F.col(end) * 4 + 1, F.lit(4 * CONTEXT)).alias(f"{prefix}after")]
-
-    sides = runs.join(words, "dk").select(*runs.columns, *around("start", "end", ""))
-    keeping = words.select(F.col("dk").alias("kdk"), "words")
-    sides = sides.join(keeping, "kdk").select(*runs.columns, "before", "after", *around("kstart", "kend", "k"))
-    out = sides.mapInPandas(_widened, "dk long, doc long, kdoc long, start int, n int, kstart int").unionByName(whole).distinct()
+    found = stored(rows.mapInPandas(_mapped(buckets, bands(jaccard)), _FOUND), "paragraphs", "kind")
+    anchors = found.where("kind in ('anchor', 'hot')").select("kind", "bucket", "data").groupBy("kind", "bucket").applyInPandas(_gathered, "dk long, start int, n int")
+    whole = stored(_exact_repeats(rows, anchors, buckets), "exact")
+    release(spark)
+    near = _near_repeats(rows, found.where("kind = 'paragraph'").select("dk", "doc", "start", "n", "node", "bands"), jaccard, buckets)
+    out = near.unionByName(whole).distinct()
     named_id = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return out.select(named_id("doc").alias("doc_id"), "dk", "start", "n", named_id("kdoc").alias("kept_doc_id"), F.col("kstart").alias("kept_start"))
 
 
-def _similar(cands: DataFrame, words: DataFrame, jaccard: float, buckets: int) -> DataFrame:
-    """``a, b``: edges between nodes; large groups of candidates are cut into tiles that meet pair by pair."""
-    sizes = cands.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    sizes = cut(sizes)
-    dealt = cut(cands.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    sent = dealt.select("key", "node", "dk", "start", "n", "tile", other.alias("other"))
-    sent = sent.select("key", "node", "dk", "start", "n", F.least("tile", "other").alias("tile_l"), F.greatest("tile", "other").alias("tile_r"))
-    data = F.substring("words", F.col("start") * 4 + 1, F.col("n") * 4)
-    sent = sent.join(words, "dk").select("key", "node", "tile_l", "tile_r", data.alias("data"))
-    sent = sent.withColumn("bucket", F.pmod(F.xxhash64("key", "tile_l", "tile_r"), F.lit(4 * buckets))).repartition(buckets, "bucket")
-    return cut(sent.groupBy("bucket").applyInPandas(lambda pdf: _linked(pdf, jaccard), "a long, b long"))
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` (``n_chars`` follows, if there is one); rows that lose all their words go."""
     columns = docs.columns

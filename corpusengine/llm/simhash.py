@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import cut
-from .words import batches, tokenise
+from .words import batches, spaced, tokenise
 
 #: Fixed values of the contract.
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -33,13 +33,8 @@ def fingerprint_batch(texts: pd.Series) -> np.ndarray:
     w = tokenise(texts)
     count = np.diff(w.first)
     out = np.zeros(len(count), np.uint64)
-    # words with one blank between them: any shingle is a run of these bytes
-    lengths = w.end - w.start
-    at = np.concatenate([[0], np.cumsum(lengths + 1)])
-    source = np.repeat(w.start - at[:-1], lengths + 1) + np.arange(at[-1])
-    joined = w.buf[np.minimum(source, len(w.buf) - 1)] if len(source) else np.zeros(0, np.uint8)
-    joined[at[1:] - 1] = 32
-    data, digest = memoryview(joined.tobytes()), xxhash.xxh64_intdigest
+    data, at = spaced(w)  # any shingle is a run of these bytes
+    digest = xxhash.xxh64_intdigest
     last = np.maximum(count - (SHINGLE - 1), np.minimum(count, 1))  # shingles of each text
     begin = np.repeat(w.first[:-1] - np.concatenate([[0], np.cumsum(last)[:-1]]), last) + np.arange(last.sum())
     stop = np.minimum(begin + SHINGLE, np.repeat(w.first[1:], last))

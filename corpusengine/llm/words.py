@@ -93,6 +93,16 @@ def tokenise(texts: Iterable[str | None]) -> Words:
     return out
 
 
+def spaced(w: Words) -> tuple[memoryview, np.ndarray]:
+    """All words with one blank after each, and where each begins: words i to j - 1 are the bytes ``at[i]:at[j] - 1``."""
+    lengths = w.end - w.start
+    at = np.concatenate([[0], np.cumsum(lengths + 1)])
+    source = np.repeat(w.start - at[:-1], lengths + 1) + np.arange(at[-1])
+    joined = w.buf[np.minimum(source, len(w.buf) - 1)] if len(source) else np.zeros(0, np.uint8)
+    joined[at[1:] - 1] = 32
+    return memoryview(joined.tobytes()), at
+
+
 def batches(frames: Iterable, column: str = "text", size: int = BATCH_BYTES) -> Iterator:
     """Slices of pandas frames whose texts make up about ``size`` characters each, one row at least."""
     for frame in frames:

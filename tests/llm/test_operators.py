@@ -314,6 +314,28 @@ def test_no_passage_falls_through(spark):
     assert not _missed(docs, covered) and set(covered) == {1000 + i for i in range(150)}
 
 
+def test_own_words_between_copies_stay(spark):
+    rng = np.random.default_rng(15)
+    a, b, list_ = _say(rng, 60), _say(rng, 60), _say(rng, 500)
+    docs = {1: f"{' '.join(a)}\n{' '.join(_say(rng, 10))}\n{' '.join(b)}", 2: f"{' '.join(a)}\n{' '.join(_say(rng, 10))}\n{' '.join(b)}"}
+    docs |= {3: "\n".join([*_say(rng, 9), *list_]), 4: "\n".join([*_say(rng, 7), *list_, *_say(rng, 3)])}
+    assert _covered(spark, docs) == {2: set(range(60)) | set(range(70, 130)), 4: set(range(7, 507))}
+
+
+def test_near_paragraphs_in_a_row(spark):
+    rng = np.random.default_rng(16)
+    lines = [_say(rng, 40), ["Part", "two"], _say(rng, 40), _say(rng, 40)]
+    other = [list(x) for x in lines]
+    other[0][39], other[2][0], other[3][:20] = "changed", "changed", _say(rng, 20)
+    docs = {i: "\n".join(" ".join(x) for x in [_say(rng, 30), *y, _say(rng, 30)]) for i, y in ((1, lines), (2, other))}
+    # two similar lines and the equal heading between them; the line that is half changed stays
+    assert _covered(spark, docs) == {2: set(range(30, 112))}
+
+
+def test_bands_follow_recall():
+    assert [passages.bands(0.8, 0.99, r) for r in (1, 2, 3)] == [3, 5, 7] and 1 - (1 - 0.8**3) ** passages.bands() >= 0.99
+
+
 def test_passages_hard(spark, hard, none):
     rows = passages.repeated(hard)
     assert got(rows.select("doc_id", "kept_doc_id").distinct(), "doc_id", "kept_doc_id") == [(6, 5)]
