@@ -33,7 +33,12 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     length = F.least(F.size("w"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("w") - length + 1)
     wins = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, length))).alias("win"))
-    return wins.select("item_id", F.xxhash64("win").alias("h"), "win").distinct()
+    return wins.select("item_id", window_hash(F.transform("win", lambda w: F.xxhash64(w))).alias("h"), "win").distinct()
+
+
+def window_hash(hashes: Column) -> Column:
+    """Of a window, from the hashes of its words."""
+    return F.xxhash64(hashes)
 
 
 def hits(docs: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
@@ -44,10 +49,11 @@ def hits(docs: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
         return docs.select(*key, F.lit(1).alias("start"), F.lit(1).alias("length"), F.array(F.lit("")).alias("win")).limit(0)
     blocks = max(1, math.ceil(distinct.count() / BROADCAST_WINDOWS))
     tokens = docs.select(*key, words("text").alias("w")).where(F.size("w") >= lengths[0])
+    tokens = tokens.withColumn("hw", F.transform("w", lambda w: F.xxhash64(w)))  # each word is read once, however many windows it is in
     places = [F.when(F.size("w") >= n, F.size("w") - (n - 1)).otherwise(F.lit(0)) for n in lengths]
 
     def hashed(n: int, count: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("w", i, n)))
+        each = F.transform(F.sequence(F.lit(1), count), lambda i: window_hash(F.slice("hw", i, n)))
         return each if n == lengths[0] else F.when(count > 0, each).otherwise(F.array().cast("array<bigint>"))
 
     tokens = tokens.withColumn("hs", F.concat(*(hashed(n, c) for n, c in zip(lengths, places, strict=True))))
@@ -79,7 +85,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
     # equal rows are scanned once each, so a place is found once for each of them: sets count it once
     found = hits(keyed, windows, ["doc_id", "tk"])
     covered = F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))
-    spans = found.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set(F.xxhash64("win")).alias("hs"))
+    spans = found.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set(window_hash(F.transform("win", lambda w: F.xxhash64(w)))).alias("hs"))
     spans = spans.select("doc_id", "tk", F.size(F.array_distinct(F.flatten(covered))).cast("long").alias("n_hit"), "hs")
     of = windows.groupBy("h").agg(F.collect_set("item_id").alias("ids"))
     items = spans.select("doc_id", "tk", "n_hit", F.explode("hs").alias("h")).join(of, "h")

@@ -36,7 +36,7 @@ SHORT = 8
 #: A repeated passage is removed if it has more words.
 PASSAGE = 50
 #: Paragraphs of a group of candidates that meet in one task with as many others; buckets of packed rows for each shuffle partition.
-TILE, BUCKETS = 2048, 2
+TILE, BUCKETS = 256, 2
 #: Words of text that a task holds before it packs what it found.
 HELD = 600_000
 #: Words of the grams that windows of PASSAGE + 1 words are sampled by; windows that a task holds before it packs them.

@@ -42,7 +42,7 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload")
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload", "record", "of_record")
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

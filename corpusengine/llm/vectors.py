@@ -98,12 +98,14 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     null vec_id (their component is null) or vectors of unequal length. Of rows that repeat a vec_id
     each is a vector that the others of its id count like any other, and all share a component. No rows give no rows.
     """
-    rows = embeddings.select("vec_id", "embedding", (usable() & F.col("vec_id").isNotNull()).alias("ok"))
-    classes = rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
+    # equal vectors meet by 128 bits of hashes, so that only longs are join keys
+    same = ["h", "h2"]
+    rows = embeddings.select("vec_id", "embedding", F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(SEED), "embedding").alias("h2"), (usable() & F.col("vec_id").isNotNull()).alias("ok"))
+    classes = rows.where("ok").groupBy(*same).agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("embedding").alias("embedding"))
     classes = cut(classes)
     signs, count = tables(classes.count(), cosine, recall)
     schema = "id long, m long, dim int, vector binary, keys binary, key array<int>"
-    hashed = cut(classes.mapInPandas(_hashed(signs, count), schema))
+    hashed = cut(classes.select("id", "m", "embedding").mapInPandas(_hashed(signs, count), schema))
     places = hashed.select("id", "dim", F.posexplode("key").alias("table", "key"))
     sizes = cut(places.groupBy("table", "dim", "key").agg(F.count("*").alias("n")).where("n > 1"))
     sizes = sizes.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
@@ -120,9 +122,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     found = cut(sent.groupBy("table", "dim", "key", "tile_l", "tile_r").applyInPandas(lambda pdf: _compare(pdf, cosine), "a long, b long, n long"))
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
-    named = classes.select("embedding", "id", "m").join(links, F.col("id") == F.col("a"), "left").join(roots, F.col("id") == F.col("node"), "left")
-    named = cut(named.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "id").alias("root")))
-    linked = rows.where("ok").join(named, "embedding").select("vec_id", "n", "root")
+    named = classes.select(*same, "id", "m").join(links, F.col("id") == F.col("a"), "left").join(roots, F.col("id") == F.col("node"), "left")
+    named = cut(named.select(*same, (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "id").alias("root")))
+    linked = rows.where("ok").select("vec_id", *same).join(named, same).select("vec_id", "n", "root")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("root"))
     out = linked.unionByName(alone)
     return out.select("vec_id", F.col("n").alias("n_links"), F.col("root").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("root"), F.lit(False)).alias("kept"))

@@ -54,20 +54,29 @@ def surt(url: str | None, page_id: int | None) -> str:
     return f"{key}\t{'-' if page_id is None else format(page_id + (1 << 63), '020d')}"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit has the headers of its capture and no payload."""
-    target = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + payload if kind == "response" else http
-    lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {target}')}>", f"WARC-Date: {DATE}",
-        *([f"WARC-Target-URI: {target}"] if url is not None else []), f"WARC-Payload-Digest: sha1:{digest}", f"Page-ID: {'' if page_id is None else page_id}",
-        *([f"WARC-Profile: {PROFILE}", f"Refers-To-Page-ID: {refers_to}"] if kind == "revisit" else []),
-        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
-    ]
+def target(url: str | None) -> str:
+    return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
+
+
+def _framed(kind: str, name: str, headers: list[str], block: bytes) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}", *headers, f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info(name: str, file: str) -> bytes:
+    """The record that an archive begins with."""
+    return _framed("warcinfo", name, [f"WARC-Filename: {file.rpartition('/')[2]}", "Content-Type: application/warc-fields"], b"software: corpusengine\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(name: str, page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, of: tuple[int, str | None, str] | None = None) -> bytes:
+    """A response, or with ``of`` (page, url and record) a revisit of it, which has the headers of its capture and no payload."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    headers = [*([f"WARC-Target-URI: {target(url)}"] if url is not None else []), f"WARC-Payload-Digest: sha1:{digest}", f"Page-ID: {'' if page_id is None else page_id}"]
+    if of is not None:
+        headers += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {of[2]}", f"WARC-Refers-To-Date: {DATE}", *([f"WARC-Refers-To-Target-URI: {target(of[1])}"] if of[1] is not None else []), f"Refers-To-Page-ID: {of[0]}"]
+    return _framed("response" if of is None else "revisit", name, [*headers, "Content-Type: application/http; msgtype=response"], http + (payload or b""))
+
+
 def parsed(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """WARC headers, HTTP headers and payload of a record."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -76,41 +85,62 @@ def parsed(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return headers, dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:]), payload
 
 
-def write(pages: DataFrame) -> Archive:
-    """Archive every row of ``pages(page_id, url, html)``; see ``round_trip`` for what becomes of nulls and repeated rows."""
-    spark = pages.sparkSession
-    folder = new_folder(spark, "warc")
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.octet_length("payload") >= LEAST_REVISIT)
-    groups = cut(large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    small = groups.count() <= BROADCAST_GROUPS
-    rows = rows.join(F.broadcast(groups) if small else groups, "digest", "left")
+_CAPTURES = "key string, file string, offset long, length long, record string, page_id string, url string, digest string"
+
 
+def _written(folder: str):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Writes rows ``page_id, url, payload, size, digest, of_page, of_url, of_record`` as records; their places are the captures."""
         fs, base = filesystem(f"{folder}/archives/{uuid.uuid4().hex}")
-        out, name, at, files = None, "", 0, 0
+        out, file, at, files = None, "", 0, 0
+        name = lambda: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{at}')}>"  # noqa: E731  # no two records stand at one place
         for frame in frames:
             found = []
-            for page, url, payload, digest, kept in frame[["page_id", "url", "payload", "digest", "kept"]].itertuples(index=False):
-                page, kept = (None if pd.isna(x) else int(x) for x in (page, kept))
+            for row in frame.itertuples(index=False):
                 if out is None or at > ARCHIVE_BYTES:
                     if out is not None:
                         out.close()
-                    name, at, files = f"{base}-{files}.warc.gz", 0, files + 1
-                    out = fs.open_output_stream(name, compression=None)
-                kind = "response" if kept is None or kept == page else "revisit"
-                data = gzip.compress(record(page, url, bytes(payload), digest, kind, kept), 4, mtime=0)
+                    file, at, files = f"{base}-{files}.warc.gz", 0, files + 1
+                    out = fs.open_output_stream(file, compression=None)
+                    at += out.write(gzip.compress(info(name(), file), 4, mtime=0))
+                page, of_page = (None if pd.isna(x) else int(x) for x in (row.page_id, row.of_page))
+                payload = None if row.payload is None else bytes(row.payload)
+                own = name()
+                data = gzip.compress(record(own, page, row.url, payload, int(row.size), row.digest, None if of_page is None else (of_page, row.of_url, row.of_record)), 4, mtime=0)
                 out.write(data)
-                found.append((surt(url, page), name, at, len(data)))
+                found.append((surt(row.url, page), file, at, len(data), own, row.page_id, row.url, row.digest))
                 at += len(data)
-            yield pd.DataFrame(found, columns=["key", "file", "offset", "length"])
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in _CAPTURES.split(", ")])
         if out is not None:
             out.close()
 
+    return run
+
+
+def write(pages: DataFrame) -> Archive:
+    """Archive every row of ``pages(page_id, url, html)``; see ``round_trip`` for what becomes of nulls and repeated rows.
+
+    Responses are written first, so that revisits, which need no payloads, can name the record that they refer to.
+    """
+    folder = new_folder(pages.sparkSession, "warc")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    large = rows.where(F.col("size") >= LEAST_REVISIT)
+    groups = cut(large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null").drop("n"))
+    small = groups.count() <= BROADCAST_GROUPS
+    rows = rows.join(F.broadcast(groups) if small else groups, "digest", "left")
     # page ids as text: pandas would turn longs with nulls among them into floats
-    rows = rows.select(F.col("page_id").cast("string"), "url", "payload", "digest", F.col("kept").cast("string"))
-    captures = stored(rows.mapInPandas(run, "key string, file string, offset long, length long"), "captures")
+    named = [F.col("page_id").cast("string"), "url"]
+    none = [F.lit(None).cast("string").alias(c) for c in ("of_page", "of_url", "of_record")]
+    responses = rows.where(~F.coalesce(F.col("kept") != F.coalesce("page_id", F.col("kept") - 1), F.lit(False)))
+    responses = stored(responses.select(*named, "payload", "size", "digest", *none).mapInPandas(_written(folder), _CAPTURES), "responses")
+    originals = responses.join(F.broadcast(groups) if small else groups, "digest").where(F.col("page_id") == F.col("kept").cast("string"))
+    originals = originals.groupBy("digest").agg(F.min(F.struct("record", "url")).alias("o"), F.first("page_id").alias("of_page"))
+    originals = cut(originals.select("digest", "of_page", F.col("o.url").alias("of_url"), F.col("o.record").alias("of_record")))
+    revisits = rows.where(F.col("kept") != F.coalesce("page_id", F.col("kept") - 1)).select(*named, "size", "digest")
+    revisits = revisits.join(F.broadcast(originals) if small else originals, "digest").withColumn("payload", F.lit(None).cast("binary"))
+    revisits = stored(revisits.mapInPandas(_written(folder), _CAPTURES), "revisits")
+    captures = responses.unionByName(revisits)
     return Archive(captures, _index(captures, folder))
 
 
@@ -207,11 +237,16 @@ def lookup(archive: Archive, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame([x for key in frame["key"] for x in reader.find(key)], columns=["file", "offset", "length"])
 
     keys = cut(wanted.select(F.col("page_id").cast("string"), "url").mapInPandas(keyed, "key string").distinct())
-    return keys.repartitionByRange("key").sortWithinPartitions("key").mapInPandas(run, "file string, offset long, length long")
+    return keys.repartitionByRange(_tasks(wanted), "key").sortWithinPartitions("key").mapInPandas(run, "file string, offset long, length long")
+
+
+def _tasks(df: DataFrame) -> int:
+    """A number of partitions of its own: places are few bytes and much reading, which adaptive execution would put into a few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def read(places: DataFrame) -> DataFrame:
-    """The records at ``file, offset, length``: ``page_id, payload_bytes, payload_digest, record_type, refers_to`` and the payload (null in a revisit)."""
+    """The records at ``file, offset, length``: ``page_id, payload_bytes, payload_digest, record_type, refers_to``, the payload (null in a revisit), and the ids ``record`` and ``of_record``."""
     folder = new_folder(places.sparkSession, "warc")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,14 +261,22 @@ def read(places: DataFrame) -> DataFrame:
                 digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                 if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"the payload at {offset} of {file} is not what was archived")
-                out.append((headers["Page-ID"].strip() or None, int(http["Content-Length"]), digest, kind, headers.get("Refers-To-Page-ID"), payload if kind == "response" else None))
-            yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                out.append((headers["Page-ID"].strip() or None, int(http["Content-Length"]), digest, kind, headers.get("Refers-To-Page-ID"), payload if kind == "response" else None, headers["WARC-Record-ID"], headers.get("WARC-Refers-To")))
+            yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "record", "of_record"])
 
-    dealt = places.repartition("file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
-    rows = dealt.mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    dealt = places.repartition(_tasks(places), "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
+    rows = dealt.mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary, record string, of_record string")
     return rows.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """What ``read`` returns, each revisit with the payload of the response it refers to."""
+    originals = records.where("record_type = 'response'").select(F.col("record").alias("original"), F.col("payload").alias("found"))
+    originals = originals.join(records.select(F.col("of_record").alias("original")).distinct(), "original", "left_semi")
+    both = records.join(originals, records["of_record"] == originals["original"], "left")
+    return both.select(*(F.coalesce("payload", "found").alias(c) if c == "payload" else records[c] for c in records.columns))
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive ``pages(page_id, url, html)`` and read every capture back by its index entry.
 

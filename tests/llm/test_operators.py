@@ -202,7 +202,23 @@ def test_mixing_hard(spark, hard, none):
     assert rows.where("size = 0 and taken > 0").count() == 0
     assert sorted(map(str, rows.collect())) == sorted(map(str, mixing.mixed(hard).collect()))
     assert mixing.mixed(none).count() == 0
-    assert set(mixing.mix_documents(hard).columns) == set(hard.columns)
+    mix = mixing.mix_documents(hard)
+    assert set(mix.columns) == set(hard.columns) and mix.count() == rows.agg(F.sum("copies")).first()[0]
+    assert mixing.mix_documents(none).count() == 0
+
+
+def test_mix_has_every_row_s_copies(spark):
+    docs = frame(spark, [(None, "a b c", "s"), (None, "d e", "s"), (1, "x y", "t"), (1, "x y", "t"), (1, "z", "t"), (2, "k l m", None)])
+    drawn = mixing.mixed(docs)
+    want = drawn.groupBy("doc_id", "source", "size").agg(F.sum("copies").cast("long").alias("n")).where("n > 0")
+    mix = mixing.mix_documents(docs).withColumn("size", F.size(F.split("text", " ")).cast("long"))
+    assert sorted(map(str, got(mix.groupBy("doc_id", "source", "size").count(), "doc_id", "source", "size", "count"))) == sorted(map(str, got(want, "doc_id", "source", "size", "n")))
+    assert mix.where("doc_id is null").count() > 0 and set(mix.columns) == {*docs.columns, "copy", "size"}
+
+
+def test_mixing_with_finer_cells(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert sorted(map(str, mixing.mixed(docs, per_cell=1).collect())) == sorted(map(str, mixing.mixed(docs).collect()))
 
 
 # ---- 4
@@ -318,7 +334,7 @@ def test_own_words_between_copies_stay(spark):
     rng = np.random.default_rng(15)
     a, b, list_ = _say(rng, 60), _say(rng, 60), _say(rng, 500)
     docs = {1: f"{' '.join(a)}\n{' '.join(_say(rng, 10))}\n{' '.join(b)}", 2: f"{' '.join(a)}\n{' '.join(_say(rng, 10))}\n{' '.join(b)}"}
-    docs |= {3: "\n".join([*_say(rng, 9), *list_]), 4: "\n".join([*_say(rng, 7), *list_, *_say(rng, 3)])}
+    docs |= {3: "\n".join([*_say(rng, 400), *list_]), 4: "\n".join([*_say(rng, 7), *list_, *_say(rng, 3)])}
     assert _covered(spark, docs) == {2: set(range(60)) | set(range(70, 130)), 4: set(range(7, 507))}
 
 
@@ -359,6 +375,9 @@ def test_warc_round_trip_of_hard_pages(spark):
     out = warc.read(warc.lookup(archive, pages)).collect()
     kinds = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in out)
     assert kinds == sorted([(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None), (4, "response", None), (0, "revisit", 4), (5, "response", None), (8, "response", None), (9, "response", None)], key=lambda k: (k[0], k[1], k[2]))
+    assert len({r["record"] for r in out}) == len(out)
+    full = warc.resolved(warc.read(warc.lookup(archive, pages))).where("record_type = 'revisit'").collect()
+    assert len(full) == 2 and all(bytes(r["payload"]).decode() == big for r in full)
     payloads = {r["page_id"]: r["payload"] for r in out if r["record_type"] == "response"}
     assert bytes(payloads[4]).decode() == big and bytes(payloads[2]) == b""
     assert warc.lookup(archive, spark.createDataFrame([(77, "http://none/")], "page_id long, url string")).count() == 0

@@ -22,7 +22,9 @@ def test_stages(spark, small):
             bad = decontam.contamination(docs, spark.read.parquet(f"{small}/benchmark.parquet")).where("contaminated")
             assert out.count() == docs.count() - bad.count()
         if name == "mixing":
-            assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mixed(docs).collect()))
+            assert out.columns == [*columns, "copy"]
+            want = {r["doc_id"]: r["copies"] for r in mixing.mixed(docs).where("copies > 0").collect()}
+            assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
         else:
             assert out.columns == columns
         kept[name] = out.count()
@@ -31,7 +33,7 @@ def test_stages(spark, small):
     left = {r["doc_id"] for r in spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/stage-toxicity").collect()}
     clean = [i for i, m in marks.items() if m == 0]
     assert sum(i in left for i in clean) >= 0.95 * len(clean)
-    assert kept["toxicity"] >= kept["simhash"] >= kept["passages"] >= kept["decontamination"] == kept["mixing"] > 0
+    assert kept["toxicity"] >= kept["simhash"] >= kept["passages"] >= kept["decontamination"] > 0 < kept["mixing"]
 
 
 def test_run(spark, small):
