@@ -49,14 +49,15 @@ def hits(docs: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
         return docs.select(*key, F.lit(1).alias("start"), F.lit(1).alias("length"), F.array(F.lit("")).alias("win")).limit(0)
     blocks = max(1, math.ceil(distinct.count() / BROADCAST_WINDOWS))
     tokens = docs.select(*key, words("text").alias("w")).where(F.size("w") >= lengths[0])
-    tokens = tokens.withColumn("hw", F.transform("w", lambda w: F.xxhash64(w)))  # each word is read once, however many windows it is in
     places = [F.when(F.size("w") >= n, F.size("w") - (n - 1)).otherwise(F.lit(0)) for n in lengths]
 
-    def hashed(n: int, count: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), count), lambda i: window_hash(F.slice("hw", i, n)))
+    def hashed(hw: Column, n: int, count: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), count), lambda i: window_hash(F.slice(hw, i, n)))
         return each if n == lengths[0] else F.when(count > 0, each).otherwise(F.array().cast("array<bigint>"))
 
-    tokens = tokens.withColumn("hs", F.concat(*(hashed(n, c) for n, c in zip(lengths, places, strict=True))))
+    # bound by a lambda, the words' hashes are made once: each word is read once, however many windows it is in
+    bound = F.transform(F.array(F.transform("w", lambda w: F.xxhash64(w))), lambda hw: F.concat(*(hashed(hw, n, c) for n, c in zip(lengths, places, strict=True))))
+    tokens = tokens.withColumn("hs", F.element_at(bound, 1))
     at, length, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
     for n, count in zip(lengths, places, strict=True):  # where the place falls among the lengths that were put in a row
         inside = (F.col("at") >= before) & (F.col("at") < before + count)
