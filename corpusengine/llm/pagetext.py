@@ -16,38 +16,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import layouts
-from .blocks import leaves
+from .blocks import Page, leaves
 from .words import mix, tokenise
 
 PATH_SLOTS, WORD_SLOTS, DIM, MEASURES, HIDDEN = 1 << 12, 1 << 12, 10, 5, 14
 #: Pages laid out to learn from and passes over them.
 PAGES, EPOCHS, BATCH, RATE, WORD_DECAY, SEED = 900, 14, 32, 0.01, 3e-4, 7
 #: Characters of html, and steps of the recurrence times pages, that are labelled at once.
-READ_CHARS, CELLS = 4_000_000, 200_000
+READ_CHARS, CELLS = 2_000_000, 200_000
 
 
 @dataclass
 class Blocks:
-    """Slots and measures of the blocks of several pages; ``first[p]:first[p + 1]`` are those of page p."""
+    """Slots and measures of the blocks of several pages; ``first[p]:first[p + 1]`` are those of page p.
+
+    ``path`` and ``sign`` are the slots of path tokens as they open and end, of which ``path_at`` stand before a block.
+    """
 
     path: np.ndarray
-    path_first: np.ndarray
+    sign: np.ndarray
+    path_at: np.ndarray
     word: np.ndarray
     word_first: np.ndarray
     measures: np.ndarray
     first: np.ndarray
 
 
-def described(pages: list[list[tuple[tuple[str, ...], str, float]]]) -> Blocks:
-    every = [b for p in pages for b in p]
-    paths, words = tokenise([" ".join(b[0]) for b in every]), tokenise([b[1] for b in every])
+def described(pages: list[Page]) -> Blocks:
+    every = [b for p in pages for b in p.blocks]
+    paths, words = tokenise([" ".join(p.tokens) for p in pages]), tokenise([b[2] for b in every])
     slot = lambda h, n: (mix(h) % np.uint64(n)).astype(np.int64)
     n = np.diff(words.first)
-    depth = np.diff(paths.first)
-    place = np.concatenate([np.linspace(0, 1, len(p)) for p in pages if p]) if every else np.zeros(0)
-    marks = np.array([sum(map(b[1].count, ".,;:!?")) / len(b[1]) for b in every])
-    measures = np.stack([np.minimum(np.log1p(n) / 4, 1.5), np.array([b[2] for b in every]), np.minimum(marks * 10, 1), place, depth / 10], 1) if every else np.zeros((0, MEASURES))
-    return Blocks(slot(paths.hash, PATH_SLOTS), paths.first, slot(words.hash, WORD_SLOTS), words.first, measures.astype(np.float32), np.cumsum([0, *map(len, pages)]))
+    sizes = [len(p.blocks) for p in pages]
+    place = np.concatenate([np.linspace(0, 1, k) for k in sizes if k]) if every else np.zeros(0)
+    marks = np.array([sum(map(b[2].count, ".,;:!?")) / len(b[2]) for b in every])
+    depth = np.array([b[1] for b in every])
+    measures = np.stack([np.minimum(np.log1p(n) / 4, 1.5), np.array([b[3] for b in every]), np.minimum(marks * 10, 1), place, np.minimum(depth / 10, 3)], 1) if every else np.zeros((0, MEASURES))
+    at = np.array([b[0] for b in every], np.int64) + np.repeat(paths.first[:-1], sizes)
+    sign = np.array([s for p in pages for s in p.signs], np.float64)
+    return Blocks(slot(paths.hash, PATH_SLOTS), sign, at, slot(words.hash, WORD_SLOTS), words.first, measures.astype(np.float32), np.cumsum([0, *sizes]))
 
 
 def _sums(table: np.ndarray, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -77,7 +84,13 @@ class Labeller:
 
     def inputs(self, b: Blocks) -> np.ndarray:
         words = _sums(self.words, b.word, b.word_first) / np.maximum(np.diff(b.word_first), 1)[:, None]
-        return np.hstack([_sums(self.paths, b.path, b.path_first), words, b.measures])
+        return np.hstack([self.above(b), words, b.measures])
+
+    def above(self, b: Blocks) -> np.ndarray:
+        """The sum of the embeddings of the tokens above each block: of all events before it, as those of ended elements cancel out."""
+        upto = np.zeros((len(b.path) + 1, DIM))
+        np.cumsum(self.paths[b.path] * b.sign[:, None], axis=0, out=upto[1:])
+        return upto[b.path_at].astype(np.float32)
 
     def run(self, w: np.ndarray, x: np.ndarray, live: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """Hidden states (steps, pages, HIDDEN) of a padded batch; past the end of a page the state stands still."""
@@ -129,7 +142,7 @@ class Labeller:
             begin = end
         return out
 
-    def fit(self, pages: list[list[tuple[tuple[str, ...], str, float]]], labels: list[np.ndarray], seed: int = SEED) -> Labeller:
+    def fit(self, pages: list[Page], labels: list[np.ndarray], seed: int = SEED) -> Labeller:
         rng = np.random.default_rng(seed)
         weights = [*self.lstm, self.out, self.paths, self.words]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in weights]
@@ -151,7 +164,10 @@ class Labeller:
                     dh = np.zeros((*x.shape[:2], HIDDEN), np.float32)
                     dh[at, where[2]] = dboth[:, k * HIDDEN : (k + 1) * HIDDEN]
                     dx += self._back(k, x, cache, dh, grads)[at, where[2]]
-                np.add.at(grads[3], b.path, np.repeat(dx[:, :DIM], np.diff(b.path_first), axis=0))
+                later = np.zeros((len(b.path) + 1, DIM))
+                np.add.at(later, b.path_at, dx[:, :DIM])
+                later = np.cumsum(later[::-1], axis=0)[::-1][1:]  # of the blocks after each event
+                np.add.at(grads[3], b.path, (later * b.sign[:, None]).astype(np.float32))
                 sizes = np.diff(b.word_first)
                 np.add.at(grads[4], b.word, np.repeat(dx[:, DIM : 2 * DIM] / np.maximum(sizes, 1)[:, None], sizes, axis=0))
                 step += 1
@@ -185,11 +201,11 @@ def trained(pages: int = PAGES, seed: int = SEED) -> Labeller:
     return Labeller(seed).fit(found, labels, seed)
 
 
-def laid_out(n: int, seed: int) -> tuple[list[list[tuple[tuple[str, ...], str, float]]], list[np.ndarray]]:
+def laid_out(n: int, seed: int) -> tuple[list[Page], list[np.ndarray]]:
     """Blocks of n invented pages, and for each block 1 if it is main text."""
     parsed = [leaves(html) for html in layouts.pages(n, seed)]
-    labels = [np.array([text.startswith(layouts.MARK) for _, text, _ in page], np.float32) for page in parsed]
-    return [[(path, text.removeprefix(layouts.MARK), linked) for path, text, linked in page] for page in parsed], labels
+    labels = [np.array([b[2].startswith(layouts.MARK) for b in page.blocks], np.float32) for page in parsed]
+    return [Page(page.tokens, page.signs, [(at, depth, text.removeprefix(layouts.MARK), linked) for at, depth, text, linked in page.blocks]) for page in parsed], labels
 
 
 def texts(model: Labeller, htmls: list[str | None]) -> list[str]:
@@ -197,7 +213,7 @@ def texts(model: Labeller, htmls: list[str | None]) -> list[str]:
     pages = [leaves(h) for h in htmls]
     b = described(pages)
     keep = model.probabilities(b) >= 0.5
-    return ["\n".join(block[1] for block, k in zip(p, keep[at:], strict=False) if k) for p, at in zip(pages, b.first[:-1].tolist(), strict=True)]
+    return ["\n".join(block[2] for block, k in zip(p.blocks, keep[at:], strict=False) if k) for p, at in zip(pages, b.first[:-1].tolist(), strict=True)]
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import xxhash
 
@@ -110,3 +111,13 @@ def repeated_windows(docs, n):
             if seen.setdefault(key, i) != i:
                 out.setdefault(i, set()).add(j)
     return out
+
+
+def article(html):
+    """The blocks of the one article of a test page: its headings and paragraphs, without what stands in other containers in it."""
+    inner = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", html or "")
+    inner = "".join(re.findall(r"(?s)<article[^>]*>(.*?)</article>", inner))
+    inner = re.sub(r"(?s)<(aside|nav|form|section|footer|div)\b.*?</\1>", "\n", inner)
+    blocks = re.split(r"\n|</?(?:p|h\d|li|ul|ol|blockquote)\b[^>]*>", re.sub(r"<br[^>]*>", " ", inner))
+    blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks]
+    return [b for b in blocks if b] or [""]

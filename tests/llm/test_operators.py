@@ -1,6 +1,7 @@
 """The ten operators against brute force, SQL or held-out labels, and on hard inputs."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -441,6 +442,48 @@ def test_labeller_on_unseen_layouts():
     assert pagetext.texts(model, [page, "", None, "<p>", "<script>x</script>"]) == ["The title\nOne & two more\nThree four", "", "", "", ""]
 
 
+#: Pages written by hand, unlike those that the labeller learns from, and their main text.
+HAND = [
+    ("""<!doctype html><html><body class="home"><div id="top"><a href="/">Acme Gazette</a> <a href="/sport">Sport</a> <a href="/money">Money</a></div>
+    <table><tr><td class="left"><ul><li><a href="/1">Archive</a></li><li><a href="/2">Subscribe</a></li></ul></td><td class="story">
+    <h1>Storm closes the harbour</h1><p>Boats stayed in port on Monday as winds rose above sixty miles an hour, the harbour master said.</p>
+    <p>Ferries are expected to sail again on Wednesday morning.</p></td></tr></table><div class="footer">Copyright Acme Gazette</div></body></html>""",
+     "Storm closes the harbour\nBoats stayed in port on Monday as winds rose above sixty miles an hour, the harbour master said.\nFerries are expected to sail again on Wednesday morning."),
+    ("""<html><body><header class="page-header"><h2>My notes</h2><nav class="links"><a href="/a">Posts</a><a href="/b">Feed</a></nav></header><section class="post-body"><h1>On sorting</h1>
+    <div>Sorting by key is simple when all of the keys fit in memory, and a chore when they do not.</div><blockquote>Measure first, then sort.</blockquote>
+    <p>Merge the runs and write them out in order.</p></section><section class="comments"><h3>2 comments</h3><div class="comment">Great post, thanks!</div><div class="comment">I disagree with this.</div></section></body></html>""",
+     "On sorting\nSorting by key is simple when all of the keys fit in memory, and a chore when they do not.\nMeasure first, then sort.\nMerge the runs and write them out in order."),
+    ("""<html><body><div class="cookie-consent">We use cookies. <button>OK</button></div><div class="container"><div class="content"><h1>Bread</h1><p>Mix flour, water, salt and yeast in a large bowl and leave it to rise.</p>
+    <ol><li>Heat the oven until it is very hot.</li><li>Bake for forty minutes.</li></ol></div><aside><h4>Related</h4><a href="/x">Rolls</a><a href="/y">Buns</a></aside></div><form><input name="q"><button>Search</button></form></body></html>""",
+     "Bread\nMix flour, water, salt and yeast in a large bowl and leave it to rise.\nHeat the oven until it is very hot.\nBake for forty minutes."),
+]
+
+
+def test_labeller_on_pages_from_elsewhere(small):
+    model = pagetext.trained()
+    hit = said = wanted = 0
+    for page, want in HAND:
+        found, want = pagetext.texts(model, [page])[0].split("\n"), want.split("\n")
+        hit, said, wanted = hit + sum(x in want for x in found), said + len(found), wanted + len(want)
+    assert hit / wanted >= 0.9 and hit / said >= 0.9
+    # the test tables mark main text by one element, which a plain reader finds
+    htmls = pd.read_parquet(f"{small}/pages.parquet")["html"].tolist()
+    right = [text.split("\n") == brute.article(html) for html, text in zip(htmls, pagetext.texts(model, htmls), strict=True)]
+    assert np.mean(right) >= 0.95
+
+
+def test_open_elements_take_time_in_proportion():
+    def took(n):
+        began = time.process_time()
+        page = pagetext.leaves("<div>x" * n + "</b><option>y" * n)
+        b = pagetext.described([page])
+        assert len(page.blocks) == 2 * n and b.measures[n - 1, 4] == 3 and sum(page.signs) == 0
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 10 * took(10_000)
+
+
 def test_pages_hard(spark):
     rows = [(1, "u", "<article><p>" + "word " * 50_000 + "</p></article>"), (None, None, None), (2, "u", ""), (2, "u", ""), (3, "u", "<article>" + "<p>one two three four five six.</p>" * 3000 + "</article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
@@ -472,6 +515,26 @@ def test_toxicity_on_held_out_texts():
     assert ((model.scores(tokenise(texts)) >= toxicity.THRESHOLD) == (marks > 0)).mean() > 0.95
 
 
+def test_groups_follow_languages(small):
+    docs = pd.read_parquet(f"{small}/documents.parquet")
+    docs = docs[docs["text"].fillna("").str.len() > 200]
+    x = toxicity.profiles(tokenise(docs["text"]))
+    own = (x @ toxicity.grouped(x).T).argmax(1)
+    most = pd.crosstab(own, docs["lang"].to_numpy()).max(1).sum()
+    assert most >= 0.9 * len(docs)
+
+
+def test_toxicity_is_learned_from_one_row_an_id(spark, labels):
+    docs = frame(spark, [(1, f"text {i}", "s") for i in range(50)] + [(6, "other", "s")])
+    assert sorted(got(toxicity.labelled(docs, labels), "text", "toxic")) == [("other", 0), ("text 0", 0)]
+
+
+def test_toxicity_against_the_tables(spark, small):
+    docs, labels = (spark.read.parquet(f"{small.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").toPandas()
+    assert (rows["predicted"] == rows["toxic"]).mean() >= 0.95 and ((rows["score"] >= toxicity.THRESHOLD) == (rows["predicted"] == 1)).all()
+
+
 def test_toxicity_hard(spark, hard, none, labels):
     rows = toxicity.scored(hard, labels)
     assert rows.count() == 11 and rows.where("score is null or score < 0 or score > 1 or held_out is null").count() == 0
