@@ -530,7 +530,7 @@ def test_toxicity_is_learned_from_one_row_an_id(spark, labels):
 
 
 def test_toxicity_against_the_tables(spark, small):
-    docs, labels = (spark.read.parquet(f"{small.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"{small.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").toPandas()
     assert (rows["predicted"] == rows["toxic"]).mean() >= 0.95 and ((rows["score"] >= toxicity.THRESHOLD) == (rows["predicted"] == 1)).all()
 
