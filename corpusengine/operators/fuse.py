@@ -29,9 +29,9 @@ def hybrid(sparse: DataFrame, dense: DataFrame, texts: DataFrame, key: str, by:
     """``by..., key, score, rank``: the 2 top_k best fused rows joined to their texts, the first top_k of these in ``rerank``'s order.
 
     The default reranker is a test double; a model plugs in as a pandas UDF of the text. Ids that the texts
-    lack are dropped.
+    lack, and null texts, are ranked by an empty text.
     """
     candidates = best(fused([sparse, dense], key, by), by, 2 * top_k).drop("rank")
-    with_text = candidates.join(texts.select(key, "text"), key)
+    with_text = candidates.join(texts.select(key, "text"), key, "left").withColumn("text", F.coalesce("text", F.lit("")))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(rerank(F.encode("text", "UTF-8")), key))
     return with_text.withColumn("rank", place).where(F.col("rank") <= top_k).select(*by, key, "score", "rank")

@@ -192,7 +192,7 @@ SQL = {
     "dense_knn_cosine": f"WITH {_PAIRS} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM n) WHERE rank <= 10",
     "dense_knn_l2": f"WITH n AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id % {EVERY} = 0) SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), vec_id) AS rank FROM n) WHERE rank <= 10",
     "rrf_fusion": f"WITH {_ARMS} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM fr WHERE rank <= 10",
-    "hybrid_retrieve": f"WITH {_ARMS} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY md5(text), doc_id) AS rank FROM fr JOIN documents USING (doc_id) WHERE fr.rank <= 10) WHERE rank <= 5",
+    "hybrid_retrieve": f"WITH {_ARMS} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY md5(coalesce(text, '')), doc_id) AS rank FROM fr LEFT JOIN documents USING (doc_id) WHERE fr.rank <= 10) WHERE rank <= 5",
     "route_scores": f"WITH {_HITS} SELECT query_id, route, round(score, 6) AS score FROM rs",
     "route_choice": f"WITH {_HITS} SELECT query_id, route, round(score, 6) AS score FROM pick",
     "route_near_miss": f"WITH {_HITS} SELECT query_id, route, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best, route) AS rank FROM rs) WHERE rank <= 3",

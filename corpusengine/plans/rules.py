@@ -68,11 +68,12 @@ def _scanned(spark: SparkSession, sf: str) -> DataFrame:
 
 def scan_violations(spark: SparkSession, sf: str) -> DataFrame:
     rows = _scanned(spark, sf).select("doc_id", F.explode(rules.violations("text")).alias("v"))
-    return rows.groupBy("doc_id", "v.rule_id", "v.severity").agg(F.count("*").alias("n")).select("doc_id", "rule_id", "severity", "n")
+    rows = rows.groupBy("doc_id", "v.rule_id", "v.severity").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.coalesce("v.snippet", F.lit("")))), "\n").alias("snippets"))
+    return rows.select("doc_id", "rule_id", "severity", "n", F.md5(F.encode("snippets", "UTF-8")).alias("snippets"))
 
 
 def scan_critical(spark: SparkSession, sf: str) -> DataFrame:
-    return _scanned(spark, sf).select("doc_id", rules.has_critical(rules.violations("text")).alias("critical"))
+    return _scanned(spark, sf).select("doc_id", rules.has_critical("text").alias("critical"))
 
 
 def content_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +127,7 @@ def _papers(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as papers: some have a DOI that two share, some an arXiv id, all a title from their text."""
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("10.1/"), (F.col("doc_id") % 50).cast("string"))).alias("doi"), F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("2401."), F.lpad((F.col("doc_id") % 70).cast("string"), 5, "0"))).alias("arxiv_id"),
-        F.substring("text", 1, 40).alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("venue"), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("lang")).alias("issn"), F.lit(None).cast("string").alias("pdf_url"), F.lit(None).cast("string").alias("openalex_id"),
+        F.col("text").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("venue"), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("lang")).alias("issn"), F.lit(None).cast("string").alias("pdf_url"), F.lit(None).cast("string").alias("openalex_id"),
     )
 
 
@@ -184,20 +185,14 @@ _STEP = SIZE - OVERLAP
 _CHUNKS = f"""ck AS (SELECT doc_id AS path, i AS chunk_index, substr(sha1(doc_id || ':' || i), 1, 16) AS chunk_id, array_to_string(w[i * {_STEP} + 1:i * {_STEP} + {SIZE}], ' ') AS text
   FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) <= {SIZE} THEN [0] ELSE range(0, CAST(ceil(len(w) / {_STEP}) AS BIGINT)) END) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) WHERE len(w) > 0)"""
 _SCAN = "sc AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' `cat /etc/passwd` ' WHEN 1 THEN ' key sk-' || repeat('aB3', 12) WHEN 2 THEN ' (/home/u/x.txt) ' ELSE '' END AS text FROM documents)"
-_CMD = "|".join(sorted(rules.COMMANDS, key=len, reverse=True))
-_RULES = {
-    "shell_command": rf"`[^`]*\b(?:{_CMD})\b(?:\s+[^`\n]*|\s*[;|&])[^`]*`|\b(?:rm)\s+-rf|\b(?:curl)\b[^`\n;]*\|[^`\n]*(?:ba)?sh\b|\$\((?:\b(?:{_CMD})\b(?:\s+[^)]*)?)\)",
-    "abs_path_leak": r"(?:\s|^|[\"''(=])(/(?:home|etc|root|tmp|var)/[^\s]{2,})",
-    "prompt_injection": r"(?i)(ignore\s+(all\s+)?(previous|above)\s+(instructions?|prompt)|you\s+are\s+now)",
-    "pii_email": r"[\w.-]+@[\w.-]+\.\w+",
-    "pii_api_key": r"\b(sk-[a-zA-Z0-9]{32,}|[a-zA-Z0-9]{32,}:[a-zA-Z0-9]{32,})\b",
-}
+#: The rules' patterns as the other engine writes them: Unicode words are ASCII there, and its text has no bounds next to other letters.
+_RULES = {r: p.replace("(?U)", "").replace("(?iU)", "(?i)").replace("'", "''") for r, _, p in rules.SCAN_RULES} | {"pii_email": r"[\w.-]+@[\w.-]+\.\w+"}
 _SEVERITY = {r[0]: r[1] for r in rules.SCAN_RULES}
 _RATIO = r"CASE WHEN length(text) < 100 OR len(l) = 0 THEN 0 ELSE 1 - len(list_distinct(l)) / len(l) END"
 _LINES = r"list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
-_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule_id, '{_SEVERITY[k]}' AS severity, len(regexp_extract_all(text, '{v}')) AS n FROM sc" for k, v in _RULES.items())
-_FOUND = f"{_SCAN}, fd AS (SELECT * FROM ({_FOUND} UNION ALL SELECT doc_id, 'high_repetition', 'warning', 1 FROM (SELECT doc_id, {_RATIO} AS r FROM (SELECT doc_id, text, {_LINES} AS l FROM sc)) WHERE r > 0.8) WHERE n > 0)"
-_PAPERS = "pp AS (SELECT doc_id AS seq, CASE WHEN doc_id % 5 = 0 THEN '10.1/' || (doc_id % 50) END AS doi, CASE WHEN doc_id % 5 = 1 THEN '2401.' || lpad(CAST(doc_id % 70 AS VARCHAR), 5, '0') END AS arxiv_id, substr(text, 1, 40) AS title, CASE WHEN doc_id % 2 = 0 THEN source END AS venue, CASE WHEN doc_id % 3 <> 0 THEN lang END AS issn FROM documents), pk AS (SELECT *, coalesce('doi:' || doi, 'arxiv:' || arxiv_id, 'title:' || lower(regexp_replace(title, '[^\\p{L}\\p{N}_]', '', 'g'))) AS dedup_key FROM pp)"
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule_id, '{_SEVERITY[k]}' AS severity, regexp_extract_all(text, '{v}') AS m FROM sc" for k, v in _RULES.items())
+_FOUND = f"{_SCAN}, fd AS (SELECT doc_id, rule_id, severity, len(m) AS n, md5(array_to_string(list_sort(list_transform(m, lambda x: substr(x, 1, 100))), chr(10))) AS snippets FROM ({_FOUND} UNION ALL SELECT doc_id, 'high_repetition', 'warning', [''] FROM (SELECT doc_id, {_RATIO} AS r FROM (SELECT doc_id, text, {_LINES} AS l FROM sc)) WHERE r > 0.8) WHERE n > 0)"
+_PAPERS = "pp AS (SELECT doc_id AS seq, CASE WHEN doc_id % 5 = 0 THEN '10.1/' || (doc_id % 50) END AS doi, CASE WHEN doc_id % 5 = 1 THEN '2401.' || lpad(CAST(doc_id % 70 AS VARCHAR), 5, '0') END AS arxiv_id, text AS title, CASE WHEN doc_id % 2 = 0 THEN source END AS venue, CASE WHEN doc_id % 3 <> 0 THEN lang END AS issn FROM documents), pk AS (SELECT *, coalesce('doi:' || doi, 'arxiv:' || arxiv_id, 'title:' || lower(regexp_replace(title, '[^\\p{L}\\p{N}_]', '', 'g'))) AS dedup_key FROM pp)"
 _VENUE = "regexp_replace(lower(" + VENUE + "), '[^a-z0-9]', '', 'g')"
 for _w in linkage.NOISE:
     _VENUE = f"regexp_replace({_VENUE}, '^{_w}', '')"
@@ -226,7 +221,7 @@ SELECT doc_id, section, heading, md5(body) AS digest FROM g WHERE heading <> ''
     "heading_missing": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Summary|Results' WHEN 1 THEN 'Method|Results' ELSE 'Summary|Method|Results' END AS missing FROM pages",
     "grep_lines": r"SELECT doc_id, line_no, md5(line) AS digest FROM (SELECT doc_id, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE regexp_matches(line, 'thing.*hath') ORDER BY doc_id, line_no LIMIT 30",
     "repetition_ratio": f"SELECT doc_id, round({_RATIO}, 6) AS ratio FROM (SELECT doc_id, text, {_LINES} AS l FROM documents)",
-    "scan_violations": f"WITH {_FOUND} SELECT doc_id, rule_id, severity, n FROM fd",
+    "scan_violations": f"WITH {_FOUND} SELECT doc_id, rule_id, severity, n, snippets FROM fd",
     "scan_critical": f"WITH {_FOUND} SELECT doc_id, doc_id IN (SELECT doc_id FROM fd WHERE severity = 'critical') AS critical FROM sc",
     "content_gate": f"WITH {_FOUND} SELECT doc_id, md5(CASE WHEN doc_id IN (SELECT doc_id FROM fd WHERE severity = 'critical') THEN '{NOTICE}' ELSE text END) AS digest FROM sc",
     "entities_extract": rf"""WITH q AS (SELECT conv_id, turn, {UTTERANCE_SQL} AS q FROM conversations)
