@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,53 @@ def line_inserted(value: str | Column, line: str | Column, at: int | Column) ->
     return F.array_join(F.concat(F.slice(lines, F.lit(1), place), F.array(_c(line)), F.slice(lines, place + 1, F.size(lines))), "\n")
 
 
+def patched(value: str | Column, patch: str | Column) -> Column:
+    """The value with a lenient unified diff applied, or null where it doesn't fit.
+
+    A header moves on to its line; a context line must stand right where it is said to; a removed line is the next one that equals it,
+    and what lies before it is kept; added lines go in at that point; other lines of the patch say nothing.
+    """
+    lines = py_lines(F.coalesce(_c(value), F.lit("")))
+    state = "struct<at:int,out:array<string>,bad:boolean>"
+    made = lambda at, out, bad: F.struct(at.cast("int").alias("at"), out.alias("out"), bad.alias("bad")).cast(state)
+
+    def step(s: Column, p: Column) -> Column:
+        at, rest = s["at"], F.substring(p, 2, 1 << 30)
+        ahead = F.slice(lines, at + 1, F.size(lines))
+        target = F.regexp_extract(p, r"^@@ -(\d+)(?:,\d+)? \+\d+(?:,\d+)? @@", 1).try_cast("int") - 1
+        skip = F.greatest(F.lit(0), F.least(target, F.size(lines)) - at)
+        found = F.array_position(ahead, rest).cast("int")
+        fits = F.coalesce(F.try_element_at(ahead, F.lit(1)) == rest, F.lit(False))
+        moved = F.when(target.isNotNull(), made(at + skip, F.concat(s["out"], F.slice(ahead, F.lit(1), skip)), s["bad"])).otherwise(s)
+        kept = made(at + 1, F.concat(s["out"], F.array(rest)), s["bad"] | ~fits)
+        removed = made(at + found, F.concat(s["out"], F.slice(ahead, F.lit(1), F.greatest(found - 1, F.lit(0)))), s["bad"] | (found == 0))
+        added = made(at, F.concat(s["out"], F.array(rest)), s["bad"])
+        first = F.substring(p, 1, 1)
+        return F.when(F.startswith(p, F.lit("@@")), moved).when(first == " ", kept).when(first == "-", removed).when(first == "+", added).otherwise(s)
+
+    start = made(F.lit(0), F.array().cast("array<string>"), F.lit(False))
+    end = lambda s: F.when(~s["bad"], F.array_join(F.concat(s["out"], F.slice(lines, s["at"] + 1, F.size(lines))), "\n"))
+    return F.aggregate(py_lines(F.coalesce(_c(patch), F.lit(""))), start, step, end)
+
+
+def unified_diff(old: str | Column, new: str | Column, name: str = "old", new_name: str = "new") -> Column:
+    """The unified diff of two texts with three lines of context; "" if they are equal. Null is an empty text."""
+
+    @F.pandas_udf("string")
+    def diff(olds: pd.Series, news: pd.Series) -> pd.Series:
+        pairs = zip(olds.fillna(""), news.fillna(""), strict=True)
+        return pd.Series(["\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), name, new_name, lineterm="")) for a, b in pairs], dtype=object)
+
+    return diff(_c(old), _c(new))
+
+
+def truncated_lines(text: str | Column, most: int = 200) -> Column:
+    """The first lines of a text, and how many more there are."""
+    lines = py_lines(text)
+    more = F.concat(F.lit("… +"), (F.size(lines) - most).cast("string"), F.lit(" lines"))
+    return F.when(F.size(lines) <= most, _c(text)).otherwise(F.array_join(F.concat(F.slice(lines, 1, most), F.array(more)), "\n"))
+
+
 def line_appended(value: str | Column, line: str | Column) -> Column:
     value = py_strip(F.coalesce(_c(value), F.lit("")))
     return F.when(value == "", _c(line)).otherwise(F.concat(value, F.lit("\n"), _c(line)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c, missing
+from .text import _c, missing, py_strip
 
 # Venue prefixes in the order of stripping, aliases, ranks and the values that pass.
 NOISE = ["proceedingsoftheacm", "proceedingsofthe", "theacm", "internationalconferenceon", "conferenceon", "annualmeetingof", "the"]
@@ -74,6 +74,16 @@ def sjr_rank(html: str | Column, venue: str | Column) -> Column:
     return F.when(jcr.isNotNull(), F.struct(F.lit(None).cast("string").alias("ccf"), jcr.alias("jcr"), F.lit(None).cast("string").alias("cas")))
 
 
+def title_of(search: str | Column, parsed: str | Column, embedded: str | Column, spans: str | Column) -> Column:
+    """``(title, source)`` from the first that has one: search results, the parsed paper, its metadata, or the highest of the largest ``spans(text, size, y)``."""
+    ordered = F.array_sort(F.transform(_c(spans), lambda s: F.struct((-s["size"]).alias("size"), s["y"].alias("y"), s["text"].alias("text"))))
+    tries = {"search": missing(search), "grobid": missing(parsed), "pdftitle": missing(embedded), "pymupdf": missing(py_strip(F.try_element_at(ordered, F.lit(1))["text"]))}
+    source = F.lit("")
+    for name, title in reversed(tries.items()):
+        source = F.when(title.isNotNull(), F.lit(name)).otherwise(source)
+    return F.struct(F.coalesce(*tries.values(), F.lit("")).alias("title"), source.alias("source"))
+
+
 def rank_text(rank: str | Column) -> Column:
     """``CCF-A；JCR-Q1`` of the values there are, 无 if there are none."""
     rank = _c(rank)

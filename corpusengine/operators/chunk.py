@@ -16,17 +16,35 @@ SIZE, OVERLAP = 512, 64
 def markdown_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, section, heading, body``: a line that begins with # opens a section; one with neither heading nor body is left out.
 
-    The lines of a document stay in its row: sections are folded in one pass over its array, without a shuffle.
+    A document is cut where a line begins with #, within its row and without a shuffle.
     """
-    lines = F.transform(py_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: F.struct(F.startswith(x, F.lit("#")).alias("head"), x.alias("line")))
-    rows = docs.select(key, F.posexplode(lines).alias("pos", "x")).select(key, "pos", "x.*")
-    ordered = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section", F.sum(F.col("head").cast("int")).over(ordered))
-    out = rows.groupBy(key, "section").agg(F.max(F.when(F.col("head"), F.regexp_replace("line", "^[# ]+", ""))).alias("heading"), F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))).alias("body"))
-    out = out.select(key, "section", F.coalesce("heading", F.lit("")).alias("heading"), F.array_join(F.col("body.line"), "\n").alias("body"))
+    whole = F.array_join(py_lines(F.coalesce(F.col(text), F.lit(""))), "\n")
+    rows = docs.select(key, F.startswith(whole, F.lit("#")).cast("int").alias("begun"), F.posexplode_outer(F.split(whole, "\n(?=#)")).alias("pos", "part"))
+    head = F.startswith("part", F.lit("#"))
+    lines = F.split("part", "\n", 2)
+    heading = F.when(head, F.regexp_replace(lines[0], "^[# ]+", "")).otherwise("")
+    body = F.when(head, F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))).otherwise(F.col("part"))
+    out = rows.select(key, (F.col("pos") + F.col("begun")).cast("long").alias("section"), heading.alias("heading"), body.alias("body"))
     return out.where("heading <> '' or body <> ''")
 
 
+def font_sections(lines: DataFrame, key: str, seq: str = "seq", size: str = "size", text: str = "text", least: float = 12.0) -> DataFrame:
+    """``key, section, heading, body`` from the lines of pages: a large line opens a section if the one before it has a body, else it is body too.
+
+    So of large lines in a row every second one opens, beginning with the first where a small line came before and with the second where none did.
+    Blank lines say nothing; sections without a body are left out. Lines of a document are ordered together.
+    """
+    rows = lines.select(key, seq, (F.coalesce(F.col(size), F.lit(0.0)) >= least).alias("large"), py_strip(text).alias("line")).where("line <> ''")
+    ordered = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("run", F.sum((~F.col("large")).cast("int")).over(ordered))
+    place = F.row_number().over(Window.partitionBy(key, "run", "large").orderBy(seq))
+    rows = rows.withColumn("opens", F.col("large") & (place % 2 == F.when(F.col("run") > 0, 1).otherwise(0)))
+    rows = rows.withColumn("section", F.sum(F.col("opens").cast("int")).over(ordered))
+    said = F.array_sort(F.collect_list(F.when(~F.col("opens"), F.struct(F.col(seq).alias("seq"), "line"))))
+    out = rows.groupBy(key, "section").agg(F.coalesce(F.max(F.when(F.col("opens"), F.col("line"))), F.lit("")).alias("heading"), said.alias("said")).where(F.size("said") > 0)
+    return out.select(key, "section", "heading", F.concat(F.array_join(F.col("said.line"), "\n"), F.lit("\n")).alias("body"))
+
+
 def html_sections(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """``key, section, heading, body``: what follows each h1 to h6 to the next, without tags, white space as one blank."""
     clean = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")

@@ -36,39 +36,57 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return dot(a, b) / (one(norm(a)) * one(norm(b)))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", metric: str = "cosine") -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", metric: str = "cosine", plus: str | None = None) -> DataFrame:
     """``query_key, key, score, rank`` of the k nearest rows of the corpus by cosine, or by ``l2`` distance.
 
     Queries are collected in blocks of QUERY_BLOCK and sent to the corpus, which is scanned where it lies: each batch is one matrix
-    product, and only k rows a query leave it. Ties go to the smaller key. The set of queries is the small side.
+    product, and only k rows a query leave it. ``plus`` names a column of the corpus with a map from query keys to what is added to their scores, so that other evidence counts before
+    rows are dropped. Ties go to the smaller key. Null and empty vectors, and those of other lengths than a query's or with null components, are near nothing.
+    The set of queries is the small side.
     """
     spark, found = corpus.sparkSession, None
-    total = queries.count()
-    blocks = max(1, math.ceil(total / QUERY_BLOCK))
+    whole = F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull()), F.lit(False))
+    queries, corpus = queries.where(whole), corpus.where(whole)
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     types = dict(queries.dtypes)[query_key], dict(corpus.dtypes)[key]
     schema = f"`{query_key}` {types[0]}, `{key}` {types[1]}, score double"
     dealt = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("v"), F.pmod(F.xxhash64(query_key), F.lit(blocks)).alias("block"))
     for block in range(blocks):
-        rows = dealt.where(F.col("block") == block).collect()
-        if not rows:
+        by_length: dict[int, list] = {}
+        for r in dealt.where(F.col("block") == block).collect():
+            by_length.setdefault(len(r["v"]), []).append((r["q"], r["v"]))
+        if not by_length:
             continue
-        sent = spark.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["v"] for r in rows], np.float64)))
+        sent = spark.sparkContext.broadcast({n: ([q for q, _ in rows], np.array([v for _, v in rows], np.float64)) for n, rows in by_length.items()})
 
         def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            ids, q = sent.value
             for frame in frames:
-                x = np.array(frame[vector].tolist(), np.float64)
-                if metric == "cosine":
-                    one = lambda m: np.where(m == 0, 1, m)
-                    s = (q / one(np.linalg.norm(q, axis=1))[:, None]) @ (x / one(np.linalg.norm(x, axis=1))[:, None]).T
-                else:
-                    s = -np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(2), 0)) if len(q) * x.size < 4e7 else -np.stack([np.linalg.norm(x - v, axis=1) for v in q])
-                top = min(k, len(x))
-                keys = frame[key].to_numpy()
-                order = np.lexsort((np.broadcast_to(keys, s.shape), -np.round(s, 9)), axis=1)[:, :top]
-                yield pd.DataFrame({query_key: np.repeat(ids, top), key: keys[order].ravel(), "score": np.abs(np.take_along_axis(s, order, 1)).ravel() if metric == "l2" else np.take_along_axis(s, order, 1).ravel()})
-
-        part = corpus.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, schema)
+                for n, rows in frame.groupby(frame[vector].map(len), sort=False):
+                    if n in sent.value:
+                        yield near(*sent.value[n], rows)
+
+        def near(ids: list, q: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+            x = np.array(rows[vector].tolist(), np.float64)
+            if metric == "cosine":
+                one = lambda m: np.where(m == 0, 1, m)
+                s = (q / one(np.linalg.norm(q, axis=1))[:, None]) @ (x / one(np.linalg.norm(x, axis=1))[:, None]).T
+            else:
+                s = -np.stack([np.linalg.norm(x - v, axis=1) for v in q])
+            if plus is not None:
+                place = {q: i for i, q in enumerate(ids)}
+                for j, more in enumerate(rows[plus]):
+                    for e in () if more is None else more:
+                        if e["key"] in place:
+                            s[place[e["key"]], j] += e["value"]
+            top = min(k, len(x))
+            keys = rows[key].to_numpy()
+            order = np.lexsort((np.broadcast_to(keys, s.shape), -np.round(s, 9)), axis=1)[:, :top]
+            got = np.take_along_axis(s, order, 1).ravel()
+            return pd.DataFrame({query_key: np.repeat(ids, top), key: keys[order].ravel(), "score": np.abs(got) if metric == "l2" else got})
+
+        extra = [] if plus is None else [F.map_entries(plus).alias(plus)]
+        part = corpus.select(key, vector, *extra)
+        part = part.mapInPandas(run, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)
@@ -77,17 +95,6 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, key:
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def scores(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, query_vector: str, vector: str) -> DataFrame:
-    """``query_key, key, score``: the cosine of every query with every row, for sums that need all of them; queries are broadcast in blocks."""
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == block).select(query_key, query_vector)
-        part = corpus.select(key, vector).crossJoin(F.broadcast(some)).select(query_key, key, cosine(query_vector, vector).alias("score"))
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
 def fake_vector(dim: int = 64) -> Callable[[Column], Column]:
     """An encoder for tests: unit vectors from a generator seeded by the text's md5."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +69,9 @@ def unique_tags(rows: DataFrame, tags: str = "tags") -> DataFrame:
 
 
 def conversation_search(messages: DataFrame, pattern: str, order: list[str], roles: tuple[str, ...] = ("user", "assistant"), limit: int = 20, text: str = "text") -> DataFrame:
-    """Messages of these roles that contain the pattern in any case (% and _ are wild), the latest first."""
-    return messages.where(F.col("role").isin(*roles) & F.col(text).ilike(f"%{pattern}%")).orderBy(*(F.desc(c) for c in order)).limit(limit)
+    """Messages of these roles that contain the pattern in any case (% and _ are wild), the latest first; only ASCII letters fold."""
+    plain = str.maketrans(ascii_uppercase, ascii_lowercase)
+    return messages.where(F.col("role").isin(*roles) & F.translate(F.col(text), ascii_uppercase, ascii_lowercase).like(f"%{pattern.translate(plain)}%")).orderBy(*(F.desc(c) for c in order)).limit(limit)
 
 
 def replayed(messages: DataFrame, agents: DataFrame) -> DataFrame:

@@ -45,6 +45,22 @@ def ranked_venues(papers: DataFrame, venue: str = "venue", letpub: str | None =
     return rows.withColumn("passed", passes("rank")).withColumn("rank_text", rank_text("rank"))
 
 
+def reviewed(papers: DataFrame, least_year: int | None = None, ranked: bool = False) -> DataFrame:
+    """``papers`` with ``failed`` (what speaks against them: year, rank, download) and ``decision``.
+
+    With a least year an unknown year fails; a rank is asked for only if ``ranked``, and then an unknown one (``passed`` false or null) fails.
+    A paper can be downloaded by its ``pdf_url`` or if it says so.
+    """
+    no = F.lit(False)
+    bad = {
+        "year": ~F.coalesce(F.col("year") >= least_year, no) if least_year is not None else no,
+        "rank": ~F.coalesce(F.col("passed"), no) if ranked else no,
+        "download": missing("pdf_url").isNull() & ~F.coalesce(F.col("downloadable"), no),
+    }
+    failed = F.array_compact(F.array(*(F.when(is_bad, F.lit(name)) for name, is_bad in bad.items())))
+    return papers.withColumn("failed", failed).withColumn("decision", F.when(F.size("failed") == 0, "pass").otherwise("fail"))
+
+
 def consistent_reviews(reviews: DataFrame, kind: str = "note") -> DataFrame:
     """``review_id, consistent``. A note passes just if nothing blocks; a download passes just if an item does, and may fail without items.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import clipped, entities, is_followup, merged_entities
+from .dense import nearest
 
 ALPHA, TOP_K = 0.6, 5
 SEARCH, POINTS, TRIALS = 0.8, 100, 500
@@ -20,6 +21,13 @@ def hybrid_scores(dense: DataFrame, sparse: DataFrame | None, query: str, key: s
     return rows.groupBy(query, key).agg(F.sum("score").alias("score"))
 
 
+def hybrid_nearest(queries: DataFrame, corpus: DataFrame, sparse: DataFrame, k: int, query: str, key: str, alpha: float = ALPHA, scaled_query: bool = True) -> DataFrame:
+    """``query, key, score, rank`` of the k rows with the greatest ``hybrid_scores``: sparse products travel to the vectors, and only k rows a query leave each batch."""
+    factor = (1 - alpha) ** (2 if scaled_query else 1)
+    by_row = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(query, F.col("score") * factor))).alias("plus"))
+    return nearest(queries, corpus.join(by_row, key, "left"), k, query, key, plus="plus")
+
+
 def route_scores(hits: DataFrame, query: str, route: str = "route") -> DataFrame:
     """``query, route, score, best_rank``: means over a query's hits (``rank`` from 1); better hits order equal means."""
     return hits.groupBy(query, route).agg(F.avg("score").alias("score"), F.min("rank").alias("best_rank"))
@@ -70,18 +78,22 @@ def fitted_thresholds(scores: DataFrame, truths: DataFrame, thresholds: DataFram
     """``route, threshold`` of the best of ``trials`` random draws, or the given ones if none is better.
 
     A draw takes for each route one of 100 even steps from 0.8 below its threshold to 0.8 above, within 0 and 1; the draw is
-    a hash of trial, route and seed. Scores are computed once; trials are rows that all are judged in one aggregation, so the
-    size of the intermediate is scores times trials.
+    a digest of trial, route and seed. A query's routes stay in one row, which judges all trials; sums by trial are taken before
+    anything is shuffled. The draws, one number for each route and trial, are the small side.
     """
     spark = scores.sparkSession
     low, high = F.greatest(F.col("t") - SEARCH, F.lit(0.0)), F.least(F.col("t") + SEARCH, F.lit(1.0))
-    step = F.pmod(F.xxhash64("trial", route, F.lit(seed)), F.lit(POINTS))
+    told = F.concat_ws("|", F.col("trial").cast("string"), route, F.lit(str(seed)))
+    step = F.conv(F.substring(F.md5(told.cast("binary")), 1, 8), 16, 10).cast("long") % POINTS
     given = thresholds.select(route, F.coalesce("threshold", F.lit(0.0)).alias("t"))
     draws = given.crossJoin(spark.range(trials + 1).withColumnRenamed("id", "trial"))
     draws = draws.select("trial", route, F.when(F.col("trial") == 0, F.col("t")).otherwise(low + (high - low) * step / (POINTS - 1)).alias("threshold"))
-    passed = scores.join(F.broadcast(draws), route).where("score >= threshold")
-    first = passed.groupBy("trial", query).agg(F.min_by(F.col(route), F.struct(-F.round("score", 9), "best_rank")).alias("predicted"))
-    right = first.join(truths.select(query, "truth"), query).where("predicted = truth").groupBy("trial").agg(F.count("*").alias("right"))
+    limits = draws.groupBy(route).agg(F.transform(F.array_sort(F.collect_list(F.struct("trial", "threshold"))), lambda d: d["threshold"]).alias("limits"))
+    own = F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("low"), "best_rank", F.col(route).alias("name"), "score", "limits"))).alias("own")
+    rows = scores.join(limits, route).groupBy(query).agg(own).join(truths.select(query, "truth"), query)
+    # routes are in the order of choice, so the first that reaches its limit is the prediction
+    named = F.transform(F.sequence(F.lit(1), F.lit(trials + 1)), lambda i: F.try_element_at(F.filter("own", lambda o: o["score"] >= F.element_at(o["limits"], i)), F.lit(1))["name"] == F.col("truth"))
+    right = rows.select(F.posexplode(named).alias("trial", "right")).groupBy("trial").agg(F.count_if("right").alias("right")).where("right > 0")
     best = right.agg(F.min_by("trial", F.struct(-F.col("right"), "trial")).alias("best"))
     picked = draws.crossJoin(F.broadcast(best)).where(F.col("trial") == F.coalesce("best", F.lit(0)))
     return picked.select(route, "threshold")

@@ -191,7 +191,7 @@ SELECT id, round(s, 6) AS score FROM (SELECT id, coalesce(list_dot_product(CAST(
 WHERE NOT is_deleted AND lang = 'en' AND coalesce(created_at, '') BETWEEN '2024-01-05' AND '2024-01-25') ORDER BY round(s, 9) DESC, id LIMIT 20""",
     "unique_tags": f"WITH {_PASS} SELECT lang AS tag FROM ps WHERE NOT is_deleted UNION SELECT source FROM ps WHERE NOT is_deleted",
     "passage_counts": f"WITH {_PASS} SELECT lang, count(*) AS n FROM ps WHERE NOT is_deleted GROUP BY lang",
-    "conversation_search": "SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant') AND text ILIKE '%th%' ORDER BY conv_id DESC, turn DESC LIMIT 20",
+    "conversation_search": "SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant') AND translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%th%' ORDER BY conv_id DESC, turn DESC LIMIT 20",
     "in_context_replay": "SELECT conv_id AS agent_id, turn AS pos, conv_id || '-' || turn AS id FROM conversations WHERE conv_id % 3 = 0 UNION ALL SELECT conv_id, 1 - turn, conv_id || '-' || turn FROM conversations WHERE conv_id % 3 <> 0 AND turn <= 1",
     "compaction_tail": f"WITH {_TAIL.format('conversations')} SELECT conv_id, turn FROM tail",
     "compaction_tools": f"""WITH m AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'assistant' ELSE 'tool' END AS role FROM conversations), {_TAIL.format("m")},
@@ -212,7 +212,7 @@ SELECT conv_id, 0 AS part, turn, role, md5(text) AS digest FROM h WHERE f = 1 UN
     "span_tree": "SELECT user_id || '-' || n AS span_id, user_id || '-1' AS root_id, CAST(floor(log2(n)) AS INTEGER) AS depth FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)",
     "unfinished_spans": "WITH l AS (SELECT event_id // 2 AS span_id, event_id % 2 = 0 AS started, event_id % 2 = 1 AND event_id % 6 <> 1 AS ended FROM events) SELECT span_id FROM l WHERE started AND span_id NOT IN (SELECT span_id FROM l WHERE ended)",
     "approval_outcomes": "SELECT a.event_id // 2 AS span_id, a.event_id AS requested_at, d.event_id AS decided_at, d.event_type AS outcome FROM events a LEFT JOIN events d ON d.event_id // 2 = a.event_id // 2 AND d.event_id % 2 = 1 AND d.event_id % 6 <> 1 WHERE a.event_id % 2 = 0",
-    "tool_latency": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY event_type",
+    "tool_latency": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, round(quantile_disc(value, 0.95), 4) AS p95 FROM events GROUP BY event_type",
     "stream_deltas": "SELECT conv_id AS call_id, turn % 2 AS index, string_agg(role, '' ORDER BY turn) AS text, arg_max('stop' || turn, turn) FILTER (turn % 3 = 0) AS finish_reason FROM conversations GROUP BY ALL",
     "task_dedup_replay": """WITH RECURSIVE e AS (SELECT CAST(user_id % 20 AS VARCHAR) AS session, event_type, event_id AS seq, epoch_us(ts) / 1e6 AS secs, row_number() OVER (PARTITION BY user_id % 20, event_type ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT session, event_type, n, seq, 'run' AS decision, secs AS began FROM e WHERE n = 1 UNION ALL

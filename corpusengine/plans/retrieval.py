@@ -134,7 +134,8 @@ def route_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 def route_threshold_fit(spark: SparkSession, sf: str) -> DataFrame:
     scores = route.route_scores(_hits(spark, sf), "query_id")
-    return route.fitted_thresholds(scores, _predicted(spark, sf), _thresholds(spark, sf), "query_id", trials=100)
+    rows = route.fitted_thresholds(scores, _predicted(spark, sf), _thresholds(spark, sf), "query_id", trials=100)
+    return rows.select("route", F.round("threshold", 6).alias("threshold"))
 
 
 _W = r"[\p{L}\p{N}_]+"
@@ -197,5 +198,11 @@ SQL = {
     "route_choice": f"WITH {_HITS} SELECT query_id, route, round(score, 6) AS score FROM pick",
     "route_near_miss": f"WITH {_HITS} SELECT query_id, route, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best, route) AS rank FROM rs) WHERE rank <= 3",
     "route_accuracy": f"WITH {_HITS} SELECT count(*) AS n, count(*) FILTER (truth = route) AS correct, round(count(*) FILTER (truth = route) / greatest(count(*), 1), 6) AS accuracy FROM pred",
+    "route_threshold_fit": f"""WITH {_HITS},
+dr AS (SELECT trial, route, CASE WHEN trial = 0 THEN t ELSE lo + (hi - lo) * (CAST('0x' || substr(md5(trial || '|' || route || '|0'), 1, 8) AS BIGINT) % 100) / 99 END AS threshold FROM (
+  SELECT *, greatest(t - 0.8, 0)::DOUBLE AS lo, least(t + 0.8, 1)::DOUBLE AS hi FROM (SELECT route, coalesce(threshold, 0)::DOUBLE AS t FROM th)), (SELECT unnest(range(0, 101)) AS trial)),
+ps AS (SELECT trial, query_id, route FROM (SELECT *, row_number() OVER (PARTITION BY trial, query_id ORDER BY round(score, 9) DESC, best) AS k FROM rs JOIN dr USING (route) WHERE score >= dr.threshold) WHERE k = 1),
+rt AS (SELECT trial, count(*) AS n FROM ps JOIN (SELECT query_id, truth FROM pred) USING (query_id) WHERE truth = ps.route GROUP BY trial)
+SELECT route, round(threshold, 6) AS threshold FROM dr WHERE trial = coalesce((SELECT trial FROM rt ORDER BY n DESC, trial LIMIT 1), 0)""",
     "route_confusion": f"WITH {_HITS} SELECT truth, route, count(*) AS n FROM pred GROUP BY ALL",
 }

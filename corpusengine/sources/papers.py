@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,47 @@ def tei_sections(docs: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     return rows.select(key, "section", F.coalesce("d.head", "d._type", F.lit("")).alias("heading"), F.coalesce(F.array_join("d.p", "\n"), F.lit("")).alias("body"))
 
 
+def tei_parts(docs: DataFrame, key: str, xml: str = "xml") -> DataFrame:
+    """``key, kind, part, text``: of each division the whole text of its tables, and the captions of its figures ("" if there is none)."""
+
+    @F.pandas_udf("array<struct<kind:string,part:int,text:string>>")
+    def parts(texts: pd.Series) -> pd.Series:
+        out = []
+        for root in (ElementTree.fromstring(t) if t else None for t in texts):
+            tables = [] if root is None else ["".join(e.itertext()) for e in root.iterfind(".//{*}div/{*}table")]
+            figures = [] if root is None else [next((d.text for d in e.iter() if d.tag.rpartition("}")[2] == "figDesc"), None) or "" for e in root.iterfind(".//{*}div/{*}figure")]
+            out.append([{"kind": kind, "part": i, "text": text} for kind, found in (("table", tables), ("figure", figures)) for i, text in enumerate(found)])
+        return pd.Series(out, dtype=object)
+
+    return docs.select(key, F.explode(parts(xml)).alias("p")).select(key, "p.*")
+
+
+def eval_set(spark: SparkSession, path: str, known: list[str] | None = None) -> DataFrame:
+    """``query, intent, hard, seq`` from a YAML file of examples, which is small by its nature; ValueError where an intent is unknown."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f)["eval"]
+    for e in found:
+        if known is not None and e["intent"] not in known:
+            raise ValueError(f"intent {e['intent']!r} is unknown")
+    return spark.createDataFrame([(e["query"], e["intent"], bool(e.get("hard", False)), i) for i, e in enumerate(found)], "query string, intent string, hard boolean, seq int")
+
+
+def save_thresholds(path: str, thresholds: DataFrame) -> None:
+    """Write ``thresholds(name, threshold)`` into the YAML file of routes that has them; nulls are left out, all else stays as it is."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        data = yaml.safe_load(f)
+    new = {r["name"]: r["threshold"] for r in thresholds.join(thresholds.sparkSession.createDataFrame([(r["name"],) for r in data["routes"]], "name string"), "name", "left_semi").collect()}
+    for r in data["routes"]:
+        r.pop("score_threshold", None) if r["name"] in new else None
+        r |= {"score_threshold": new[r["name"]]} if new.get(r["name"]) is not None else {}
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump(data, f, allow_unicode=True, sort_keys=False)
+
+
 def routes(spark: SparkSession, path: str, known: list[str] | None = None) -> DataFrame:
     """``name, utterance, seq, score_threshold`` from a YAML file of routes, which is small by its nature; ValueError where a name is unknown or has no utterances."""
     import yaml

@@ -5,7 +5,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusengine.functions import blocks
 from corpusengine.operators import audit, chunk, compaction, dense, fuse, memory, pool, route, sparse, sync
+from corpusengine.sources import papers
 from corpusengine.streaming import index_sync, state
 
 
@@ -60,12 +62,35 @@ def test_cursor_and_previous(spark):
     assert got == {(1, 1): None, (1, 2): "a", (1, 3): None, (2, 1): None}
 
 
-def test_scores_in_blocks(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "k int, v array<double>")
-    asked = rows.select(F.col("k").alias("q"), F.col("v").alias("w"))
-    whole = collected(dense.scores(asked, rows, "q", "k", "w", "v"), "q", "k", "score")
-    monkeypatch.setattr(dense, "QUERY_BLOCK", 2)
-    assert collected(dense.scores(asked, rows, "q", "k", "w", "v"), "q", "k", "score") == whole and len(whole) == 36
+def test_nearest_in_blocks_and_with_odd_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [1.0, float(i)], {0: 2.0} if i == 5 else None) for i in range(6)] + [(6, None, None), (7, [], None), (8, [1.0], None), (9, [None, 1.0], None)], "k int, v array<double>, plus map<int,double>")
+    asked = rows.select(F.col("k").alias("q"), "v")
+    near = lambda metric: collected(dense.nearest(asked, rows, 6, "q", "k", "v", metric).withColumn("score", F.round("score", 9)), "q", "k", "score")
+    for metric in ("cosine", "l2"):
+        whole = near(metric)
+        monkeypatch.setattr(dense, "QUERY_BLOCK", 2)
+        assert near(metric) == whole and len(whole) == 37
+        monkeypatch.undo()
+    assert dense.nearest(asked, rows, 1, "q", "k", "v", plus="plus").where("q = 0").first()["k"] == 5
+
+
+def test_patches(spark):
+    cases = [("a\nb\nc", "-c\n+d", "a\nb\nd"), ("a\nb\nc", "@@ -3,1 +3,1 @@\n-c", "a\nb"), ("a\nb", " b", None), ("a", "-x", None), ("", "+x", "x"), ("a\nb", "\\ No newline\nodd", "a\nb"), ("a\na", " a\n-a\n+b", "a\nb"), (None, None, "")]
+    rows = spark.createDataFrame(cases, "v string, p string, want string").select(blocks.patched("v", "p").alias("got"), "want").collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+    diff = spark.createDataFrame([("a\nb", "a\nc"), ("", "x"), (None, None)], "a string, b string").select(blocks.unified_diff("a", "b").alias("d")).collect()
+    assert [r["d"] for r in diff] == ["--- old\n+++ new\n@@ -1,2 +1,2 @@\n a\n-b\n+c", "--- old\n+++ new\n@@ -0,0 +1 @@\n+x", ""]
+
+
+def test_routes_and_examples(spark, tmp_path):
+    path = tmp_path / "r.yaml"
+    path.write_text("routes:\n- name: a\n  utterances: [x, y]\n- name: b\n  utterances: [z]\n  score_threshold: 0.5\n")
+    papers.save_thresholds(str(path), spark.createDataFrame([("a", 0.25), ("b", None), ("c", 1.0)], "name string, threshold double"))
+    assert collected(papers.routes(spark, str(path)), "name", "utterance", "score_threshold") == [("a", "x", 0.25), ("a", "y", 0.25), ("b", "z", None)]
+    path.write_text("eval:\n- {query: q, intent: a}\n- {query: r, intent: b, hard: true}\n")
+    assert collected(papers.eval_set(spark, str(path), ["a", "b"]), "query", "intent", "hard") == [("q", "a", False), ("r", "b", True)]
+    with pytest.raises(ValueError):
+        papers.eval_set(spark, str(path), ["a"])
 
 
 def test_sections_and_references(spark):
