@@ -21,6 +21,8 @@ _powers: dict[str, np.ndarray] = {}
 
 #: Bytes of text that are held as one buffer; a longer text is a buffer of its own. Two workers share an executor with its JVM.
 BATCH_BYTES = 250_000
+#: What a text takes besides its own length, as empty texts have results too.
+ROW_BYTES = 256
 
 
 @dataclass
@@ -104,11 +106,11 @@ def spaced(w: Words) -> tuple[memoryview, np.ndarray]:
 
 
 def batches(frames: Iterable, column: str = "text", size: int = BATCH_BYTES) -> Iterator:
-    """Slices of pandas frames whose texts make up about ``size`` characters each, one row at least."""
+    """Slices of pandas frames whose texts make up about ``size`` characters each, a row counting ROW_BYTES besides; one row at least."""
     for frame in frames:
         if not len(frame):
             continue
         lengths = frame[column].fillna("").str.len().to_numpy(np.int64)
-        part = np.cumsum(lengths) // size
+        part = np.cumsum(lengths + ROW_BYTES) // size
         for at in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(part)) + 1):
             yield frame.iloc[at]
