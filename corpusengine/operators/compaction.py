@@ -22,6 +22,19 @@ def should_compress(messages: DataFrame, by: str, context: int, text: str = "tex
     return sums.withColumn("compress", F.col("estimate") * F.lit(MARGIN) > F.lit(TRIGGER * context))
 
 
+def context_size(configured: str | Column, window: str | Column) -> Column:
+    """The context to budget for: the configured size if it is above zero, else half the model's window."""
+    of = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.when(of(configured) > 0, of(configured).cast("long")).otherwise(F.floor(of(window) / 2).cast("long"))
+
+
+def should_compress_by(messages: DataFrame, models: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """``by, estimate, context, compress`` with each group's own context, from ``models(by, context_size, model_window)``."""
+    sums = messages.groupBy(by).agg(F.sum(cost(text)).cast("long").alias("estimate"))
+    rows = sums.join(models.select(by, context_size("context_size", "model_window").alias("context")), by)
+    return rows.withColumn("compress", F.col("estimate") * F.lit(MARGIN) > F.col("context") * F.lit(TRIGGER))
+
+
 def recent_tail(messages: DataFrame, by: str, seq: str, budget: int, text: str = "text") -> DataFrame:
     """The messages that are kept, in columns as given: from the last back while their costs fit, the last itself always.
 

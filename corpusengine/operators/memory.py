@@ -33,6 +33,25 @@ def soft_deleted(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(marks, key, "left").withColumn("is_deleted", F.coalesce("_gone", "is_deleted")).drop("_gone")
 
 
+def deletions(blocks: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``key, outcome`` of each key listed: deleted, read_only (refused) or missing."""
+    had = blocks.groupBy(key).agg(F.bool_or(F.coalesce("read_only", F.lit(False))).alias("_held"))
+    outcome = F.when(F.col("_held").isNull(), "missing").when(F.col("_held"), "read_only").otherwise("deleted")
+    return gone.select(key).distinct().join(had, key, "left").select(key, outcome.alias("outcome"))
+
+
+def deleted(blocks: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The blocks that are left: those not listed, and read-only ones, which can't be deleted."""
+    held = F.coalesce("read_only", F.lit(False))
+    return blocks.where(held).unionByName(blocks.where(~held).join(gone.select(key).distinct(), key, "left_anti"))
+
+
+def encoded(rows: DataFrame) -> DataFrame:
+    """Rows as tables without nested columns hold them: arrays, maps and structs as JSON."""
+    nested = [f.name for f in rows.schema if f.dataType.typeName() in ("array", "map", "struct")]
+    return rows.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in nested}) if nested else rows
+
+
 def latest(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """One row for each key, the last by ``seq``: insert or replace."""
     packed = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(seq)).alias("row"))
@@ -95,6 +114,22 @@ def with_previous(messages: DataFrame, by: str, seq: str, names: dict[str, str])
     return messages.withColumns({new: F.lag(old).over(order) for old, new in names.items()})
 
 
+def archive_added(archives: DataFrame, additions: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
+    """``archives`` with the ids of ``additions(archive_id, seq, id)`` put behind their ``passage_ids`` in order, repeats kept.
+
+    A null list counts as empty. Additions to an archive that there isn't change nothing; ``unknown_archives`` names them.
+    """
+    more = additions.groupBy("archive_id").agg(F.array_sort(F.collect_list(F.struct(seq, key))).alias("_more"))
+    had = F.coalesce("passage_ids", F.array().cast(archives.schema["passage_ids"].dataType))
+    joined = archives.join(more, "archive_id", "left")
+    return joined.withColumn("passage_ids", F.when(F.col("_more").isNull(), had).otherwise(F.concat(had, F.col(f"_more.{key}")))).drop("_more")
+
+
+def unknown_archives(archives: DataFrame, additions: DataFrame) -> DataFrame:
+    """The additions whose archive there isn't."""
+    return additions.join(archives.select("archive_id"), "archive_id", "left_anti")
+
+
 def archived(archives: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """``archive_id, key, ...``: the passages that an archive lists, once for each time."""
     return archives.select("archive_id", F.explode("passage_ids").alias(key)).join(rows, key)

@@ -99,6 +99,53 @@ def archive_passages(spark: SparkSession, sf: str) -> DataFrame:
     return memory.archived(lists, docs.select(F.col("doc_id").alias("id"), "lang"))
 
 
+def archive_additions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents go into the archive of their tens' number, every third of which there is."""
+    docs = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 10).alias("archive_id"))
+    archives = docs.where("archive_id % 3 = 0").select("archive_id").distinct().withColumn("passage_ids", F.when(F.col("archive_id") % 2 == 0, F.array(F.lit(7).cast("long"))))
+    more = docs.select("archive_id", F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"))
+    rows = memory.archive_added(archives, more).select("archive_id", F.array_join("passage_ids", ",").alias("ids"))
+    lost = memory.unknown_archives(archives, more).select("archive_id", F.concat(F.lit("unknown "), F.col("id").cast("string")).alias("ids"))
+    return rows.unionByName(lost)
+
+
+def block_deletes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth block is to go, and some that there aren't."""
+    blocks = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 6 == 0).alias("read_only"))
+    gone = blocks.where("doc_id % 4 = 0").select("doc_id").unionByName(blocks.where("doc_id % 50 = 0").select((-F.col("doc_id") - 1).alias("doc_id")))
+    kept = memory.deleted(blocks, gone, "doc_id").select("doc_id", F.lit("kept").alias("outcome"))
+    return kept.unionByName(memory.deletions(blocks, gone, "doc_id"))
+
+
+def encoded_messages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.array("role", F.col("turn").cast("string")).alias("calls"), F.struct(F.col("turn").alias("n"), "role").alias("meta"))
+    return memory.encoded(rows)
+
+
+def message_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+def compress_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations with a context of their own, or half the window of their model."""
+    rows = table(spark, sf, "conversations")
+    models = rows.select("conv_id").distinct().select("conv_id", F.when(F.col("conv_id") % 3 == 0, F.lit(200)).otherwise(F.lit(0)).alias("context_size"), (F.col("conv_id") % 5 * 151 + 301).alias("model_window"))
+    return compaction.should_compress_by(rows, models, "conv_id")
+
+
+def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("text"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("path"), F.when(F.col("doc_id") % 2 > 0, F.col("n_chars").cast("double")).alias("mtime"))
+    return sync.all_documents(rows, "doc_id")
+
+
+def parse_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the files is cached, of which half have changed since; parsing fails for some."""
+    files = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("mtime"), F.lit(1).alias("length"), "source")
+    cache = files.where("path % 3 = 0").select("path", (F.col("mtime") - F.col("path") % 2).alias("mtime"), "length", F.lit("old").alias("parsed"))
+    parsed = sync.parsed_once(files, cache, lambda f: f.withColumn("parsed", F.when(F.col("path") % 10 != 1, F.upper("source"))))
+    return parsed.select("path", "parsed", "fresh").join(sync.cacheable(parsed).select("path", F.lit(True).alias("cached")), "path", "left")
+
+
 def memory_compile(spark: SparkSession, sf: str) -> DataFrame:
     blocks = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("seq"), F.expr("CASE turn % 3 WHEN 0 THEN 'persona' WHEN 1 THEN 'human' ELSE 'notes' END").alias("label"), F.col("text").alias("value"))
     return memory.compiled(blocks, "conv_id").select("conv_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
@@ -169,6 +216,11 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def event_sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = index_sync.windowed(table(spark, sf, "events"), "ts", "event_type", "2 hours", slide="1 hour")
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     rows = index_sync.sessions(table(spark, sf, "events"), "ts", "user_id", "2 hours")
     return rows.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), F.date_format("session_end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "n")
@@ -182,7 +234,8 @@ _PASS = "ps AS (SELECT doc_id AS id, lang, source, CASE WHEN doc_id % 13 <> 0 TH
 QUERIES = {f.__name__: f for f in (
     passage_search, unique_tags, passage_counts, conversation_search, in_context_replay, compaction_tail, compaction_tools, should_compress, compacted_window, block_versions, block_restore,
     latest_agents, soft_delete, archive_passages, memory_compile, edit_batches, chunk_upsert, span_tree, unfinished_spans, approval_outcomes, tool_latency, stream_deltas, breaker_replay,
-    task_dedup_replay, consolidation_batches, event_windows, event_sessions,
+    task_dedup_replay, consolidation_batches, event_windows, event_sessions, event_sliding_windows,
+    archive_additions, block_deletes, encoded_messages, message_counts, compress_by_model, stored_documents, parse_cache,
 )}
 
 SQL = {
@@ -219,6 +272,17 @@ r AS (SELECT session, event_type, n, seq, 'run' AS decision, secs AS began FROM
   SELECT e.session, e.event_type, e.n, e.seq, CASE WHEN e.secs < r.began + 5 THEN 'wait' WHEN e.event_type <> 'click' AND e.secs - r.began <= 300 THEN 'reuse' ELSE 'run' END,
     CASE WHEN e.secs < r.began + 5 OR (e.event_type <> 'click' AND e.secs - r.began <= 300) THEN r.began ELSE e.secs END
   FROM r JOIN e ON e.session = r.session AND e.event_type = r.event_type AND e.n = r.n + 1) SELECT session, seq, decision FROM r""",
+    "event_sliding_windows": "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT time_bucket(INTERVAL '1 hour', ts) - to_hours(unnest([0, 1])) AS w, event_type, value FROM events) GROUP BY ALL",
+    "archive_additions": """WITH d AS (SELECT doc_id, doc_id // 10 AS a FROM documents)
+SELECT a AS archive_id, CASE WHEN a % 2 = 0 THEN '7,' ELSE '' END || string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM d WHERE a % 3 = 0 GROUP BY a UNION ALL SELECT a, 'unknown ' || doc_id FROM d WHERE a % 3 <> 0""",
+    "block_deletes": """SELECT doc_id, 'kept' AS outcome FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 6 = 0 UNION ALL SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'read_only' ELSE 'deleted' END FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT -doc_id - 1, 'missing' FROM documents WHERE doc_id % 50 = 0""",
+    "encoded_messages": "SELECT conv_id, turn, '[\"' || role || '\",\"' || turn || '\"]' AS calls, '{\"n\":' || turn || ',\"role\":\"' || role || '\"}' AS meta FROM conversations",
+    "message_counts": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id",
+    "compress_by_model": f"""SELECT conv_id, estimate, context, estimate * 1.1::DOUBLE > context * 0.8::DOUBLE AS compress FROM (
+  SELECT conv_id, sum({_TOKENS})::BIGINT AS estimate, CAST(CASE WHEN conv_id % 3 = 0 THEN 200 ELSE (conv_id % 5 * 151 + 301) // 2 END AS BIGINT) AS context FROM conversations GROUP BY conv_id)""",
+    "stored_documents": "SELECT doc_id, source AS text, CASE WHEN doc_id % 3 > 0 THEN lang ELSE '' END AS path, CASE WHEN doc_id % 2 > 0 THEN CAST(n_chars AS DOUBLE) ELSE 0.0::DOUBLE END AS mtime FROM documents",
+    "parse_cache": "SELECT doc_id AS path, CASE WHEN doc_id % 6 = 0 THEN 'old' WHEN doc_id % 10 <> 1 THEN upper(source) END AS parsed, doc_id % 6 <> 0 AS fresh, CASE WHEN doc_id % 6 <> 0 AND doc_id % 10 <> 1 THEN true END AS cached FROM documents",
     "event_windows": "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '2 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL '2 hours', '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n FROM s GROUP BY user_id, k""",

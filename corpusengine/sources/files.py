@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import glob
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,16 @@ def vault(spark: SparkSession, root: str, suffixes: str = "[mM][dD],[pP][dD][fF]
     return files.where(~denied_path("path", DENIED))
 
 
+def globbed(spark: SparkSession, root: str, pattern: str, limit: int = 50) -> DataFrame:
+    """``path`` of the first files below a root, in order, whose path from there matches a glob (``**`` for any folders); denied paths are left out.
+
+    No pattern leads out of the root, as only what is below it is listed.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    below = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1].removeprefix("file:")) + "/", "")
+    return files.where(below.rlike("^" + glob.translate(pattern, recursive=True, include_hidden=True, seps="/")) & ~denied_path("path", DENIED)).orderBy("path").limit(limit)
+
+
 def texts(spark: SparkSession, root: str, glob: str = "*.[mM][dD]") -> DataFrame:
     """``path, mtime, text`` of whole files as UTF-8, malformed bytes replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)

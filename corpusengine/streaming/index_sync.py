@@ -49,10 +49,10 @@ def reconciled(index: DataFrame, scan: DataFrame, key: str = "path") -> DataFram
     return index.join(scan.select(key).distinct(), key, "left_semi")
 
 
-def windowed(events: DataFrame, at: str, by: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums of ``value`` by tumbling windows, for streams with a watermark as for tables."""
+def windowed(events: DataFrame, at: str, by: str, width: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Counts and sums of ``value`` by windows that tumble, or that begin every ``slide``; for streams with a watermark as for tables."""
     rows = events.withWatermark(at, late) if events.isStreaming else events
-    out = rows.groupBy(F.window(at, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = rows.groupBy(F.window(at, width, slide).alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), by, "n", "total")
 
 

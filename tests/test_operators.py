@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusengine.functions import blocks
 from corpusengine.operators import audit, chunk, compaction, dense, fuse, memory, pool, route, sparse, sync
-from corpusengine.sources import papers
+from corpusengine.sources import files, papers
 from corpusengine.streaming import index_sync, state
 
 
@@ -186,3 +186,35 @@ def test_index_sync_replaces_by_path(spark, tmp_path):
     now = index_sync.current(spark, str(tmp_path / "index"))
     assert collected(now, "path", "chunk") == [("a", "w"), ("b", "z")]
     assert collected(index_sync.reconciled(now, spark.createDataFrame([("b",)], "path string")), "path", "chunk") == [("b", "z")]
+
+
+def test_globs_stay_below_the_root_and_are_cut(spark, tmp_path):
+    for name in ("a.md", "b/c.md", "b/d/e.md", "b/f.txt", ".git/g.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    names = lambda pattern, **k: [r["path"].split(f"{tmp_path.name}/")[-1] for r in files.globbed(spark, str(tmp_path), pattern, **k).collect()]
+    assert names("**/*.md") == ["a.md", "b/c.md", "b/d/e.md"]
+    assert names("*.md") == ["a.md"] and names("b/*") == ["b/c.md", "b/f.txt"]
+    assert names("**/*.md", limit=2) == ["a.md", "b/c.md"] and names("../**/*.md") == []
+
+
+def test_audit_lines_are_appended_by_day(spark, tmp_path):
+    events = spark.createDataFrame([("a", "2024-01-01T10"), ("b", "2024-01-02T10")], "span_id string, started_at string")
+    for _ in range(2):
+        files.append_audit(events, str(tmp_path / "log"))
+    assert collected(files.audit_log(spark, str(tmp_path / "log")), "span_id", "started_at") == [("a", "2024-01-01T10")] * 2 + [("b", "2024-01-02T10")] * 2
+
+
+def test_deletes_of_nulls_and_repeats(spark):
+    rows = spark.createDataFrame([(1, None), (1, True), (2, False), (None, None)], "k int, read_only boolean")
+    gone = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int")
+    assert {(r["k"], r["read_only"]) for r in memory.deleted(rows, gone, "k").collect()} == {(1, True), (None, None)}
+    assert collected(memory.deletions(rows, gone, "k"), "k", "outcome") == [(1, "read_only"), (2, "deleted"), (3, "missing")]
+
+
+def test_fake_vectors_are_unit_vectors_of_their_texts(spark):
+    encode = dense.fake_vector(8)
+    rows = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("",)], "text string").select(encode(F.col("text")).alias("v")).collect()
+    v = [r["v"] for r in rows]
+    assert v[0] == v[1] != v[2] and v[3] == v[4]
+    assert all(sum(x * x for x in row) == pytest.approx(1) for row in v)
