@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hpylm, mixing, pagetext, passages, simhash, toxicity, urlfilter, vectors, warc
+from . import decontam, hpylm, mixing, pagetext, passages, resampling, simhash, toxicity, urlfilter, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filtered(_table(spark, sf_dir, "pages"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,8 +64,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_model": op1_language_model, "op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op4_passages": op4_passages, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op7_page_text": op7_page_text, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls, "pipeline": pipeline}
+    return {"op1_language_model": op1_language_model, "op2_decontamination": op2_decontamination, "op3_mixing": op3_mixing, "op4_passages": op4_passages, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings, "op7_page_text": op7_page_text, "op8_toxicity": op8_toxicity, "op9_simhash": op9_simhash, "op10_urls": op10_urls, "op11_resampling": op11_resampling, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.oracle(), "op3_mixing": mixing.oracle(), "op5_warc": warc.oracle(), "op10_urls": urlfilter.oracle()}
+    return {"op2_decontamination": decontam.oracle(), "op3_mixing": mixing.oracle(), "op5_warc": warc.oracle(), "op10_urls": urlfilter.oracle(), "op11_resampling": resampling.oracle()}
