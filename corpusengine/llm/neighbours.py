@@ -29,6 +29,8 @@ TABLES, ROUNDS, SEED = 4, 3, 12
 BUCKET = 4096
 #: Queries that the number of probes is fitted on, the share of their neighbours that it must find, and the most probes of a table with several rotations.
 SAMPLE, TARGET, PROBES = 256, 0.95, 4096
+#: Probes a table that are made first, for a bound of what the others may find.
+FIRST = 4
 #: Vectors of a bucket that a task multiplies at once; vectors and queries that a task holds.
 TILE, BIN, QUERIES = 2048, 8192, 4096
 
@@ -207,12 +209,10 @@ class Searcher:
         """``c, found``: for each class that has queries its k + 1 nearest as structs ``(place, vec_id, score)``, nearest first."""
         k, kind, depth, most = self.k, self.kind, self.depth, self.most
         hashed = self.hashed.withColumn("dim", F.length("vector"))
-        bins = max(1, math.ceil(self.count * TABLES / BIN))
         place = F.xxhash64("dim", "table", "key")
         placed = hashed.select("c", "dim", F.posexplode("keys").alias("table", "key")).select("c", place.alias("place"))
         tiles = cut(placed.groupBy("place").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
         dealt = placed.join(tiles, "place").select("c", F.xxhash64("place", F.pmod(F.xxhash64("c"), F.col("tiles"))).alias("tile"))
-        dealt = dealt.withColumn("bin", F.pmod("tile", F.lit(bins)))
 
         def probed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -224,42 +224,57 @@ class Searcher:
                             yield pd.DataFrame({"c": some["c"], "dim": dim, "table": table, "keys": list(probes(unit, table, depth, most))})
 
         wanted = hashed.where("asked").select("c", "dim", "vector").mapInPandas(probed, "c long, dim int, table int, keys array<long>")
-        wanted = wanted.select("c", "dim", "table", F.explode("keys").alias("key")).select("c", place.alias("place")).join(tiles, "place")
-        wanted = wanted.select("c", "place", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t")).select("c", F.xxhash64("place", F.col("t").cast("long")).alias("tile"))
+        wanted = wanted.select("c", "dim", "table", F.posexplode("keys").alias("order", "key")).select("c", "order", place.alias("place")).join(tiles, "place")
+        wanted = cut(wanted.select("c", "order", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.xxhash64("place", t.cast("long")))).alias("tile")))
+        # the first buckets give a bound that all others must reach, so that the rows found don't follow the number of bins
+        found = stored(self._compared(dealt, wanted.where(F.col("order") < FIRST), None), "found")
+        if most > FIRST:
+            bound = self._best(found).where(F.col("place") == k + 1).select(F.col("query").alias("c"), F.col("score").alias("bound"))
+            found = found.unionByName(stored(self._compared(dealt, wanted.where(F.col("order") >= FIRST), bound), "found"))
+        best = self._best(found).where(F.col("place") <= k + 1).select("query", "c", "score")
+        each = best.join(self.classes.select("c", "ids"), "c").select("query", "score", F.explode("ids").alias("vec_id"))
+        each = each.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
+        return each.groupBy(F.col("query").alias("c")).agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
+
+    @staticmethod
+    def _best(found: DataFrame) -> DataFrame:
+        """Each candidate of a query once, with its ``place``."""
+        once = found.repartition("query").groupBy("query", "c").agg(F.first("score").alias("score"), F.first("least").alias("least"))
+        return once.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least")))
+
+    def _compared(self, dealt: DataFrame, wanted: DataFrame, bound: DataFrame | None) -> DataFrame:
+        """``query, c, score, least``: of the tiles that queries probe, those of each bin's k + 1 nearest that reach the query's bound."""
+        k, kind = self.k, self.kind
+        bins = max(1, math.ceil(self.count * TABLES / BIN))
         wanted = cut(wanted.groupBy("c", F.pmod("tile", F.lit(bins)).alias("bin")).agg(F.collect_set("tile").alias("tiles")))
         # a bin that many queries probe is sent to several tasks, each with some of them
-        sizes = F.broadcast if bins <= 100_000 else (lambda x: x)
-        over = sizes(cut(wanted.groupBy("bin").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))))
-        asking = wanted.join(over, "bin").join(hashed.select("c", "vector"), "c").select("bin", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), "c", "tiles", "vector")
-        sent = dealt.join(over, "bin").join(hashed.select("c", "least", "vector"), "c")
+        parts = cut(wanted.groupBy("bin").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
+        asking = wanted.join(parts, "bin").join(self.hashed.select("c", "vector"), "c")
+        asking = asking.withColumn("bound", F.lit(-math.inf)) if bound is None else asking.join(bound, "c", "left").fillna(-math.inf, ["bound"])
+        asking = asking.select("bin", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), "c", "tiles", "vector", "bound")
+        sent = dealt.withColumn("bin", F.pmod("tile", F.lit(bins))).join(parts, "bin").join(self.hashed.select("c", "least", "vector"), "c")
         sent = sent.select("bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "c", "tile", "least", "vector")
 
-        def compared(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-            out = [pd.DataFrame({"query": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "score": np.zeros(0), "least": np.zeros(0, np.int64)})]
-            if len(rows) and len(queries):
-                of = dict(tuple(rows.groupby("tile", sort=False)))
-                asked = queries[["c", "tiles", "vector"]].explode("tiles")
-                for tile, some in asked.groupby("tiles", sort=False):
-                    if tile in of:
-                        part = of[tile]
-                        for n, same in some.groupby(some["vector"].map(len), sort=False):
-                            alike = part[part["vector"].map(len) == n]
-                            if not len(alike):
-                                continue
-                            x = _rows(alike["vector"], kind)
-                            for a in range(0, len(same), 1024):
-                                q, r, score = nearest_in(_rows(same["vector"].iloc[a : a + 1024], kind), x, k + 1)
-                                out.append(pd.DataFrame({"query": same["c"].to_numpy()[a : a + 1024][q], "c": alike["c"].to_numpy()[r], "score": score, "least": alike["least"].to_numpy()[r]}))
-                    if len(out) > 64:
-                        out = [best_of(pd.concat(out).drop_duplicates(["query", "c"]), "query", k + 1)]
+        def best(out: list[pd.DataFrame]) -> pd.DataFrame:
             return best_of(pd.concat(out).drop_duplicates(["query", "c"]), "query", k + 1)
 
-        found = sent.groupBy("bin", "part").cogroup(asking.groupBy("bin", "part")).applyInPandas(compared, "query long, c long, score double, least long")
-        found = stored(found, "found").repartition("query").groupBy("query", "c").agg(F.first("score").alias("score"), F.first("least").alias("least"))
-        found = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least"))).where(F.col("place") <= k + 1)
-        each = found.join(self.classes.select("c", "ids"), "c").select("query", "score", F.explode("ids").alias("vec_id"))
-        each = each.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
-        return each.groupBy(F.col("query").alias("c")).agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
+        def compared(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "score": np.zeros(0), "least": np.zeros(0, np.int64)})]
+            of = dict(tuple(rows.groupby("tile", sort=False)))
+            for tile, some in queries.explode("tiles").groupby("tiles", sort=False):
+                part = of.get(tile, rows.iloc[:0])
+                for n, same in some.groupby(some["vector"].map(len), sort=False):
+                    alike = part[part["vector"].map(len) == n]
+                    for a in range(0, len(same) if len(alike) else 0, 1024):
+                        these = same.iloc[a : a + 1024]
+                        q, r, score = nearest_in(_rows(these["vector"], kind), _rows(alike["vector"], kind), k + 1)
+                        near = score >= these["bound"].to_numpy()[q]
+                        out.append(pd.DataFrame({"query": these["c"].to_numpy()[q[near]], "c": alike["c"].to_numpy()[r[near]], "score": score[near], "least": alike["least"].to_numpy()[r[near]]}))
+                if len(out) > 64:
+                    out = [best(out)]
+            return best(out)
+
+        return sent.groupBy("bin", "part").cogroup(asking.groupBy("bin", "part")).applyInPandas(compared, "query long, c long, score double, least long")
 
 
 def nearest(embeddings: DataFrame, k: int = K, one_in: int = ONE_IN) -> DataFrame:
