@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .resampling import WORD
-from .shared import cut, stored
+from .shared import cut, discarded, stored
 from .words import batches
 
 TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -42,6 +42,10 @@ def impact(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
     return 1_000_000_000 * tf // (1000 * tf + 12 * norm)
 
 
+def _words(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").encode("utf-8", "replace").lower())
+
+
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its size, in a row."""
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
@@ -295,15 +299,20 @@ def together(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def indexed(docs: DataFrame, segment: int = SEGMENT) -> Index:
     """An index of all rows of ``docs(doc_id, text)``, stored in the shared folder; rows without terms aren't in it."""
-    terms = F.regexp_count(F.col("text"), F.lit(TERMS)).cast("long")
-    row = docs.agg(F.count(F.when(terms > 0, 1)).alias("n"), F.coalesce(F.sum(terms), F.lit(0)).alias("total")).first()
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches(frames):
+            sizes = [len(_words(text)) for text in frame["text"]]
+            yield pd.DataFrame({"n": [sum(x > 0 for x in sizes)], "total": [sum(sizes)]})
+
+    row = docs.select("text").mapInPandas(counted, "n long, total long").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "total"))).first()
     n, total = row["n"], row["total"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, tokens, ids, held = defaultdict(count().__next__), [], [], 0
         for frame in batches(frames):
             for key, text in zip(frame["doc_id"], frame["text"], strict=True):
-                words = WORD.findall((text or "").encode("utf-8", "replace").lower())
+                words = _words(text)
                 if not words:
                     continue
                 if held and held + len(words) > segment:
@@ -335,10 +344,11 @@ def ranked(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     found = None
     for block in range(blocks):
         some = texts.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select("query", "query_text")
-        part = index.best([(r["query"], dict(Counter(WORD.findall(r["query_text"].encode("utf-8", "replace").lower())))) for r in some.collect()], k)
+        part = index.best([(r["query"], dict(Counter(_words(r["query_text"])))) for r in some.collect()], k)
         found = part if found is None else found.unionByName(part)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     best = cut(found.withColumn("rank", place).where(F.col("rank") <= k))
+    discarded(index.segments)
     named = rows.select("item_id", "h", "md5").join(texts.select("h", "md5", "query"), ["h", "md5"])
     return named.join(best, "query").select("item_id", "rank", "doc_id", "score")
 

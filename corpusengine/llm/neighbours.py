@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, stored
+from .shared import cut, discarded, stored
 from .vectors import usable
 
 #: Fixed values of the contract: neighbours, and queries are rows whose id this divides.
@@ -228,9 +228,11 @@ class Searcher:
         wanted = cut(wanted.select("c", "order", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.xxhash64("place", t.cast("long")))).alias("tile")))
         # the first buckets give a bound that all others must reach, so that the rows found don't follow the number of bins
         found = stored(self._compared(dealt, wanted.where(F.col("order") < FIRST), None), "found")
+        self.tables = [found]
         if most > FIRST:
             bound = self._best(found).where(F.col("place") == k + 1).select(F.col("query").alias("c"), F.col("score").alias("bound"))
-            found = found.unionByName(stored(self._compared(dealt, wanted.where(F.col("order") >= FIRST), bound), "found"))
+            self.tables.append(stored(self._compared(dealt, wanted.where(F.col("order") >= FIRST), bound), "found"))
+            found = found.unionByName(self.tables[1])
         best = self._best(found).where(F.col("place") <= k + 1).select("query", "c", "score")
         each = best.join(self.classes.select("c", "ids"), "c").select("query", "score", F.explode("ids").alias("vec_id"))
         each = each.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
@@ -291,6 +293,7 @@ def nearest(embeddings: DataFrame, k: int = K, one_in: int = ONE_IN) -> DataFram
     searcher.fit()
     found = searcher.nearest()
     by_class = cut(searcher.classes.where("asked").select("c", "h", "h2").join(found, "c").select("h", "h2", "found"))
+    discarded(*searcher.tables)
     queries = searcher.rows.where(F.col("vec_id") % one_in == 0).select(F.col("vec_id").alias("query_id"), "h", "h2").distinct()
     others = queries.join(by_class, ["h", "h2"]).select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
     each = others.select("query_id", F.posexplode("found").alias("at", "one"))
