@@ -169,33 +169,16 @@ class Searcher:
         sample = self.hashed.where("asked").orderBy(F.xxhash64("c")).limit(SAMPLE).select("c", "vector").toPandas()
         if not len(sample):
             return 1
-        sent = self.spark.sparkContext.broadcast([(g["c"].to_numpy(), _rows(g["vector"], kind)) for _, g in sample.groupby(sample["vector"].map(len))])
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = None
-            for frame in frames:
-                for n, part in frame.groupby(frame["vector"].map(len), sort=False):
-                    x = _rows(part["vector"], kind)
-                    for ids, queries in sent.value:
-                        if queries.shape[1] * np.dtype(kind).itemsize != n:
-                            continue
-                        q, r, score = nearest_in(queries, x, k + 1)
-                        found = pd.DataFrame({"query": ids[q], "c": part["c"].to_numpy()[r], "score": score, "least": part["least"].to_numpy()[r], "keys": part["keys"].to_numpy()[r]})
-                        found = found[found["query"] != found["c"]]
-                        held = best_of(found if held is None else pd.concat([held, found]), "query", k)
-            if held is not None:
-                yield held
-
-        found = self.hashed.mapInPandas(run, "query long, c long, score double, least long, keys array<long>")
+        found = self._scanned(sample)
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least"))
-        true = found.withColumn("place", place).where(F.col("place") <= k).select("query", "keys").toPandas()  # k rows a sampled query
+        true = found.where("query <> c").withColumn("place", place).where(F.col("place") <= k).select("query", "keys").toPandas()  # k rows a sampled query
         if not len(true):
             return 1
         keys = np.array(true["keys"].tolist(), np.int64)
         lowest = np.full(len(true), np.iinfo(np.int64).max)
         at = {}
-        for ids, queries in sent.value:
-            unit = aimed(queries)
+        for _, group in sample.groupby(sample["vector"].map(len)):
+            ids, unit = group["c"], aimed(_rows(group["vector"], kind))
             width = 2 << (unit.shape[1] - 1).bit_length()
             most = width if self.depth == 1 else min(PROBES, width**self.depth)
             for table in range(TABLES):
@@ -205,6 +188,28 @@ class Searcher:
         wanted = np.sort(lowest)[math.ceil(TARGET * len(lowest)) - 1]
         return 0 if wanted == np.iinfo(np.int64).max else int(wanted) + 1
 
+    def _scanned(self, queries: pd.DataFrame) -> DataFrame:
+        """``query, c, score, least, keys``: of each task's vectors the k + 1 nearest to each of the queries (c, vector), QUERIES of them at most."""
+        k, kind = self.k, self.kind
+        sent = self.spark.sparkContext.broadcast([(g["c"].to_numpy(), _rows(g["vector"], kind)) for _, g in queries.groupby(queries["vector"].map(len))])
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for frame in frames:
+                for n, part in frame.groupby(frame["vector"].map(len), sort=False):
+                    for ids, vectors in sent.value:
+                        if vectors.shape[1] * np.dtype(kind).itemsize != n:
+                            continue
+                        for a in range(0, len(part), TILE):
+                            some = part.iloc[a : a + TILE]
+                            q, r, score = nearest_in(vectors, _rows(some["vector"], kind), k + 1)
+                            found = pd.DataFrame({"query": ids[q], "c": some["c"].to_numpy()[r], "score": score, "least": some["least"].to_numpy()[r], "keys": some["keys"].to_numpy()[r]})
+                            held = best_of(found if held is None else pd.concat([held, found]), "query", k + 1)
+            if held is not None:
+                yield held
+
+        return self.hashed.mapInPandas(run, "query long, c long, score double, least long, keys array<long>")
+
     def nearest(self) -> DataFrame:
         """``c, found``: for each class that has queries its k + 1 nearest as structs ``(place, vec_id, score)``, nearest first."""
         k, kind, depth, most = self.k, self.kind, self.depth, self.most
@@ -233,11 +238,26 @@ class Searcher:
             bound = self._best(found).where(F.col("place") == k + 1).select(F.col("query").alias("c"), F.col("score").alias("bound"))
             self.tables.append(stored(self._compared(dealt, wanted.where(F.col("order") >= FIRST), bound), "found"))
             found = found.unionByName(self.tables[1])
-        best = self._best(found).where(F.col("place") <= k + 1).select("query", "c", "score")
-        each = best.join(self.classes.select("c", "ids"), "c").select("query", "score", F.explode("ids").alias("vec_id"))
-        each = each.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
+        each = cut(self._listed(found))
+        # queries that found less than they should are compared with all vectors, in blocks
+        whole = each.where(F.col("place") == k + 1).select(F.col("query").alias("c"))
+        lacking = cut(self.hashed.where("asked").join(whole, "c", "left_anti").select("c", "vector"))
+        blocks = math.ceil(lacking.count() / QUERIES)
+        if blocks:
+            each = each.join(lacking.select(F.col("c").alias("query")), "query", "left_anti")
+            for block in range(blocks):
+                some = lacking.where(F.pmod(F.xxhash64("c"), F.lit(blocks)) == block).toPandas()
+                if len(some):
+                    each = each.unionByName(self._listed(self._scanned(some).drop("keys")))
         return each.groupBy(F.col("query").alias("c")).agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
 
+    def _listed(self, found: DataFrame) -> DataFrame:
+        """``query, place, vec_id, score``: the k + 1 nearest ids of the candidates found."""
+        best = self._best(found).where(F.col("place") <= self.k + 1).select("query", "c", "score")
+        each = best.join(self.classes.select("c", "ids"), "c").select("query", "score", F.explode("ids").alias("vec_id"))
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+        return each.withColumn("place", place).where(F.col("place") <= self.k + 1)
+
     @staticmethod
     def _best(found: DataFrame) -> DataFrame:
         """Each candidate of a query once, with its ``place``."""
@@ -282,7 +302,8 @@ class Searcher:
 def nearest(embeddings: DataFrame, k: int = K, one_in: int = ONE_IN) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row whose vec_id ``one_in`` divides, its k nearest others by inner product, as found.
 
-    Scores are inner products in double precision, ties go to the smaller vec_id; a query with fewer other vectors gets all that it finds. Vectors that are null, empty,
+    Scores are inner products in double precision, ties go to the smaller vec_id; a query with fewer other vectors gets all of them. Queries whose
+    buckets hold fewer than k + 1 vectors are compared with all. Vectors that are null, empty,
     zero or hold null or non-finite components, and rows without a vec_id, take no part. Vectors of unequal length aren't compared, nor are
     those whose product isn't a number. A row that repeats another whole counts once; of rows that share only their vec_id each is a candidate, none for
     its own id. No queries give no rows. Other columns are ignored.

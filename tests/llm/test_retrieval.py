@@ -162,7 +162,7 @@ def recall(got, want):
         mine = sorted(found.get(q, []), key=lambda r: r["rank"])
         assert [r["rank"] for r in mine] == list(range(1, len(near) + 1))
         assert [(-r["score"], r["vec_id"]) for r in mine] == sorted((-r["score"], r["vec_id"]) for r in mine)
-        hits += len({r["vec_id"] for r in mine} & {i for i, _ in near})
+        hits += (Counter(r["vec_id"] for r in mine) & Counter(i for i, _ in near)).total()
     assert set(found) == {q for q, near in want.items() if near}
     return hits / max(1, sum(map(len, want.values())))
 
