@@ -15,7 +15,7 @@ from .shared import cut
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` of longs, in any direction and repeated or not, to ``(node, root)``.
+    """``edges(a, b)`` of longs, or of binaries, in any direction and repeated or not, to ``(node, root)``.
 
     ``root`` is the smallest node that ``node`` reaches. Only nodes other than their own root are
     returned; whoever joins this treats a missing node as its own root. Edges with a null end or
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         of_v = hooks.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         renamed = e.join(hooks, "u").join(of_v, "v", "left").select(F.col("p").alias("x"), F.coalesce("pv", "v").alias("y"))
         e = cut(renamed.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    return edges.sparkSession.createDataFrame([], "node long, root long") if known is None else known
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")) if known is None else known
 
 
 def _jumped(hooks: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ ONE_IN = 20
 #: A word is a run of digits, letters and whatever is not ASCII; this is what separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The most windows that are broadcast at once (about 100 bytes each); a larger set is scanned for in blocks.
-BROADCAST_WINDOWS = 2_000_000
+#: The most bytes of windows that are broadcast at once, as Spark's rows and hash table hold them; a larger set is scanned for in blocks.
+BROADCAST_BYTES = 128_000_000
 
 
 def words(text: str | Column) -> Column:
@@ -47,7 +47,9 @@ def hits(docs: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
     lengths = sorted(r[0] for r in windows.select(F.size("win")).distinct().collect())  # WINDOW values at most
     if not lengths:
         return docs.select(*key, F.lit(1).alias("start"), F.lit(1).alias("length"), F.array(F.lit("")).alias("win")).limit(0)
-    blocks = max(1, math.ceil(distinct.count() / BROADCAST_WINDOWS))
+    # a row with its place in the table, and for each word its offset and its bytes in words of eight
+    held = F.aggregate("win", F.lit(100).cast("long"), lambda n, w: n + 16 + F.octet_length(w))
+    blocks = max(1, math.ceil(distinct.agg(F.sum(held)).first()[0] / BROADCAST_BYTES))
     tokens = docs.select(*key, words("text").alias("w")).where(F.size("w") >= lengths[0])
     places = [F.when(F.size("w") >= n, F.size("w") - (n - 1)).otherwise(F.lit(0)) for n in lengths]
 

@@ -4,11 +4,11 @@ Exact copies are found by windows of 51 words, wherever they stand and whatever
 26-word grams, so equal windows name equal grams. Windows whose gram several documents name are hashed whole, and the least
 document that has a window keeps it; no stretch of over 50 words is missed. Both texts of a stretch are compared before it is reported.
 
-Near copies are found by paragraphs. A paragraph is a line, or a stretch of lines of fewer than SHORT words each. Equal paragraphs are
-one node. Nodes that agree on one of several bands of least hashes of their five-word shingles are compared by the exact
+Near copies are found by paragraphs. A paragraph is a line, or a stretch of lines of fewer than SHORT words each. Paragraphs whose words are
+equal, by 128 bits of BLAKE2 over them, are one node. Nodes that agree on one of several bands of least hashes of their five-word shingles are compared by the exact
 Jaccard of their words, and links make components, in which the paragraph of the least document stays. Copied paragraphs that follow
-each other without a word between, here and where they are kept, are one passage, and removed if they are long enough. So no word is
-removed that was not compared.
+each other without a word between, here and where they are kept, are one passage, and removed if they are long enough. Polynomial hashes only
+propose: no word is removed unless it, or that digest of it, was compared.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ RECALL, ROWS = 0.99, 3
 SHORT = 8
 #: A repeated passage is removed if it has more words.
 PASSAGE = 50
-#: Paragraphs of a group of candidates that meet in one task with as many others; buckets of packed rows for each shuffle partition.
-TILE, BUCKETS = 256, 2
+#: Paragraphs of a group of candidates that meet in one task with as many others; characters of text for each bucket of packed rows.
+TILE, BUCKET = 256, 8_000_000
 #: Words of text that a task holds before it packs what it found.
 HELD = 600_000
 #: Words of the grams that windows of PASSAGE + 1 words are sampled by; windows that a task holds before it packs them.
@@ -88,10 +88,10 @@ def _pack(records: np.ndarray, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "data"])
 
 
-def _nodes(w: Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A hash of the words of each paragraph in their order."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(w.hash * power("base", len(w.hash))[: len(w.hash)])])
-    return mix((sums[first + n] - sums[first]) * power("inverse", len(w.hash))[first])
+def _nodes(w: Words, first: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """128 bits of BLAKE2 of the words of each paragraph, with one blank between."""
+    data, at = spaced(w)
+    return [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at[first].tolist(), (at[first + n] - 1).tolist(), strict=True)]
 
 
 def sampled(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def _several(rows: np.ndarray, group: np.ndarray, other: str) -> np.ndarray:
     return (rows[other][starts] != rows[other][np.append(starts[1:], len(rows)) - 1])[group]
 
 
-_FOUND = "kind string, bucket int, data binary, dk long, doc long, start int, n int, node long, bands array<long>"
+_FOUND = "kind string, bucket int, data binary, dk long, doc long, start int, n int, node binary, bands array<long>"
 
 
 def _mapped(buckets: int, count: int):  # noqa: ANN202
@@ -134,7 +134,7 @@ def _mapped(buckets: int, count: int):  # noqa: ANN202
         w = tokenise(frame["text"])
         dk, ids = frame["dk"].to_numpy(np.int64), frame["id"].to_numpy(np.int64)
         doc, first, n = paragraphs(w)
-        out = pd.DataFrame({"kind": "paragraph", "dk": dk[doc], "doc": ids[doc], "start": first - w.first[doc], "n": n, "node": _nodes(w, first, n).view(np.int64)})
+        out = pd.DataFrame({"kind": "paragraph", "dk": dk[doc], "doc": ids[doc], "start": first - w.first[doc], "n": n, "node": _nodes(w, first, n)})
         long = np.flatnonzero(n >= SHINGLE)
         keys = _keys(w, first[long], n[long], count).view(np.int64)
         given = np.full(len(out), None, object)
@@ -319,7 +319,7 @@ def _exact_repeats(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataFra
 
 def _linked(pdf: pd.DataFrame, jaccard: float) -> pd.DataFrame:
     """Edges that connect, in each group of candidates, the nodes that chains of similar ones connect."""
-    edges: list[tuple[int, int]] = []
+    edges: list[tuple[bytes, bytes]] = []
     for _, group in pdf.groupby(["key", "tile_l", "tile_r"], sort=False):
         group = group.drop_duplicates("node")
         waiting = []
@@ -340,7 +340,7 @@ def _linked(pdf: pd.DataFrame, jaccard: float) -> pd.DataFrame:
                     else:
                         rest.append(item)
                 waiting = rest
-    return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+    return pd.DataFrame(edges, columns=["a", "b"])
 
 
 def _similar(rows: DataFrame, paras: DataFrame, jaccard: float, buckets: int) -> DataFrame:
@@ -349,8 +349,8 @@ def _similar(rows: DataFrame, paras: DataFrame, jaccard: float, buckets: int) ->
     nodes = stored(nodes.select("node", "at.*"), "nodes")
     cands = nodes.select("node", F.explode("bands").alias("key"))
     # bands mostly repeat each other's groups; of those with the same nodes one is enough
-    same = ["size", "least", "most", "both"]
-    groups = cands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("both")).where("least < most")
+    same = ["size", "all", "all2"]
+    groups = cands.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("all2")).where("size > 1")
     groups = cut(groups.groupBy(*same).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
     dealt = cut(cands.join(groups, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")))
     wanted = nodes.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "dk", "start", "n")
@@ -360,7 +360,7 @@ def _similar(rows: DataFrame, paras: DataFrame, jaccard: float, buckets: int) ->
     sent = dealt.select("key", "node", "tile", other.alias("other"))
     sent = sent.select("key", "node", F.least("tile", "other").alias("tile_l"), F.greatest("tile", "other").alias("tile_r")).join(texts, "node")
     sent = sent.withColumn("bucket", F.pmod(F.xxhash64("key", "tile_l", "tile_r"), F.lit(4 * buckets))).repartition(buckets, "bucket")
-    edges = stored(sent.groupBy("bucket").applyInPandas(lambda pdf: _linked(pdf, jaccard), "a long, b long"), "edges")
+    edges = stored(sent.groupBy("bucket").applyInPandas(lambda pdf: _linked(pdf, jaccard), "a binary, b binary"), "edges")
     discarded(texts)
     return edges
 
@@ -414,7 +414,9 @@ def repeated(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64("doc_id", "text").alias("dk"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # buckets follow the texts, so that what a task holds doesn't
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BUCKET))
     found = stored(rows.mapInPandas(_mapped(buckets, bands(jaccard)), _FOUND), "paragraphs", "kind")
     anchors = found.where("kind in ('anchor', 'hot')").select("kind", "bucket", "data").groupBy("kind", "bucket").applyInPandas(_gathered, "dk long, start int, n int")
     whole = stored(_exact_repeats(rows, anchors, buckets), "exact")

@@ -66,15 +66,15 @@ def _segment_sums(lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> n
     return np.add.reduceat(split.astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long) for every row of ``docs(doc_id, text)``; null texts and texts without words get zero."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a long) and the long columns ``also``, which hold no null, for every row of ``docs(doc_id, text)``; null texts and texts without words get zero."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames):
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fingerprint_batch(frame["text"]).view(np.int64)})
+            yield frame[["doc_id", *also]].assign(fp=fingerprint_batch(frame["text"]).view(np.int64))
 
     # ids as text: pandas would turn longs with nulls among them into floats
-    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, fp long")
+    rows = docs.select(F.col("doc_id").cast("string"), *also, "text").mapInPandas(run, ", ".join(["doc_id string", *(f"{c} long" for c in also), "fp long"]))
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -153,17 +153,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null if there is none. Null and wordless texts have the fingerprint zero and link like any other. No rows give no rows.
     """
     fps = cut(fingerprints(docs))
+    classes = components(fps)
+    leasts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(classes.join(leasts, "root").select("fp", "component_id"))
+    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def components(fps: DataFrame) -> DataFrame:
+    """``fp, least, root``: the distinct fingerprints of ``fps(doc_id, fp)`` with their least doc_id and what names their component."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     # links join fingerprints, by the fingerprints themselves; a component's id is the least doc_id over it
     edges = links(distinct.select(F.col("fp").alias("id"), "fp"))
     roots = connected_components(edges).withColumnRenamed("node", "fp")
-    classes = cut(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    leasts = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(classes.join(leasts, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return cut(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose doc_id is the least of its component; rows that repeat it all stay."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of ``docs``, all columns kept, but one a component: that of the least doc_id, of several with it one by a hash of the text.
+
+    Rows without a doc_id come last; of rows that are equal in both one stays.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("k"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("k2"))
+    fps = cut(fingerprints(keyed, "k", "k2"))
+    named = fps.join(components(fps.select("doc_id", "fp")).select("fp", "root"), "fp")
+    rows = named.groupBy("root", "k", "k2").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "k2", "n")).alias("at"))
+    kept = keyed.join(cut(least.select("at.k", "at.k2", "at.n")), ["k", "k2"])
+    repeated = kept.where("n > 1").withColumn("place", F.row_number().over(Window.partitionBy("k", "k2").orderBy("n"))).where("place = 1")
+    return kept.where("n = 1").select("row.*").unionByName(repeated.select("row.*"))

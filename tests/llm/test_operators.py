@@ -58,6 +58,8 @@ def test_components(spark):
     df = connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert dict(got(df, "node", "root")) == {i: 1 for i in range(2, 41)} | {101: 100, 103: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    named = connected_components(spark.createDataFrame([(bytes([b]), bytes([a])) for a, b in [(1, 2), (2, 3), (9, 8)]], "a binary, b binary"))
+    assert {(bytes(r[0]), bytes(r[1])) for r in named.collect()} == {(b"\2", b"\1"), (b"\3", b"\1"), (b"\t", b"\b")}
 
 
 def test_tokenise_equals_regex():
@@ -158,7 +160,7 @@ def test_decontamination_hard(spark, hard, none, benchmark):
 
 def test_decontamination_in_blocks(spark, hard, benchmark, monkeypatch):
     whole = sorted(map(str, decontam.contamination(hard, benchmark).collect()))
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 3)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 2_000)
     assert sorted(map(str, decontam.contamination(hard, benchmark).collect())) == whole
 
 
@@ -558,6 +560,18 @@ def test_simhash_against_brute_force(spark, small, monkeypatch):
         assert [r[2] for r in rows] == brute.components([r[0] for r in rows], lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
 
 
+def test_passages_of_equal_polynomial_hashes(spark):
+    """Words that no two texts share, but whose polynomial hashes modulo 2**64 agree: a Thue-Morse string and its complement."""
+    bits = np.array([int(i).bit_count() & 1 for i in range(4096)])
+    one, two = ([bytes(np.where(bits == side, 97 + j % 20, 98 + j % 20 + j // 20).astype(np.uint8)).decode() for j in range(60)] for side in (0, 1))
+    assert not set(one) & set(two)
+    w = tokenise([" ".join(one), " ".join(two)])
+    assert (w.hash[:60] == w.hash[60:]).all()
+    docs = frame(spark, [(1, " ".join(one), "s"), (2, " ".join(two), "s")])
+    assert passages.repeated(docs).count() == 0
+    assert sorted(got(passages.without_repeats(docs), "doc_id")) == [(1,), (2,)]
+
+
 def test_simhash_hard(spark, hard, none):
     rows = simhash.near_duplicates(hard)
     assert rows.count() == 11
@@ -567,6 +581,14 @@ def test_simhash_hard(spark, hard, none):
     assert kept.columns == hard.columns and set(got(kept, "doc_id")) >= {(1,), (2,), (5,), (7,)} and kept.where("doc_id in (3, 4)").count() == 0
 
 
+def test_simhash_keeps_one_row_a_component(spark):
+    """Repeated ids, null ids and equal rows: a row of each component stays, not all rows of an id that stays."""
+    rows = [(1, "a b c d e", "s"), (None, "a b c d e", "s"), (None, "q r s t u v", "s"), (2, "z y x w", "s"), (2, "a b c d e", "t"), (2, "z y x w", "s")]
+    kept = simhash.one_of_each(frame(spark, rows))
+    assert sorted(map(str, got(kept, "doc_id", "text"))) == sorted(map(str, [(1, "a b c d e"), (None, "q r s t u v"), (2, "z y x w")]))
+    assert simhash.one_of_each(frame(spark, [(None, None, None)] * 3 + [(None, "", "s")])).count() == 1
+
+
 def test_spanning_connects_what_edges_connect():
     a, b = simhash.spanning(np.array([5, 3, 9, 7]), np.array([3, 1, 7, 9]))
     assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {3: 1, 5: 1, 9: 7}
