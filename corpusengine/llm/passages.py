@@ -319,11 +319,11 @@ def _exact_repeats(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataFra
 
 def _linked(pdf: pd.DataFrame, jaccard: float) -> pd.DataFrame:
     """Edges that connect, in each group of candidates, the nodes that chains of similar ones connect."""
-    edges: list[tuple[bytes, bytes]] = []
+    edges: list[tuple[int, int]] = []
     for _, group in pdf.groupby(["key", "tile_l", "tile_r"], sort=False):
-        group = group.drop_duplicates("node")
+        group = group.drop_duplicates("id")
         waiting = []
-        for node, data in zip(group["node"].tolist(), group["words"], strict=True):
+        for node, data in zip(group["id"].tolist(), group["words"], strict=True):
             w = bytes(data).split(b" ")
             waiting.append((node, set(zip(*(w[i:] for i in range(SHINGLE)), strict=False))))
         while waiting:  # search from one node on; whatever is reached needs no comparing with what was reached before
@@ -340,29 +340,33 @@ def _linked(pdf: pd.DataFrame, jaccard: float) -> pd.DataFrame:
                     else:
                         rest.append(item)
                 waiting = rest
-    return pd.DataFrame(edges, columns=["a", "b"])
+    return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
 
 def _similar(rows: DataFrame, paras: DataFrame, jaccard: float, buckets: int) -> DataFrame:
-    """``a, b``: edges between nodes; large groups of candidates are cut into tiles that meet pair by pair."""
+    """``node, root``: nodes that chains of similar ones connect, without those that are their own root; large groups of candidates are cut into tiles that meet pair by pair."""
     nodes = paras.where("bands is not null").groupBy("node").agg(F.min(F.struct("dk", "start", "n", "bands")).alias("at"))
-    nodes = stored(nodes.select("node", "at.*"), "nodes")
-    cands = nodes.select("node", F.explode("bands").alias("key"))
+    # numbered as they are stored: a number is half of what a node takes, and there is one for each band
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "at.*"), "nodes")
+    cands = nodes.select("id", F.explode("bands").alias("key"))
     # bands mostly repeat each other's groups; of those with the same nodes one is enough
-    same = ["size", "all", "all2"]
-    groups = cands.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("all2")).where("size > 1")
+    same = ["size", "least", "most", "both"]
+    groups = cands.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor(F.xxhash64("id")).alias("both")).where("least < most")
     groups = cut(groups.groupBy(*same).agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
-    dealt = cut(cands.join(groups, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")))
-    wanted = nodes.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "dk", "start", "n")
-    texts = stored(wanted.join(_quoted(rows, wanted, False), ["dk", "start", "n"]).select("node", "words"), "texts")
+    dealt = cut(cands.join(groups, "key").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")))
+    wanted = nodes.join(dealt.select("id").distinct(), "id", "left_semi").select("id", "node", "dk", "start", "n")
+    texts = stored(wanted.join(_quoted(rows, wanted, False), ["dk", "start", "n"]).select("id", "node", "words"), "texts")
     discarded(nodes)
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    sent = dealt.select("key", "node", "tile", other.alias("other"))
-    sent = sent.select("key", "node", F.least("tile", "other").alias("tile_l"), F.greatest("tile", "other").alias("tile_r")).join(texts, "node")
+    sent = dealt.select("key", "id", "tile", other.alias("other"))
+    sent = sent.select("key", "id", F.least("tile", "other").alias("tile_l"), F.greatest("tile", "other").alias("tile_r")).join(texts.select("id", "words"), "id")
     sent = sent.withColumn("bucket", F.pmod(F.xxhash64("key", "tile_l", "tile_r"), F.lit(4 * buckets))).repartition(buckets, "bucket")
-    edges = stored(sent.groupBy("bucket").applyInPandas(lambda pdf: _linked(pdf, jaccard), "a binary, b binary"), "edges")
-    discarded(texts)
-    return edges
+    edges = stored(sent.groupBy("bucket").applyInPandas(lambda pdf: _linked(pdf, jaccard), "a long, b long"), "edges")
+    roots = connected_components(edges)
+    named = roots.join(texts.select(F.col("id").alias("root"), F.col("node").alias("root_node")), "root").withColumnRenamed("node", "id")
+    named = cut(named.join(texts.select("id", "node"), "id").select("node", F.col("root_node").alias("root")))
+    discarded(texts, edges)
+    return named
 
 
 def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -389,7 +393,7 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _near_repeats(rows: DataFrame, paras: DataFrame, jaccard: float, buckets: int) -> DataFrame:
     """``dk, doc, kdoc, start, n, kstart`` of paragraphs, or several in a row, over PASSAGE words that are similar to those of a lesser document."""
-    roots = connected_components(_similar(rows, paras, jaccard, buckets))
+    roots = _similar(rows, paras, jaccard, buckets)
     place = F.struct("doc", "dk", "start", "n")
     nodes = paras.groupBy("node").agg(F.min(place).alias("e"), (F.min("dk") < F.max("dk")).alias("several"))
     nodes = cut(nodes.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node", "left").where("several or root is not null"))
