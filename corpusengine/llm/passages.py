@@ -422,10 +422,12 @@ def repeated(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BUCKET))
     found = stored(rows.mapInPandas(_mapped(buckets, bands(jaccard)), _FOUND), "paragraphs", "kind")
+    near = stored(_near_repeats(rows, found.where("kind = 'paragraph'").select("dk", "doc", "start", "n", "node", "bands"), jaccard, buckets), "near")
+    # what is wide goes before the windows are made
+    discarded(*{f.rpartition("/")[0] for f in found.inputFiles() if "/kind=paragraph/" in f})
+    release(spark)
     anchors = found.where("kind in ('anchor', 'hot')").select("kind", "bucket", "data").groupBy("kind", "bucket").applyInPandas(_gathered, "dk long, start int, n int")
     whole = stored(_exact_repeats(rows, anchors, buckets), "exact")
-    release(spark)
-    near = _near_repeats(rows, found.where("kind = 'paragraph'").select("dk", "doc", "start", "n", "node", "bands"), jaccard, buckets)
     out = near.unionByName(whole).distinct()
     named_id = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return out.select(named_id("doc").alias("doc_id"), "dk", "start", "n", named_id("kdoc").alias("kept_doc_id"), F.col("kstart").alias("kept_start"))
