@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +32,11 @@ def squeezed(text: str | Column) -> Column:
     return F.regexp_replace(py_strip(text), r"(?U)\s+", " ")
 
 
-def tokens(text: str | Column, lower: bool = True) -> Column:
-    """Runs of letters, digits and underscores in order; retrieval folds case, routing doesn't."""
+def tokens(text: str | Column, lower: bool = True, segment: Callable[[Column], Column] | None = None) -> Column:
+    """Runs of letters, digits and underscores in order; retrieval folds case, routing doesn't. ``segment`` cuts those that are written without blanks."""
     col = F.coalesce(_c(text), F.lit(""))
-    return F.regexp_extract_all(F.lower(col) if lower else col, F.lit(WORDS), F.lit(0))
+    words = F.regexp_extract_all(F.lower(col) if lower else col, F.lit(WORDS), F.lit(0))
+    return words if segment is None else segment(words)
 
 
 def missing(value: str | Column) -> Column:
