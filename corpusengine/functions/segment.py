@@ -84,7 +84,7 @@ def segmenter(spark: SparkSession, words: Lexicon, script: str = CONTINUOUS) ->
     def cut(arrays: pd.Series) -> pd.Series:
         runs = regex.compile(f"{kinds}+|(?:(?!{kinds}).)+", regex.DOTALL)
         continuous, known = regex.compile(kinds), sent.value
-        parts = lambda w: [p for run in runs.findall(w) for p in (known.path(run) if continuous.match(run) else [run])]
+        parts = lambda w: [None] if w is None else [p for run in runs.findall(w) for p in (known.path(run) if continuous.match(run) else [run])]
         return pd.Series([None if a is None else [p for w in a for p in parts(w)] for a in arrays], dtype=object)
 
     def apply(array: Column) -> Column:

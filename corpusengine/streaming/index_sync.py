@@ -8,24 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.buckets import BucketTable
 from ..operators.memory import latest
-from ..operators.sync import replaced
 
 
-def sync(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], index: str, checkpoint: str, key: str = "path", order: str = "mtime") -> StreamingQuery:
+def sync(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], index: str, checkpoint: str, key: str = "path", order: str = "mtime", buckets: int = 64, keep: int = 2) -> StreamingQuery:
     """Replace each arriving path's chunks in the index below ``index``; runs until what has arrived is taken in.
 
-    A batch writes a new version of the index, and a marker of one row names the version that holds, so a batch that is run
-    again after a loss rewrites its own version only. The source tells of no deletions: ``reconciled`` takes those out.
+    A batch writes the buckets of its paths alone, and its manifest last, so a batch that is run again after a loss writes the same once more. Files
+    that none of the newest ``keep`` commits names go. The source tells of no deletions: ``reconciled`` takes those out.
     """
-    spark = stream.sparkSession
+    table = BucketTable(stream.sparkSession, index, key, buckets)
 
     def take(batch: DataFrame, number: int) -> None:
-        fresh = chunk(latest(batch, key, order))
-        have = current(spark, index, below=number)
-        rows = fresh if have is None else replaced(have, fresh, batch, key)
-        rows.write.mode("overwrite").parquet(f"{index}/version={number}")
-        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{index}/_markers/{number:012d}")
+        newest = latest(batch, key, order)
+        table.replace(number, chunk(newest), newest)
+        table.clean(keep)
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -33,15 +31,8 @@ def sync(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], index: str,
 
 
 def current(spark: SparkSession, index: str, below: int | None = None) -> DataFrame | None:
-    """The index as the newest marked version has it (older than ``below``, if given), None before there is one."""
-    try:
-        marks = spark.read.parquet(f"{index}/_markers/*")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-    number = (marks if below is None else marks.where(F.col("number") < below)).agg(F.max("number")).first()[0]
-    return None if number is None else spark.read.parquet(f"{index}/version={number}")
+    """The index as its newest commit has it (of a number below ``below``, if given), None before there is one."""
+    return BucketTable(spark, index).read(below)
 
 
 def reconciled(index: DataFrame, scan: DataFrame, key: str = "path") -> DataFrame:
