@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.buckets import BucketTable
+from ..operators.cells import CellIndex
 from ..operators.inverted import InvertedIndex
 from ..operators.lineage import new_folder
+from . import retrieval
 from .retrieval import _OKAPI, EVERY, _queries, table
 
 
@@ -50,6 +52,21 @@ def bucketed_index_state(spark: SparkSession, sf: str) -> DataFrame:
     return index.read()
 
 
+def cell_index_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of each query by cosine, from the lists of all cells that may hold them."""
+    rows = table(spark, sf, "embeddings")
+    index = CellIndex.build(rows, new_folder(spark, "cells"))
+    found = index.nearest_exact(rows.where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def cell_index_l2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    index = CellIndex.build(rows, new_folder(spark, "cells"), metric="l2")
+    found = index.nearest_exact(rows.where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 _FINAL = """final AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN array_to_string(string_split(text, ' ')[:40], ' ') ELSE text END AS text FROM documents
   WHERE doc_id % 9 = 0 OR doc_id % 4 = 3 OR doc_id % 7 <> 2)"""
 _WORDS = r"coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), [])"
@@ -60,4 +77,5 @@ SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_numb
     "bucketed_index_state": f"""WITH {_FINAL}, w AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM final)
 SELECT doc_id, part::INT AS part, least(50, n - 50 * part)::INT AS n FROM (SELECT doc_id, n, unnest(range(0, (n - 1) // 50 + 1)) AS part FROM w)""",
 }
-QUERIES = {f.__name__: f for f in (inverted_index_top10, inverted_index_frequencies, bucketed_index_state)}
+SQL |= {"cell_index_cosine": retrieval.SQL["dense_knn_cosine"], "cell_index_l2": retrieval.SQL["dense_knn_l2"]}
+QUERIES = {f.__name__: f for f in (inverted_index_top10, inverted_index_frequencies, bucketed_index_state, cell_index_cosine, cell_index_l2)}
