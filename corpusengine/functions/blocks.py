@@ -31,7 +31,7 @@ def line_inserted(value: str | Column, line: str | Column, at: int | Column) ->
 
 
 def patched(value: str | Column, patch: str | Column) -> Column:
-    """The value with a lenient unified diff applied, or null where it doesn't fit.
+    """The value with a lenient unified diff applied, or null where it doesn't fit, or where the patch is one of several blocks.
 
     A header moves on to its line; a context line must stand right where it is said to; a removed line is the next one that equals it,
     and what lies before it is kept; added lines go in at that point; other lines of the patch say nothing.
@@ -56,7 +56,8 @@ def patched(value: str | Column, patch: str | Column) -> Column:
 
     start = made(F.lit(0), F.array().cast("array<string>"), F.lit(False))
     end = lambda s: F.when(~s["bad"], F.array_join(F.concat(s["out"], F.slice(lines, s["at"] + 1, F.size(lines))), "\n"))
-    return F.aggregate(py_lines(F.coalesce(_c(patch), F.lit(""))), start, step, end)
+    several = F.coalesce(F.contains(_c(patch), F.lit("*** Add Block:")) | F.contains(_c(patch), F.lit("*** Update Block:")), F.lit(False))
+    return F.when(~several, F.aggregate(py_lines(F.coalesce(_c(patch), F.lit(""))), start, step, end))
 
 
 def unified_diff(old: str | Column, new: str | Column, name: str = "old", new_name: str = "new") -> Column:

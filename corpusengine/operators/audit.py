@@ -11,18 +11,22 @@ from .lineage import cut
 def span_depths(spans: DataFrame) -> DataFrame:
     """``span_id, root_id, depth``: distance from the root that parents lead to; a span whose parent isn't there is a root.
 
-    Pointers double in every round, so the joins are as many as the logarithm of the deepest nesting.
+    Pointers double in every round, so the joins are as many as the logarithm of the deepest nesting. Spans whose parents lead into a cycle
+    have neither root nor depth: they are what is still moving when every chain of so many spans has ended.
     """
     known = spans.select(F.col("span_id").alias("k"))
     there = F.col("k").isNotNull()
     at = spans.join(known, spans["parent_id"] == known["k"], "left").select("span_id", F.when(there, F.col("parent_id")).otherwise(F.col("span_id")).alias("root_id"), there.cast("int").alias("depth"))
     at = cut(at)
-    while True:
+    rounds = max(1, at.count()).bit_length() + 1
+    for _ in range(rounds):
         up = at.select(F.col("span_id").alias("root_id"), F.col("root_id").alias("far"), F.col("depth").alias("more"))
         further = cut(at.join(up, "root_id").select("span_id", F.col("far").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
         at = further.drop("moved")
         if further.where("moved").isEmpty():
             return at
+    ends = further.select("span_id", F.when(~F.col("moved"), F.col("root_id")).alias("root_id"), F.when(~F.col("moved"), F.col("depth")).alias("depth"))
+    return ends
 
 
 def unfinished(events: DataFrame) -> DataFrame:

@@ -51,9 +51,10 @@ def recent_tail(messages: DataFrame, by: str, seq: str, budget: int, text: str =
     before = Window.partitionBy(by).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     caller = F.last(F.when((F.col("role") == "assistant") & calls, F.col(seq)), ignorenulls=True).over(before)
     rows = rows.withColumn("_caller", F.when(F.col("_kept") & (F.col("role") == "tool"), caller))
-    after = Window.partitionBy(by).orderBy(seq).rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("_brought", F.coalesce(F.array_contains(F.collect_set("_caller").over(after), F.col(seq)), F.lit(False)))
-    kept = rows.where("_kept or _brought").drop("_kept", "_brought", "_caller")
+    brought = rows.where("_caller is not null").select(F.col(by).alias("_by"), F.col("_caller").alias("_seq")).distinct()
+    mark = F.col("_seq").isNotNull() & (F.col("role") == "assistant") & calls
+    rows = rows.join(brought, F.col(by).eqNullSafe(F.col("_by")) & (F.col(seq) == F.col("_seq")), "left").withColumn("_brought", mark)
+    kept = rows.where("_kept or _brought").drop("_kept", "_brought", "_caller", "_by", "_seq")
     ids = kept.where("role = 'assistant'").select(F.col(by).alias("_by"), F.explode("tool_calls.id").alias("_id")).distinct()
     tools = kept.where("role = 'tool'").join(ids, (F.col(by) == F.col("_by")) & (F.col("tool_call_id") == F.col("_id")), "left_semi")
     return kept.where("role <> 'tool'").unionByName(tools)

@@ -13,10 +13,29 @@ from .edits import LINES, LINES_SQL
 from .retrieval import table
 from .rules import _RANKS, _VENUE, VENUE
 
-#: Feeds made from documents.
-ATOM = "concat('<entry><id>http://arxiv.org/abs/24', lpad(cast(doc_id as string), 6, '0'), 'v1</id><title> T  ', cast(doc_id as string), '</title><published>20', lpad(cast(doc_id % 30 as string), 2, '0'), '-01-02T00:00:00Z</published><summary> S', char(10), ' ', source, ' </summary><link title=\"pdf\" href=\"http://x/', cast(doc_id as string), '.pdf\"/><link href=\"y\"/></entry>')"
-WORK = "concat('{\"id\": \"W', cast(doc_id as string), '\", \"doi\": \"https://doi.org/10.1/', cast(doc_id as string), '\", \"title\": \"T ', cast(doc_id as string), '\", \"publication_year\": ', cast(2000 + doc_id % 30 as string), ', \"primary_location\": {\"pdf_url\": ', CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE '\"http://x\"' END, ', \"source\": {\"display_name\": \"', source, '\", \"issn\": [\"1-', cast(doc_id % 9 as string), '\", \"2\"]}}}')"
-TEI = "concat('<TEI xmlns=\"http://www.tei-c.org/ns/1.0\"><text><body><div><head>H</head><p>p</p><table><row><cell>a', cast(doc_id as string), '</cell><cell>b</cell></row></table><figure><head>f</head><figDesc>cap ', cast(doc_id % 7 as string), '</figDesc></figure><figure/></div></body></text></TEI>')"
+#: Letters of a document, for feeds and papers made from it in Spark as in DuckDB (whose regexp_replace needs the flag g).
+_LETTERS = "regexp_replace(substr(text, {0}, {1}), '[^A-Za-z .,&]', ''{2})"
+_ESCAPED = "replace({0}, '&', '&amp;')"
+
+
+def _made(flag: str) -> dict[str, str]:
+    """Expressions of parts of a document: a heading, which may be empty, and three pieces; as they are and as XML."""
+    parts = {"h": "CASE WHEN doc_id % 4 = 1 THEN '' ELSE " + _LETTERS.format(1, 30, flag) + " END", "b1": _LETTERS.format(31, 60, flag), "b2": _LETTERS.format(91, 200, flag), "t": _LETTERS.format(1, 90, flag)}
+    return parts | {f"x{k}": _ESCAPED.format(v) for k, v in parts.items()}
+
+
+_ID = "CASE WHEN doc_id % 5 = 2 THEN concat('cs/', cast(doc_id as string)) ELSE concat('http://arxiv.org/abs/24', lpad(cast(doc_id as string), 6, '0'), 'v1') END"
+_SPARK = _made("")
+ATOM = f"""CASE WHEN doc_id % 11 = 3 THEN concat('<entry><id>', {_ID}, '</id><title>cut') ELSE concat('<entry><id>', {_ID}, '</id><title> ', {_SPARK["xt"]}, char(10), '  x </title>',
+  CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN '<published>199</published>' ELSE concat('<published>20', lpad(cast(doc_id % 30 as string), 2, '0'), '-01-02T00:00:00Z</published>') END,
+  '<summary> S', char(10), ' ', source, ' </summary><link title="pdf" href="http://x/', cast(doc_id as string), '.pdf"/></entry>') END"""
+WORK = f"""CASE WHEN doc_id % 11 = 3 THEN '{{"id": "cut' ELSE to_json(named_struct('id', CASE WHEN doc_id % 9 <> 4 THEN concat('W', cast(doc_id as string)) END, 'title', 'not this', 'display_name', CASE WHEN doc_id % 8 <> 5 THEN {_SPARK["t"]} END,
+  'doi', CASE WHEN doc_id % 3 = 0 THEN concat('https://doi.org/10.1/', cast(doc_id as string)) WHEN doc_id % 3 = 1 THEN concat('10.1/', cast(doc_id as string)) END, 'publication_year', 2000 + doc_id % 30, 'cited_by_count', CASE WHEN doc_id % 2 = 0 THEN doc_id % 100 END,
+  'primary_location', CASE WHEN doc_id % 6 <> 1 THEN named_struct('pdf_url', 'http://not/this', 'source', CASE WHEN doc_id % 6 <> 2 THEN named_struct('display_name', source, 'type', CASE WHEN doc_id % 4 = 0 THEN 'journal' END, 'issn', CASE doc_id % 5 WHEN 0 THEN array() WHEN 1 THEN array(concat('1-', cast(doc_id % 9 as string)), '2') END) END) END,
+  'best_oa_location', CASE doc_id % 10 WHEN 0 THEN named_struct('pdf_url', '') WHEN 1 THEN named_struct('pdf_url', cast(null as string)) WHEN 2 THEN null ELSE named_struct('pdf_url', concat('http://x/', cast(doc_id as string))) END)) END"""
+TEI = f"""concat('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader>', CASE WHEN doc_id % 3 = 0 THEN concat('<abstract><div type="abstract"><p>', {_SPARK["xt"]}, '</p></div></abstract>') ELSE '' END, '</teiHeader><text><body><div><head>', {_SPARK["xh"]}, '</head><p>', {_SPARK["xb1"]}, '<ref>1</ref> tail</p><p>', {_SPARK["xb2"]},
+  '</p><table><row><cell>a', cast(doc_id as string), '</cell><cell>b</cell></row></table><div type="sub"><p>nested ', cast(doc_id as string), '</p><figure><head>f</head><figDesc>cap ', cast(doc_id % 7 as string), '</figDesc></figure><figure/></div></div><div type="bare"><head>no paragraphs</head></div><div><p/></div><p>no division</p>',
+  CASE WHEN doc_id % 13 = 5 THEN '<p>' ELSE '' END, '</body></text></TEI>')"""
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,6 +59,12 @@ def parsed_parts(spark: SparkSession, sf: str) -> DataFrame:
     return papers.tei_parts(_docs(spark, sf).select("doc_id", F.expr(TEI).alias("xml")), "doc_id")
 
 
+def parsed_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents could be read as papers, and how many sections these have."""
+    rows = papers.tei_parsed(_docs(spark, sf).select("doc_id", F.expr(TEI).alias("xml")), "doc_id")
+    return rows.groupBy(F.col("error").isNotNull().alias("malformed")).agg(F.count("*").alias("n"), F.sum(F.size("sections")).alias("n_sections"))
+
+
 def parsed_sections(spark: SparkSession, sf: str) -> DataFrame:
     return papers.tei_sections(_docs(spark, sf).select("doc_id", F.expr(TEI).alias("xml")), "doc_id")
 
@@ -93,18 +118,29 @@ def cursor_moves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    atom_feed, work_feed, pooled_feeds, parsed_parts, parsed_sections, font_sections, title_cascade, venue_cascade, paper_review, dispatch_gate, block_patch, block_diff, cursor_moves,
+    atom_feed, work_feed, pooled_feeds, parsed_parts, parsed_sections, parsed_errors, font_sections, title_cascade, venue_cascade, paper_review, dispatch_gate, block_patch, block_diff, cursor_moves,
 )}
 
-_ATOM = "SELECT doc_id AS seq, 'T ' || doc_id AS title, '24' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || 'v1' AS arxiv_id, '20' || lpad(CAST(doc_id % 30 AS VARCHAR), 2, '0') || '-01-02T00:00:00Z' AS published, CAST(2000 + doc_id % 30 AS INTEGER) AS year, 'S ' || source AS abstract, 'http://x/' || doc_id || '.pdf' AS pdf_url, 'preprint' AS venue_type FROM documents"
-_WORK = "SELECT doc_id AS seq, 'T ' || doc_id AS title, '10.1/' || doc_id AS doi, 'W' || doc_id AS openalex_id, CAST(2000 + doc_id % 30 AS INTEGER) AS year, source AS venue, '1-' || doc_id % 9 AS issn, CASE WHEN doc_id % 2 = 1 THEN 'http://x' END AS pdf_url, doc_id % 2 = 1 AS downloadable, 0 AS cited_by_count FROM documents"
+_DUCK = _made(", 'g'")
+_PAPER = "CASE WHEN doc_id % 5 = 2 THEN 'cs/' || doc_id ELSE '24' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || 'v1' END"
+_ATOM = f"""SELECT doc_id AS seq, array_to_string(list_filter(string_split({_DUCK["t"]} || ' x', ' '), lambda w: w <> ''), ' ') AS title, {_PAPER} AS arxiv_id, published, CASE WHEN length(published) >= 4 THEN CAST(substr(published, 1, 4) AS INTEGER) END AS year,
+  'S ' || source AS abstract, 'https://arxiv.org/pdf/' || {_PAPER} AS pdf_url, NULL AS venue, NULL AS issn, true AS downloadable
+  FROM (SELECT *, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN '199' ELSE '20' || lpad(CAST(doc_id % 30 AS VARCHAR), 2, '0') || '-01-02T00:00:00Z' END AS published FROM documents) WHERE doc_id % 11 <> 3"""
+_WORK = f"""SELECT doc_id AS seq, CASE WHEN doc_id % 8 <> 5 THEN {_DUCK["t"]} ELSE '' END AS title, CASE doc_id % 3 WHEN 0 THEN 'https://doi.org/10.1/' || doc_id WHEN 1 THEN '10.1/' || doc_id END AS doi, CASE WHEN doc_id % 9 <> 4 THEN 'W' || doc_id ELSE '' END AS openalex_id,
+  CAST(2000 + doc_id % 30 AS INTEGER) AS year, CASE WHEN placed THEN source END AS venue, CASE WHEN placed AND doc_id % 5 = 1 THEN '1-' || doc_id % 9 END AS issn, CASE WHEN placed AND doc_id % 4 = 0 THEN 'journal' END AS venue_type,
+  CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'http://x/' || doc_id END AS pdf_url, doc_id % 10 > 2 AS downloadable, CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id % 100 ELSE 0 END AS INTEGER) AS cited_by_count
+  FROM (SELECT *, doc_id % 6 NOT IN (1, 2) AS placed FROM documents) WHERE doc_id % 11 <> 3"""
+_SECTIONS = f"""SELECT doc_id, 0 AS k, 'abstract' AS heading, {_DUCK["t"]} AS body FROM documents WHERE doc_id % 3 = 0 AND doc_id % 13 <> 5
+  UNION ALL SELECT doc_id, 1, {_DUCK["h"]}, {_DUCK["b1"]} || chr(10) || {_DUCK["b2"]} FROM documents WHERE doc_id % 13 <> 5
+  UNION ALL SELECT doc_id, 2, 'sub', 'nested ' || doc_id FROM documents WHERE doc_id % 13 <> 5 UNION ALL SELECT doc_id, 3, '', '' FROM documents WHERE doc_id % 13 <> 5"""
 
 SQL = {
     "atom_feed": _ATOM,
     "work_feed": _WORK,
     "pooled_feeds": f"SELECT 0 AS source_no, seq AS row_no, title, arxiv_id, NULL AS doi FROM ({_ATOM}) UNION ALL SELECT 1, seq, title, NULL, doi FROM ({_WORK})",
-    "parsed_parts": "SELECT doc_id, 'table' AS kind, 0 AS part, 'a' || doc_id || 'b' AS text FROM documents UNION ALL SELECT doc_id, 'figure', 0, 'cap ' || doc_id % 7 FROM documents UNION ALL SELECT doc_id, 'figure', 1, '' FROM documents",
-    "parsed_sections": "SELECT doc_id, 0 AS section, 'H' AS heading, 'p' AS body FROM documents",
+    "parsed_parts": "SELECT doc_id, 'table' AS kind, 0 AS part, 'a' || doc_id || 'b' AS text FROM documents WHERE doc_id % 13 <> 5 UNION ALL SELECT doc_id, 'figure', 0, 'cap ' || doc_id % 7 FROM documents WHERE doc_id % 13 <> 5 UNION ALL SELECT doc_id, 'figure', 1, '' FROM documents WHERE doc_id % 13 <> 5",
+    "parsed_errors": f"SELECT doc_id % 13 = 5 AS malformed, count(DISTINCT doc_id) AS n, count(*) FILTER (k >= 0) AS n_sections FROM (SELECT doc_id, k FROM ({_SECTIONS}) UNION ALL SELECT doc_id, -1 FROM documents) GROUP BY 1",
+    "parsed_sections": f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS section, heading, body FROM ({_SECTIONS})",
     "font_sections": """WITH RECURSIVE l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, (turn * turn + conv_id) % 4 >= 2 AS large, role || turn AS line FROM conversations),
 r AS (SELECT conv_id, k, false AS opens, 0 AS section, line FROM l WHERE k = 1
   UNION ALL SELECT l.conv_id, l.k, l.large AND NOT r.opens, r.section + CAST(l.large AND NOT r.opens AS INTEGER), l.line FROM r JOIN l ON l.conv_id = r.conv_id AND l.k = r.k + 1)

@@ -66,3 +66,19 @@ def audit_log(spark: SparkSession, path: str) -> DataFrame:
 def append_audit(events: DataFrame, path: str) -> None:
     """Append events as JSON lines, a folder for each day they started on."""
     events.withColumn("dt", F.substring("started_at", 1, 10)).write.mode("append").partitionBy("dt").json(path)
+
+
+def only(files: DataFrame, name: str) -> str:
+    """The path of the one file that ``named`` finds; FileNotFoundError if there is none, ValueError if there are several."""
+    found = [r["path"] for r in named(files, name, 2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"{name!r} isn't the only file of its name")
+    if not found:
+        raise FileNotFoundError(name)
+    return found[0]
+
+
+def rendered(sections: DataFrame, key: str, order: str = "section") -> DataFrame:
+    """``key, text``: sections as they are shown, ``## heading`` and the body below, an empty line between; ``heading`` and ``body`` must not be null."""
+    rows = sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "heading", "body"))).alias("s"))
+    return rows.select(key, F.array_join(F.transform("s", lambda s: F.concat(F.lit("## "), s["heading"], F.lit("\n"), s["body"])), "\n\n").alias("text"))
