@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: every line break that Python's ``str.splitlines`` knows.
 LINE_BREAKS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+#: Fixed value: what ``(?U)\\s`` matches.
+BLANKS = "\t\n\u000b\u000c\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"[\p{L}\p{N}_]+"
 
 
@@ -54,6 +56,10 @@ def token_windows(words: str | Column, size: int = 512, overlap: int = 64) -> Co
 
 def repetition_ratio(text: str | Column) -> Column:
     """One less the share of distinct lines among stripped lines that aren't empty; 0 below 100 characters."""
-    lines = F.filter(F.transform(py_lines(text), py_strip), lambda x: x != "")
-    ratio = F.lit(1.0) - F.size(F.array_distinct(lines)) / F.size(lines)
-    return F.when((F.length(_c(text)) < 100) | (F.size(lines) == 0), F.lit(0.0)).otherwise(ratio)
+
+    def ratio(lines: Column) -> Column:
+        return F.when(F.size(lines) == 0, F.lit(0.0)).otherwise(F.lit(1.0) - F.size(F.array_distinct(lines)) / F.size(lines))
+
+    lines = F.filter(F.transform(py_lines(text), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    # bound by a lambda, the lines are made once
+    return F.when(F.length(_c(text)) < 100, F.lit(0.0)).otherwise(F.element_at(F.transform(F.array(lines), ratio), 1))

@@ -80,8 +80,8 @@ def hybrid_index_top5(spark: SparkSession, sf: str) -> DataFrame:
     items = _queries(spark, sf).where(f"query_id % {EVERY} = 0")
     docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = vectors.select(F.col("doc_id").alias("query_id"), "embedding").join(items.select("query_id"), "query_id", "left_semi")
-    weights = sparse.query_weights(items, docs, "query_id", "doc_id")
-    own = sparse.document_weights(docs, "doc_id").join(vectors.select("doc_id"), "doc_id", "left_semi")
+    weights, mean = sparse.router_weights(items, docs, "query_id")
+    own = sparse.document_weights(docs.join(vectors.select("doc_id"), "doc_id", "left_semi"), "doc_id", mean=mean, wanted=weights)
     hits = sparse.sparse_dot(weights, own, "query_id", "doc_id").join(asked.select("query_id"), "query_id", "left_semi")
     near = route.hybrid_nearest(asked, vectors, hits, 5, "query_id", "doc_id")
     return near.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))

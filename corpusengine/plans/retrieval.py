@@ -52,8 +52,8 @@ def intent_document_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def sparse_dot_top5(spark: SparkSession, sf: str) -> DataFrame:
     docs, queries = table(spark, sf, "documents"), _queries(spark, sf)
-    weights = sparse.query_weights(queries, docs, "query_id", "doc_id")
-    own = sparse.document_weights(docs, "doc_id").join(F.broadcast(weights.select("token").distinct()) if queries.count() <= dense.QUERY_BLOCK else weights.select("token").distinct(), "token", "left_semi")
+    weights, mean = sparse.router_weights(queries, docs, "query_id")
+    own = sparse.document_weights(docs, "doc_id", mean=mean, wanted=weights)
     rows = sparse.ranked(sparse.sparse_dot(weights, own, "query_id", "doc_id"), ["query_id"], "score", "doc_id", 5)
     return rows.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
