@@ -395,7 +395,10 @@ def _added(own: pd.DataFrame, logs: pd.DataFrame) -> pd.DataFrame:
     """A block's documents with the sums over their tokens; buckets stand in the order of the block's pairs."""
     docs, at = unpack(own["docs"].iat[0], _DOCS), unpack(own["at"].iat[0], "<u4")
     every = np.concatenate([unpack(x, "<u8") for x in logs.sort_values("bucket")["logs"]]).astype(np.int64)
-    score = np.add.reduceat(every[at], np.concatenate([[0], np.cumsum(docs["tokens"])])[:-1]) / -FIXED
+    # in two halves, as the whole of a very long text is beyond 64 bits
+    first = np.concatenate([[0], np.cumsum(docs["tokens"])])[:-1]
+    high, low = (np.add.reduceat(half[at], first).astype(np.float64) for half in (every >> 32, every & 0xFFFFFFFF))
+    score = (high * 4294967296.0 + low) / -FIXED
     ids = pd.array(docs["id"], "Int64")
     ids[docs["null"]] = pd.NA
     return pd.DataFrame({"doc_id": ids, "held_out": docs["held"], "n_tokens": docs["tokens"], "n_known": docs["known"], "base_score": docs["base"], "score": score})

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, stored
 
 #: The weights that sources take in turn, the share of all words that is mixed, the most of a source.
 WEIGHTS = (5, 2, 1)
@@ -16,6 +16,8 @@ MOST = 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one source and size that are meant to be put in order together.
 PER_CELL = 10_000
+#: A cell with so many times that is one of many equal rows, and cut further.
+FULL = 4
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     place, and a document is emitted once for each integer that the sum, begun at one offset drawn from
     the source's name, crosses at it. As sizes ascend, the words taken are within twice the largest document of the target. Places
     come from counts of cells (source, size, first bits of the digest), and those from counts of sizes, so no task ever holds a source's documents;
-    cells are as small as keeps about ``per_cell`` documents of the most frequent size together. All sources, a row each, pass through one task.
+    cells are as small as keeps about ``per_cell`` documents of the most frequent size together, and one that equal rows fill is cut by where these are stored. All sources, a row each, pass through one task.
 
     A null text or one without words has size 0; a source of such documents takes 0 words. Null is a source of its
     own. Rows that repeat a doc_id are documents of their own, ties between equal rows broken arbitrarily. No rows give
@@ -75,28 +77,37 @@ def _drawn(counted: DataFrame, rows: DataFrame, weights: tuple[int, ...], share:
     by_source = targets(levels.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most)
     earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.withColumn("level_at", F.coalesce(F.sum("n").over(earlier("source").orderBy("size")), F.lit(0))).drop("n")
+    key = ["source", "size", "cell"]
     cells = counted.groupBy("source", "size", cell.alias("cell")).agg(F.count("*").alias("n"))
-    cells = cells.withColumn("cell_at", F.coalesce(F.sum("n").over(earlier("source", "size").orderBy("cell")), F.lit(0))).drop("n")
+    full = cut(cells.where(F.col("n") > FULL * per_cell).select(*key, F.lit(True).alias("full")))
+    rows = rows.withColumn("cell", cell)
+    if not full.isEmpty():
+        # only equal rows fill a cell so: they are told apart by where they are stored, and a cell's digests and ids by themselves
+        rows = stored(rows.withColumn("part", F.spark_partition_id()), "mix")
+        fine = F.when(F.col("full"), F.struct("salt", "doc_id", "part"))
+        rows = _null_safe(rows, full, *key, how="left").withColumn("fine", fine).drop("full", "part")
+        key = [*key, "fine"]
+        cells = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    cells = cells.withColumn("cell_at", F.coalesce(F.sum("n").over(earlier("source", "size").orderBy(*key[2:])), F.lit(0))).drop("n")
     cells = _null_safe(cells, levels, "source", "size").withColumn("at", F.col("level_at") + F.col("cell_at")).drop("level_at", "cell_at")
     cells = _null_safe(cells, by_source, "source")
     offset = F.conv(F.substring(F.md5(F.coalesce("source", F.lit("\u0000")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     cells = cells.withColumn("rate", rate).withColumn("offset", offset)
-    rows = rows.withColumn("cell", cell)
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("salt", "doc_id")))
-    rows = _null_safe(rows, cells, "source", "size", "cell")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("salt", "doc_id")))
+    rows = _null_safe(rows, cells, *key)
     place = (F.col("at") + F.col("place")).cast("double")
     copies = F.floor(F.col("rate") * place + F.col("offset")) - F.floor(F.col("rate") * (place - 1.0) + F.col("offset"))
     return rows.withColumn("copies", copies.cast("long"))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-    """Inner join on keys that may be null, keeping the left's key columns."""
+def _null_safe(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join on keys that may be null, keeping the left's key columns."""
     renamed = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
     on = F.lit(True)
     for k in keys:
         on = on & left[k].eqNullSafe(renamed[f"r_{k}"])
-    return left.join(renamed, on).drop(*(f"r_{k}" for k in keys))
+    return left.join(renamed, on, how).drop(*(f"r_{k}" for k in keys))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -222,6 +222,21 @@ def test_mixing_with_finer_cells(spark, small):
     assert sorted(map(str, mixing.mixed(docs, per_cell=1).collect())) == sorted(map(str, mixing.mixed(docs).collect()))
 
 
+def test_mixing_many_equal_rows(spark):
+    """Equal rows fill a cell, which is cut by where they are stored; the rows drawn are those of one order of all."""
+    rows = [(1, "a b c", "s")] * 900 + [(i, "d e f", "s") for i in range(60)] + [(None, "g h i", "s")] * 300 + [(None, None, None)] * 200 + [(5, "x", "t")]
+    docs = frame(spark, rows).repartition(7)
+    want = sorted(map(str, mixing.mixed(docs).collect()))
+    assert sorted(map(str, mixing.mixed(docs, per_cell=10).collect())) == want
+    slim = cut_of(docs, mixing)
+    drawn = mixing._drawn(slim, mixing.sizes(docs).select("doc_id", "source", "size", "salt"), mixing.WEIGHTS, mixing.SHARE, mixing.MOST, 10)
+    assert drawn.count() == len(rows) and drawn.agg(F.sum("copies")).first()[0] == mixing.mixed(docs).agg(F.sum("copies")).first()[0]
+
+
+def cut_of(docs, mixing):
+    return shared.cut(mixing.sizes(docs).select("source", "size", "salt"))
+
+
 # ---- 4
 
 
@@ -532,6 +547,8 @@ def test_toxicity_is_learned_from_one_row_an_id(spark, labels):
 def test_toxicity_against_the_tables(spark, small):
     docs, labels = (spark.read.parquet(f"{small.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").toPandas()
+    found = rows["toxic"][rows["predicted"] == 1].sum()
+    assert found >= 0.8 * rows["toxic"].sum() and found >= 0.8 * (rows["predicted"] == 1).sum()
     assert (rows["predicted"] == rows["toxic"]).mean() >= 0.95 and ((rows["score"] >= toxicity.THRESHOLD) == (rows["predicted"] == 1)).all()
 
 
