@@ -7,7 +7,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edits, gates, kept, memory, papers, retrieval, rules, vaults, words
+from . import edits, gates, kept, memory, papers, retrieval, rules, tables, vaults, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,4 +26,4 @@ def registered(*modules: ModuleType) -> tuple[dict[str, Query], dict[str, str]]:
     return queries, sql
 
 
-QUERIES, SQL = registered(retrieval, rules, memory, edits, papers, words, kept, vaults, gates)
+QUERIES, SQL = registered(retrieval, rules, memory, edits, papers, words, kept, vaults, gates, tables)
