@@ -25,13 +25,19 @@ def best(rows: DataFrame, by: list[str], k: int) -> DataFrame:
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def hybrid(sparse: DataFrame, dense: DataFrame, texts: DataFrame, key: str, by: list[str], top_k: int = 5, rerank: Callable[[Column], Column] = F.md5) -> DataFrame:
+def hybrid(sparse: DataFrame, dense: DataFrame, texts: DataFrame, key: str, by: list[str], top_k: int = 5, rerank: Callable[[Column], Column] = F.md5, queries: DataFrame | None = None, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``by..., key, score, rank``: the 2 top_k best fused rows joined to their texts, the first top_k of these in ``rerank``'s order.
 
-    The default reranker is a test double; a model plugs in as a pandas UDF of the text. Ids that the texts
+    The default reranker is a test double. A model plugs in as ``scorer``, a pandas UDF of a query's text and a document's whose highest values come first, with the
+    queries' texts as ``queries(by..., query_text)``; ``operators.rerank`` trains one. Ids that the texts
     lack, and null texts, are ranked by an empty text.
     """
     candidates = best(fused([sparse, dense], key, by), by, 2 * top_k).drop("rank")
     with_text = candidates.join(texts.select(key, "text"), key, "left").withColumn("text", F.coalesce("text", F.lit("")))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(rerank(F.encode("text", "UTF-8")), key))
+    if scorer is None:
+        order = rerank(F.encode("text", "UTF-8"))
+    else:
+        with_text = with_text.join(queries.select(*by, "query_text"), by, "left").withColumn("_value", scorer(F.coalesce("query_text", F.lit("")), F.col("text")))
+        order = F.desc(F.round("_value", 9))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order, key))
     return with_text.withColumn("rank", place).where(F.col("rank") <= top_k).select(*by, key, "score", "rank")

@@ -10,6 +10,8 @@ from .dense import nearest
 
 ALPHA, TOP_K = 0.6, 5
 SEARCH, POINTS, TRIALS = 0.8, 100, 500
+#: Routes whose limits are broadcast, about 4,000 bytes each; those of more travel with the scores.
+ROUTES = 2_000
 
 
 def hybrid_scores(dense: DataFrame, sparse: DataFrame | None, query: str, key: str, alpha: float = ALPHA, scaled_query: bool = True) -> DataFrame:
@@ -89,8 +91,14 @@ def fitted_thresholds(scores: DataFrame, truths: DataFrame, thresholds: DataFram
     draws = given.crossJoin(spark.range(trials + 1).withColumnRenamed("id", "trial"))
     draws = draws.select("trial", route, F.when(F.col("trial") == 0, F.col("t")).otherwise(low + (high - low) * step / (POINTS - 1)).alias("threshold"))
     limits = draws.groupBy(route).agg(F.transform(F.array_sort(F.collect_list(F.struct("trial", "threshold"))), lambda d: d["threshold"]).alias("limits"))
-    own = F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("low"), "best_rank", F.col(route).alias("name"), "score", "limits"))).alias("own")
-    rows = scores.join(limits, route).groupBy(query).agg(own).join(truths.select(query, "truth"), query)
+    own = lambda *more: F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("low"), "best_rank", F.col(route).alias("name"), "score", *more))).alias("own")
+    if given.count() <= ROUTES:
+        # the limits are sent once, as a row, and not with every score
+        every = limits.agg(F.map_from_entries(F.collect_list(F.struct(route, "limits"))).alias("every"))
+        rows = scores.join(F.broadcast(given.select(route)), route, "left_semi").groupBy(query).agg(own()).join(truths.select(query, "truth"), query).crossJoin(F.broadcast(every))
+        rows = rows.withColumn("own", F.transform("own", lambda o: F.struct(o["name"].alias("name"), o["score"].alias("score"), F.element_at("every", o["name"]).alias("limits"))))
+    else:
+        rows = scores.join(limits, route).groupBy(query).agg(own("limits")).join(truths.select(query, "truth"), query)
     # routes are in the order of choice, so the first that reaches its limit is the prediction
     named = F.transform(F.sequence(F.lit(1), F.lit(trials + 1)), lambda i: F.try_element_at(F.filter("own", lambda o: o["score"] >= F.element_at(o["limits"], i)), F.lit(1))["name"] == F.col("truth"))
     right = rows.select(F.posexplode(named).alias("trial", "right")).groupBy("trial").agg(F.count_if("right").alias("right")).where("right > 0")
