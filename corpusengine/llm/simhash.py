@@ -178,6 +178,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     named = fps.join(components(fps.select("doc_id", "fp")).select("fp", "root"), "fp")
     rows = named.groupBy("root", "k", "k2").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "k2", "n")).alias("at"))
-    kept = keyed.join(cut(least.select("at.k", "at.k2", "at.n")), ["k", "k2"])
-    repeated = kept.where("n > 1").withColumn("place", F.row_number().over(Window.partitionBy("k", "k2").orderBy("n"))).where("place = 1")
-    return kept.where("n = 1").select("row.*").unionByName(repeated.select("row.*"))
+    kept = cut(least.select("at.k", "at.k2", "at.n"))
+    out = keyed.join(kept.where("n = 1"), ["k", "k2"]).select("row.*")
+    many = kept.where("n > 1")
+    if many.isEmpty():
+        return out
+    repeated = keyed.join(many, ["k", "k2"]).withColumn("place", F.row_number().over(Window.partitionBy("k", "k2").orderBy("n"))).where("place = 1")
+    return out.unionByName(repeated.select("row.*"))

@@ -6,10 +6,13 @@ of bytes is the difference of two prefix sums times a power, so that hashing cos
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -106,7 +109,10 @@ def spaced(w: Words) -> tuple[memoryview, np.ndarray]:
 
 
 def batches(frames: Iterable, column: str = "text", size: int = BATCH_BYTES) -> Iterator:
-    """Slices of pandas frames whose texts make up about ``size`` characters each, a row counting ROW_BYTES besides; one row at least."""
+    """Slices of pandas frames whose texts make up about ``size`` characters each, a row counting ROW_BYTES besides; one row at least.
+
+    At the end of a task's rows the worker, which waits for other tasks, gives back what its allocators keep.
+    """
     for frame in frames:
         if not len(frame):
             continue
@@ -114,3 +120,14 @@ def batches(frames: Iterable, column: str = "text", size: int = BATCH_BYTES) ->
         part = np.cumsum(lengths + ROW_BYTES) // size
         for at in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(part)) + 1):
             yield frame.iloc[at]
+    frame = None
+    given_back()
+
+
+def given_back() -> None:
+    """Returns memory that was freed, but kept by Arrow and by the C library (where that is glibc), to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
