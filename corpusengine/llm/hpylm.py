@@ -423,12 +423,15 @@ def scored(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, bucket_tok
     known_words, known_tokens = (int(x or 0) for x in numbered.where("block is null").agg(F.sum("v"), F.sum("n")).first())
     answers = numbered.where("block is not null").select("block", "bucket", "numbers", "counts")
     answers.groupBy("block").applyInPandas(_published(f"{home}/numbers", "block"), "name string").write.format("noop").mode("overwrite").save()
+    discarded(numbered)
+    release(spark)
     pairs = blocks.drop("n").mapInPandas(_paired(parents, buckets, bucket_tokens, known_words, known_tokens, f"{home}/numbers"), "of_docs boolean, bucket int, block string, u binary, w binary, c binary, at binary, docs binary")
     pairs = stored(pairs, "pairs", "of_docs")
+    discarded(blocks, f"{home}/numbers")
     # a number of partitions of its own: packed rows are few bytes and much work
     opened = pairs.where("not of_docs").select("bucket", "block", "u", "w", "c").repartition(tasks, "bucket").groupBy("bucket")
     restaurants = stored(opened.applyInPandas(_opened(parents), "bucket int, contexts binary, sizes binary, words binary, word binary, c binary, blocks binary"), "restaurants")
-    discarded(blocks, numbered, f"{home}/numbers")
+    discarded(*{f.rpartition("/")[0] for f in pairs.inputFiles() if "/of_docs=false/" in f})
     release(spark)
     sweeps, x = Sweeps(home, parents, known_words), None
     for turn in range(burn + samples):
