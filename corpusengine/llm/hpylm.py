@@ -14,7 +14,8 @@ so scores do not depend on how the work is dealt out.
 Texts become blocks of word numbers, counted and numbered by buckets of words. Pairs (context, word) are dealt to buckets by context, and
 frequent contexts to several, by word. A sweep sends the tables of words and of contexts to the word's buckets, which add
 them up, seat the parent's customers and publish the answers for the next sweep. The last sweeps are samples: the probability of a pair is their mean.
-All that moves is packed arrays, a row for each block and bucket, never more than a row for each pair.
+All that moves is packed arrays, a row for each block and bucket, never more than a row for each pair; answers are published in files
+of many blocks or buckets, which are read by their places.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ import pickle
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discarded, new_folder, release, stored
@@ -43,6 +46,8 @@ BURN, SAMPLES, SEED = 3, 3, 1
 BLOCK_BYTES, BUCKET_TOKENS = 5_000_000, 1_000_000
 #: Logarithms of pairs travel as multiples of 2 ** -36 (7e-12 at most from the double), which have five bytes and add up the same in any order.
 FIXED = float(1 << 36)
+#: Blocks or buckets whose answers share a file.
+SHARED = 64
 _END = mix(np.array([0x656E64], np.uint64))[0]
 _DOCS = np.dtype([("id", "<i8"), ("null", "?"), ("held", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -160,6 +165,55 @@ class Restaurants:
         return (self.c - DISCOUNT * t + over) / (STRENGTH + customers)[self.context]
 
 
+# ---- answers
+
+
+def _published(folder: str):  # noqa: ANN202
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Write the answers for one block or bucket after the other, and where each begins; a task that runs again replaces its files by the same."""
+        rows = (row for frame in frames for row in frame.itertuples(index=False, name=None))
+        for file, of_file in groupby(rows, itemgetter(0)):
+            fs, path = filesystem(f"{folder}/{file}")
+            places, end = {}, 0
+            with fs.open_output_stream(attempt := f"{path}.{uuid.uuid4().hex}", compression=None) as out:
+                for key, parts in groupby(of_file, itemgetter(1)):
+                    out.write(data := pickle.dumps([part[2:] for part in parts]))
+                    places[key], end = (end, len(data)), end + len(data)
+                out.write(directory := pickle.dumps(places))
+                out.write(len(directory).to_bytes(8, "little"))
+            fs.move(attempt, path)
+            yield pd.DataFrame({"file": [file]})
+
+    return run
+
+
+def files_for(keys: int, tasks: int) -> int:
+    """Files for the answers of so many blocks or buckets: one for each task as long as these are few, then one for ``SHARED`` of them."""
+    return max(1, math.ceil(keys / SHARED), min(keys, tasks))
+
+
+def file_of(block: str, files: int) -> int:
+    """The file with a block's answers."""
+    return int(block[:8], 16) % files
+
+
+def published(answers: DataFrame, key: str, file: Column, files: int, folder: str) -> None:
+    """Write answers below a folder by the files given, a key's together."""
+    rows = answers.select(file.cast("int").alias("file"), key, *(c for c in answers.columns if c != key))
+    rows = rows.repartitionById(files, "file").sortWithinPartitions("file", key)
+    rows.mapInPandas(_published(folder), "file int").write.format("noop").mode("overwrite").save()
+
+
+def answers_for(folder: str, file: int, key: str | int) -> list[tuple]:
+    """What a file holds for one block or bucket, read by its place."""
+    fs, path = filesystem(f"{folder}/{file}")
+    with fs.open_input_file(path) as f:
+        end = f.size() - 8
+        length = int.from_bytes(f.read_at(8, end), "little")
+        begin, size = pickle.loads(f.read_at(length, end - length))[key]
+        return pickle.loads(f.read_at(size, begin))
+
+
 # ---- blocks and their words
 
 
@@ -226,19 +280,15 @@ def _numbered(buckets: int):  # noqa: ANN202
 _PAIRS = ["of_docs", "bucket", "block", "u", "w", "c", "at", "docs"]
 
 
-def _paired(parents: int, buckets: int, per_bucket: int, known_words: int, known_tokens: int, folder: str):  # noqa: ANN202
+def _paired(parents: int, buckets: int, per_bucket: int, known_words: int, known_tokens: int, folder: str, files: int):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A block's distinct pairs by bucket, and its documents with what single words say and the pair that each of their tokens is."""
-        fs, path = filesystem(f"{folder}/x")
-        base = path.rpartition("/")[0]
         for frame in frames:
             for row in frame.itertuples(index=False):
                 vocab, docs = np.frombuffer(row.vocab, np.uint64), unpack(row.docs, _DOCS).copy()
                 numbers, counts = np.zeros(len(vocab), np.uint64), np.zeros(len(vocab), np.uint64)
                 bucket = (vocab >> np.uint64(32)).astype(np.int64) % parents
-                with fs.open_input_stream(f"{base}/{row.block}", compression=None) as f:
-                    answers = pickle.loads(f.read())
-                for b, got, count in answers:
+                for b, got, count in answers_for(folder, file_of(row.block, files), row.block):
                     own = np.flatnonzero(bucket == b)
                     numbers[own], counts[own] = unpack(got, "<u8"), unpack(count, "<u8")
                 places = unpack(row.places, "<u4")
@@ -291,24 +341,11 @@ def _opened(parents: int):  # noqa: ANN202
 # ---- sweeps
 
 
-def _published(folder: str, key: str):  # noqa: ANN202
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Write the answers for one block or bucket as a file; a task that runs again replaces it by the same."""
-        name = str(pdf[key].iat[0])
-        fs, path = filesystem(f"{folder}/{name}")
-        with fs.open_output_stream(attempt := f"{path}.{uuid.uuid4().hex}", compression=None) as out:
-            out.write(pickle.dumps(list(pdf.drop(columns=key).itertuples(index=False, name=None))))
-        fs.move(attempt, path)
-        return pd.DataFrame({"name": [name]})
-
-    return run
-
-
 class Sweeps:
     """What the word's buckets published after each sweep: the parent's shares of words, and all tables and customers of contexts."""
 
-    def __init__(self, home: str, parents: int, words: int) -> None:
-        self.home, self.parents, self.known_words, self.scalars = home, parents, words, []
+    def __init__(self, home: str, parents: int, words: int, files: int) -> None:
+        self.home, self.parents, self.known_words, self.files, self.scalars = home, parents, words, files, []
 
     def folder(self, turn: int) -> str:
         return f"{self.home}/sweep-{turn}"
@@ -316,10 +353,8 @@ class Sweeps:
     def read(self, turn: int, bucket: int, r: Restaurants) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The parent's probability of the bucket's words; tables and customers of its contexts."""
         all_tables, all_customers = self.scalars[turn]
-        fs, path = filesystem(f"{self.folder(turn)}/{bucket}")
         share, seats, customers = np.zeros(len(r.words)), np.zeros(len(r.contexts)), np.zeros(len(r.contexts))
-        with fs.open_input_stream(path, compression=None) as f:
-            answers = {b: rest for b, *rest in pickle.loads(f.read())}
+        answers = {b: rest for b, *rest in answers_for(self.folder(turn), bucket % self.files, bucket)}
         for b, p, q in self.parts(r):
             share[p], seats[q], customers[q] = (unpack(x, kind) for x, kind in zip(answers[b], ("<f8", "<u8", "<u8"), strict=True))
         return (share + (PARENT_STRENGTH + DISCOUNT * all_tables) / (self.known_words + 1)) / (PARENT_STRENGTH + all_customers), seats, customers
@@ -415,17 +450,18 @@ def scored(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, bucket_tok
     home = new_folder(spark, "hpylm")
     blocks = stored(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_blocks, "block string, n long, vocab binary, places binary, docs binary"), "blocks")
     # buckets follow the tokens, so that numbers of words, and with them the random numbers, are those of the corpus alone
-    tokens = int(blocks.agg(F.sum("n")).first()[0] or 0)
+    tokens, many = (int(x or 0) for x in blocks.agg(F.sum("n"), F.count("*")).first())
     buckets, parents = 1 + tokens // bucket_tokens, 1 << math.ceil(math.log2(max(1.0, math.sqrt(tokens) / 150)))
-    tasks = max(1, min(buckets, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks, files = max(1, min(buckets, 2 * partitions)), files_for(many, partitions)
     asked = blocks.mapInPandas(_asked(parents), "bucket int, block string, hashes binary, counts binary")
     numbered = stored(asked.groupBy("bucket").applyInPandas(_numbered(parents), "bucket int, block string, numbers binary, counts binary, v long, n long"), "numbers")
     known_words, known_tokens = (int(x or 0) for x in numbered.where("block is null").agg(F.sum("v"), F.sum("n")).first())
     answers = numbered.where("block is not null").select("block", "bucket", "numbers", "counts")
-    answers.groupBy("block").applyInPandas(_published(f"{home}/numbers", "block"), "name string").write.format("noop").mode("overwrite").save()
+    published(answers, "block", F.conv(F.substring("block", 1, 8), 16, 10).cast("long") % files, files, f"{home}/numbers")
     discarded(numbered)
     release(spark)
-    pairs = blocks.drop("n").mapInPandas(_paired(parents, buckets, bucket_tokens, known_words, known_tokens, f"{home}/numbers"), "of_docs boolean, bucket int, block string, u binary, w binary, c binary, at binary, docs binary")
+    pairs = blocks.drop("n").mapInPandas(_paired(parents, buckets, bucket_tokens, known_words, known_tokens, f"{home}/numbers", files), "of_docs boolean, bucket int, block string, u binary, w binary, c binary, at binary, docs binary")
     pairs = stored(pairs, "pairs", "of_docs")
     discarded(blocks, f"{home}/numbers")
     # a number of partitions of its own: packed rows are few bytes and much work
@@ -433,13 +469,14 @@ def scored(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, bucket_tok
     restaurants = stored(opened.applyInPandas(_opened(parents), "bucket int, contexts binary, sizes binary, words binary, word binary, c binary, blocks binary"), "restaurants")
     discarded(*{f.rpartition("/")[0] for f in pairs.inputFiles() if "/of_docs=false/" in f})
     release(spark)
-    sweeps, x = Sweeps(home, parents, known_words), None
+    sweeps, x = Sweeps(home, parents, known_words, files_for(buckets, partitions)), None
     for turn in range(burn + samples):
         up = restaurants.drop("blocks").mapInPandas(_upward(sweeps, turn), "bucket int, asked_by int, words binary, seats binary, contexts binary, tables binary, customers binary")
         shares = stored(up.groupBy("bucket").applyInPandas(_parent(turn, x, known_words), "to int, bucket int, share binary, tables binary, customers binary, all_tables long, all_customers long"), "shares")
         sums = tuple(int(v or 0) for v in shares.agg(F.sum("all_tables"), F.sum("all_customers")).first())
         x = float(gammas(np.array([PARENT_STRENGTH / DISCOUNT + sums[0]]), np.array([SEED], np.uint64), turn)[0])
-        shares.where("to >= 0").select("to", "bucket", "share", "tables", "customers").groupBy("to").applyInPandas(_published(sweeps.folder(turn), "to"), "name string").write.format("noop").mode("overwrite").save()
+        answers = shares.where("to >= 0").select("to", "bucket", "share", "tables", "customers")
+        published(answers, "to", F.col("to") % sweeps.files, sweeps.files, sweeps.folder(turn))
         sweeps.scalars.append(sums)
         discarded(shares, *([sweeps.folder(turn - 1)] if 0 < turn < burn else []))
         release(spark)

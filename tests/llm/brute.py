@@ -101,6 +101,59 @@ def seated(customers, parent, strength, discount, sweeps):
     return means
 
 
+def pitman_yor(rows, strength, parent_strength, discount, burn, sweeps):
+    """log10 probabilities of texts by bigrams, all of whose customers, the parent's too, leave their tables and choose anew one after another."""
+    rng = random.Random(4)
+    pairs = {i: list(zip(["\n", *words(t)], [*words(t), "\n"], strict=True)) for i, t in rows}
+    moves = [p for i, ps in pairs.items() if zlib.crc32(str(i).encode()) % 5 != 1 for p in ps]
+    known = 1 + len({w for _, w in moves})
+    seats, top, opened, all_opened, sizes = {}, {}, {}, [0], {}
+
+    def sit(tables_, new):
+        to = rng.choices(range(len(tables_) + 1), [*(n - discount for n in tables_), new])[0]
+        if to == len(tables_):
+            tables_.append(0)
+        tables_[to] += 1
+        return tables_[to] == 1
+
+    def leave(tables_):
+        left = rng.choices(range(len(tables_)), tables_)[0]
+        tables_[left] -= 1
+        if not tables_[left]:
+            tables_.pop(left)
+            return True
+        return False
+
+    def parent(w):
+        mine, customers = top.get(w, []), sum(opened.values())
+        return (sum(mine) - discount * len(mine) + (parent_strength + discount * all_opened[0]) / known) / (parent_strength + customers)
+
+    def arrive(u, w):
+        sizes[u] = sizes.get(u, 0) + 1
+        if sit(seats.setdefault((u, w), []), (strength + discount * opened.get(u, 0)) * parent(w)):
+            opened[u] = opened.get(u, 0) + 1
+            all_opened[0] += sit(top.setdefault(w, []), (parent_strength + discount * all_opened[0]) / known)
+
+    def depart(u, w):
+        sizes[u] -= 1
+        if leave(seats[u, w]):
+            opened[u] -= 1
+            all_opened[0] -= leave(top[w])
+
+    for u, w in moves:
+        arrive(u, w)
+    means = dict.fromkeys((p for ps in pairs.values() for p in ps), 0.0)
+    for sweep in range(burn + sweeps):
+        for u, w in moves:
+            depart(u, w)
+            arrive(u, w)
+        if sweep >= burn:
+            for u, w in means:
+                mine = seats.get((u, w), [])
+                means[u, w] += (sum(mine) - discount * len(mine) + (strength + discount * opened.get(u, 0)) * parent(w)) / (strength + sizes.get(u, 0)) / sweeps
+    return {i: sum(math.log10(means[p]) for p in ps) for i, ps in pairs.items()}
+
+
 def repeated_windows(docs, n):
     """Of each document the starts of n-word windows that a lesser document has too."""
     seen, out = {}, {}

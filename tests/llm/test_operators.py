@@ -122,6 +122,23 @@ def test_seating_against_customers_who_move_one_by_one():
     assert means == pytest.approx(brute.seated(c.tolist(), parent.tolist(), hpylm.STRENGTH, hpylm.DISCOUNT, 6000), rel=0.04)
 
 
+def test_language_model_scores_against_customers_of_both_levels(spark):
+    rows = _chat(60, 2)
+    got_ = {r["doc_id"]: r["score"] for r in hpylm.scored(frame(spark, rows), samples=10, bucket_tokens=500).collect()}
+    want = brute.pitman_yor([(i, t) for i, t, _ in rows], hpylm.STRENGTH, hpylm.PARENT_STRENGTH, hpylm.DISCOUNT, 20, 100)
+    assert max(abs(got_[i] / want[i] - 1) for i in want) < 0.02
+    assert sum(got_.values()) == pytest.approx(sum(want.values()), rel=0.005)
+
+
+def test_language_model_reads_answers_by_their_place(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(hpylm, "SHARED", 3)
+    files = hpylm.files_for(20, 2)
+    rows = spark.createDataFrame([(k, b, bytes([k, b])) for k in range(20) for b in range(k % 4 + 1)], "key int, bucket int, data binary").repartition(5)
+    hpylm.published(rows, "key", F.col("key") % files, files, str(tmp_path))
+    assert files == 7 and sorted(int(f.name) for f in tmp_path.iterdir()) == list(range(7))
+    assert all(sorted(hpylm.answers_for(str(tmp_path), k % files, k)) == [(b, bytes([k, b])) for b in range(k % 4 + 1)] for k in range(20))
+
+
 def test_tables_of_many_customers():
     u = hpylm.uniforms(np.arange(4000, dtype=np.uint64), 1, 0)
     for c, a in ((40, 0.2), (300, 5.0), (900, 400.0)):
