@@ -13,6 +13,8 @@ from .text import _c, py_lines, py_strip, squeezed
 # Keys whose values are masked, the first that matches, and what marks a path in a task.
 REDACTED = [("(?i)api_key|token|password|secret", "***"), ("(?i)content|text|abstract|full_text|body", "HIDDEN")]
 TASK_PATH = "(?<![A-Za-z0-9_])/[^\\s，,;:。（）\"']+"
+#: Rounds of questions after which a query is dispatched as it is.
+ROUNDS = 2
 
 
 def replaced_once(value: str | Column, old: str | Column, new: str | Column) -> Column:
@@ -175,3 +177,14 @@ def clamped(n: str | Column, low: int = 3, high: int = 50) -> Column:
 
 def clarified(original: str | Column, answer: str | Column) -> Column:
     return F.concat(_c(original), F.lit("（用户澄清："), _c(answer), F.lit("）"))
+
+
+def pending(original: str | Column, rounds: str | Column, answer: str | Column, most: int = ROUNDS) -> Column:
+    """``(query, forced)`` of an answer to a question that may be pending: merged with the original, or from the last round on the original alone, to be dispatched as it is.
+
+    Without an original nothing is pending, and the query is the answer.
+    """
+    original, answer = _c(original), _c(answer)
+    waits, over = original.isNotNull(), F.coalesce(_c(rounds) >= most, F.lit(False))
+    query = F.when(waits & over, original).when(waits, clarified(original, answer)).otherwise(answer)
+    return F.struct(query.alias("query"), (waits & over).alias("forced"))

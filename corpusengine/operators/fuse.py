@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K, CANDIDATES = 60, 30
+#: What a list of hits begins with, what stands in place of an empty one, and how much of a text it shows.
+HITS, NO_HITS, PREVIEW = "检索到以下相关段落：", "检索无命中（索引可能为空，可先写几篇笔记）", 200
 
 
 def fused(arms: list[DataFrame], key: str, by: list[str], rank: str = "rank", k: int = RRF_K) -> DataFrame:
@@ -41,3 +43,15 @@ def hybrid(sparse: DataFrame, dense: DataFrame, texts: DataFrame, key: str, by:
         order = F.desc(F.round("_value", 9))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(order, key))
     return with_text.withColumn("rank", place).where(F.col("rank") <= top_k).select(*by, key, "score", "rank")
+
+
+def shown(hits: DataFrame, queries: DataFrame, texts: DataFrame, key: str, by: list[str], most: int = PREVIEW) -> DataFrame:
+    """``by..., text``: for every row of ``queries`` its ranked ``hits(by..., key, rank)`` as a list, best first, each with the source, the key and the beginning of its text.
+
+    ``texts(key, source, text)`` has what is shown; what it lacks is shown as empty. A query has as many lines as it has hits, so these should be the best few.
+    """
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat(F.lit("- ["), some("source"), F.lit(":"), F.col(key).cast("string"), F.lit("] "), F.substring(some("text"), 1, most))
+    lines = hits.select(*by, key, "rank").join(texts.select(key, "source", "text"), key, "left").select(*by, "rank", line.alias("line"))
+    lists = lines.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "\n").alias("lines"))
+    return queries.select(*by).join(lists, by, "left").select(*by, F.coalesce(F.concat(F.lit(HITS + "\n"), "lines"), F.lit(NO_HITS)).alias("text"))

@@ -65,6 +65,14 @@ def clarified_queries(spark: SparkSession, sf: str) -> DataFrame:
     return _turns(spark, sf).select("conv_id", "turn", F.md5(F.encode(blocks.clarified("text", "role"), "UTF-8")).alias("digest"))
 
 
+def pending_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """What users say as answers to questions about what they said before, of rounds from 0 to 3; in every third conversation nothing is asked."""
+    said = memory.with_previous(_turns(spark, sf).where("role = 'user'"), "conv_id", "turn", {"text": "before"})
+    asked = F.when(F.col("conv_id") % 3 != 0, F.col("before"))
+    merged = said.select("conv_id", "turn", blocks.pending(asked, (F.col("turn") / 2).cast("int") % 4, "text").alias("p"))
+    return merged.select("conv_id", "turn", F.md5(F.encode("p.query", "UTF-8")).alias("digest"), "p.forced")
+
+
 def call_status(spark: SparkSession, sf: str) -> DataFrame:
     error = F.expr("CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'PolicyDenied' WHEN 2 THEN 'SecurityBlocked' WHEN 3 THEN 'ConfirmRequired' ELSE 'Odd' END")
     return table(spark, sf, "events").select("event_id", audit.status(error).alias("status"))
@@ -118,7 +126,7 @@ def clipped_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    block_replace_once, block_line_edits, list_lines, projection_changes, json_bodies, path_policy, clarified_queries, call_status, message_cursor, hybrid_index_top5, intent_cascade, previous_turns,
+    block_replace_once, block_line_edits, list_lines, projection_changes, json_bodies, path_policy, clarified_queries, pending_queries, call_status, message_cursor, hybrid_index_top5, intent_cascade, previous_turns,
     line_breaks, span_ends, clipped_scores,
 )}
 
@@ -135,6 +143,8 @@ SQL = {
     "json_bodies": """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '{"r": "' || role || '"}' WHEN 1 THEN '{"r": 1} and {' || role || '}' END AS body FROM conversations""",
     "path_policy": "SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN CASE turn % 3 WHEN 0 THEN '.GIT/' ELSE 'notes/' END || role || '.md' END AS relative, turn % 3 = 0 AS denied FROM conversations",
     "clarified_queries": "SELECT conv_id, turn, md5(text || '（用户澄清：' || role || '）') AS digest FROM conversations",
+    "pending_queries": """SELECT conv_id, turn, md5(CASE WHEN b IS NULL THEN text WHEN r >= 2 THEN b ELSE b || '（用户澄清：' || text || '）' END) AS digest, b IS NOT NULL AND r >= 2 AS forced FROM (
+  SELECT conv_id, turn, text, turn // 2 % 4 AS r, CASE WHEN conv_id % 3 <> 0 THEN lag(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS b FROM conversations WHERE role = 'user')""",
     "call_status": "SELECT event_id, ['success', 'policy_blocked', 'security_blocked', 'user_denied', 'error'][event_id % 5 + 1] AS status FROM events",
     "message_cursor": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k > 2",
     "hybrid_index_top5": f"""WITH {_STATS}, sp AS (SELECT query_id, doc_id, sum(qw.weight * dw.weight) AS s FROM qw JOIN dw USING (token) GROUP BY ALL),

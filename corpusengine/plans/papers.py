@@ -81,6 +81,15 @@ def title_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", linkage.title_of(some(0, "s"), some(1, "g"), F.coalesce(some(2, "p"), F.lit("")), spans).alias("t")).select("doc_id", "t.*")
 
 
+def page_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of pages: what their address refers to, a heading or a title without references to characters, or the first of the largest lines."""
+    own = lambda c, pattern: F.regexp_extract(c, pattern, 1)
+    line = lambda size, pattern, mark: F.struct(own("html", pattern).alias("text"), F.lit(size).alias("size"), F.instr("html", F.lit(mark)).cast("double").alias("y"))
+    spans = F.array(line(12.0, "<title>([^<]*)", "<title>"), line(24.0, "<h1>([^<]*)", "<h1>"), line(24.0, '<div class="ad">([^<]*)', '<div class="ad">'))
+    title = linkage.title_of(own("url", "[?&]ref=([^&#]*)"), own("html", "<h1>([^<&]*)</h1>"), own("html", "<title>([^<&]*)</title>"), spans)
+    return table(spark, sf, "pages").select("page_id", title.alias("t")).select("page_id", "t.*")
+
+
 def venue_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """Venues that the table lacks, some with a page of zones and some with one of quartiles."""
     rows = table(spark, sf, "part").withColumnRenamed("p_partkey", "part_key").select(
@@ -118,7 +127,7 @@ def cursor_moves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    atom_feed, work_feed, pooled_feeds, parsed_parts, parsed_sections, parsed_errors, font_sections, title_cascade, venue_cascade, paper_review, dispatch_gate, block_patch, block_diff, cursor_moves,
+    atom_feed, work_feed, pooled_feeds, parsed_parts, parsed_sections, parsed_errors, font_sections, title_cascade, page_titles, venue_cascade, paper_review, dispatch_gate, block_patch, block_diff, cursor_moves,
 )}
 
 _DUCK = _made(", 'g'")
@@ -146,6 +155,10 @@ r AS (SELECT conv_id, k, false AS opens, 0 AS section, line FROM l WHERE k = 1
   UNION ALL SELECT l.conv_id, l.k, l.large AND NOT r.opens, r.section + CAST(l.large AND NOT r.opens AS INTEGER), l.line FROM r JOIN l ON l.conv_id = r.conv_id AND l.k = r.k + 1)
 SELECT conv_id, section, coalesce(max(line) FILTER (opens), '') AS heading, string_agg(line, chr(10) ORDER BY k) FILTER (NOT opens) || chr(10) AS body FROM r GROUP BY conv_id, section HAVING count(*) FILTER (NOT opens) > 0""",
     "title_cascade": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 's' || doc_id WHEN 1 THEN 'g' || doc_id WHEN 2 THEN 'p' || doc_id WHEN 3 THEN 'top' ELSE '' END AS title, ['search', 'grobid', 'pdftitle', 'pymupdf', ''][doc_id % 5 + 1] AS source FROM documents",
+    "page_titles": """SELECT page_id, CASE source WHEN 'search' THEN s WHEN 'grobid' THEN g WHEN 'pdftitle' THEN p WHEN 'pymupdf' THEN f ELSE '' END AS title, source FROM (
+  SELECT *, CASE WHEN s <> '' THEN 'search' WHEN g <> '' THEN 'grobid' WHEN p <> '' THEN 'pdftitle' WHEN f <> '' THEN 'pymupdf' ELSE '' END AS source FROM (
+    SELECT page_id, coalesce(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS s, regexp_extract(html, '<h1>([^<&]*)</h1>', 1) AS g, regexp_extract(html, '<title>([^<&]*)</title>', 1) AS p,
+      trim(CASE WHEN instr(html, '<div class="ad">') < instr(html, '<h1>') THEN regexp_extract(html, '<div class="ad">([^<]*)', 1) ELSE regexp_extract(html, '<h1>([^<]*)', 1) END) AS f FROM pages))""",
     "venue_cascade": f"""WITH r(venue_key, ccf, jcr, cas) AS (VALUES {_RANKS}),
 j AS (SELECT part_key, CASE WHEN r.venue_key IS NOT NULL THEN 'local' WHEN part_key % 12 = 5 THEN 'letpub' WHEN part_key % 12 = 11 THEN 'sjr' ELSE 'none' END AS rank_source, ccf, jcr, cas FROM {_VENUE} v LEFT JOIN r USING (venue_key)),
 k AS (SELECT part_key, rank_source, ccf, CASE rank_source WHEN 'sjr' THEN 'Q3' ELSE jcr END AS jcr, CASE rank_source WHEN 'letpub' THEN '二区' ELSE cas END AS cas FROM j)

@@ -29,6 +29,13 @@ def okapi_bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+def shown_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item's best documents as a list; every other item asked for finds none of them."""
+    asked = _queries(spark, sf).where(f"query_id % {EVERY} = 0").select("query_id")
+    hits = okapi_bm25_batch(spark, sf).where(f"query_id % {2 * EVERY} = 0")
+    return fuse.shown(hits, asked, table(spark, sf, "documents"), "doc_id", ["query_id"])
+
+
 def term_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return sparse.postings(table(spark, sf, "documents"), "doc_id").select("doc_id", "token", "tf")
 
@@ -177,7 +184,7 @@ f AS (SELECT query_id, doc_id, sum(part) AS score, min(seen) AS seen FROM (
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS rank FROM f)"""
 
 QUERIES = {f.__name__: f for f in (
-    okapi_bm25_top10, okapi_bm25_batch, term_frequency, document_frequency, corpus_stats, intent_query_weights, intent_document_weights, sparse_dot_top5, dense_knn_cosine,
+    okapi_bm25_top10, okapi_bm25_batch, shown_hits, term_frequency, document_frequency, corpus_stats, intent_query_weights, intent_document_weights, sparse_dot_top5, dense_knn_cosine,
     dense_knn_l2, rrf_fusion, hybrid_retrieve, route_scores, route_choice, route_near_miss, route_accuracy, route_confusion, route_threshold_fit,
 )}
 
@@ -206,3 +213,6 @@ rt AS (SELECT trial, count(*) AS n FROM ps JOIN (SELECT query_id, truth FROM pre
 SELECT route, round(threshold, 6) AS threshold FROM dr WHERE trial = coalesce((SELECT trial FROM rt ORDER BY n DESC, trial LIMIT 1), 0)""",
     "route_confusion": f"WITH {_HITS} SELECT truth, route, count(*) AS n FROM pred GROUP BY ALL",
 }
+SQL["shown_hits"] = f"""WITH h AS ({SQL["okapi_bm25_batch"]}),
+l AS (SELECT query_id, string_agg('- [' || coalesce(source, '') || ':' || doc_id || '] ' || substr(coalesce(text, ''), 1, {fuse.PREVIEW}), chr(10) ORDER BY rank) AS lines FROM h JOIN documents USING (doc_id) GROUP BY query_id)
+SELECT item_id AS query_id, coalesce('{fuse.HITS}' || chr(10) || lines, '{fuse.NO_HITS}') AS text FROM benchmark LEFT JOIN l ON query_id = item_id AND item_id % {2 * EVERY} = 0 WHERE item_id % {EVERY} = 0"""

@@ -100,6 +100,13 @@ def test_sections_and_references(spark):
     assert collected(chunk.chunked(sections), "chunk_index", "text") == [(0, "pre"), (1, "x")]
 
 
+def test_hits_are_shown_in_order_and_cut(spark):
+    hits = spark.createDataFrame([(1, 7, 2), (1, 8, 1), (1, 9, 3)], "q int, id int, rank int")
+    texts = spark.createDataFrame([(7, "notes", "é" * 300), (8, None, None)], "id int, source string, text string")
+    got = dict(fuse.shown(hits, spark.createDataFrame([(1,), (2,)], "q int"), texts, "id", ["q"]).collect())
+    assert got == {1: "\n".join([fuse.HITS, "- [:8] ", "- [notes:7] " + "é" * 200, "- [:9] "]), 2: fuse.NO_HITS}
+
+
 def test_pool_first_wins(spark):
     rows = [(1, "d1", None, None, "t"), (2, "d1", "V", None, "t"), (3, None, None, "x", "t"), (4, None, None, None, "A-B"), (5, "", None, None, "a b")]
     papers = spark.createDataFrame(rows, "seq int, doi string, venue string, arxiv_id string, title string")

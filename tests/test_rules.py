@@ -67,6 +67,11 @@ def test_result_pages(spark):
     assert value(spark, linkage.sjr_rank("h", "v"), h="Q1", v="") is None
 
 
+@pytest.mark.parametrize(("original", "rounds", "want"), [("o", 0, ("o（用户澄清：a）", False)), ("o", 1, ("o（用户澄清：a）", False)), ("o", 2, ("o", True)), ("o", None, ("o（用户澄清：a）", False)), (None, 2, ("a", False))])
+def test_pending_questions(spark, original, rounds, want):
+    assert tuple(value(spark, blocks.pending("o", F.col("r").cast("int"), F.lit("a")), o=original, r=rounds)) == want
+
+
 def test_block_edits(spark):
     assert value(spark, blocks.replaced_once("v", F.lit("b"), F.lit("x")), v="abc") == "axc"
     assert value(spark, blocks.replaced_once("v", F.lit("b"), F.lit("x")), v="abcb") is None
