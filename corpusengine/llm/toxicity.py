@@ -1,28 +1,35 @@
 """Toxicity by a convolutional text classifier in numpy.
 
 A word is the sum of hashed embeddings of itself, its first four and six bytes and its last four; filters of
-three widths slide over the words of the whole text, each keeps its maximum, and a logistic layer reads the maxima. It is trained on a
-bounded sample of labelled rows. Languages are the groups that the sample's texts fall into by how their words begin and end, found
-without labels of language. Per group a threshold is found on a part of the sample
-that was not trained on, and scores are rescaled so that every group's threshold is the one that predictions are made at.
+three widths slide over the words of the whole text, each keeps its maximum, and a logistic layer reads the maxima. It is trained on
+all labelled rows that aren't held out: they are dealt into shards by their ids, each round every shard goes on from the same model over all of its rows, and what
+the shards learned is averaged by their rows. Languages are the groups that the texts fall into by how their words begin and end, found
+without labels of language: each shard finds its own, and these are grouped by how many texts they stand for. Per group a threshold is found on a part of the rows
+that was not trained on, by counts of all their scores, and scores are rescaled so that every group's threshold is the one that predictions are made at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .words import Words, batches, mix, tokenise
 
-#: Documents of each label in the sample that the model learns from, those with the smallest hashes of their ids; no other limit.
-SAMPLE = 1500
-#: One in this many sampled rows only calibrates; a language with fewer of either label takes the threshold of all.
+#: Rows of a shard, about; ids of labels that are broadcast (more are joined by a shuffle); models or centres that meet in one task.
+SHARD, BROADCAST, MEET = 8_000, 1_000_000, 8
+#: One in this many rows, by a hash of the text, only calibrates; a language with fewer of either label takes the threshold of all.
 HELD, LEAST = 5, 20
+#: Texts whose order is mixed while a shard learns; scores are counted by steps of a logit, up to the greatest.
+POOL, STEPS, GREATEST = 256, 100, 60
 SLOTS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 12, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 32, 0.01, 1e-4, 8
 THRESHOLD = 0.3
@@ -46,21 +53,22 @@ def profiles(w: Words) -> np.ndarray:
     return np.sqrt(counts / np.maximum(2 * np.diff(w.first), 1)[:, None]).astype(np.float32)
 
 
-def grouped(x: np.ndarray, groups: int = GROUPS, starts: int = 5, turns: int = 20) -> np.ndarray:
-    """Centres of length one by k-means over the profiles: of several starts that with the greatest likeness to them."""
-    x = x[x.any(1)]
+def grouped(x: np.ndarray, groups: int = GROUPS, starts: int = 5, turns: int = 20, n: np.ndarray | None = None) -> np.ndarray:
+    """Centres of length one by k-means over the profiles, each standing for ``n`` texts: of several starts that with the greatest likeness to them."""
+    n = np.ones(len(x)) if n is None else n
+    x, n = x[x.any(1)], n[x.any(1)]
     best, most = np.zeros((1, PROFILE), np.float32), -1.0
     for start in range(starts if len(x) else 0):
         rng = np.random.default_rng([SEED, start])
         centres = x[[rng.integers(len(x))]]
         while len(centres) < groups:  # the next is drawn by how unlike it is to those chosen
-            gap = np.maximum(1 - (x @ centres.T).max(1), 1e-6).astype(np.float64) ** 2
+            gap = n * np.maximum(1 - (x @ centres.T).max(1), 1e-6).astype(np.float64) ** 2
             centres = np.vstack([centres, x[rng.choice(len(x), p=gap / gap.sum())]])
         for _ in range(turns):
             own = (x @ centres.T).argmax(1)
-            centres = np.stack([x[own == g].mean(0) if (own == g).any() else centres[g] for g in range(groups)])
+            centres = np.stack([np.average(x[own == g], 0, n[own == g]) if (own == g).any() else centres[g] for g in range(groups)]).astype(np.float32)
             centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
-        if (like := float((x @ centres.T).max(1).sum())) > most:
+        if (like := float(((x @ centres.T).max(1) * n).sum())) > most:
             best, most = centres, like
     return best
 
@@ -112,117 +120,262 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(w) + shift, -60, 60)))
 
 
-def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
-    """Adam on log loss; of equal texts with either label each row counts."""
-    rng = np.random.default_rng(SEED)
-    n = len(WIDTHS) * FILTERS
-    model = Model(
-        rng.normal(0, 0.05, (SLOTS, DIM)).astype(np.float32), [rng.normal(0, (w * DIM) ** -0.5, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
-        [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, n**-0.5, n).astype(np.float32), 0.0,
-    )
-    held = np.arange(len(texts)) % HELD == HELD - 1
-    learn = np.flatnonzero(~held)
-    if not len(learn) or len(set(toxic.tolist())) < 2:
-        model.bias = float(np.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5))) if len(toxic) else -2.0
-        model.out[:] = 0
-        return model
-    parts, seen = [], []
-    for text in texts:  # one at a time, as the driver holds no more than the sample's slots
-        w = tokenise([text])
-        parts.append((features(w), len(w.hash)))
-        seen.append(profiles(w))
-    model.centres = grouped(np.vstack(seen))
-    dense = [*model.filters, *model.biases, model.out, np.array([model.bias], np.float32)]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in dense]
-    squares = np.full((SLOTS, 1), 1e-8, np.float32)
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(learn)
-        for begin in range(0, len(order), BATCH):
-            ids = order[begin : begin + BATCH]
-            step += 1
-            slots = np.concatenate([parts[i][0] for i in ids])
-            first = np.concatenate([[0], np.cumsum([parts[i][1] for i in ids])])
-            pools, outputs = model.pooled(slots, first)
-            p = 1 / (1 + np.exp(-np.clip(pools @ model.out + model.bias, -30, 30)))
-            d = ((p - toxic[ids]) / len(ids)).astype(np.float32)
-            grads = [np.zeros_like(g) for g in dense]
-            grads[-2], grads[-1] = pools.T @ d, np.array([d.sum()], np.float32)
-            back = np.outer(d, model.out) * (pools > 0)
-            some = np.flatnonzero(np.diff(first))
-            words, rows = [], []
-            for k, width in enumerate(WIDTHS):
-                y = outputs[k]
-                own = back[:, k * FILTERS : (k + 1) * FILTERS]
-                grads[len(WIDTHS) + k] = own.sum(0)
-                for t in some:
-                    live = np.flatnonzero(own[t])
-                    if not len(live):
-                        continue
-                    peak = first[t] + y[first[t] : first[t + 1]][:, live].argmax(0)
-                    for j in range(width):
-                        fits = peak + j < first[t + 1]
-                        q, f = peak[fits] + j, live[fits]
-                        x = model.table[slots[q]].sum(1)
-                        block = slice(j * DIM, (j + 1) * DIM)
-                        np.add.at(grads[k][block].T, f, x * own[t, f][:, None])
-                        words.append(slots[q])
-                        rows.append(model.filters[k][block][:, f].T * own[t, f][:, None])
-            for i, (value, grad) in enumerate(zip(dense, grads, strict=True)):
-                m, v = moments[i]
-                m += 0.1 * (grad - m)
-                v += 0.001 * (grad * grad - v)
-                value -= RATE * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + DECAY * value)
-            model.bias = float(dense[-1][0])
-            if words:
-                slot, row = np.concatenate(words), np.concatenate(rows)
-                touched, inverse = np.unique(slot, return_inverse=True)
-                total = np.zeros((len(touched), DIM), np.float32)
-                np.add.at(total, inverse.reshape(slot.shape), row[:, None, :].repeat(4, 1))
-                squares[touched] += (total * total).mean(1, keepdims=True)
-                model.table[touched] -= 0.05 * (total / np.sqrt(squares[touched]) + 0.001 * model.table[touched])
-    _calibrate(model, [texts[i] for i in np.flatnonzero(held)], toxic[held])
-    return model
-
-
-def _calibrate(model: Model, texts: list[str | None], toxic: np.ndarray) -> None:
+class Learner:
+    """A model with what its training keeps: Adam's moments of the dense layers, the table's sums of squares, and the number of steps."""
+
+    def __init__(self) -> None:
+        rng, n = np.random.default_rng(SEED), len(WIDTHS) * FILTERS
+        self.model = Model(
+            rng.normal(0, 0.05, (SLOTS, DIM)).astype(np.float32), [rng.normal(0, (w * DIM) ** -0.5, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
+            [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, n**-0.5, n).astype(np.float32), 0.0,
+        )
+        self.dense = [*self.model.filters, *self.model.biases, self.model.out, np.zeros(1, np.float32)]
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.dense]
+        self.squares = np.full((SLOTS, 1), 1e-8, np.float32)
+        self.steps = 0
+
+    def step(self, slots: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        """Adam on log loss for a batch of texts; returns the slots that it changes."""
+        model, dense, moments, squares = self.model, self.dense, self.moments, self.squares
+        self.steps += 1
+        pools, outputs = model.pooled(slots, first)
+        p = 1 / (1 + np.exp(-np.clip(pools @ model.out + model.bias, -30, 30)))
+        d = ((p - toxic) / len(toxic)).astype(np.float32)
+        grads = [np.zeros_like(g) for g in dense]
+        grads[-2], grads[-1] = pools.T @ d, np.array([d.sum()], np.float32)
+        back = np.outer(d, model.out) * (pools > 0)
+        some = np.flatnonzero(np.diff(first))
+        words, rows = [], []
+        for k, width in enumerate(WIDTHS):
+            y = outputs[k]
+            own = back[:, k * FILTERS : (k + 1) * FILTERS]
+            grads[len(WIDTHS) + k] = own.sum(0)
+            for t in some:
+                live = np.flatnonzero(own[t])
+                if not len(live):
+                    continue
+                peak = first[t] + y[first[t] : first[t + 1]][:, live].argmax(0)
+                for j in range(width):
+                    fits = peak + j < first[t + 1]
+                    q, f = peak[fits] + j, live[fits]
+                    x = model.table[slots[q]].sum(1)
+                    block = slice(j * DIM, (j + 1) * DIM)
+                    np.add.at(grads[k][block].T, f, x * own[t, f][:, None])
+                    words.append(slots[q])
+                    rows.append(model.filters[k][block][:, f].T * own[t, f][:, None])
+        for i, (value, grad) in enumerate(zip(dense, grads, strict=True)):
+            m, v = moments[i]
+            m += 0.1 * (grad - m)
+            v += 0.001 * (grad * grad - v)
+            value -= RATE * (m / (1 - 0.9**self.steps) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8) + DECAY * value)
+        model.bias = float(dense[-1][0])
+        if not words:
+            return np.zeros(0, np.int64)
+        slot, row = np.concatenate(words), np.concatenate(rows)
+        touched, inverse = np.unique(slot, return_inverse=True)
+        total = np.zeros((len(touched), DIM), np.float32)
+        np.add.at(total, inverse.reshape(slot.shape), row[:, None, :].repeat(4, 1))
+        squares[touched] += (total * total).mean(1, keepdims=True)
+        model.table[touched] -= 0.05 * (total / np.sqrt(squares[touched]) + 0.001 * model.table[touched])
+        return touched
+
+    def learned(self, rows: Iterable[tuple[np.ndarray, float]], seed: list[int]) -> np.ndarray | None:
+        """Goes once over ``rows``, pairs of a text's slots and its label, and returns what has changed, times the number of rows: one vector; none without rows.
+
+        Slots that a shard doesn't change don't count in their averages, so that rare words learn as fast however many shards there are.
+        """
+        rng, n, old = np.random.default_rng([SEED, *seed]), 0, (self.model.table.copy(), self.squares.copy(), self.steps)
+        changed = np.zeros(SLOTS, bool)
+        pool: list[tuple[np.ndarray, float]] = []
+
+        def flush() -> None:
+            order = rng.permutation(len(pool))
+            for begin in range(0, len(order), BATCH):
+                some = [pool[i] for i in order[begin : begin + BATCH]]
+                changed[self.step(np.concatenate([s for s, _ in some]), np.cumsum([0, *(len(s) for s, _ in some)]), np.array([y for _, y in some], np.float32))] = True
+            pool.clear()
+
+        for row in rows:
+            n += 1
+            pool.append(row)
+            if len(pool) == POOL:
+                flush()
+        flush()
+        if not n:
+            return None
+        parts = [self.model.table - old[0], self.squares - old[1], changed, *self.dense, *(x for pair in self.moments for x in pair), [self.steps - old[2]], [1]]
+        return (np.concatenate([np.ravel(p) for p in parts]) * np.float64(n)).astype(np.float32)
+
+    def take(self, sums: np.ndarray) -> None:
+        """Goes on from the sum of what shards returned."""
+        sums, at = sums.astype(np.float64), 0
+
+        def cut_off(like: np.ndarray) -> np.ndarray:
+            nonlocal at
+            at += like.size
+            return sums[at - like.size : at].reshape(like.shape)
+
+        table, squares, changed = cut_off(self.model.table), cut_off(self.squares), cut_off(self.squares)
+        self.model.table += (table / np.maximum(changed, 1)).astype(np.float32)
+        self.squares += (squares / np.maximum(changed, 1)).astype(np.float32)
+        for value in [*self.dense, *(x for pair in self.moments for x in pair)]:
+            value[...] = cut_off(value) / sums[-1]
+        self.steps += round(sums[-2] / sums[-1])
+        self.model.bias = float(self.dense[-1][0])
+
+
+def slotted(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[np.ndarray, float]]:
+    """The slots and the label of each row of ``frames(text, toxic)``."""
+    for frame in batches(frames):
+        w = tokenise(frame["text"])
+        slots = features(w)
+        for i, y in enumerate(frame["toxic"]):
+            yield slots[w.first[i] : w.first[i + 1]].copy(), float(y)
+
+
+def counted(model: Model, frames: Iterable[pd.DataFrame]) -> pd.DataFrame:
+    """``lang, step, toxic, n``: how many rows have which label and score, in steps of a logit."""
+    parts = [pd.DataFrame({"lang": np.zeros(0, np.int64), "step": np.zeros(0, np.int64), "toxic": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})]
+    for frame in batches(frames):
+        w = tokenise(frame["text"])
+        step = np.floor(np.clip(model.logits(w), -GREATEST, GREATEST) * STEPS).astype(np.int64)
+        parts.append(pd.DataFrame({"lang": model.languages(w), "step": step, "toxic": frame["toxic"].to_numpy(np.int64), "n": 1}))
+    return pd.concat(parts).groupby(["lang", "step", "toxic"], as_index=False)["n"].sum()
+
+
+def calibrate(model: Model, counts: pd.DataFrame) -> None:
     """Per group the middle of the thresholds with most held rows on their right sides; small groups take that of all."""
-    told = [(model.logits(w)[0], model.languages(w)[0]) for w in (tokenise([t]) for t in texts)]
-    logits, langs, label = np.array([x for x, _ in told]), np.array([x for _, x in told]), toxic > 0
 
-    def best(own: np.ndarray) -> float:
-        at = np.unique(logits[own])
-        between = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
-        right = np.array([(label[own] == (logits[own] >= b)).sum() for b in between])
+    def best(own: pd.DataFrame) -> float:
+        low = int(own["step"].min()) - STEPS
+        size = int(own["step"].max()) + STEPS - low + 1
+        clean, toxic = (np.bincount(o["step"] - low, o["n"], size) for o in (own[own["toxic"] == 0], own[own["toxic"] == 1]))
+        # a threshold at the lower end of a step has the clean below it and the toxic from it on
+        right = np.concatenate([[0], np.cumsum(clean)[:-1]]) + toxic.sum() - np.concatenate([[0], np.cumsum(toxic)[:-1]])
         most = np.flatnonzero(right == right.max())
-        return float((between[most[0]] + between[most[-1]]) / 2)
+        return (low + (most[0] + most[-1]) / 2) / STEPS
 
-    if label.any() and not label.all():
-        model.thresholds[:] = best(np.ones(len(label), bool))
+    n = [int(counts["n"][counts["toxic"] == y].sum()) for y in (0, 1)]
+    if min(n):
+        model.thresholds[:] = best(counts)
         for lang in range(len(model.thresholds)):
-            own = langs == lang
-            if min(label[own].sum(), (~label[own]).sum()) >= LEAST:
+            own = counts[counts["lang"] == lang]
+            if min(int(own["n"][own["toxic"] == y].sum()) for y in (0, 1)) >= LEAST:
                 model.thresholds[lang] = best(own)
 
 
+def constant(model: Model, clean: int, toxic: int) -> Model:
+    """Makes all scores the share of toxic rows, where there are not both kinds to learn from."""
+    model.bias = float(np.log((toxic + 0.5) / (clean + 0.5))) if clean + toxic else -2.0
+    model.out[:] = 0
+    return model
+
+
+def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
+    """A model of texts in memory, which are one shard; each fifth only calibrates."""
+    learner, held = Learner(), np.arange(len(texts)) % HELD == HELD - 1
+    if not (~held).any() or len(set(toxic.tolist())) < 2:
+        return constant(learner.model, int((toxic == 0).sum()), int((toxic > 0).sum()))
+    rows = pd.DataFrame({"text": texts, "toxic": toxic})
+    for epoch in range(EPOCHS):
+        learner.learned(slotted([rows[~held]]), [epoch, 0])
+    learner.model.centres = grouped(np.vstack([profiles(tokenise(part["text"])) for part in batches([rows])]))
+    calibrate(learner.model, counted(learner.model, [rows[held]]))
+    return learner.model
+
+
+def _marks(labels: DataFrame) -> DataFrame:
+    """``labelled_id, toxic``: ids whose crc32 is not 2 modulo 4; null labels and ids teach nothing."""
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return labels.where("doc_id is not null and toxic in (0, 1)").where(~held).groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").alias("toxic"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, toxic, h``: the bounded sample, from rows whose crc32 of doc_id is not 2 modulo 4; null labels and ids teach nothing.
+    """``text, toxic, calibrates``: all rows with a label that aren't held out, in about SHARD to a partition by a hash of their ids, in the order of another.
 
-    Ids are drawn from the labels alone, so that only the sample's texts leave the scan. Of rows that repeat an id the least text teaches.
+    Of rows that repeat an id the least text teaches. Equal texts all calibrate or all don't.
     """
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
-    marks = labels.where("doc_id is not null and toxic in (0, 1)").where(~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.select(F.col("doc_id").alias("labelled_id"), "toxic", F.xxhash64("doc_id").alias("h"))
-    parts = [marks.where(F.col("toxic") == y).orderBy("h", "labelled_id").limit(SAMPLE) for y in (0, 1)]
-    drawn = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * SAMPLE rows at most
+    marks = cut(_marks(labels))
+    n = marks.count()
     rows = docs.select("doc_id", "text")
-    found = rows.join(drawn, rows["doc_id"] == drawn["labelled_id"]).groupBy("labelled_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"), F.first("h").alias("h"))
-    return found.drop("labelled_id")
+    found = rows.join(F.broadcast(marks) if n <= BROADCAST else marks, rows["doc_id"] == marks["labelled_id"]).drop("doc_id")
+    found = found.repartition(max(1, math.ceil(n / SHARD)), "labelled_id").groupBy("labelled_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
+    found = found.sortWithinPartitions(F.xxhash64(F.col("labelled_id").cast("string")), "labelled_id")
+    return found.select("text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(HELD)) == HELD - 1).alias("calibrates"))
+
+
+def _met(parts: DataFrame, merged, shards: int) -> list:  # noqa: ANN001
+    """The vectors of all shards; of more than MEET those that ``merged`` makes of MEET each, and so on."""
+    rows = parts
+    while shards > MEET:
+        shards = math.ceil(shards / MEET)
+        # in the order of parts, so that sums don't depend on which task ends first
+        rows = rows.groupBy((F.col("part") / MEET).cast("int").alias("part")).applyInPandas(
+            lambda frame: pd.DataFrame({"part": [int(frame["part"].min())], "v": [merged(frame.sort_values("part")["v"].tolist())]}), "part int, v binary"
+        )
+    return [bytes(r["v"]) for r in sorted(rows.collect(), key=lambda r: r["part"])]
+
+
+def _added(vectors: list[bytes]) -> bytes:
+    total = np.zeros(len(vectors[0]) // 4)
+    for v in vectors:
+        total += np.frombuffer(v, np.float32)
+    return total.astype(np.float32).tobytes()
+
+
+def _regrouped(centres: list[bytes]) -> bytes:
+    """Centres behind the number of texts that each stands for, grouped anew."""
+    rows = np.concatenate([np.frombuffer(c, np.float32).reshape(-1, PROFILE + 1) for c in centres])
+    n, x = rows[:, 0].astype(np.float64), rows[:, 1:]
+    if len(centres) == 1 or not x.any():
+        return rows.tobytes()
+    at = grouped(x, n=n)
+    return _weighed(x, n, at).tobytes()
+
+
+def _weighed(x: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    sums = np.bincount((x @ at.T).argmax(1), n, len(at)) if len(x) else np.zeros(len(at))
+    return np.hstack([sums[:, None], at]).astype(np.float32)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = labelled(docs, labels).toPandas().sort_values(["h", "toxic", "text"]).drop_duplicates(["text", "toxic"])
-    return fit(sample["text"].tolist(), sample["toxic"].to_numpy(np.float32))
+    """The model of all labelled rows: one pass over them for languages, one a round, and one for thresholds."""
+    spark, rows, learner = docs.sparkSession, cut(labelled(docs, labels)), Learner()
+    shards, model = rows.rdd.getNumPartitions(), learner.model
+    n = {(r["toxic"], r["calibrates"]): r["count"] for r in rows.groupBy("toxic", "calibrates").count().collect()}  # four rows
+    of = [n.get((y, False), 0) + n.get((y, True), 0) for y in (0, 1)]
+    if not min(of) or not n.get((0, False), 0) + n.get((1, False), 0):
+        return constant(model, *of)
+    learn, rest = (rows.where(F.col("calibrates") == held).select("text", "toxic") for held in (False, True))
+
+    def languages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [profiles(tokenise(part["text"])) for part in batches(frames)]
+        if found:
+            x = np.vstack(found)
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "v": [_weighed(x, np.ones(len(x)), grouped(x)).tobytes()]})
+
+    centres = _met(rows.select("text").mapInPandas(languages, "part int, v binary"), _regrouped, shards)
+    model.centres = np.frombuffer(_regrouped(centres), np.float32).reshape(-1, PROFILE + 1)[:, 1:].copy()
+    for epoch in range(EPOCHS):
+        sent = spark.sparkContext.broadcast(learner)  # about 2 MB, whatever the input
+
+        def run(frames: Iterator[pd.DataFrame], sent=sent, epoch: int = epoch) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            part = TaskContext.get().partitionId()
+            own = copy.deepcopy(sent.value)  # a worker's tasks share the value
+            if (vector := own.learned(slotted(frames), [epoch, part])) is not None:
+                yield pd.DataFrame({"part": [part], "v": [vector.tobytes()]})
+
+        sums = _met(learn.mapInPandas(run, "part int, v binary"), _added, shards)
+        learner.take(np.frombuffer(_added(sums), np.float32))
+        sent.unpersist()
+    sent = spark.sparkContext.broadcast(model)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield counted(sent.value, frames)
+
+    # GROUPS * 2 * GREATEST * STEPS * 2 rows at most
+    calibrate(model, rest.mapInPandas(count, "lang long, step long, toxic long, n long").groupBy("lang", "step", "toxic").agg(F.sum("n").alias("n")).toPandas())
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

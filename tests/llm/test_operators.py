@@ -561,6 +561,24 @@ def test_toxicity_is_learned_from_one_row_an_id(spark, labels):
     assert sorted(got(toxicity.labelled(docs, labels), "text", "toxic")) == [("other", 0), ("text 0", 0)]
 
 
+def test_toxicity_learns_from_all_rows_in_shards(spark, monkeypatch):
+    many = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    marks = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    assert toxicity.labelled(many, marks).count() == marks.where("pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 4) <> 2").count()
+    monkeypatch.setattr(toxicity, "SHARD", 150)
+    monkeypatch.setattr(toxicity, "MEET", 3)
+    texts, labels = _labelled(1500, 3)
+    docs = spark.createDataFrame([(i, t, int(y)) for i, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, toxic int")
+    learned = []
+    monkeypatch.setattr(toxicity.Learner, "take", lambda self, sums, take=toxicity.Learner.take: (learned.append(float(sums[-1])), take(self, sums))[1])
+    models = [toxicity.trained(d, docs) for d in (docs, docs.repartition(3))]
+    assert (models[0].table == models[1].table).all() and (models[0].thresholds == models[1].thresholds).all()
+    rows = toxicity.labelled(docs, docs)
+    assert rows.rdd.getNumPartitions() > 5 and set(learned) == {float(rows.where("not calibrates").count())}
+    fresh, marks = _labelled(300, 4)
+    assert ((models[0].scores(tokenise(fresh)) >= toxicity.THRESHOLD) == (marks > 0)).mean() > 0.95
+
+
 def test_toxicity_against_the_tables(spark, small):
     docs, labels = (spark.read.parquet(f"{small.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").toPandas()
