@@ -58,3 +58,19 @@ def test_cells_without_rows(spark, vectors, tmp_path):
     few = CellIndex.build(vectors.where("vec_id in (0, 4000, 4001)"), str(tmp_path / "u"), cells=9)
     got = rows(few.nearest_exact(vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")))
     assert [v for _, (v, _) in sorted(got.items())] == [0, 4000, 4001]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_scores_are_held_in_tiles(vectors, metric, monkeypatch):
+    """However many rows meet however many queries, no matrix of more than SCORES is made, and results stay those of one matrix."""
+    asked_for = asked(vectors)
+    want = rows(dense.nearest(asked_for, vectors.where("vec_id < 5000"), 10, "query_id", "vec_id", metric=metric))
+    x = np.array([[float(i % 7), float(i % 5)] for i in range(500)])
+    whole, parts = dense.Best(3, 10), dense.Best(3, 10)
+    whole.add(np.round(x[:3] @ x.T, 0), np.arange(500)[::-1])
+    for tile in dense.tiles(500, dense.SCORES // 9):
+        parts.add(np.round(x[:3] @ x[tile].T, 0), np.arange(500)[::-1][tile])
+    assert (whole.query == parts.query).all() and (whole.key == parts.key).all()
+    assert max(len(range(500)[t]) for t in dense.tiles(500, 10)) == 500 and [len(range(500)[t]) for t in dense.tiles(500, dense.SCORES // 200)][:2] == [200, 200]
+    monkeypatch.setattr(dense, "SCORES", 700)
+    assert rows(dense.nearest(asked_for, vectors.where("vec_id < 5000"), 10, "query_id", "vec_id", metric=metric)) == want
