@@ -23,6 +23,8 @@ from .manifest import Manifest
 SAMPLE, ROUNDS, CELLS = 20_000, 12, 4_096
 #: Vectors of a list, and queries, that a task multiplies; queries that probes are fitted on.
 TILE, QUERIES, FIT = 8_192, 2_048, 200
+#: Rows of queries and cells that a task returns at once.
+ROWS = 4_096
 SEED = 17
 
 
@@ -120,7 +122,9 @@ class CellIndex:
                 for a in range(0, len(frame), 512):
                     some = frame.iloc[a : a + 512]
                     i, cell = np.nonzero(chosen(distances(_units(np.array(some["q"].tolist(), np.float64), metric), at.value), some))
-                    yield pd.DataFrame({"query": some["query"].to_numpy()[i], "q": some["q"].to_numpy()[i], "cell": cell})
+                    for b in range(0, len(i), ROWS):
+                        j = i[b : b + ROWS]
+                        yield pd.DataFrame({"query": some["query"].to_numpy()[j], "q": some["q"].to_numpy()[j], "cell": cell[b : b + ROWS]})
 
         return asked.mapInPandas(run, "query long, q array<double>, cell long")
 
@@ -144,12 +148,16 @@ class CellIndex:
             if not len(queries) or not len(found):
                 return pd.DataFrame({"query": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "score": np.zeros(0)})
             q, x, keys = np.array(queries["q"].tolist(), np.float64), np.array(found["v"].tolist(), np.float64), found["key"].to_numpy()
-            if metric == "cosine":
-                s = _units(q, metric) @ _units(x, metric).T
-            else:
-                s = -np.stack([np.linalg.norm(x - v, axis=1) for v in q])
-            order = np.lexsort((np.broadcast_to(keys, s.shape), -np.round(s, 9)), axis=1)[:, :k]
-            return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), order.shape[1]), "key": keys[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+            q, x, best = _units(q, metric), _units(x, metric), dense.Best(len(q), k)
+            for tile in dense.tiles(len(x), len(q)):
+                if metric == "cosine":
+                    s = q @ x[tile].T
+                else:
+                    s = np.empty((len(q), len(x[tile])))
+                    for i, v in enumerate(q):
+                        s[i] = -np.linalg.norm(x[tile] - v, axis=1)
+                best.add(s, keys[tile])
+            return pd.DataFrame({"query": queries["query"].to_numpy()[best.query], "key": best.key, "score": best.score})
 
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, "query long, key long, score double")
 

@@ -61,9 +61,9 @@ def test_cells_without_rows(spark, vectors, tmp_path):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-def test_scores_are_held_in_tiles(vectors, metric, monkeypatch):
+def test_scores_are_held_in_tiles(spark, vectors, tmp_path, metric, monkeypatch):
     """However many rows meet however many queries, no matrix of more than SCORES is made, and results stay those of one matrix."""
-    asked_for = asked(vectors)
+    asked_for, index = asked(vectors), CellIndex.build(vectors, str(tmp_path / metric), metric=metric, cells=3)
     want = rows(dense.nearest(asked_for, vectors.where("vec_id < 5000"), 10, "query_id", "vec_id", metric=metric))
     x = np.array([[float(i % 7), float(i % 5)] for i in range(500)])
     whole, parts = dense.Best(3, 10), dense.Best(3, 10)
@@ -73,4 +73,6 @@ def test_scores_are_held_in_tiles(vectors, metric, monkeypatch):
     assert (whole.query == parts.query).all() and (whole.key == parts.key).all()
     assert max(len(range(500)[t]) for t in dense.tiles(500, 10)) == 500 and [len(range(500)[t]) for t in dense.tiles(500, dense.SCORES // 200)][:2] == [200, 200]
     monkeypatch.setattr(dense, "SCORES", 700)
+    monkeypatch.setattr(cells, "ROWS", 5)
     assert rows(dense.nearest(asked_for, vectors.where("vec_id < 5000"), 10, "query_id", "vec_id", metric=metric)) == want
+    assert rows(index.nearest_exact(asked_for, probes=1)) == want
