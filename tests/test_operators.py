@@ -225,3 +225,20 @@ def test_fake_vectors_are_unit_vectors_of_their_texts(spark):
     v = [r["v"] for r in rows]
     assert v[0] == v[1] != v[2] and v[3] == v[4]
     assert all(sum(x * x for x in row) == pytest.approx(1) for row in v)
+
+
+def test_router_top_and_postings_of_repeated_keys(spark, monkeypatch):
+    """Products are summed by document in tiles, not by a group of all pairs; rows that share a key count together."""
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(60)] + [(7, "w1 w2 w2"), (8, None), (None, "w3 w3"), (None, "w3 w4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 3} w5") for q in range(8)], "query_id long, text string")
+    weights, mean = sparse.router_weights(asked, docs, "query_id")
+    want = sparse.ranked(sparse.sparse_dot(weights, sparse.document_weights(docs, "doc_id", mean=mean, wanted=weights), "query_id", "doc_id"), ["query_id"], "score", "doc_id", 5)
+    monkeypatch.setattr(dense, "SCORES", 20)
+    monkeypatch.setattr(sparse, "QUERY_TOKENS", 9)
+    shown = lambda d: sorted((r["query_id"], r["rank"], -1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 9)) for r in d.collect())
+    assert shown(sparse.router_top(weights, docs, mean, 5, "query_id", "doc_id")) == shown(want)
+    post = sparse.postings(docs, "doc_id")
+    assert {(r["doc_id"], r["dl"], r["token"], r["tf"]) for r in post.where("doc_id is null").collect()} == {(None, 2, "w3", 3), (None, 2, "w4", 1)}
+    alone = sparse.postings(docs.where("doc_id < 7"), "doc_id")
+    assert "Aggregate" not in alone._jdf.queryExecution().optimizedPlan().toString() and alone.count() > 0
