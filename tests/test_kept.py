@@ -144,3 +144,20 @@ def test_sync_stream_writes_one_bucket_for_one_path(spark, tmp_path):
     assert set(files_below(index)) - set(before) == new
     now = index_sync.current(spark, str(index))
     assert {(r["path"], r["chunk"]) for r in now.where("path in ('p1', 'p2')").collect()} == {("p1", "z"), ("p2", "x2"), ("p2", "y")} and now.count() == 59
+
+
+def test_inverted_parts_follow_the_rows(spark, tmp_path, monkeypatch):
+    """Postings are dealt to as many tasks as their number asks for, and tokens are counted without a group by document and token."""
+    from corpusengine.operators import inverted
+
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('a b a c', id, ' d', id % 7) AS text")
+    found = []
+    for name, part in (("few", inverted.PART), ("many", 5)):
+        monkeypatch.setattr(inverted, "PART", part)
+        index = inverted.InvertedIndex(spark, str(tmp_path / name), buckets=2)
+        index.apply(1, docs)
+        index.merge(2)
+        files = index._read("postings", [2]).inputFiles()
+        found.append((len(files), {(r["token"], r["df"]) for r in index.frequencies().collect()}, {(r["doc_id"], r["dl"], tuple(sorted(map(tuple, r["terms"])))) for r in index.documents().collect()}))
+    assert found[0][1:] == found[1][1:] and found[1][0] > 2 * inverted.SPREAD >= found[0][0]
+    assert ("a", 60) in found[0][1] and (1, 5, (("a", 2), ("b", 1), ("c1", 1), ("d1", 1))) in found[0][2]
