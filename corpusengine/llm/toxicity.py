@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, release
 from .words import Words, batches, mix, tokenise
 
-#: Rows of a shard, about; ids of labels that are broadcast (more are joined by a shuffle); models or centres that meet in one task.
-SHARD, BROADCAST, MEET = 8_000, 1_000_000, 8
+#: Rows of a shard, about (a round moves one vector of 2 MB for each); ids of labels that are broadcast (more are joined by a shuffle); models or centres that meet in one task.
+SHARD, BROADCAST, MEET = 16_000, 1_000_000, 8
 #: One in this many rows, by a hash of the text, only calibrates; a language with fewer of either label takes the threshold of all.
 HELD, LEAST = 5, 20
 #: Texts whose order is mixed while a shard learns; scores are counted by steps of a logit, up to the greatest.
@@ -293,13 +293,16 @@ def _marks(labels: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``text, toxic, calibrates``: all rows with a label that aren't held out, in about SHARD to a partition by a hash of their ids, in the order of another.
 
-    Of rows that repeat an id the least text teaches. Equal texts all calibrate or all don't.
+    Of rows that repeat an id the least text teaches. Equal texts all calibrate or all don't. There are as many partitions as
+    the rows need, whatever number the session prefers, as each becomes a shard that sends a vector of the whole model.
     """
     marks = cut(_marks(labels))
     n = marks.count()
     rows = docs.select("doc_id", "text")
     found = rows.join(F.broadcast(marks) if n <= BROADCAST else marks, rows["doc_id"] == marks["labelled_id"]).drop("doc_id")
-    found = found.repartition(max(1, math.ceil(n / SHARD)), "labelled_id").groupBy("labelled_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
+    shards = max(1, math.ceil(n / SHARD))
+    found = found.withColumn("shard", F.pmod(F.xxhash64("labelled_id"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
+    found = found.groupBy("shard", "labelled_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic"))
     found = found.sortWithinPartitions(F.xxhash64(F.col("labelled_id").cast("string")), "labelled_id")
     return found.select("text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(HELD)) == HELD - 1).alias("calibrates"))
 
@@ -341,6 +344,7 @@ def _weighed(x: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of all labelled rows: one pass over them for languages, one a round, and one for thresholds."""
     spark, rows, learner = docs.sparkSession, cut(labelled(docs, labels)), Learner()
+    release(spark)  # the texts as they were dealt, beside the checkpoint
     shards, model = rows.rdd.getNumPartitions(), learner.model
     n = {(r["toxic"], r["calibrates"]): r["count"] for r in rows.groupBy("toxic", "calibrates").count().collect()}  # four rows
     of = [n.get((y, False), 0) + n.get((y, True), 0) for y in (0, 1)]
@@ -367,7 +371,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 
         sums = _met(learn.mapInPandas(run, "part int, v binary"), _added, shards)
         learner.take(np.frombuffer(_added(sums), np.float32))
-        sent.unpersist()
+        sent.destroy()
+        release(spark)  # the round's vectors
     sent = spark.sparkContext.broadcast(model)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

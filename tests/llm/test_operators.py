@@ -579,6 +579,28 @@ def test_toxicity_learns_from_all_rows_in_shards(spark, monkeypatch):
     assert ((models[0].scores(tokenise(fresh)) >= toxicity.THRESHOLD) == (marks > 0)).mean() > 0.95
 
 
+def test_toxicity_shards_follow_the_rows(spark, monkeypatch):
+    """A session that deals rows out to more partitions makes no more shards, and what a round moves goes when it is over."""
+    monkeypatch.setattr(toxicity, "SHARD", 150)
+    monkeypatch.setattr(toxicity, "MEET", 3)
+    kind = type(spark.range(0))
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *cols, deal=kind.repartition: deal(self, max(n, 40) if cols else n, *cols))
+    texts, labels = _labelled(1500, 3)
+    docs = spark.createDataFrame([(i, t, int(y)) for i, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, toxic int")
+    rows = toxicity.labelled(docs, docs)
+    assert rows.rdd.getNumPartitions() == -(-rows.count() // 150) > 5
+    tracked = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    shared.release(spark)
+    time.sleep(2)
+    before = tracked()
+    toxicity.trained(docs, docs)
+    for _ in range(20):
+        if tracked() - before < toxicity.EPOCHS:
+            break
+        time.sleep(0.5)
+    assert tracked() - before < toxicity.EPOCHS
+
+
 def test_toxicity_against_the_tables(spark, small):
     docs, labels = (spark.read.parquet(f"{small.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.scored(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").toPandas()
