@@ -55,3 +55,7 @@ def every(spark, small):
 
 def test_route_scores_takes_every_vector(spark, small):
     assert {r["query_id"] for r in registry.QUERIES["route_scores"](spark, small).select("query_id").collect()} == every(spark, small)
+
+
+def test_route_near_miss_takes_every_vector(spark, small):
+    assert {r["query_id"] for r in registry.QUERIES["route_near_miss"](spark, small).select("query_id").collect()} == every(spark, small)
