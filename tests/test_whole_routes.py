@@ -59,3 +59,7 @@ def test_route_scores_takes_every_vector(spark, small):
 
 def test_route_near_miss_takes_every_vector(spark, small):
     assert {r["query_id"] for r in registry.QUERIES["route_near_miss"](spark, small).select("query_id").collect()} == every(spark, small)
+
+
+def test_route_confusion_counts_every_vector(spark, small):
+    assert sum(r["n"] for r in registry.QUERIES["route_confusion"](spark, small).collect()) == len(every(spark, small))
